@@ -1,0 +1 @@
+"""Empty on purpose: the feature set this package covers has no streaming operator."""

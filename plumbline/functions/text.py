@@ -155,6 +155,10 @@ def letters(c: Column, wanted: list[str]) -> Column:
     return F.filter(runs, lambda w: w.isin(wanted))
 
 
+def count_in(found: Column, group: list[str]) -> Column:
+    return F.size(F.filter(found, lambda w: w.isin(group)))
+
+
 def polarity(c: Column, lexicon: dict[str, float] | None = None) -> Column:
     """Mean polarity of the lexicon words in a text, 0 without any."""
     scores = POLARITY if lexicon is None else lexicon
@@ -165,7 +169,7 @@ def polarity(c: Column, lexicon: dict[str, float] | None = None) -> Column:
     def mean_score(hits: Column) -> Column:
         total = F.lit(0.0)
         for score, group in by_score.items():
-            total = total + F.lit(score) * F.size(F.filter(hits, lambda w, group=group: w.isin(group)))
+            total = total + F.lit(score) * count_in(hits, group)
         return F.coalesce(F.try_divide(total, F.size(hits).cast("double")), F.lit(0.0))
 
     return bind(letters(c, list(scores)), mean_score)
@@ -176,10 +180,7 @@ def language_vote(c: Column) -> Column:
 
     def winner(hits: Column) -> Column:
         votes = [
-            F.struct(
-                (-F.size(F.filter(hits, lambda w, group=group: w.isin(group)))).alias("votes"),
-                F.lit(name).alias("lang"),
-            )
+            F.struct((-count_in(hits, group)).alias("votes"), F.lit(name).alias("lang"))
             for name, group in sorted(STOP_WORDS.items())
         ]
         return F.when(F.size(hits) > 0, F.array_min(F.array(*votes))["lang"]).otherwise("unknown")

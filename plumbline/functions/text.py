@@ -49,7 +49,12 @@ QUESTION_PATTERNS = [
 LIST_MARK = r"^\d+\.\s*|^[-•*]\s*"
 QUESTION_WORDS = ["what", "how", "why", "which", "where", "when"]
 
-SPACE = r"(?U)\s+"
+# The characters that count as whitespace.
+WHITESPACE = (
+    " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+    "\u200a\u2028\u2029\u202f\u205f\u3000"
+)
+SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
 def bind(value: Column, use) -> Column:
@@ -58,21 +63,21 @@ def bind(value: Column, use) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove leading and trailing whitespace of any kind, not only blanks."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    """Remove leading and trailing whitespace of any kind; only the ends are looked at."""
+    return F.btrim(c, F.lit(WHITESPACE))
 
 
 def words(c: Column) -> Column:
     """Whitespace-separated words, none of them empty."""
-    return F.filter(F.split(c, SPACE), lambda w: w != "")
+    return F.when(not_blank(c), F.split(strip(c), SPACE)).when(c.isNotNull(), F.array().cast("array<string>"))
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(r"(?U)\S+"))
+    return F.when(not_blank(c), F.size(F.split(strip(c), SPACE))).when(c.isNotNull(), 0)
 
 
 def not_blank(c: Column) -> Column:
-    return c.rlike(r"(?U)\S")
+    return strip(c) != ""
 
 
 def title_case(c: Column) -> Column:

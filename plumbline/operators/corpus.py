@@ -16,10 +16,10 @@ SEPARATORS = ["\n\n", "\n", " ", ""]
 
 def text_profile(df: DataFrame, text: str) -> DataFrame:
     """Characters and words per non-empty text, zeros without any."""
-    size = F.length(col(text))
-    filled = df.filter(size > 0).agg(
-        F.avg(size).alias("avg_text_length"), F.min(size).alias("min_text_length"),
-        F.max(size).alias("max_text_length"), F.avg(word_count(col(text))).alias("avg_token_count"),
+    sizes = df.select(F.length(col(text)).alias("size"), word_count(col(text)).alias("words")).filter("size > 0")
+    filled = sizes.agg(
+        F.avg("size").alias("avg_text_length"), F.min("size").alias("min_text_length"),
+        F.max("size").alias("max_text_length"), F.avg("words").alias("avg_token_count"),
     )
     return filled.na.fill(0)
 
@@ -37,8 +37,8 @@ def clean_text(df: DataFrame, text: str = "content", drop_metadata: bool = False
 
 def clean_text_stats(cleaned: DataFrame) -> DataFrame:
     """Words per cleaned text; long texts on average count as high quality."""
-    n = word_count(F.col("cleaned_content"))
-    row = cleaned.agg(
+    n = F.col("n")
+    row = cleaned.select(word_count(F.col("cleaned_content")).alias("n")).agg(
         F.count("*").alias("document_count"), F.avg(n).alias("avg_doc_length"), F.min(n).alias("min_doc_length"),
         F.max(n).alias("max_doc_length"), F.sum(n).alias("total_words"),
     )

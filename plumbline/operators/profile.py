@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from plumbline.functions.columns import (
     col,
@@ -14,11 +14,7 @@ from plumbline.functions.columns import (
     string_columns,
     time_typed_columns,
 )
-from plumbline.operators.quantiles import quantiles
-
-
-def _named(name: str):
-    return F.lit(name).alias("column")
+from plumbline.operators.quantiles import quantiles, summary
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
@@ -75,8 +71,7 @@ def head_sample(df: DataFrame, order_by: list[str], rows: int = 3) -> DataFrame:
 def value_counts(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """`(column, value, n)` of the non-null strings of all given columns, counted in one aggregation."""
     columns = string_columns(df) if columns is None else columns
-    cells = F.explode(F.array(*[F.struct(_named(c), col(c).alias("value")) for c in columns]))
-    pairs = df.select(cells.alias("cell")).select("cell.column", "cell.value")
+    pairs = df.select(*[col(c).cast("string").alias(c) for c in columns]).unpivot([], [col(c) for c in columns], "column", "value")
     return pairs.filter("value is not null").groupBy("column", "value").agg(F.count("*").alias("n"))
 
 
@@ -86,28 +81,36 @@ def top_values(df: DataFrame, columns: list[str] | None = None, k: int = 5) -> D
     return value_counts(df, columns).withColumn("rank", rank).filter(F.col("rank") <= k)
 
 
-def _native_cells(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Unfold columns of different types into narrow rows that keep each value in its own type."""
-    cells = []
+def _native(df: DataFrame, name: str) -> tuple[str, Column]:
+    """A column in one of three common types that keep its values apart."""
+    kind, c = df.schema[name].dataType, col(name)
+    if isinstance(kind, T.IntegralType):
+        return "bigint", c.cast("bigint")
+    if isinstance(kind, T.DateType):
+        return "bigint", F.unix_date(c).cast("bigint")
+    if isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+        return "bigint", F.unix_micros(c.cast("timestamp"))
+    if isinstance(kind, (T.DoubleType, T.FloatType)):
+        return "double", number(df, name)
+    if isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
+        return "string", F.when(c.isNotNull(), F.to_json(F.struct(c)))
+    return "string", c.cast("string")
+
+
+def _distinct_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """`(ordinal, num_unique)`: columns of a common type are stacked and counted together."""
+    families: dict[str, list[Column]] = {}
     for i, name in enumerate(columns):
-        kind = df.schema[name].dataType
-        c = col(name)
-        whole, real, text = F.lit(None).cast("bigint"), F.lit(None).cast("double"), F.lit(None).cast("string")
-        if isinstance(kind, T.IntegralType):
-            whole = c.cast("bigint")
-        elif isinstance(kind, (T.DoubleType, T.FloatType)):
-            real = number(df, name)
-        elif isinstance(kind, T.DateType):
-            whole = F.unix_date(c).cast("bigint")
-        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
-            whole = F.unix_micros(c.cast("timestamp"))
-        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-            text = F.to_json(F.struct(c))
-        else:
-            text = c.cast("string")
-        cell = F.struct(F.lit(i).alias("ordinal"), whole.alias("whole"), real.alias("real"), text.alias("text"))
-        cells.append(F.when(present(df, name), cell))
-    return df.select(F.explode(F.array(*cells)).alias("cell")).filter("cell is not null").select("cell.*")
+        kind, value = _native(df, name)
+        cell = F.when(value.isNotNull(), F.struct(F.lit(i).alias("ordinal"), value.alias("value")))
+        families.setdefault(kind, []).append(cell.alias(f"c{i}"))
+    out = None
+    for cells in families.values():
+        wide = df.select(*cells)
+        stacked = wide.unpivot([], wide.columns, "name", "cell").filter("cell is not null").select("cell.*")
+        counts = stacked.groupBy("ordinal", "value").agg(F.lit(1).alias("one")).groupBy("ordinal").agg(F.count("*").alias("num_unique"))
+        out = counts if out is None else out.unionByName(counts)
+    return out
 
 
 def nunique(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
@@ -119,8 +122,7 @@ def nunique(df: DataFrame, columns: list[str] | None = None, approx: bool = Fals
     if approx:
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"num_unique__{i}") for i, c in enumerate(columns)])
         return long_table(row, columns, {"num_unique": "bigint"})
-    distinct = _native_cells(df, columns).groupBy("ordinal", "whole", "real", "text").agg(F.lit(1).alias("one"))
-    counted = distinct.groupBy("ordinal").agg(F.count("*").alias("num_unique"))
+    counted = _distinct_counts(df, columns)
     spark = df.sparkSession
     names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "ordinal int, column string")
     # Both sides hold at most one row per column.
@@ -136,13 +138,8 @@ def column_profile(df: DataFrame, top: int = 5, approx: bool = False) -> DataFra
     strings their most frequent values, dates their extremes.
     """
     numbers, strings, times = numeric_columns(df), string_columns(df), time_typed_columns(df)
-    medians = quantiles(df, numbers, [0.5])
-    moments = df.agg(
-        *[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(numbers)],
-        *[F.stddev_samp(number(df, c)).alias(f"s{i}") for i, c in enumerate(numbers)],
-        F.lit(0).alias("unit"),
-    )
-    spread = moments.select(F.struct(*[c for c in moments.columns]).alias("spread"))
+    seen = summary(df, numbers)
+    medians = quantiles(df, numbers, [0.5], seen)
 
     fields = {
         "dtype": "string", "num_missing": "bigint", "pct_missing": "double", "min": "double",
@@ -158,16 +155,16 @@ def column_profile(df: DataFrame, top: int = 5, approx: bool = False) -> DataFra
             "pct_missing": F.try_divide(F.count_if(~present(df, name)).cast("double"), F.count("*").cast("double")),
         }
         if name in numbers:
-            x, k = number(df, name), numbers.index(name)
-            mean, std = F.col(f"__spread.m{k}"), F.col(f"__spread.s{k}")
+            x, known = number(df, name), seen[name]
+            far = F.count_if(F.abs(x - known.mean) > 3 * known.std) if known.std else F.lit(0)
             cells |= {
-                "min": F.min(x), "max": F.max(x), "mean": F.avg(x), "median": F.lit(medians[name][0]),
-                "std": F.stddev_samp(x), "num_outliers": F.count_if((std > 0) & (F.abs(x - mean) > 3 * std)),
+                "min": F.lit(known.low), "max": F.lit(known.high), "mean": F.lit(known.mean),
+                "median": F.lit(medians[name][0]), "std": F.lit(known.std), "num_outliers": far,
             }
         elif name in times:
             cells |= {"min_date": F.min(col(name)).cast("string"), "max_date": F.max(col(name)).cast("string")}
         aggregates += [cells.get(f, nothing).alias(f"{f}__{i}") for f in fields]
-    stats = long_table(df.withColumn("__spread", spread.scalar()).agg(*aggregates), df.columns, fields)
+    stats = long_table(df.agg(*aggregates), df.columns, fields)
     out = stats.join(F.broadcast(nunique(df, approx=approx).drop("ordinal")), "column", "left")
     if strings:
         best = top_values(df, strings, top).groupBy("column").agg(

@@ -1,59 +1,73 @@
 """Exact quantiles that never gather a whole column in one task.
 
-Up to `EXACT_LIMIT` rows the built-in `percentile` does the work in one pass. Beyond that its
-per-value map would grow with the data, so the wanted ranks are closed in by histograms: every
-round counts the values of the current bracket in equal-width bins (a hash aggregation of at most
-`BINS` groups per bracket), keeps the bins that hold the wanted ranks, and narrows the bracket to
-their smallest and largest value. Once a bracket is small, its distinct values are ranked.
+The wanted ranks are closed in by histograms: every round counts the values of the current brackets
+in equal-width bins (a hash aggregation of at most `BINS` groups per bracket), keeps the bins that
+hold the wanted ranks, and narrows each bracket to their smallest and largest value. Brackets of at
+most `RANK_LIMIT` rows are ranked value by value. One or two rounds do for billions of rows, and
+what reaches the driver depends on the number of bins, not on the data.
 """
 
 from __future__ import annotations
 
 import math
 import sys
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import number
 
-EXACT_LIMIT = 2_000_000
+RANK_LIMIT = 100_000
 BINS = 1024
 FLOAT_MAX = sys.float_info.max
 
 
+@dataclass
+class Summary:
+    """Count, extremes, mean and sample deviation of the non-missing values of a column."""
+
+    count: int
+    low: float | None
+    high: float | None
+    mean: float | None
+    std: float | None
+
+
+def summary(df: DataFrame, columns: list[str]) -> dict[str, Summary]:
+    """Five numbers per column from one scan."""
+    if not columns:
+        return {}
+    functions = (F.count, F.min, F.max, F.avg, F.stddev_samp)
+    row = df.agg(*[f(number(df, c)).alias(f"s{i}_{k}") for i, c in enumerate(columns) for k, f in enumerate(functions)]).first()
+    return {c: Summary(*[row[f"s{i}_{k}"] for k in range(len(functions))]) for i, c in enumerate(columns)}
+
+
 def quantiles(
-    df: DataFrame, columns: list[str], probs: list[float], exact_limit: int | None = None
+    df: DataFrame,
+    columns: list[str],
+    probs: list[float],
+    seen: dict[str, Summary] | None = None,
+    rank_limit: int | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as pandas defines them.
 
-    Runs jobs and returns plain numbers: `len(columns) * len(probs)` of them.
+    Runs jobs and returns plain numbers: `len(columns) * len(probs)` of them. `seen` spares the
+    first scan where the summaries are known.
     """
     if not columns:
         return {}
-    limit = EXACT_LIMIT if exact_limit is None else exact_limit
+    seen = summary(df, columns) if seen is None else seen
     values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    extent = values.agg(
-        *[
-            f(F.col(f"v{i}")).alias(f"{tag}{i}")
-            for i in range(len(columns))
-            for tag, f in (("n", F.count), ("lo", F.min), ("hi", F.max))
-        ]
-    ).first()
-    if all(extent[f"n{i}"] <= limit for i in range(len(columns))):
-        wanted = F.array(*[F.lit(float(p)) for p in probs])
-        row = values.agg(*[F.percentile(f"v{i}", wanted).alias(f"q{i}") for i in range(len(columns))]).first()
-        return {c: list(row[f"q{i}"] or [None] * len(probs)) for i, c in enumerate(columns)}
-
     brackets, positions = {}, {}
-    for i in range(len(columns)):
-        n = extent[f"n{i}"]
+    for i, c in enumerate(columns):
+        known = seen[c]
         for j, p in enumerate(probs):
-            if n:
-                at = p * (n - 1)
+            if known.count:
+                at = p * (known.count - 1)
                 positions[i, j] = at
                 for rank in {math.floor(at), math.ceil(at)}:
-                    brackets[i, rank] = (extent[f"lo{i}"], extent[f"hi{i}"], 0, n)
-    statistics = _order_statistics(values, brackets, limit)
+                    brackets[i, rank] = (known.low, known.high, 0, known.count)
+    statistics = _order_statistics(values, brackets, RANK_LIMIT if rank_limit is None else rank_limit)
     result = {}
     for i, c in enumerate(columns):
         row = []
@@ -63,7 +77,7 @@ def quantiles(
                 row.append(None)
                 continue
             low, high = statistics[i, math.floor(at)], statistics[i, math.ceil(at)]
-            row.append(low + (high - low) * (at - math.floor(at)))
+            row.append(low if low == high else low + (high - low) * (at - math.floor(at)))
         result[c] = row
     return result
 
@@ -84,36 +98,30 @@ def _order_statistics(values: DataFrame, brackets: dict, limit: int) -> dict:
         progress = False
         for row in _histogram(values, spans).collect():
             bins.setdefault(row["span"], []).append(row)
-        for (i, rank), (low, high, below, inside) in wide.items():
-            seen = below
+        for (i, rank), (low, high, below, _) in wide.items():
+            before = below
             for row in sorted(bins[spans.index((i, low, high))], key=lambda r: r["bin"]):
-                if rank < seen + row["n"]:
-                    narrowed = (row["low"], row["high"], seen, row["n"])
+                if rank < before + row["n"]:
+                    narrowed = (row["low"], row["high"], before, row["n"])
                     progress = progress or narrowed != brackets[i, rank]
                     brackets[i, rank] = narrowed
                     break
-                seen += row["n"]
+                before += row["n"]
         if not progress:  # neighbouring floats: very few distinct values are left
             break
     if brackets:
         spans = sorted({(k[0], *b[:3]) for k, b in brackets.items()})
-        wanted = [
-            (s, rank, rank - b[2]) for s, span in enumerate(spans) for (i, rank), b in brackets.items()
-            if (i, *b[:3]) == span
-        ]
-        ranked = _ranked(values, spans)
+        wanted = [(spans.index((i, *b[:3])), i, rank, rank - b[2]) for (i, rank), b in brackets.items()]
         hit = F.lit(False)
-        for s, _, offset in wanted:
+        for s, _, _, offset in wanted:
             hit = hit | ((F.col("span") == s) & (F.col("before") <= offset) & (F.col("upto") > offset))
-        rows = ranked.filter(hit).collect()
-        for s, rank, offset in wanted:
-            for row in rows:
-                if row["span"] == s and row["before"] <= offset < row["upto"]:
-                    found[spans[s][0], rank] = row["x"]
+        rows = _ranked(values, spans).filter(hit).collect()
+        for s, i, rank, offset in wanted:
+            found[i, rank] = next(r["x"] for r in rows if r["span"] == s and r["before"] <= offset < r["upto"])
     return found
 
 
-def _inside(values: DataFrame, spans: list[tuple]) -> DataFrame:
+def _inside(values: DataFrame, spans: list[tuple], bin_of=None) -> DataFrame:
     """One row per value that lies in a span; the range test runs before the rows are unfolded."""
     some = F.lit(False)
     cells = []
@@ -121,22 +129,24 @@ def _inside(values: DataFrame, spans: list[tuple]) -> DataFrame:
         x = F.col(f"v{i}")
         inside = x.between(F.lit(low), F.lit(high))
         some = some | inside
-        cells.append(F.when(inside, F.struct(F.lit(s).alias("span"), x.alias("x"))))
-    kept = values.filter(some)
-    return kept.select(F.explode(F.array_compact(F.array(*cells))).alias("cell")).select("cell.span", "cell.x")
+        extra = [] if bin_of is None else [bin_of(x, low, high).alias("bin")]
+        cells.append(F.when(inside, F.struct(F.lit(s).alias("span"), x.alias("x"), *extra)).alias(f"c{s}"))
+    wide = values.filter(some).select(*cells)
+    return wide.unpivot([], wide.columns, "name", "cell").filter("cell is not null").select("cell.*")
+
+
+def _bin(x: Column, low: float, high: float) -> Column:
+    # Halves avoid an overflow of the width; the floor is monotone, so bins stay in value order.
+    low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
+    if not high > low:
+        return F.lit(0)
+    half = F.least(F.greatest(x, F.lit(-FLOAT_MAX)), F.lit(FLOAT_MAX)) / 2
+    return F.least(F.floor((half - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1)).cast("int")
 
 
 def _histogram(values: DataFrame, spans: list[tuple]) -> DataFrame:
-    index = F.lit(0).cast("bigint")
-    for s, (_, low, high) in enumerate(spans):
-        # Halves avoid an overflow of the width; the floor is monotone, so bins stay in value order.
-        low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
-        half = F.least(F.greatest(F.col("x"), F.lit(-FLOAT_MAX)), F.lit(FLOAT_MAX)) / 2
-        share = F.coalesce(F.try_divide(half - F.lit(low), F.lit(high - low)), F.lit(0.0))
-        index = F.when(F.col("span") == s, F.least(F.floor(share * BINS), F.lit(BINS - 1))).otherwise(index)
     return (
-        _inside(values, spans)
-        .withColumn("bin", index)
+        _inside(values, spans, _bin)
         .groupBy("span", "bin")
         .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )

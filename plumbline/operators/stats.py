@@ -2,78 +2,123 @@
 
 from __future__ import annotations
 
-from itertools import combinations
+from functools import reduce
+from itertools import combinations_with_replacement
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from plumbline.functions.columns import adjusted_skew, col, long_table, number, numeric_columns, present, safe_corr
-from plumbline.operators.quantiles import quantiles
+from plumbline.functions.columns import (
+    adjusted_skew,
+    col,
+    long_table,
+    number,
+    numeric_columns,
+    present,
+    quoted,
+    safe_corr,
+)
+from plumbline.operators.quantiles import quantiles, summary
 
 PAIRS_PER_AGGREGATION = 400
 
 
+STATISTICS = {"mean": "double", "std": "double", "min": "double", "q1": "double", "median": "double", "q3": "double",
+              "max": "double", "count": "bigint"}
+
+
+def _summaries(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+    """All statistics of `basic_stats` per column, as numbers."""
+    seen = summary(df, columns)
+    cuts = quantiles(df, columns, [0.25, 0.5, 0.75], seen)
+    out = {}
+    for c in columns:
+        s, (q1, median, q3) = seen[c], cuts[c]
+        out[c] = {"mean": s.mean, "std": s.std, "min": s.low, "q1": q1, "median": median, "q3": q3, "max": s.high, "count": s.count}
+    return out
+
+
 def basic_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles, one row per numeric column."""
+    """Count, mean, deviation, extremes and quartiles, one row per numeric column.
+
+    The exact form runs its scans when called and returns one small row per column; `approx` stays
+    lazy and reads the data once.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    fields = {f: "double" for f in ("mean", "std", "min", "q1", "median", "q3", "max")} | {"count": "bigint"}
-    exact = {} if approx else quantiles(df, columns, [0.25, 0.5, 0.75])
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = number(df, c)
-        if approx:
+    if approx:
+        aggregates = []
+        for i, c in enumerate(columns):
+            x = number(df, c)
             cuts = F.percentile_approx(x, [0.25, 0.5, 0.75])
             quarters = [F.element_at(cuts, k) for k in (1, 2, 3)]
-        else:
-            quarters = [F.lit(v) for v in exact[c]]
-        cells = [F.avg(x), F.stddev_samp(x), F.min(x), *quarters, F.max(x), F.count(x)]
-        aggregates += [cell.alias(f"{f}__{i}") for cell, f in zip(cells, fields)]
-    return long_table(df.agg(*aggregates), columns, fields)
+            cells = [F.avg(x), F.stddev_samp(x), F.min(x), *quarters, F.max(x), F.count(x)]
+            aggregates += [cell.alias(f"{f}__{i}") for cell, f in zip(cells, STATISTICS)]
+        return long_table(df.agg(*aggregates), columns, STATISTICS)
+    found = _summaries(df, columns)
+    rows = [(i, c, *[found[c][f] for f in STATISTICS]) for i, c in enumerate(columns)]
+    schema = "ordinal int, `column` string, " + ", ".join(f"`{f}` {t}" for f, t in STATISTICS.items())
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The same statistics with one row per statistic and one column per numeric column."""
     columns = numeric_columns(df) if columns is None else columns
-    exact = quantiles(df, columns, [0.25, 0.5, 0.75])
-    names = ["count", "mean", "std", "min", "25%", "50%", "75%", "max"]
-    aggregates = []
-    for i, c in enumerate(columns):
-        x = number(df, c)
-        q1, median, q3 = exact[c]
-        cells = [F.count(x), F.avg(x), F.stddev_samp(x), F.min(x), F.lit(q1), F.lit(median), F.lit(q3), F.max(x)]
-        aggregates.append(F.array(*[cell.cast("double") for cell in cells]).alias(f"c{i}"))
-    row = df.agg(*aggregates)
-    lines = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("statistic"), *[F.col(f"c{i}") for i in range(len(columns))])
-    lines = row.select(F.inline(lines))
-    return lines.toDF("statistic", *columns)
+    found = _summaries(df, columns)
+    names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "q1", "50%": "median", "75%": "q3", "max": "max"}
+    rows = [
+        (name, *[None if found[c][f] is None else float(found[c][f]) for c in columns]) for name, f in names.items()
+    ]
+    schema = ", ".join(["statistic string", *[f"{quoted(c)} double" for c in columns]])
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every two numeric columns, long form `(i, j, col1, col2, r)`.
 
-    All pairs of a few hundred share one scan; wider tables take one scan per batch.
+    A first scan finds means and gaps. Columns without gaps then need one sum per pair around the
+    means; a pair with gaps is measured over its complete rows. A few hundred pairs share a scan.
     """
     columns = numeric_columns(df) if columns is None else columns
-    pairs = [(i, i) for i in range(len(columns))] + list(combinations(range(len(columns)), 2))
+    seen = summary(df, columns)
+    most = max([s.count for s in seen.values()], default=0)
+    rows = df.count() if most else 0
+    pairs = list(combinations_with_replacement(range(len(columns)), 2))
+
+    def centred(i: int) -> Column:
+        return number(df, columns[i]) - F.lit(seen[columns[i]].mean)
+
+    def whole(i: int) -> bool:
+        return seen[columns[i]].count == rows
+
+    def constant(i: int) -> bool:
+        return seen[columns[i]].low == seen[columns[i]].high
+
     blocks = []
     for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
         batch = pairs[start : start + PAIRS_PER_AGGREGATION]
-        row = df.agg(
-            *[safe_corr(number(df, columns[i]), number(df, columns[j])).alias(f"r__{k}") for k, (i, j) in enumerate(batch)]
-        )
+        aggregates, correlations = [F.count("*").alias("rows")], {}
+        for k, (i, j) in enumerate(batch):
+            if constant(i) or constant(j):
+                correlations[k] = F.lit(None).cast("double")
+            elif i == j:
+                correlations[k] = F.lit(1.0)
+            elif whole(i) and whole(j):
+                aggregates.append(F.sum(centred(i) * centred(j)).alias(f"s{k}"))
+                spread = (rows - 1) * seen[columns[i]].std * seen[columns[j]].std
+                correlations[k] = F.try_divide(F.col(f"s{k}"), F.lit(spread))
+            else:
+                aggregates.append(safe_corr(number(df, columns[i]), number(df, columns[j])).alias(f"s{k}"))
+                correlations[k] = F.col(f"s{k}")
         cells = []
         for k, (i, j) in enumerate(batch):
-            for a, b in {(i, j), (j, i)}:
+            for a, b in sorted({(i, j), (j, i)}):
                 cells.append(
                     F.struct(
                         F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(columns[a]).alias("col1"),
-                        F.lit(columns[b]).alias("col2"), F.col(f"r__{k}").alias("r"),
+                        F.lit(columns[b]).alias("col2"), correlations[k].alias("r"),
                     )
                 )
-        blocks.append(row.select(F.inline(F.array(*cells))))
-    out = blocks[0]
-    for block in blocks[1:]:
-        out = out.unionByName(block)
-    return out
+        blocks.append(df.agg(*aggregates).select(F.inline(F.array(*cells))))
+    return reduce(DataFrame.unionByName, blocks)
 
 
 def corr_findings(matrix: DataFrame, k: int = 3) -> DataFrame:

@@ -21,7 +21,7 @@ def guess_delimiter(text: Column) -> Column:
     The score is the share of lines that agree with the first one times the mean count; ties go to
     the earlier candidate and NULL means none occurs.
     """
-    lines = F.filter(F.slice(F.split(text, "\r\n|\n|\r"), 1, SAMPLE_LINES), lambda s: s != "")
+    lines = F.filter(F.slice(F.split(text, "\r\n|\n|\r", SAMPLE_LINES + 1), 1, SAMPLE_LINES), lambda s: s != "")
 
     def best(some: Column) -> Column:
         def score(rank: int, separator: str) -> Column:

@@ -85,6 +85,14 @@ def clip(c: Column, low, high) -> Column:
     return F.when(c.isNotNull(), F.least(F.greatest(c, F.lit(low)), F.lit(high)))
 
 
+def literal_table(df: DataFrame, rows: list[tuple], fields: dict[str, str]) -> DataFrame:
+    """A few known rows as a DataFrame that needs no data transfer. `fields` maps names to SQL types."""
+    cells = [F.struct(*[F.lit(v).cast(t).alias(n) for v, (n, t) in zip(row, fields.items())]) for row in rows]
+    empty = f"array<struct<{','.join(f'{quoted(n)}:{t}' for n, t in fields.items())}>>"
+    table = F.array(*cells) if cells else F.array().cast(empty)
+    return df.sparkSession.range(1, numPartitions=1).select(F.inline(table))
+
+
 def long_table(one_row: DataFrame, names: list[str], fields: dict[str, str], key: str = "column") -> DataFrame:
     """Turn a one-row frame with columns `<field>__<i>` into one row per name.
 

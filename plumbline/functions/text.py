@@ -95,8 +95,7 @@ def basic_clean(c: Column) -> Column:
 def tokens(c: Column, stop_words: list[str] | None = None) -> Column:
     """Lower-case words without digits, punctuation, stop words and words of one or two letters."""
     stop = STOP_WORDS["en"] if stop_words is None else stop_words
-    plain = F.lower(strip(F.regexp_replace(c, SPACE, " ")))
-    plain = F.regexp_replace(F.regexp_replace(plain, r"(?U)\d+", ""), r"\p{Punct}+", "")
+    plain = F.regexp_replace(F.lower(c), r"[\p{Nd}\p{Punct}]+", "")
     return F.filter(words(plain), lambda w: (F.length(w) > 2) & ~w.isin(stop))
 
 

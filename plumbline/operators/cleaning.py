@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from plumbline.functions.columns import (
     clip,
     col,
+    literal_table,
     long_table,
     number,
     numeric_columns,
@@ -112,8 +113,7 @@ def fitting_formats(df: DataFrame, columns: list[str], order_by: list[str]) -> d
     if not columns:
         return {}
     row = first_values(df, columns, order_by)
-    spark = df.sparkSession
-    samples = spark.createDataFrame([(i, row[f"v{i}"]) for i in range(len(columns))], "i int, v string")
+    samples = literal_table(df, [(i, row[f"v{i}"]) for i in range(len(columns))], {"i": "int", "v": "string"})
     fits = samples.select(
         "i",
         *[F.try_to_timestamp("v", F.lit(f)).isNotNull().alias(f"f{k}") for k, f in enumerate(DATE_FORMATS)],
@@ -295,7 +295,6 @@ def cleaning_report(df: DataFrame, dataset: str, plan: CleaningPlan | None = Non
         for c in string_columns(df):
             if c not in plan.date_formats:
                 add("title case", c, "strip and title", F.count_if(~title_case(strip(col(c))).eqNullSafe(col(c))))
-    schema = "dataset string, step string, column string, n_changed bigint, detail string"
     if aggregates:
         keys = [str(i) for i in range(len(steps))]
         counts = long_table(df.agg(*aggregates), keys, {"n_changed": "bigint"}, key="key")
@@ -304,7 +303,8 @@ def cleaning_report(df: DataFrame, dataset: str, plan: CleaningPlan | None = Non
             F.lit(dataset).alias("dataset"), "s.step", "s.column", "n_changed", "s.detail"
         )
     else:
-        out = df.sparkSession.createDataFrame([], schema)
+        fields = {"dataset": "string", "step": "string", "column": "string", "n_changed": "bigint", "detail": "string"}
+        out = literal_table(df, [], fields)
     if plan.drop_duplicates:
         removed = duplicate_count(df).select(
             F.lit(dataset).alias("dataset"), F.lit("drop duplicates").alias("step"), F.lit(None).cast("string").alias("column"),

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 from plumbline.functions.columns import (
     col,
     kind_of,
+    literal_table,
     long_table,
     number,
     numeric_columns,
@@ -123,8 +124,7 @@ def nunique(df: DataFrame, columns: list[str] | None = None, approx: bool = Fals
         row = df.agg(*[F.approx_count_distinct(col(c)).alias(f"num_unique__{i}") for i, c in enumerate(columns)])
         return long_table(row, columns, {"num_unique": "bigint"})
     counted = _distinct_counts(df, columns)
-    spark = df.sparkSession
-    names = spark.createDataFrame([(i, c) for i, c in enumerate(columns)], "ordinal int, column string")
+    names = literal_table(df, list(enumerate(columns)), {"ordinal": "int", "column": "string"})
     # Both sides hold at most one row per column.
     return names.join(F.broadcast(counted), "ordinal", "left").select(
         "ordinal", "column", F.coalesce("num_unique", F.lit(0)).alias("num_unique")
@@ -180,7 +180,7 @@ def column_profile(df: DataFrame, top: int = 5, approx: bool = False) -> DataFra
 def column_catalog(df: DataFrame, dataset: str) -> DataFrame:
     """The schema as rows `(dataset, ordinal, column_name, kind)`."""
     rows = [(dataset, i, f.name, kind_of(f.dataType)) for i, f in enumerate(df.schema.fields)]
-    return df.sparkSession.createDataFrame(rows, "dataset string, ordinal int, column_name string, kind string")
+    return literal_table(df, rows, {"dataset": "string", "ordinal": "int", "column_name": "string", "kind": "string"})
 
 
 def quality_score(df: DataFrame) -> DataFrame:

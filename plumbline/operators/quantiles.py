@@ -13,7 +13,7 @@ import math
 import sys
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.columns import number
 
@@ -112,41 +112,42 @@ def _order_statistics(values: DataFrame, brackets: dict, limit: int) -> dict:
     if brackets:
         spans = sorted({(k[0], *b[:3]) for k, b in brackets.items()})
         wanted = [(spans.index((i, *b[:3])), i, rank, rank - b[2]) for (i, rank), b in brackets.items()]
-        hit = F.lit(False)
-        for s, _, _, offset in wanted:
-            hit = hit | ((F.col("span") == s) & (F.col("before") <= offset) & (F.col("upto") > offset))
-        rows = _ranked(values, spans).filter(hit).collect()
+        hits = [f"(span = {s} AND before <= {offset} AND upto > {offset})" for s, _, _, offset in wanted]
+        rows = _ranked(values, spans).filter(" OR ".join(hits)).collect()
         for s, i, rank, offset in wanted:
             found[i, rank] = next(r["x"] for r in rows if r["span"] == s and r["before"] <= offset < r["upto"])
     return found
 
 
-def _inside(values: DataFrame, spans: list[tuple], bin_of=None) -> DataFrame:
+def _literal(x: float) -> str:
+    return f"double('{x!r}')"
+
+
+def _inside(values: DataFrame, spans: list[tuple], binned: bool = False) -> DataFrame:
     """One row per value that lies in a span; the range test runs before the rows are unfolded."""
-    some = F.lit(False)
+    tests = [f"(v{i} BETWEEN {_literal(low)} AND {_literal(high)})" for i, low, high, *_ in spans]
     cells = []
     for s, (i, low, high, *_) in enumerate(spans):
-        x = F.col(f"v{i}")
-        inside = x.between(F.lit(low), F.lit(high))
-        some = some | inside
-        extra = [] if bin_of is None else [bin_of(x, low, high).alias("bin")]
-        cells.append(F.when(inside, F.struct(F.lit(s).alias("span"), x.alias("x"), *extra)).alias(f"c{s}"))
-    wide = values.filter(some).select(*cells)
+        more = f", 'bin', {_bin(f'v{i}', low, high)}" if binned else ""
+        cells.append(f"if({tests[s]}, named_struct('span', {s}, 'x', v{i}{more}), null) AS c{s}")
+    wide = values.filter(" OR ".join(tests)).selectExpr(*cells)
     return wide.unpivot([], wide.columns, "name", "cell").filter("cell is not null").select("cell.*")
 
 
-def _bin(x: Column, low: float, high: float) -> Column:
-    # Halves avoid an overflow of the width; the floor is monotone, so bins stay in value order.
-    low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
-    if not high > low:
-        return F.lit(0)
-    half = F.least(F.greatest(x, F.lit(-FLOAT_MAX)), F.lit(FLOAT_MAX)) / 2
-    return F.least(F.floor((half - F.lit(low)) / F.lit(high - low) * BINS), F.lit(BINS - 1)).cast("int")
+def _bin(x: str, low: float, high: float) -> str:
+    """Bin number of a value between `low` and `high`; multiplication is monotone, so bins stay in value order."""
+    if not high - low < FLOAT_MAX:  # halves, within the finite range, when the width overflows
+        low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
+        x = f"least(greatest({x}, {_literal(-FLOAT_MAX)}), {_literal(FLOAT_MAX)}) / 2"
+    scale = BINS / (high - low)
+    if not 0 < scale < FLOAT_MAX:
+        return "0"
+    return f"cast(least(({x} - {_literal(low)}) * {_literal(scale)}, {BINS - 1}) as int)"
 
 
 def _histogram(values: DataFrame, spans: list[tuple]) -> DataFrame:
     return (
-        _inside(values, spans, _bin)
+        _inside(values, spans, binned=True)
         .groupBy("span", "bin")
         .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
     )

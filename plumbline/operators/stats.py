@@ -10,11 +10,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from plumbline.functions.columns import (
     adjusted_skew,
     col,
+    literal_table,
     long_table,
     number,
     numeric_columns,
     present,
-    quoted,
     safe_corr,
 )
 from plumbline.operators.quantiles import quantiles, summary
@@ -55,8 +55,7 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None, approx: bool =
         return long_table(df.agg(*aggregates), columns, STATISTICS)
     found = _summaries(df, columns)
     rows = [(i, c, *[found[c][f] for f in STATISTICS]) for i, c in enumerate(columns)]
-    schema = "ordinal int, `column` string, " + ", ".join(f"`{f}` {t}" for f, t in STATISTICS.items())
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal_table(df, rows, {"ordinal": "int", "column": "string", **STATISTICS})
 
 
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -67,8 +66,7 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = [
         (name, *[None if found[c][f] is None else float(found[c][f]) for c in columns]) for name, f in names.items()
     ]
-    schema = ", ".join(["statistic string", *[f"{quoted(c)} double" for c in columns]])
-    return df.sparkSession.createDataFrame(rows, schema)
+    return literal_table(df, rows, {"statistic": "string", **{c: "double" for c in columns}})
 
 
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -227,7 +225,7 @@ def comprehensive(df: DataFrame) -> dict[str, DataFrame]:
     return {
         "descriptive_stats": describe(df),
         "correlation_matrix": corr_matrix(df),
-        "data_types": df.sparkSession.createDataFrame(types, "column string, dtype string"),
+        "data_types": literal_table(df, types, {"column": "string", "dtype": "string"}),
         "unique_values": nunique(df),
         "missing_values": long_table(missing, df.columns, {"missing": "bigint"}),
     }

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import numeric_columns, string_columns
+from plumbline.functions.columns import literal_table, numeric_columns, string_columns
 from plumbline.functions.text import plain_question
 from plumbline.operators import charts, corpus, rules, stats
 
@@ -133,9 +133,8 @@ def answer_multiple(
             plans[key][1].append(q)
         except Exception as problem:  # one bad question must not stop the rest
             failed.append((q, "error", "", "message", str(problem)))
-    out = df.sparkSession.createDataFrame(
-        failed, "question string, method string, columns string, statistic string, value string"
-    )
+    names = ["question", "method", "columns", "statistic", "value"]
+    out = literal_table(df, failed, {n: "string" for n in names})
     for rows, asked in plans.values():
         listed = F.explode(F.array(*[F.lit(q) for q in asked]))
         out = out.unionByName(rows.withColumn("question", listed))

@@ -81,6 +81,18 @@ def image_profile(images: DataFrame) -> DataFrame:
     )
 
 
+def spread(df: DataFrame, path: str) -> DataFrame:
+    """Use all cores on a table smaller than one file block per core.
+
+    Such a table often sits in one row group, which one task would read and compute alone. Larger
+    ones keep the partitions of their files: no shuffle. Only file lengths are looked up.
+    """
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    return df.repartition(cores) if size < cores * (128 << 20) else df
+
+
 def dataset_name(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0].lower()
 

@@ -57,7 +57,7 @@ def profile_row(i: int, c: str) -> str:
 
 @query("column_profile", union_all([profile_row(i, c) for i, c in enumerate(LINEITEM)]))
 def column_profile(t):
-    found = profile.column_profile(t("lineitem"))
+    found = profile.column_profile(t.spread("lineitem"))
     listed = F.transform("top_values", lambda v: F.concat(v["value"], F.lit("="), v["n"]))
     return found.withColumn("top_values", F.array_join(listed, ", "))
 
@@ -383,4 +383,4 @@ def report_stats(t):
     + ") p WHERE ordinal < 10",
 )
 def feature_table(t):
-    return reports.feature_table(profile.column_profile(t("lineitem")))
+    return reports.feature_table(profile.column_profile(t.spread("lineitem")))

@@ -27,12 +27,12 @@ WHERE regexp_matches(substr(text, i * 1000 + 1, 1000), '\\S')
 
 @query("text_chunks_fixed", chunks_sql("documents", "doc_id"))
 def text_chunks_fixed(t):
-    return corpus.chunks_fixed(t("documents").select("doc_id", "text"), "text")
+    return corpus.chunks_fixed(t.spread("documents").select("doc_id", "text"), "text")
 
 
 @query("text_chunks_recursive")
 def text_chunks_recursive(t):
-    return corpus.chunks_recursive(t("documents").select("doc_id", "text"), "text")
+    return corpus.chunks_recursive(t.spread("documents").select("doc_id", "text"), "text")
 
 
 PAGES = "(SELECT 'talk/' || conv_id AS path, coalesce(CASE WHEN role <> 'system' THEN turn END, 0) AS page, text FROM conversations)"
@@ -66,7 +66,7 @@ SELECT doc_id, CASE WHEN top = 0 THEN NULL WHEN s0 = top THEN ',' WHEN s1 = top
 """,
 )
 def delimiters(t):
-    return t("documents").select("doc_id", guess_delimiter(F.col("text")).alias("delimiter"))
+    return t.spread("documents").select("doc_id", guess_delimiter(F.col("text")).alias("delimiter"))
 
 
 @query(
@@ -78,7 +78,7 @@ FROM documents WHERE length(text) > 0
 """,
 )
 def text_profile(t):
-    return corpus.text_profile(t("documents"), "text")
+    return corpus.text_profile(t.spread("documents"), "text")
 
 
 HITS = r"list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: w IN "
@@ -97,12 +97,12 @@ SELECT CASE WHEN top = 0 THEN 'unknown' WHEN de = top THEN 'de' WHEN en = top TH
 """,
 )
 def language_hist(t):
-    return corpus.language_hist(t("documents"), "text")
+    return corpus.language_hist(t.spread("documents"), "text")
 
 
 @query("clean_text", f"SELECT doc_id, text AS content, {CLEANED} AS cleaned_content FROM documents")
 def clean_text(t):
-    return corpus.clean_text(t("documents").select("doc_id", F.col("text").alias("content")))
+    return corpus.clean_text(t.spread("documents").select("doc_id", F.col("text").alias("content")))
 
 
 @query(
@@ -115,12 +115,12 @@ SELECT count(*) AS document_count, round(avg(n), 4) AS avg_doc_length, cast(min(
 """,
 )
 def clean_text_stats(t):
-    return corpus.clean_text_stats(corpus.clean_text(t("documents").select(F.col("text").alias("content"))))
+    return corpus.clean_text_stats(corpus.clean_text(t.spread("documents").select(F.col("text").alias("content"))))
 
 
 @query("corpus_stats", f"SELECT count(*) AS num_docs, round(avg({N_WORDS}), 4) AS avg_len FROM documents")
 def corpus_stats(t):
-    return corpus.corpus_stats(t("documents"), "text")
+    return corpus.corpus_stats(t.spread("documents"), "text")
 
 
 WORDS = r"SELECT unnest(regexp_extract_all({x}, '\S+')) AS word FROM documents"
@@ -131,7 +131,7 @@ WORDS = r"SELECT unnest(regexp_extract_all({x}, '\S+')) AS word FROM documents"
     f"SELECT word, count(*) AS n FROM ({WORDS.format(x='text')}) w GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
 )
 def word_freq(t):
-    return corpus.word_freq(t("documents"), "text")
+    return corpus.word_freq(t.spread("documents"), "text")
 
 
 @query(
@@ -143,7 +143,7 @@ SELECT word, n, round(n / (SELECT max(n) FROM k), 4) AS weight FROM k
 """,
 )
 def word_weights(t):
-    return charts.word_weights(t("documents"), "text")
+    return charts.word_weights(t.spread("documents"), "text")
 
 
 @query(
@@ -156,7 +156,7 @@ SELECT doc_id, array_to_string(list_filter(regexp_extract_all(plain, '\S+'),
 """,
 )
 def normalize_text(t):
-    return t("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+    return t.spread("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 SCORE = "CASE w " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in X.POLARITY.items()) + " END"
@@ -200,7 +200,7 @@ FROM m
 """,
 )
 def text_domain(t):
-    return classify.text_domain(t("documents").select("doc_id", "text"), "text").drop("text")
+    return classify.text_domain(t.spread("documents").select("doc_id", "text"), "text").drop("text")
 
 
 @query("key_finding", "SELECT session_id, key_finding FROM sessions")
@@ -284,7 +284,7 @@ def knn_cosine(t):
 
 @query("memory_search")
 def memory_search(t):
-    memory = vectors.embed(t("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text")
+    memory = vectors.embed(t.spread("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text")
     asked = vectors.embed(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     return vectors.knn(memory, asked, 5, "cosine")
 

@@ -38,7 +38,8 @@ def summary(df: DataFrame, columns: list[str]) -> dict[str, Summary]:
     if not columns:
         return {}
     functions = (F.count, F.min, F.max, F.avg, F.stddev_samp)
-    row = df.agg(*[f(number(df, c)).alias(f"s{i}_{k}") for i, c in enumerate(columns) for k, f in enumerate(functions)]).first()
+    values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
+    row = values.agg(*[f(f"v{i}").alias(f"s{i}_{k}") for i in range(len(columns)) for k, f in enumerate(functions)]).first()
     return {c: Summary(*[row[f"s{i}_{k}"] for k in range(len(functions))]) for i, c in enumerate(columns)}
 
 
@@ -58,7 +59,7 @@ def quantiles(
         return {}
     seen = summary(df, columns) if seen is None else seen
     values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    brackets, positions = {}, {}
+    places, positions = {}, {}
     for i, c in enumerate(columns):
         known = seen[c]
         for j, p in enumerate(probs):
@@ -66,8 +67,8 @@ def quantiles(
                 at = p * (known.count - 1)
                 positions[i, j] = at
                 for rank in {math.floor(at), math.ceil(at)}:
-                    brackets[i, rank] = (known.low, known.high, 0, known.count)
-    statistics = _order_statistics(values, brackets, RANK_LIMIT if rank_limit is None else rank_limit)
+                    places[i, rank] = Place(Span(i, known.low, known.high), None, 0, known.count)
+    statistics = _order_statistics(values, places, RANK_LIMIT if rank_limit is None else rank_limit)
     result = {}
     for i, c in enumerate(columns):
         row = []
@@ -82,40 +83,65 @@ def quantiles(
     return result
 
 
-def _order_statistics(values: DataFrame, brackets: dict, limit: int) -> dict:
-    """The value at each (column, rank), given brackets `(low, high, rows below, rows inside)`."""
-    found = {}
-    while True:
-        for key, (low, high, _, _) in list(brackets.items()):
-            if low == high:
-                found[key] = low
-                del brackets[key]
-        wide = {k: b for k, b in brackets.items() if b[3] > limit}
-        if not wide:
-            break
-        spans = sorted({(k[0], b[0], b[1]) for k, b in wide.items()})
-        bins: dict = {}
-        progress = False
-        for row in _histogram(values, spans).collect():
-            bins.setdefault(row["span"], []).append(row)
-        for (i, rank), (low, high, below, _) in wide.items():
-            before = below
-            for row in sorted(bins[spans.index((i, low, high))], key=lambda r: r["bin"]):
-                if rank < before + row["n"]:
-                    narrowed = (row["low"], row["high"], before, row["n"])
-                    progress = progress or narrowed != brackets[i, rank]
-                    brackets[i, rank] = narrowed
+@dataclass(frozen=True, order=True)
+class Span:
+    """The values of a column between two of them."""
+
+    column: int
+    low: float
+    high: float
+
+
+@dataclass
+class Place:
+    """Where a rank lies: a bin of a span (or all of it), the rows before the bin and those in it."""
+
+    span: Span
+    bin: int | None
+    below: int
+    inside: int
+
+
+def _order_statistics(values: DataFrame, places: dict[tuple[int, int], Place], limit: int) -> dict:
+    """The value at each (column, rank)."""
+    found = {k: p.span.low for k, p in places.items() if p.span.low == p.span.high}
+    places = {k: p for k, p in places.items() if k not in found}
+    while wide := {k: p for k, p in places.items() if p.inside > limit}:
+        bins = {(p.span, p.bin) for p in wide.values() if p.bin is not None}
+        if bins:  # a crowded bin becomes a span of its own
+            ends = _extremes(values, bins)
+            stuck = all(e == (s.low, s.high) for (s, _), e in ends.items())
+            for k, p in wide.items():
+                low, high = ends[p.span, p.bin]
+                if low == high:
+                    found[k] = low
+                    del places[k]
+                elif not stuck:
+                    places[k] = Place(Span(p.span.column, low, high), None, p.below, p.inside)
+            if stuck:  # neighbouring floats: very few distinct values are left
+                break
+            wide = {k: places[k] for k in wide if k in places}
+            if not wide:
+                continue
+        spans = sorted({p.span for p in wide.values()})
+        counts = {row["id"]: row["n"] for row in _histogram(values, spans).collect()}
+        for (_, rank), p in wide.items():
+            first = spans.index(p.span) * BINS
+            before = p.below
+            for k in range(BINS):
+                n = counts.get(first + k, 0)
+                if rank < before + n:
+                    p.bin, p.below, p.inside = k, before, n
                     break
-                before += row["n"]
-        if not progress:  # neighbouring floats: very few distinct values are left
-            break
-    if brackets:
-        spans = sorted({(k[0], *b[:3]) for k, b in brackets.items()})
-        wanted = [(spans.index((i, *b[:3])), i, rank, rank - b[2]) for (i, rank), b in brackets.items()]
-        hits = [f"(span = {s} AND before <= {offset} AND upto > {offset})" for s, _, _, offset in wanted]
-        rows = _ranked(values, spans).filter(" OR ".join(hits)).collect()
-        for s, i, rank, offset in wanted:
-            found[i, rank] = next(r["x"] for r in rows if r["span"] == s and r["before"] <= offset < r["upto"])
+                before += n
+    if places:
+        bins = {(p.span, p.bin) for p in places.values()}
+        ids = _ids(bins)
+        wanted = {k: (ids[p.span, p.bin], k[1] - p.below) for k, p in places.items()}
+        hits = [f"(id = {b} AND before <= {offset} AND upto > {offset})" for b, offset in wanted.values()]
+        rows = _ranked(values, bins).filter(" OR ".join(hits)).collect()
+        for key, (b, offset) in wanted.items():
+            found[key] = next(r["x"] for r in rows if r["id"] == b and r["before"] <= offset < r["upto"])
     return found
 
 
@@ -123,38 +149,60 @@ def _literal(x: float) -> str:
     return f"double('{x!r}')"
 
 
-def _inside(values: DataFrame, spans: list[tuple], binned: bool = False) -> DataFrame:
-    """One row per value that lies in a span; the range test runs before the rows are unfolded."""
-    tests = [f"(v{i} BETWEEN {_literal(low)} AND {_literal(high)})" for i, low, high, *_ in spans]
-    cells = []
-    for s, (i, low, high, *_) in enumerate(spans):
-        more = f", 'bin', {_bin(f'v{i}', low, high)}" if binned else ""
-        cells.append(f"if({tests[s]}, named_struct('span', {s}, 'x', v{i}{more}), null) AS c{s}")
-    wide = values.filter(" OR ".join(tests)).selectExpr(*cells)
-    return wide.unpivot([], wide.columns, "name", "cell").filter("cell is not null").select("cell.*")
-
-
-def _bin(x: str, low: float, high: float) -> str:
-    """Bin number of a value between `low` and `high`; multiplication is monotone, so bins stay in value order."""
+def _bin(s: Span) -> str:
+    """Bin number of a value of a span; the arithmetic is monotone, so bins stay in value order."""
+    low, high, x = s.low, s.high, f"v{s.column}"
     if not high - low < FLOAT_MAX:  # halves, within the finite range, when the width overflows
         low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
         x = f"least(greatest({x}, {_literal(-FLOAT_MAX)}), {_literal(FLOAT_MAX)}) / 2"
-    scale = BINS / (high - low)
-    if not 0 < scale < FLOAT_MAX:
+    if not high > low or not BINS / (high - low) < FLOAT_MAX:
         return "0"
-    return f"cast(least(({x} - {_literal(low)}) * {_literal(scale)}, {BINS - 1}) as int)"
+    place = f"({x} - {_literal(low)}) * {_literal(BINS / (high - low))}"
+    # Clamped below as well: conditions may be evaluated in any order, also for values outside.
+    return f"cast(least(greatest({place}, 0), {BINS - 1}) as int)"
+
+
+def _test(s: Span) -> str:
+    return f"v{s.column} BETWEEN {_literal(s.low)} AND {_literal(s.high)}"
+
+
+def _histogram(values: DataFrame, spans: list[Span]) -> DataFrame:
+    """Rows per bin; the bins of the k-th span are numbered from `k * BINS`."""
+    cells = [f"if({_test(s)}, {k * BINS} + {_bin(s)}, null) AS c{k}" for k, s in enumerate(spans)]
+    wide = values.filter(" OR ".join(_test(s) for s in spans)).selectExpr(*cells)
+    return wide.unpivot([], wide.columns, "name", "id").filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
+
+
+def _ids(bins: set[tuple[Span, int | None]]) -> dict[tuple[Span, int | None], int]:
+    spans = sorted({s for s, _ in bins})
+    return {(s, b): spans.index(s) * BINS + (b or 0) for s, b in bins}
+
+
+def _members(values: DataFrame, bins: set[tuple[Span, int | None]]) -> DataFrame:
+    """`(id, x)` for the values in the given bins. Each bin number is computed once per row."""
+    ids = _ids(bins)
+    wanted: dict[Span, list[int]] = {}
+    for (s, b), at_ in ids.items():
+        wanted.setdefault(s, []).append(at_)
+    whole = {s for s, b in bins if b is None}
+    numbers, cells, tests = [], [], []
+    for k, (s, listed) in enumerate(sorted(wanted.items())):
+        first = k * BINS
+        numbers.append(f"if({_test(s)}, {first if s in whole else f'{first} + {_bin(s)}'}, null) AS c{k}")
+        tests.append(f"c{k} IN ({', '.join(map(str, sorted(listed)))})")
+        cells.append(f"if({tests[-1]}, named_struct('id', c{k}, 'x', v{s.column}), null) AS s{k}")
+    numbered = values.selectExpr("*", *numbers).filter(" OR ".join(tests)).selectExpr(*cells)
+    return numbered.unpivot([], numbered.columns, "name", "cell").filter("cell IS NOT NULL").select("cell.*")
 
 
-def _histogram(values: DataFrame, spans: list[tuple]) -> DataFrame:
-    return (
-        _inside(values, spans, binned=True)
-        .groupBy("span", "bin")
-        .agg(F.count("*").alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
-    )
+def _extremes(values: DataFrame, bins: set[tuple[Span, int | None]]) -> dict:
+    rows = _members(values, bins).groupBy("id").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
+    ends = {r["id"]: (r["low"], r["high"]) for r in rows}
+    return {key: ends[i] for key, i in _ids(bins).items()}
 
 
-def _ranked(values: DataFrame, spans: list[tuple]) -> DataFrame:
-    """Running counts over the distinct values of brackets that hold few rows each."""
-    counts = _inside(values, spans).groupBy("span", "x").agg(F.count("*").alias("n"))
-    order = Window.partitionBy("span").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
+def _ranked(values: DataFrame, bins: set[tuple[Span, int | None]]) -> DataFrame:
+    """Running counts over the distinct values of bins that hold few rows each."""
+    counts = _members(values, bins).groupBy("id", "x").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("id").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     return counts.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))

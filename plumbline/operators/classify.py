@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col
+from plumbline.functions.text import bind
 from plumbline.operators import rules as R
 from plumbline.operators.stats import latest
 
@@ -44,34 +45,40 @@ def phrases_found(text: Column, phrases: list[str]) -> Column:
     return search(text)
 
 
+PHRASES = sorted({p for group in R.TEXT_DOMAINS.values() for p in group})
+
+
+def _domain_of(found: Column) -> Column:
+    """The domain with most of the found phrases, at least two; ties go to the earlier one."""
+
+    def score(rank: int, name: str, group: list[str]) -> Column:
+        hits = F.size(F.array_intersect(found, F.array(*[F.lit(PHRASES.index(p)) for p in group])))
+        return F.struct((-hits).alias("found"), F.lit(rank).alias("rank"), F.lit(name).alias("name"))
+
+    best = F.array_min(F.array(*[score(i, n, g) for i, (n, g) in enumerate(R.TEXT_DOMAINS.items())]))
+    return bind(best, lambda b: F.when(b["found"] <= -2, b["name"]).otherwise(R.TEXT_DOMAIN_DEFAULT))
+
+
 def text_domain(df: DataFrame, text: str) -> DataFrame:
     """Adds `domain`: the one with most phrases found anywhere in the text, at least two."""
-    phrases = sorted({p for group in R.TEXT_DOMAINS.values() for p in group})
-    found = df.withColumn("__found", phrases_found(F.lower(col(text)), phrases))
-    scores = []
-    for rank, (name, group) in enumerate(R.TEXT_DOMAINS.items()):
-        wanted = F.array(*[F.lit(phrases.index(p)) for p in group])
-        hits = F.size(F.array_intersect("__found", wanted))
-        scores.append(F.struct((-hits).alias("found"), F.lit(rank).alias("rank"), F.lit(name).alias("name")))
-    scored = found.withColumn("__best", F.array_min(F.array(*scores)))
-    domain = F.when(F.col("__best.found") <= -2, F.col("__best.name")).otherwise(R.TEXT_DOMAIN_DEFAULT)
-    return scored.withColumn("domain", domain).drop("__found", "__best")
-
-
-def domain_of_samples(chunks: DataFrame, order_by: list[str], samples: int = 3, chars: int = 500) -> DataFrame:
-    """Domain of a document set judged by the start of its first chunks, as a quick look does."""
-    head = chunks.orderBy(*[col(c) for c in order_by]).limit(samples)
-    key = F.struct(*[col(c) for c in order_by])
-    joined = head.agg(
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct(key.alias("k"), F.substring("content", 1, chars).alias("t")))),
-                lambda r: r["t"],
-            ),
-            " ",
-        ).alias("content")
+    found = df.withColumn("__found", phrases_found(F.lower(col(text)), PHRASES))
+    return found.withColumn("domain", _domain_of(F.col("__found"))).drop("__found")
+
+
+def corpus_domain(df: DataFrame, text: str) -> DataFrame:
+    """One row `(domain, content_length, chunks)` for all texts together.
+
+    Every text is searched in whole; only the phrases met, a fixed list, are brought together.
+    """
+    met = df.select(F.length(col(text)).alias("size"), phrases_found(F.lower(col(text)), PHRASES).alias("found"))
+    one_each = met.select("size", F.posexplode_outer("found").alias("pos", "phrase"))
+    first = F.coalesce(F.col("pos"), F.lit(0)) == 0
+    row = one_each.agg(
+        F.coalesce(F.sum(F.when(first, F.col("size"))), F.lit(0)).alias("content_length"),
+        F.count_if(first).alias("chunks"),
+        F.collect_set("phrase").alias("found"),
     )
-    return text_domain(joined.withColumn("content", F.substring("content", 1, samples * chars)), "content")
+    return row.select(_domain_of(F.col("found")).alias("domain"), "content_length", "chunks")
 
 
 def _names_mention(catalog: DataFrame, rule_sets: dict[str, list[str]]) -> DataFrame:

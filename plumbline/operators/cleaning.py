@@ -19,9 +19,10 @@ from plumbline.functions.columns import (
 )
 from plumbline.functions.text import strip, title_case
 from plumbline.operators.ordered import forward_fill
-from plumbline.operators.profile import duplicate_count, missing_cells, quality_score, value_counts
+from plumbline.operators.profile import duplicate_count, missing_cells, score, value_counts
 from plumbline.operators.quantiles import quantiles
 from plumbline.operators.stats import iqr_fences, outside
+from plumbline.session import materialized
 
 # Accepted ranges per column name.
 RANGES = {"age": (0, 120), "salary": (0, 1_000_000), "rating": (1, 5)}
@@ -222,11 +223,12 @@ def cleaning_summary(cleaned: DataFrame, original: DataFrame) -> DataFrame:
     """Rows and missing cells removed, columns left and the quality score, in one row."""
     before = original.agg(F.struct(F.count("*").alias("n"), missing_cells(original).alias("missing")).alias("s"))
     after = cleaned.agg(F.count("*").alias("n"), missing_cells(cleaned).alias("missing"))
-    return after.withColumn("before", before.scalar()).select(
+    counts = after.withColumn("before", before.scalar()).withColumn("duplicates", duplicate_count(cleaned).scalar())
+    return counts.select(
         (F.col("before.n") - F.col("n")).alias("rows_removed"),
         F.lit(len(cleaned.columns)).alias("columns_remaining"),
         (F.col("before.missing") - F.col("missing")).cast("bigint").alias("missing_values_removed"),
-        quality_score(cleaned).scalar().alias("data_quality_score"),
+        score(F.col("n"), F.col("missing"), F.col("duplicates"), len(cleaned.columns)).alias("data_quality_score"),
     )
 
 
@@ -257,6 +259,8 @@ def clean_structured(df: DataFrame, plan: CleaningPlan | None = None) -> DataFra
         out = impute_unknown(out)
     if plan.drop_duplicates:
         out = out.dropDuplicates()
+        if plan.cap_outliers:  # the fences take several scans, which must not repeat the shuffle
+            out = materialized(out)
     if plan.date_formats:
         out = convert_dates(out, plan.date_formats)
     if plan.cap_outliers:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import col
-from plumbline.session import ensure_checkpoint_dir
+from plumbline.session import materialized
 
 
 def range_split(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -14,9 +14,8 @@ def range_split(df: DataFrame, columns: list[str]) -> DataFrame:
     The ranges come from a sample, so the split is pinned with a reliable checkpoint: both later
     uses must see the same parts, also after an executor is lost.
     """
-    ensure_checkpoint_dir(df.sparkSession)
     parts = df.repartitionByRange(*[col(c) for c in columns])
-    return parts.withColumn("__part", F.spark_partition_id()).checkpoint()
+    return materialized(parts.withColumn("__part", F.spark_partition_id()))
 
 
 def forward_fill(

@@ -183,11 +183,15 @@ def column_catalog(df: DataFrame, dataset: str) -> DataFrame:
     return literal_table(df, rows, {"dataset": "string", "ordinal": "int", "column_name": "string", "kind": "string"})
 
 
+def score(rows: Column, missing: Column, duplicates: Column, width: int) -> Column:
+    complete = 1 - F.try_divide(missing.cast("double"), (rows * width).cast("double"))
+    unique = 1 - F.try_divide(duplicates.cast("double"), rows.cast("double"))
+    return F.round((complete * 0.7 + unique * 0.3) * 100, 2)
+
+
 def quality_score(df: DataFrame) -> DataFrame:
     """Share of filled cells and of unique rows, weighted 70 to 30, in percent. NULL on empty input."""
     counts = df.agg(F.count("*").alias("n"), missing_cells(df).alias("missing")).withColumn(
         "duplicates", duplicate_count(df).scalar()
     )
-    complete = 1 - F.try_divide(F.col("missing").cast("double"), (F.col("n") * len(df.columns)).cast("double"))
-    unique = 1 - F.try_divide(F.col("duplicates").cast("double"), F.col("n").cast("double"))
-    return counts.select(F.round((complete * 0.7 + unique * 0.3) * 100, 2).alias("quality_score"))
+    return counts.select(score(F.col("n"), F.col("missing"), F.col("duplicates"), len(df.columns)).alias("quality_score"))

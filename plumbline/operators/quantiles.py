@@ -24,8 +24,9 @@ FLOAT_MAX = sys.float_info.max
 
 @dataclass
 class Summary:
-    """Count, extremes, mean and sample deviation of the non-missing values of a column."""
+    """Rows of the table, and count, extremes, mean and sample deviation of a column's values."""
 
+    rows: int
     count: int
     low: float | None
     high: float | None
@@ -34,13 +35,16 @@ class Summary:
 
 
 def summary(df: DataFrame, columns: list[str]) -> dict[str, Summary]:
-    """Five numbers per column from one scan."""
+    """The summaries of several columns from one scan."""
     if not columns:
         return {}
     functions = (F.count, F.min, F.max, F.avg, F.stddev_samp)
     values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    row = values.agg(*[f(f"v{i}").alias(f"s{i}_{k}") for i in range(len(columns)) for k, f in enumerate(functions)]).first()
-    return {c: Summary(*[row[f"s{i}_{k}"] for k in range(len(functions))]) for i, c in enumerate(columns)}
+    row = values.agg(
+        F.count("*").alias("rows"),
+        *[f(f"v{i}").alias(f"s{i}_{k}") for i in range(len(columns)) for k, f in enumerate(functions)],
+    ).first()
+    return {c: Summary(row["rows"], *[row[f"s{i}_{k}"] for k in range(len(functions))]) for i, c in enumerate(columns)}
 
 
 def quantiles(

@@ -77,8 +77,7 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     columns = numeric_columns(df) if columns is None else columns
     seen = summary(df, columns)
-    most = max([s.count for s in seen.values()], default=0)
-    rows = df.count() if most else 0
+    rows = max([s.rows for s in seen.values()], default=0)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
 
     def centred(i: int) -> Column:
@@ -149,9 +148,9 @@ def outside(x: Column, low: float | None, high: float | None) -> Column:
 
 
 def iqr_outliers(df: DataFrame, column: str) -> DataFrame:
-    """Rows beyond the fences; the fences are literals, so the test reaches the scan."""
+    """Rows beyond the fences; the fences are literals on the plain column, so the test reaches the scan."""
     low, high = iqr_fences(df, [column])[column]
-    return df.filter(outside(number(df, column), low, high))
+    return df.filter(outside(col(column), low, high) & present(df, column))
 
 
 def zscore_outliers(df: DataFrame, column: str, z: float = 3.0) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import literal_table, numeric_columns, string_columns
@@ -139,3 +140,18 @@ def answer_multiple(
         listed = F.explode(F.array(*[F.lit(q) for q in asked]))
         out = out.unionByName(rows.withColumn("question", listed))
     return out.withColumn("question", plain_question(F.col("question")))
+
+
+def dataset_metrics(df: DataFrame, name: str, folder: str) -> dict[str, DataFrame]:
+    """Statistics and correlations of a dataset, computed once and kept as tables under a shared folder."""
+    spark = df.sparkSession
+    compute = {"basic_stats": stats.basic_stats, "corr_matrix": stats.corr_matrix}
+    out = {}
+    for kind, fn in compute.items():
+        path = f"{folder}/{name}/{kind}"
+        try:
+            out[kind] = spark.read.parquet(path)
+        except AnalysisException:  # not kept yet
+            fn(df).write.mode("errorifexists").parquet(path)
+            out[kind] = spark.read.parquet(path)
+    return out

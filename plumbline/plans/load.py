@@ -36,7 +36,7 @@ def load_dataset(
         clean = corpus.clean_text(raw)
         described = corpus.text_profile(raw, "content")
         columns = None
-        domain = classify.domain_of_samples(raw, ["content"]).select(F.lit(name).alias("dataset"), "domain")
+        domain = classify.corpus_domain(raw, "content").select(F.lit(name).alias("dataset"), "domain")
     else:
         clean = clean_structured(raw, plan)
         described = profile.dataset_profile(raw, kind)

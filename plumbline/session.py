@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
@@ -21,6 +21,12 @@ def local_session(cores: str = "*", memory: str = "8g") -> SparkSession:
     )
 
 
+def materialized(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, for plans that read them several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Point reliable checkpoints at the folder the session names.
 

@@ -15,6 +15,8 @@ from plumbline.sources.encoding import read_whole_files
 # File kinds by extension.
 KINDS = {".csv": "csv", ".xlsx": "excel", ".xls": "excel", ".json": "json", ".pdf": "pdf", ".txt": "text"}
 
+FILE_BLOCK = 128 << 20
+
 # Spellings read as missing when a table is typed after reading.
 NA_VALUES = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>")
 
@@ -82,15 +84,14 @@ def image_profile(images: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame, path: str) -> DataFrame:
-    """Use all cores on a table smaller than one file block per core.
+    """Use several cores on a table smaller than one file block.
 
-    Such a table often sits in one row group, which one task would read and compute alone. Larger
-    ones keep the partitions of their files: no shuffle. Only file lengths are looked up.
+    One task would read and compute such a table alone. Larger ones keep the partitions of their
+    files: no shuffle. Only file lengths are looked up.
     """
     spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(cores) if size < cores * (128 << 20) else df
+    return df.repartition(min(spark.sparkContext.defaultParallelism, 32)) if size < FILE_BLOCK else df
 
 
 def dataset_name(path: str) -> str:

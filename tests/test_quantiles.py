@@ -27,7 +27,7 @@ def shapes():
 
 
 @pytest.mark.parametrize("name,values", list(shapes()), ids=[n for n, _ in shapes()])
-@pytest.mark.parametrize("limit", [100_000, 50, 1])
+@pytest.mark.parametrize("limit", [100_000, 30])
 def test_equals_pandas(spark, name, values, limit):
     got = quantiles(frame(spark, values), ["x"], PROBS, rank_limit=limit)["x"]
     ordered = sorted(values)

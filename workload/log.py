@@ -127,12 +127,13 @@ def pictures(t):
 @query(
     "match_artifacts",
     f"""
-WITH {MATCHED} SELECT s.dataset, s.session_id, s.ts, pick.path, apart AS seconds_apart
+WITH {MATCHED} SELECT s.dataset, s.session_id, s.ts, pick.path, cast(apart AS double) AS seconds_apart
 FROM sessions s LEFT JOIN pick USING (session_id)
 """,
 )
 def match_artifacts(t):
-    return history.match_artifacts(t("sessions").select("dataset", "session_id", "ts"), pictures(t))
+    matched = history.match_artifacts(t("sessions").select("dataset", "session_id", "ts"), pictures(t))
+    return matched.withColumn("seconds_apart", F.col("seconds_apart").cast("double"))
 
 
 @query(

@@ -26,7 +26,8 @@ def query(name: str, sql: str | None = None):
 
 def rounded(df: DataFrame, digits: int = 4) -> DataFrame:
     real = [f.name for f in df.schema.fields if isinstance(f.dataType, (T.DoubleType, T.FloatType))]
-    return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), digits) for c in real})
+    # Adding zero turns -0.0 into 0.0.
+    return df.withColumns({c: F.round(F.col(f"`{c}`").cast("double"), digits) + F.lit(0.0) for c in real})
 
 
 def union_all(parts: list[str]) -> str:

@@ -39,17 +39,17 @@ def profile_row(i: int, c: str) -> str:
         )
         rest = (
             f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, round(avg({x}), 4) AS mean, "
-            f"round(quantile_cont({x}, 0.5), 4) AS median, round(stddev_samp({x}), 4) AS std, {far} AS num_outliers, "
+            f"round(quantile_cont({x}, 0.5), 4) AS median, round(stddev_samp({x}), 4) AS std, cast({far} AS double) AS num_outliers, "
             "NULL::VARCHAR AS min_date, NULL::VARCHAR AS max_date, NULL::VARCHAR AS top_values"
         )
     elif c in LINEITEM_STRINGS:
         rest = (
-            "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, NULL::VARCHAR, "
+            "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::VARCHAR, "
             f"NULL::VARCHAR, {top_text('lineitem', c, 5)}"
         )
     else:
         rest = (
-            "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::BIGINT, "
+            "NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, NULL::DOUBLE, "
             f"cast(min({c}) AS VARCHAR), cast(max({c}) AS VARCHAR), NULL::VARCHAR"
         )
     return base + rest + " FROM lineitem"
@@ -59,7 +59,7 @@ def profile_row(i: int, c: str) -> str:
 def column_profile(t):
     found = profile.column_profile(t("lineitem"))
     listed = F.transform("top_values", lambda v: F.concat(v["value"], F.lit("="), v["n"]))
-    return found.withColumn("top_values", F.array_join(listed, ", "))
+    return found.withColumn("top_values", F.array_join(listed, ", ")).withColumn("num_outliers", F.col("num_outliers").cast("double"))
 
 
 DUPLICATES = "(SELECT count(*) FROM orders_dirty) - (SELECT count(*) FROM (SELECT DISTINCT * FROM orders_dirty) u)"
@@ -353,7 +353,7 @@ def violin_density(t):
     union_all(
         [
             f"SELECT 'numeric' AS kind, '{c}' AS \"column\", round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, "
-            f"round(min({c}), 4)::DOUBLE AS min, round(max({c}), 4)::DOUBLE AS max, NULL::BIGINT AS num_unique, NULL::VARCHAR AS top FROM part"
+            f"round(min({c}), 4)::DOUBLE AS min, round(max({c}), 4)::DOUBLE AS max, NULL::DOUBLE AS num_unique, NULL::VARCHAR AS top FROM part"
             for c in ["p_partkey", "p_size", "p_retailprice"]
         ]
         + [
@@ -363,7 +363,7 @@ def violin_density(t):
     ),
 )
 def data_context(t):
-    return reports.data_context(t("part"))
+    return reports.data_context(t("part")).withColumn("num_unique", F.col("num_unique").cast("double"))
 
 
 @query(

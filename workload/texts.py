@@ -203,6 +203,27 @@ def text_domain(t):
     return classify.text_domain(t.spread("documents").select("doc_id", "text"), "text").drop("text")
 
 
+MET = ", ".join(f"bool_or(contains(lower(text), '{p}'))::INT AS p{i}" for i, p in enumerate(classify.PHRASES))
+
+
+def group_score(i: int, phrases: list[str]) -> str:
+    return " + ".join(f"p{classify.PHRASES.index(p)}" for p in phrases) + f" AS s{i}"
+
+
+@query(
+    "corpus_domain",
+    f"""
+WITH met AS (SELECT sum(length(text))::BIGINT AS content_length, count(*) AS chunks, {MET} FROM documents),
+s AS (SELECT content_length, chunks, {", ".join(group_score(i, p) for i, p in enumerate(rules.TEXT_DOMAINS.values()))} FROM met),
+m AS (SELECT *, greatest({", ".join(f"s{i}" for i in range(len(rules.TEXT_DOMAINS)))}) AS top FROM s)
+SELECT CASE WHEN top < 2 THEN 'General' {" ".join(f"WHEN s{i} = top THEN '{d}'" for i, d in enumerate(rules.TEXT_DOMAINS))} END AS domain,
+       content_length, chunks FROM m
+""",
+)
+def corpus_domain(t):
+    return classify.corpus_domain(t.spread("documents"), "text")
+
+
 @query("key_finding", "SELECT session_id, key_finding FROM sessions")
 def key_finding(t):
     return t("sessions").select("session_id", X.key_finding(F.col("answer")).alias("key_finding"))

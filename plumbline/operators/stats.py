@@ -80,8 +80,10 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     rows = max([s.rows for s in seen.values()], default=0)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
 
-    def centred(i: int) -> Column:
-        return number(df, columns[i]) - F.lit(seen[columns[i]].mean)
+    # Centred once per row, so that the sums stay small expressions.
+    centred = df.select(
+        *[(number(df, c) - F.lit(seen[c].mean)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
+    )
 
     def whole(i: int) -> bool:
         return seen[columns[i]].count == rows
@@ -99,11 +101,11 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
             elif i == j:
                 correlations[k] = F.lit(1.0)
             elif whole(i) and whole(j):
-                aggregates.append(F.sum(centred(i) * centred(j)).alias(f"s{k}"))
+                aggregates.append(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{k}"))
                 spread = (rows - 1) * seen[columns[i]].std * seen[columns[j]].std
                 correlations[k] = F.try_divide(F.col(f"s{k}"), F.lit(spread))
             else:
-                aggregates.append(safe_corr(number(df, columns[i]), number(df, columns[j])).alias(f"s{k}"))
+                aggregates.append(safe_corr(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"s{k}"))
                 correlations[k] = F.col(f"s{k}")
         cells = []
         for k, (i, j) in enumerate(batch):
@@ -114,7 +116,7 @@ def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
                         F.lit(columns[b]).alias("col2"), correlations[k].alias("r"),
                     )
                 )
-        blocks.append(df.agg(*aggregates).select(F.inline(F.array(*cells))))
+        blocks.append(centred.agg(*aggregates).select(F.inline(F.array(*cells))))
     return reduce(DataFrame.unionByName, blocks)
 
 

@@ -107,7 +107,7 @@ def answer_text(df: DataFrame, text: str, question: str) -> Answer:
     return Answer(question, kind, [text], corpus.corpus_stats(df, text), corpus.word_freq(df, text))
 
 
-def _as_rows(a: Answer) -> DataFrame:
+def as_rows(a: Answer) -> DataFrame:
     """The result of an answer as `(statistic, value)` lines, so that different kinds can be united."""
     cells = F.create_map(*[x for c in a.result.columns for x in (F.lit(c), F.col(c).cast("string"))])
     return a.result.select(F.explode(cells).alias("statistic", "value")).select(
@@ -130,7 +130,7 @@ def answer_multiple(
             a = answer(df, q, (kinds or {}).get(q), (columns or {}).get(q))
             key = (a.method, tuple(a.columns))
             if key not in plans:
-                plans[key] = (_as_rows(a), [])
+                plans[key] = (as_rows(a), [])
             plans[key][1].append(q)
         except Exception as problem:  # one bad question must not stop the rest
             failed.append((q, "error", "", "message", str(problem)))

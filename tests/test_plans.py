@@ -1,7 +1,10 @@
+import datetime as dt
+
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.plans import answers, reports
+from plumbline.plans import answers, reports, sessions
+from plumbline.sources.catalog import Log
 
 
 @pytest.fixture(scope="module")
@@ -71,3 +74,18 @@ def test_metrics_are_kept(sales, tmp_path):
     again = answers.dataset_metrics(sales.limit(0), "sales", str(tmp_path))
     assert first["basic_stats"].count() == again["basic_stats"].count() == 3
     assert again["corr_matrix"].count() == 9
+
+
+def test_asking_logs_and_finds_context(spark, sales, tmp_path):
+    log = Log(spark, str(tmp_path / "log"))
+    start = dt.datetime(2024, 5, 1, 10, 0, 0)
+    first, alone = sessions.ask(sales, "sales", "Compare price by region", log, at=start)
+    assert first.method == "comparison" and alone.first()["enhanced"] == "Compare price by region"
+    _, found = sessions.ask(sales, "sales", "Show price by id", log, "2", start + dt.timedelta(minutes=1))
+    assert "From 'Compare price by region': comparison of region, id" in found.first()["enhanced"]
+    rows = log.sessions().orderBy("ts").collect()
+    assert [(r["original_input"], r["context_used"], r["had_visualization"]) for r in rows] == [
+        ("Compare price by region", 0, True), ("2", 1, True),
+    ]
+    assert rows[0]["ts"] == start and "highest=" in rows[0]["answer"]
+    assert {r["topic"] for r in log.insights().collect()} == {"comparison", "general"}

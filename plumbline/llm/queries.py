@@ -6,8 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from plumbline.llm.balltree import top_k
+from plumbline.llm.common import fold
+from plumbline.llm.langid import learn_languages, predict_languages
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
+from plumbline.llm.substrings import remove_repeats
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -98,14 +103,14 @@ def _draw_sql(shards: int) -> str:
 # The table of CRC-32 (reversed polynomial 0xEDB88320) is built from its rule.
 @query("op9_shard_documents", rf"""
 WITH crc AS (
-  SELECT list_transform(range(256), i -> list_reduce(list_concat([i], range(8)),
-           (c, k) -> CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
+  SELECT list_transform(range(256), lambda i: list_reduce(list_concat([i], range(8)),
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS entries
 ), bytes AS (
   SELECT doc_id, strlen(coalesce(text, '')) AS n, hex(encode(coalesce(text, ''))) AS digits FROM documents
 ), sized AS (
   SELECT doc_id, n + 1 AS size,
-         xor(list_reduce(list_concat([4294967295], list_transform(range(n), i -> ('0x' || substr(digits, (2 * i + 1)::INT, 2))::BIGINT)),
-                         (c, b) -> xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
+         xor(list_reduce(list_concat([4294967295], list_transform(range(n), lambda i: ('0x' || substr(digits, (2 * i + 1)::INT, 2))::BIGINT)),
+                         lambda c, b: xor(c >> 8, entries[(xor(c, b) & 255) + 1])), 4294967295) AS text_crc32
   FROM bytes, crc
 ), placed AS (
   SELECT *, {_draw_sql(SHARDS)}.shard AS shard, {_draw_sql(SHARDS + 1)}.shard AS grown_shard,
@@ -118,3 +123,67 @@ FROM placed""")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = assign_shards(table(spark, sf_dir, "documents"), [1.0] * SHARDS, grow_by=1.0)
     return shards.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+@query("op8_top_k", """
+WITH whole AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
+FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    usable = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
+    vectors = rows.filter(usable).select(
+        F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> floor(cast(x as double) * 256))").alias("vector")
+    )
+    return top_k(vectors, vectors.filter("id % 50 = 0"), k=5)
+
+
+@query("op2_language_id")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = learn_languages(docs.filter(~F.col("held_out")).select("text", "lang"))
+    return predict_languages(docs, model, keep=["doc_id", "held_out"])
+
+
+def quality_model(spark: SparkSession, sf_dir: str):
+    """Fitted on the labels of all folds but one."""
+    labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 3) != 1)
+    return learn_quality(table(spark, sf_dir, "documents"), labels)
+
+
+@query("op5_quality")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
+    return score_quality(docs, quality_model(spark, sf_dir), keep=["doc_id", "held_out"])
+
+
+@query("op1_substring_dedup", rf"""
+WITH docs AS (
+  SELECT doc_id, {WORDS_SQL} AS words FROM documents
+), windows AS (
+  SELECT doc_id, unnest(range(len(words) - 49)) AS pos, words FROM docs WHERE len(words) >= 50
+), keyed AS (
+  SELECT doc_id, pos, md5(array_to_string(words[pos + 1 : pos + 50], ' ')) AS k FROM windows
+), repeated AS (
+  SELECT doc_id, pos FROM keyed QUALIFY min(doc_id) OVER (PARTITION BY k) < doc_id
+), covered AS (
+  SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(pos, pos + 50)) AS p FROM repeated)
+), gone AS (
+  SELECT doc_id, list(p) AS ps FROM covered GROUP BY doc_id
+), kept AS (
+  SELECT d.doc_id, len(d.words) AS n_words, coalesce(len(g.ps), 0) AS n_removed,
+         CASE WHEN g.ps IS NULL THEN d.words ELSE
+           list_transform(list_sort(list_filter(list_transform(range(len(d.words)), lambda i: CASE WHEN list_contains(g.ps, i) THEN NULL ELSE i END), lambda i: i IS NOT NULL)), lambda i: d.words[i + 1]) END AS words
+  FROM docs d LEFT JOIN gone g ON d.doc_id = g.doc_id
+)
+SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha256(array_to_string(words, ' ')) AS kept_sha256 FROM kept""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = remove_repeats(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from plumbline.llm.balltree import top_k
 from plumbline.llm.common import fold
+from plumbline.llm.contamination import find_contamination
 from plumbline.llm.langid import learn_languages, predict_languages
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
 from plumbline.llm.substrings import remove_repeats
@@ -187,3 +189,37 @@ SELECT doc_id, n_words::BIGINT AS n_words, n_removed::BIGINT AS n_removed, sha25
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = remove_repeats(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_decontamination")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    marked = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
+    found = marked.select("doc_id", F.explode("contamination").alias("c"))
+    return found.select("doc_id", "c.item_id", "c.start", "c.score", "c.question_overlap", "c.answer_overlap")
+
+
+@query("op10_near_duplicates", rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, list_transform({WORDS_SQL}, lambda w: translate(w, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS words FROM documents
+), shingled AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
+           ELSE list_transform(range(len(words) - 4), lambda i: array_to_string(words[i + 1 : i + 5], ' ')) END) AS shingles
+  FROM docs
+), cells AS (
+  SELECT doc_id, md5(unnest(shingles)) AS s FROM shingled
+), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM cells a JOIN cells b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common JOIN shingled x ON x.doc_id = a JOIN shingled y ON y.doc_id = b
+  WHERE 100 * n >= 85 * (len(x.shingles) + len(y.shingles) - n)
+), ways AS (
+  SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (
+  SELECT doc_id AS v, doc_id AS w FROM docs UNION SELECT r.v, t.b FROM reach r JOIN ways t ON r.w = t.a
+), lowest AS (
+  SELECT v, min(w) AS component_id FROM reach GROUP BY v
+)
+SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = component_id AS kept
+FROM shingled JOIN lowest ON v = doc_id""")
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")

@@ -271,9 +271,10 @@ def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
 
 
 def find_contamination(
-    docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", keep: list[str] | None = None
+    docs: DataFrame, items: DataFrame, key: str = "item_id", text: str = "text", keep: list[str] | None = None,
+    name: str = "contamination",
 ) -> DataFrame:
-    """The columns `keep` of `docs` (all if None) with `contamination`: the test items each document holds.
+    """The columns `keep` of `docs` (all if None) with the array `name`: the test items each document holds.
 
     `items` has key and text. Items are cut into test passages of at most CELL words and indexed for
     BM25. All passages of all documents (CELL words and their successors, over the whole text) query
@@ -287,12 +288,12 @@ def find_contamination(
     indexes of bounded size, one pass for each. Items without id or words take no part; missing or
     empty texts, and all texts if there are no items, hold none. Repeated documents are judged alike.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c != "contamination"]
-    rows = docs.select(*map(col, kept), F.lower(F.coalesce(F.col(text), F.lit(""))).alias("__text"), F.lit(None).cast(MATCHES).alias("contamination"))
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
+    kept = [c for c in (docs.columns if keep is None else keep) if c != name]
+    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
+    rows = docs.select(*map(col, kept), lowered.alias("__text"), F.lit(None).cast(MATCHES).alias(name))
     for index in _indexes(items, key, text):
-        rows = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index)), names)
-    return rows.drop("__text").withColumn("contamination", F.coalesce("contamination", F.array().cast(MATCHES)))
+        rows = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
+    return rows.drop("__text").withColumn(name, F.coalesce(col(name), F.array().cast(MATCHES)))
 
 
 def _scan(shared):

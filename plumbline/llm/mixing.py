@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from plumbline.functions.columns import col
 from plumbline.llm.common import Workspace
 from plumbline.llm.sharding import uniform
 
@@ -65,11 +66,11 @@ def source_targets(sizes: DataFrame, weights: list[float], share: float, most: f
     return spark.createDataFrame(rows, "source string, source_size long, target double, short_copies double, long_copies double")
 
 
-def mix_sources(
+def plan_mix(
     docs: DataFrame, weights: list[float], share: float, most: float = 2.0, key: str = "doc_id", text: str = "text",
     source: str = "source", seed: str = "mix",
 ) -> DataFrame:
-    """How often the mix takes each document: key, source, size, source_size, target, copies.
+    """What decides the mix, one row per source: its words, target, expected copies and cut.
 
     A document of a source is expected e times, with e up to `most`. floor(e) copies are certain. The
     rest pi = e - floor(e) is the chance of one more copy, higher for full documents than for short
@@ -79,34 +80,13 @@ def mix_sources(
     document is taken if that brings the source nearer to its target. Documents with pi = 0 never win.
 
     Ranks are cut in two rounds of `BINS` bins summed by source, so that only a millionth of a source
-    is ever sorted in one window. Rows that repeat a key share their draw and are ordered by size.
-    Documents without words are taken with e like any other but weigh nothing. A missing source is a
-    source of its own, a missing key draws as `null`. An empty table gives no rows. Reruns agree.
+    is ever sorted in one window.
     """
-    spark, work = docs.sparkSession, Workspace(docs.sparkSession)
+    work = Workspace(docs.sparkSession)
     sizes = docs.select(F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
     sizes = work.table(sizes.withColumn("long", F.col("size") >= FULL_WORDS), "sizes")
-    # One row per source: as small as the list of sources, left to the optimiser's size check.
     targets = source_targets(sizes, weights, share, most)
-    rows = _join(sizes, targets)
-    e = F.when(F.col("long"), F.col("long_copies")).otherwise(F.col("short_copies"))
-    rows = rows.withColumn("certain", F.floor(e)).withColumn("pi", e - F.floor(e))
-    u = uniform(F.coalesce(F.col("key").cast("string"), F.lit("null")), seed)
-    odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
-    # x/(1+x) brings the ranking value into (0, 1) and keeps its order.
-    rows = rows.withColumn("rank", F.when(F.col("pi") > 0, odds / (1 + odds)))
-    rows = rows.withColumn("bin", F.floor(F.col("rank") * (BINS * BINS)).cast("long"))
-    rows = work.table(rows, "ranked")
-    return _select(rows, work).select(
-        F.col("key").alias(key), F.col("source").alias(source), "size", "source_size", "target",
-        (F.col("certain") + F.col("extra")).cast("long").alias("copies"),
-    )
-
-
-def _select(rows: DataFrame, work: Workspace) -> DataFrame:
-    """Adds extra: 1 for the lowest ranks of each source up to the words still wanted, else 0."""
-    coarse, fine = F.floor(F.col("bin") / BINS), F.col("bin") % BINS
-    rows = rows.withColumn("coarse", coarse).withColumn("fine", fine)
+    rows = work.table(_ranked(_join(sizes, targets), seed).withColumns({"coarse": F.floor(F.col("bin") / BINS), "fine": F.col("bin") % BINS}), "ranked")
     drawn = rows.filter("rank is not null")
     sure = rows.groupBy("source", "target").agg(F.sum(F.col("certain") * F.col("size")).alias("sure"))
     want = sure.select("source", (F.col("target") - F.col("sure")).alias("want"))
@@ -119,21 +99,54 @@ def _select(rows: DataFrame, work: Workspace) -> DataFrame:
         return first.select("source", F.col(f"e.{by}").alias(f"edge_{by}"), F.expr("e.want - (e.through - e.words)").alias("want"))
 
     # Both sums have at most BINS rows per source; the edges have one.
-    sums = drawn.groupBy("source", "coarse").agg(F.sum("size").alias("words"))
-    first = work.table(edge(sums, "coarse", want), "first")
+    first = work.table(edge(drawn.groupBy("source", "coarse").agg(F.sum("size").alias("words")), "coarse", want), "first")
     inner = _join(drawn, first.drop("want")).filter("coarse = edge_coarse")
-    sums = inner.groupBy("source", "fine").agg(F.sum("size").alias("words"))
-    second = work.table(_join(edge(sums, "fine", first), first.drop("want"), "left"), "second")
-
-    placed = _join(rows, second, "left")
-    at_edge = F.coalesce(F.expr("coarse = edge_coarse and fine = edge_fine"), F.lit(False))
-    below = F.expr("rank is not null and (edge_coarse is null or coarse < edge_coarse or (coarse = edge_coarse and fine < edge_fine))")
-    clear = placed.filter(~at_edge).withColumn("extra", below.cast("int"))
-    order = W.partitionBy("source").orderBy("rank", "key", "size")
-    before = F.coalesce(F.sum("size").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    second = edge(inner.groupBy("source", "fine").agg(F.sum("size").alias("words")), "fine", first)
+    second = work.table(_join(second, first.drop("want"), "left"), "second")
+    close = _join(drawn, second).filter("coarse = edge_coarse and fine = edge_fine")
+    before = F.coalesce(F.sum("size").over(W.partitionBy("source").orderBy("rank", "key", "size").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     # Half a document over or under: whichever is nearer to the target.
-    close = placed.filter(at_edge).withColumn("extra", (before + F.col("size") / 2 <= F.col("want")).cast("int"))
-    return clear.unionByName(close)
+    taken = close.withColumn("before", before).filter(F.col("before") + F.col("size") / 2 <= F.col("want"))
+    cut = taken.groupBy("source").agg(F.max(F.struct("rank", "key", "size")).alias("cut"))
+    edges = second.select("source", (F.col("edge_coarse") * BINS + F.col("edge_fine")).alias("edge"))
+    plan = work.table(_join(_join(targets, edges, "left"), cut, "left"), "plan")
+    work.drop("sizes", "ranked", "first", "second")
+    return plan
+
+
+def _ranked(rows: DataFrame, seed: str) -> DataFrame:
+    """Adds the certain copies and, where one more may be drawn, rank and bin."""
+    e = F.when(F.col("long"), F.col("long_copies")).otherwise(F.col("short_copies"))
+    rows = rows.withColumn("certain", F.floor(e)).withColumn("pi", e - F.floor(e))
+    u = uniform(F.coalesce(F.col("key").cast("string"), F.lit("null")), seed)
+    odds = (u / (1 - u)) / (F.col("pi") / (1 - F.col("pi")))
+    # x/(1+x) brings the ranking value into (0, 1) and keeps its order.
+    rows = rows.withColumn("rank", F.when(F.col("pi") > 0, odds / (1 + odds)))
+    return rows.withColumn("bin", F.floor(F.col("rank") * (BINS * BINS)).cast("long"))
+
+
+def mix_sources(
+    docs: DataFrame, weights: list[float], share: float, most: float = 2.0, key: str = "doc_id", text: str = "text",
+    source: str = "source", seed: str = "mix", keep: list[str] | None = None,
+) -> DataFrame:
+    """The columns `keep` of `docs` (all if None) with a struct `mix`: size, source_size, target, copies.
+
+    `copies` says how often the mix takes the document, as `plan_mix` decides; with the plan, one row
+    per source, every row is decided where it lies. Rows that repeat key, source and size share their
+    draw and are all taken or not. Documents without words are taken like any other but weigh nothing.
+    A missing source is a source of its own, a missing key draws as `null`. An empty table gives no
+    rows. Reruns agree.
+    """
+    plan = plan_mix(docs, weights, share, most, key, text, source, seed)
+    plan = plan.select(F.struct(*plan.columns).alias("__plan"), F.col("source").alias("__of"))
+    kept = docs.columns if keep is None else keep
+    rows = docs.select(F.struct(*map(col, kept)).alias("__kept"), F.col(key).alias("key"), F.col(source).alias("source"), word_count(text).alias("size"))
+    rows = rows.join(plan, F.col("source").eqNullSafe(F.col("__of"))).select("__kept", "key", "size", "__plan.*")
+    rows = _ranked(rows.withColumn("long", F.col("size") >= FULL_WORDS), seed)
+    at_cut = F.expr("bin = edge and cut is not null and struct(rank, key, size) <= cut")
+    extra = F.coalesce(F.expr("rank is not null and (edge is null or bin < edge)") | at_cut, F.lit(False))
+    copies = (F.col("certain") + extra.cast("int")).cast("long").alias("copies")
+    return rows.select("__kept.*", F.struct("size", "source_size", "target", copies).alias("mix"))
 
 
 def _join(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFrame:

@@ -7,7 +7,8 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import col
 from plumbline.llm.common import blocks
@@ -86,8 +87,6 @@ def term_counts(column: pa.Array) -> np.ndarray:
 
 
 def _text_sizes(column: pa.Array) -> np.ndarray:
-    import pyarrow.compute as pc
-
     return pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
@@ -161,16 +160,16 @@ def vote(model: QualityModel, column: pa.Array) -> np.ndarray:
     return np.where(whole > 1e-12, (weight * said).sum(axis=1) / np.maximum(whole, 1e-12), model.prior)
 
 
-def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """The columns `keep` of `docs` (all if None) with score (0 to 1, higher: label 1 likelier) and predicted.
+def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text", keep: list[str] | None = None, score_name: str = "score") -> DataFrame:
+    """The columns `keep` of `docs` (all if None) with a score (0 to 1, higher: label 1 likelier).
 
     Each text is compared with all labelled vectors, block by block, by exact cosine; the NEIGHBOURS
     nearest vote with their cosine to the power SHARPNESS. Texts that are missing, empty or unlike all
     labelled texts get the share of label 1 among all labelled ids; without a model that is 0.5.
     """
-    kept = [c for c in (docs.columns if keep is None else keep) if c not in ("score", "predicted")]
+    kept = [c for c in (docs.columns if keep is None else keep) if c != score_name]
     if model is None:
-        return docs.select(*map(col, kept), F.lit(0.5).alias("score"), F.lit(1).alias("predicted"))
+        return docs.select(*map(col, kept), F.lit(0.5).alias(score_name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(*map(col, kept), F.col(text).alias("__text"))
 
@@ -178,7 +177,7 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
         for batch in batches:
             for part in blocks(batch, "__text"):
                 value = vote(shared.value, part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value)], names=[*part.schema.names[:-1], "score"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value)], names=[*part.schema.names[:-1], score_name])
 
-    names = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1])
-    return rows.mapInArrow(score, f"{names}, score double").withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_name, T.DoubleType())])
+    return rows.mapInArrow(score, schema)

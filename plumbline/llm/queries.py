@@ -11,6 +11,7 @@ from plumbline.llm.common import fold
 from plumbline.llm.contamination import find_contamination
 from plumbline.llm.langid import learn_languages, predict_languages
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.mixing_lm import score_texts
 from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
@@ -90,11 +91,9 @@ SELECT doc_id, size::BIGINT AS size, words::BIGINT AS source_size, round(target,
        (size * (certain + CASE WHEN pi > 0 AND before + size / 2 <= want THEN 1 ELSE 0 END))::BIGINT AS taken, source
 FROM run""")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST)
-    return mixed.select(
-        "doc_id", "size", "source_size", F.round("target", 4).alias("target"),
-        (F.col("size") * F.col("copies")).alias("taken"), "source",
-    )
+    mixed = mix_sources(table(spark, sf_dir, "documents"), MIX_WEIGHTS, MIX_SHARE, MIX_MOST, keep=["doc_id", "source"])
+    taken = (F.col("mix.size") * F.col("mix.copies")).alias("taken")
+    return mixed.select("doc_id", "mix.size", "mix.source_size", F.round("mix.target", 4).alias("target"), taken, "source")
 
 
 def _draw_sql(shards: int) -> str:
@@ -163,7 +162,8 @@ def quality_model(spark: SparkSession, sf_dir: str):
 @query("op5_quality")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 3) == 1)
-    return score_quality(docs, quality_model(spark, sf_dir), keep=["doc_id", "held_out"])
+    scored = score_quality(docs, quality_model(spark, sf_dir), keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 @query("op1_substring_dedup", rf"""
@@ -223,3 +223,12 @@ SELECT doc_id, len(shingles)::BIGINT AS n_shingles, component_id, doc_id = compo
 FROM shingled JOIN lowest ON v = doc_id""")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op7_lm_scores")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("train", fold("doc_id", 5) != 1)
+    scored = score_texts(docs, "train")
+    return scored.select(
+        "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
+    )

@@ -37,6 +37,11 @@ def rendezvous(key: str, weights: list[float]) -> Column:
     return (draws[0] if len(draws) == 1 else F.least(*draws))["shard"]
 
 
+def with_shard(docs: DataFrame, weights: list[float], key: str = "doc_id", name: str = "shard") -> DataFrame:
+    """`docs` with the shard of each row's key; nothing is shuffled. A column of that name is replaced."""
+    return docs.withColumn(name, rendezvous(key, weights))
+
+
 def assign_shards(
     docs: DataFrame, weights: list[float], key: str = "doc_id", text: str = "text", grow_by: float | None = None
 ) -> DataFrame:

@@ -12,12 +12,14 @@ documents walk. Edges are never listed one by one where a whole path can stand f
    the path does not branch: the piece as a whole is repeated, and its smallest document its source.
 3. Where an anchor occurs in different pieces, the path branches. Only those pieces are opened into
    single edges, which are joined on their own hash.
-4. Paths grow: runs of a document whose source coordinates continue each other are one span. A
-   span is accepted if its coordinates in the source hold the same words.
+4. Paths grow: runs of a document whose source coordinates continue each other are one span. The
+   words at its source coordinates are read again and their digest goes with the span; words are
+   removed only if the document's own words have that digest.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ from plumbline.llm.words import hash_grams, hash_words, pair, split_words, start
 WINDOW, ANCHOR = 50, 20
 
 PIECE = "doc long, row long, pos int, n int, anchor long, content long, lead boolean"
-SPANS = "array<struct<start:int,n:int,source:bigint,source_start:int>>"
+RUNS = "array<struct<start:int,n:int,source:bigint,source_start:int>>"
+SPANS = "array<struct<start:int,n:int,source:bigint,source_start:int,digests:array<binary>>>"
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
@@ -83,11 +86,12 @@ def _schema(text: str) -> pa.Schema:
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, anchor: int = ANCHOR) -> DataFrame:
-    """Per document with repeats: doc, row and spans, an array of (start, n, source, source_start).
+    """Per document with repeats: doc, row and spans, an array of (start, n, source, source_start, digests).
 
     A span is a run of `n` >= `window` words of the document, from word `start`, that the document
     `source` of smaller id also holds, from word `source_start`. Every run of `window` words that also
-    starts in a document of smaller id lies in a span. Spans of different sources may overlap.
+    starts in a document of smaller id lies in a span. Spans of different sources may overlap. `digests`
+    are those of the source's words, one for each row of that id.
     Documents without an id take no part. Rows that repeat an id repeat nothing from each other; `row`,
     a hash of the text, tells them apart.
     """
@@ -136,11 +140,37 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", win
         for batch in batches:
             yield from _grow(batch, window)
 
-    spans = work.table(both.mapInArrow(join_up, f"doc long, row long, spans {SPANS}"), "spans")
-    work.drop("shared", "found", "contents", "branching", "paths", "runs", "opened", "edges", "known")
+    spans = both.mapInArrow(join_up, f"doc long, row long, spans {RUNS}").select("doc", "row", F.inline("spans"))
+    spans = work.table(spans, "unverified")
+    places = spans.select("source", "source_start", "n").distinct()
+    places = work.table(places.groupBy(F.col("source").alias("doc")).agg(F.collect_list(F.struct("source_start", "n")).alias("places")), "places")
+    said = in_bitmap(texts, "doc", id_bitmap(places, "doc")).join(places, "doc").select("doc", "text", "places")
+    said = said.mapInArrow(_digests, "source long, source_start int, n int, digest binary")
+    said = work.table(said.groupBy("source", "source_start", "n").agg(F.collect_set("digest").alias("digests")), "said")
+    spans = spans.join(said, ["source", "source_start", "n"]).groupBy("doc", "row")
+    spans = work.table(spans.agg(F.collect_list(F.struct("start", "n", "source", "source_start", "digests")).alias("spans")), "spans")
+    work.drop("unverified", "places", "said", "shared", "found", "contents", "branching", "paths", "runs", "opened", "edges", "known")
     return spans
 
 
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of the words at the places that spans name as their source."""
+    for batch in batches:
+        rows = []
+        for body, doc, places in zip(batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2)):
+            words = body.as_py().split()
+            for place in places.as_py():
+                start, n = place["source_start"], place["n"]
+                rows.append((doc, start, n, digest(words[start : start + n])))
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
+        yield pa.RecordBatch.from_arrays(columns, names=["source", "source_start", "n", "digest"])
+
+
 def _open(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -228,8 +258,10 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if spans.is_valid:
                 gone = np.zeros(len(words) + 1, dtype=np.int64)
                 for span in spans.as_py():
-                    gone[span["start"]] += 1
-                    gone[span["start"] + span["n"]] -= 1
+                    start, stop = span["start"], span["start"] + span["n"]
+                    if digest(words[start:stop]) in span["digests"]:
+                        gone[start] += 1
+                        gone[stop] -= 1
                 out = np.cumsum(gone[:-1]) > 0
                 words = [w for w, g in zip(words, out.tolist()) if not g]
             removed.append(total[-1] - len(words))

@@ -159,16 +159,17 @@ def digest(words: list[bytes]) -> bytes:
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of the words at the places that spans name as their source."""
+    kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
     for batch in batches:
-        rows = []
-        for body, doc, places in zip(batch.column(1).cast(pa.binary()), batch.column(0).to_pylist(), batch.column(2)):
-            words = body.as_py().split()
-            for place in places.as_py():
-                start, n = place["source_start"], place["n"]
-                rows.append((doc, start, n, digest(words[start : start + n])))
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary())
-        columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
-        yield pa.RecordBatch.from_arrays(columns, names=["source", "source_start", "n", "digest"])
+        for part in blocks(batch, "text"):
+            rows = []
+            for body, doc, places in zip(part.column(1).cast(pa.binary()), part.column(0).to_pylist(), part.column(2)):
+                words = body.as_py().split()
+                for place in places.as_py():
+                    start, n = place["source_start"], place["n"]
+                    rows.append((doc, start, n, digest(words[start : start + n])))
+            columns = [pa.array([row[i] for row in rows], kind) for i, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays(columns, names=["source", "source_start", "n", "digest"])
 
 
 def _open(window: int):
@@ -250,23 +251,27 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", win
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1).cast(pa.binary())
-        total, removed, kept = [], [], []
-        for body, spans in zip(texts, batch.column(2)):
-            words = (body.as_py() or b"").split()
-            total.append(len(words))
-            if spans.is_valid:
-                gone = np.zeros(len(words) + 1, dtype=np.int64)
-                for span in spans.as_py():
-                    start, stop = span["start"], span["start"] + span["n"]
-                    if digest(words[start:stop]) in span["digests"]:
-                        gone[start] += 1
-                        gone[stop] -= 1
-                out = np.cumsum(gone[:-1]) > 0
-                words = [w for w, g in zip(words, out.tolist()) if not g]
-            removed.append(total[-1] - len(words))
-            kept.append(b" ".join(words))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), batch.column(2)],
-            names=["key", "n_words", "n_removed", "kept", "spans"],
-        )
+        for part in blocks(batch, "text"):
+            yield _without_spans(part)
+
+
+def _without_spans(part: pa.RecordBatch) -> pa.RecordBatch:
+    total, removed, kept = [], [], []
+    for body, spans in zip(part.column(1).cast(pa.binary()), part.column(2)):
+        words = (body.as_py() or b"").split()
+        total.append(len(words))
+        if spans.is_valid:
+            gone = np.zeros(len(words) + 1, dtype=np.int64)
+            for span in spans.as_py():
+                start, stop = span["start"], span["start"] + span["n"]
+                if digest(words[start:stop]) in span["digests"]:
+                    gone[start] += 1
+                    gone[stop] -= 1
+            out = np.cumsum(gone[:-1]) > 0
+            words = [w for w, g in zip(words, out.tolist()) if not g]
+        removed.append(total[-1] - len(words))
+        kept.append(b" ".join(words))
+    return pa.RecordBatch.from_arrays(
+        [part.column(0), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), part.column(2)],
+        names=["key", "n_words", "n_removed", "kept", "spans"],
+    )

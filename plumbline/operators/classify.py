@@ -2,22 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col
 from plumbline.functions.text import bind
 from plumbline.operators import rules as R
+from plumbline.operators.joins import salted_join
 from plumbline.operators.stats import latest
 
-try:
-    import ahocorasick
-except ImportError:  # optional
-    ahocorasick = None
-
 
 def mentions(text: Column, phrases: list[str]) -> Column:
     """True where a lower-case text contains any of the phrases."""
@@ -25,24 +19,8 @@ def mentions(text: Column, phrases: list[str]) -> Column:
 
 
 def phrases_found(text: Column, phrases: list[str]) -> Column:
-    """The positions in `phrases` of those that occur anywhere in a text.
-
-    One automaton finds all phrases in a single pass over each text, in Arrow batches; without the
-    library every phrase is searched on its own inside the JVM.
-    """
-    if ahocorasick is None:
-        return F.array_compact(F.array(*[F.when(text.contains(p), F.lit(i)) for i, p in enumerate(phrases)]))
-
-    @F.pandas_udf("array<int>")
-    def search(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = ahocorasick.Automaton()
-        for i, p in enumerate(phrases):
-            machine.add_word(p, i)
-        machine.make_automaton()
-        for batch in batches:
-            yield batch.map(lambda t: [] if t is None else list({i for _, i in machine.iter(t)}))
-
-    return search(text)
+    """The positions in `phrases` of those that occur anywhere in a text."""
+    return F.array_compact(F.array(*[F.when(text.contains(p), F.lit(i)) for i, p in enumerate(phrases)]))
 
 
 PHRASES = sorted({p for group in R.TEXT_DOMAINS.values() for p in group})
@@ -171,13 +149,16 @@ def analysis_kind(numeric: Column, categorical: Column) -> Column:
 
 
 def question_intent(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per question: is a chart wanted, which kind, and which analysis."""
+    """Per question: is a chart wanted, which kind, and which analysis.
+
+    A question on a dataset that the catalog lacks is one on a dataset without columns.
+    """
     kinds = catalog.groupBy("dataset").agg(
         F.count_if(F.col("kind") == "numeric").alias("__numeric"),
         F.count_if(F.col("kind") == "categorical").alias("__categorical"),
     )
-    joined = questions.join(kinds, "dataset")
-    numeric, categorical = F.col("__numeric"), F.col("__categorical")
+    joined = salted_join(questions, kinds, ["dataset"], ["question"], "left")
+    numeric, categorical = (F.coalesce(c, F.lit(0)) for c in ("__numeric", "__categorical"))
     return joined.select(
         *questions.columns,
         wants_chart(F.col("question")).alias("wants_chart"),

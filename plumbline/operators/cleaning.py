@@ -20,7 +20,7 @@ from plumbline.functions.columns import (
 from plumbline.functions.text import strip, title_case
 from plumbline.operators.ordered import forward_fill
 from plumbline.operators.profile import duplicate_count, missing_cells, score, value_counts
-from plumbline.operators.quantiles import quantiles
+from plumbline.operators.quantiles import quantiles, summary
 from plumbline.operators.stats import iqr_fences, outside
 from plumbline.session import materialized
 
@@ -38,21 +38,23 @@ UPPER_WORDS = ("code", "id", "abbreviation")
 
 
 def impute_mean(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Fill missing numbers with the column mean, which a one-row subquery supplies."""
+    """Fill missing numbers with the column mean; columns without gaps keep values and type.
+
+    One scan finds gaps and means.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    if not columns:
-        return df
-    means = df.agg(F.struct(*[F.avg(number(df, c)).alias(f"m{i}") for i, c in enumerate(columns)]).alias("m"))
-    filled = df.withColumn("__means", means.scalar())
-    return filled.withColumns(
-        {c: F.coalesce(number(df, c), F.col(f"__means.m{i}")) for i, c in enumerate(columns)}
-    ).drop("__means")
+    seen = summary(df, columns)
+    gaps = {c: s.mean for c, s in seen.items() if s.count < s.rows}
+    return df.withColumns({c: F.coalesce(number(df, c), F.lit(m).cast("double")) for c, m in gaps.items()})
 
 
 def impute_median(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Fill missing numbers with the column median; columns without gaps keep values and type."""
     columns = numeric_columns(df) if columns is None else columns
-    medians = quantiles(df, columns, [0.5])
-    return df.withColumns({c: F.coalesce(number(df, c), F.lit(medians[c][0])) for c in columns})
+    seen = summary(df, columns)
+    gaps = [c for c, s in seen.items() if s.count < s.rows]
+    medians = quantiles(df, gaps, [0.5], seen)
+    return df.withColumns({c: F.coalesce(number(df, c), F.lit(medians[c][0]).cast("double")) for c in gaps})
 
 
 def modes(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -88,12 +90,17 @@ def impute_all(
 
 
 def cap_outliers(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """Pull values beyond the fences back to them. Columns become double."""
+    """Pull values beyond the fences back to them.
+
+    Columns with such values become double; the others keep values and type.
+    """
     columns = numeric_columns(df) if columns is None else columns
-    fences = iqr_fences(df, columns)
-    return df.withColumns(
-        {c: clip(number(df, c), low, high) for c, (low, high) in fences.items() if low is not None}
-    )
+    fences = {c: f for c, f in iqr_fences(df, columns).items() if f[0] is not None}
+    if not fences:
+        return df
+    far = df.agg(*[F.coalesce(F.bool_or(outside(number(df, c), *f)), F.lit(False)).alias(f"f{i}") for i, (c, f) in enumerate(fences.items())])
+    far = far.first()
+    return df.withColumns({c: clip(number(df, c), *f) for i, (c, f) in enumerate(fences.items()) if far[f"f{i}"]})
 
 
 def convert_dates(df: DataFrame, formats: dict[str, str]) -> DataFrame:
@@ -145,9 +152,13 @@ def standardize_types(df: DataFrame, order_by: list[str]) -> DataFrame:
     }
     if others:
         digits = df.agg(
-            *[F.bool_and(F.coalesce(col(c).rlike(r"^\d+$"), F.lit(False))).alias(f"d{i}") for i, c in enumerate(others)]
+            *[F.bool_and(F.coalesce(col(c).rlike(r"^\d+$"), F.lit(False))).alias(f"d{i}") for i, c in enumerate(others)],
+            *[F.max(F.length(col(c))).alias(f"n{i}") for i, c in enumerate(others)],
         ).first()
-        changes |= {c: col(c).try_cast("bigint") for i, c in enumerate(others) if digits[f"d{i}"]}
+        for i, c in enumerate(others):
+            # Numbers too long for a type keep the next wider one, in the end their text.
+            if digits[f"d{i}"] and digits[f"n{i}"] <= 38:
+                changes[c] = col(c).try_cast("bigint" if digits[f"n{i}"] <= 18 else "decimal(38,0)")
     return df.withColumns(changes)
 
 

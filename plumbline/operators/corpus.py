@@ -71,54 +71,74 @@ def chunks_fixed(df: DataFrame, text: str, size: int = 1000) -> DataFrame:
     return out.filter(not_blank(F.col("content"))).withColumn("length", F.length("content"))
 
 
-def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
-    """Pieces of at most `size` characters, cut at the coarsest separator that fits.
-
-    Neighbouring pieces share up to `overlap` characters.
+def _atoms(text: str, start: int, stop: int, size: int, step: int, separators: list[str]) -> Iterator[tuple[int, int]]:
+    """Spans of at most `size` characters that follow each other, each with the separator behind it."""
+    if stop - start <= size:
+        yield start, stop
+        return
+    separator = next((s for s in separators if s == "" or text.find(s, start, stop) >= 0), "")
+    if separator == "":
+        # No separator left: windows that share what neighbouring pieces may share.
+        for at in range(start, stop, step):
+            yield at, min(at + size, stop)
+            if at + size >= stop:
+                return
+        return
+    finer = separators[separators.index(separator) + 1 :]
+    while start < stop:
+        found = text.find(separator, start, stop)
+        end = stop if found < 0 else found + len(separator)
+        yield from _atoms(text, start, end, size, step, finer)
+        start = end
+
+
+def split_spans(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[tuple[int, int]]:
+    """Spans of at most `size` characters, cut at the coarsest separators that fit, in order.
+
+    Neighbouring spans share up to `overlap` characters. White space at the ends of a span is left
+    out, everything else lies in a span.
     """
-    at = next(i for i, s in enumerate(separators) if s == "" or s in text)
-    separator, finer = separators[at], separators[at + 1 :]
-    parts = list(text) if separator == "" else [p for p in text.split(separator) if p]
-    pieces: list[str] = []
-    window: list[str] = []
-    length = 0
+    spans: list[tuple[int, int]] = []
+    window: list[tuple[int, int]] = []
 
     def flush() -> None:
-        joined = separator.join(window).strip()
-        if joined:
-            pieces.append(joined)
-
-    for part in parts:
-        if len(part) >= size and finer:
+        piece = text[window[0][0] : window[-1][1]]
+        start = window[0][0] + len(piece) - len(piece.lstrip())
+        if piece.strip():
+            spans.append((start, start + len(piece.strip())))
+
+    for atom in _atoms(text, 0, len(text), size, max(1, size - overlap), separators):
+        filled = len(text[atom[0] : atom[1]].rstrip())
+        if window and atom[0] + filled - window[0][0] > size:
             flush()
-            window.clear()
-            length = 0
-            pieces.extend(split_recursive(part, size, overlap, finer))
-            continue
-        gap = len(separator) if window else 0
-        if window and length + gap + len(part) > size:
-            flush()
-            while window and (length > overlap or length + len(separator) + len(part) > size):
-                length -= len(window.pop(0)) + (len(separator) if window else 0)
-            gap = len(separator) if window else 0
-        window.append(part)
-        length += gap + len(part)
-    flush()
-    return pieces
+            end = window[-1][1]
+            while window and (end - window[0][0] > overlap or atom[0] + filled - window[0][0] > size):
+                window.pop(0)
+        window.append(atom)
+    if window:
+        flush()
+    return spans
+
+
+def split_recursive(text: str, size: int, overlap: int, separators: list[str] = SEPARATORS) -> list[str]:
+    """The pieces of `text` that `split_spans` finds; each is a part of it, unchanged."""
+    return [text[a:b] for a, b in split_spans(text, size, overlap, separators)]
 
 
 def chunks_recursive(df: DataFrame, text: str, size: int = 1000, overlap: int = 200) -> DataFrame:
-    """Overlapping chunks cut at blank lines, lines or blanks; Arrow batches, one text at a time."""
+    """Overlapping chunks cut at blank lines, lines or blanks; Arrow batches, one text at a time.
 
-    @F.pandas_udf("array<string>")
+    `start` is the chunk's place in the text, counted from 0.
+    """
+
+    @F.pandas_udf("array<struct<start:int,content:string>>")
     def split(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda t: split_recursive(t, size, overlap) if t else [])
+            yield batch.map(lambda t: [{"start": a, "content": t[a:b]} for a, b in split_spans(t or "", size, overlap)])
 
     rest = [col(n) for n in df.columns if n != text]
-    return df.select(*rest, F.posexplode(split(col(text))).alias("chunk", "content")).withColumn(
-        "length", F.length("content")
-    )
+    pieces = df.select(*rest, F.posexplode(split(col(text))).alias("chunk", "__piece"))
+    return pieces.select(*rest, "chunk", "__piece.content", F.length("__piece.content").alias("length"), "__piece.start")
 
 
 def page_chunks(pages: DataFrame, size: int = 1000) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.text import key_finding, words
 from plumbline.operators.classify import question_topics
+from plumbline.operators.joins import salted_join
 from plumbline.operators.stats import latest
 
 KEEP_SESSIONS = 20
@@ -46,7 +47,7 @@ def context_retrieval(questions: DataFrame, sessions: DataFrame, k: int = 3) ->
     said = sessions.select("dataset", "session_id", "ts", F.explode(spoken).alias("word"))
     recent = latest(said, ["dataset", "word"], newest("ts", "session_id"), k)
     asked = questions.select("q_id", "dataset", F.explode(spoken).alias("word"))
-    shared = asked.join(recent, ["dataset", "word"]).groupBy("q_id", "dataset", "session_id", "ts").agg(F.lit(1).alias("one"))
+    shared = salted_join(asked, recent, ["dataset", "word"], ["q_id"]).groupBy("q_id", "dataset", "session_id", "ts").agg(F.lit(1).alias("one"))
     best = latest(shared, ["q_id"], newest("ts", "session_id"), k).drop("one")
     return best.join(sessions.select("dataset", "session_id", "question", "key_finding"), ["dataset", "session_id"])
 
@@ -130,7 +131,7 @@ def match_artifacts(sessions: DataFrame, artifacts: DataFrame, tolerance: int =
     buckets = near.groupBy("dataset", "bucket").agg(F.collect_list(F.struct("s", "path")).alias("near"))
     at = F.unix_seconds(F.date_trunc("second", F.col("ts").cast("timestamp")))
     placed = sessions.withColumn("__s", at).withColumn("bucket", F.floor(F.col("__s") / tolerance))
-    joined = placed.join(buckets, ["dataset", "bucket"], "left")
+    joined = salted_join(placed, buckets, ["dataset", "bucket"], ["session_id"], "left")
     scored = F.transform(
         "near", lambda a: F.struct(F.abs(a["s"] - F.col("__s")).alias("apart"), a["path"].alias("path"))
     )

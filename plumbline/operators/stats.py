@@ -17,6 +17,7 @@ from plumbline.functions.columns import (
     present,
     safe_corr,
 )
+from plumbline.operators.joins import salted_join
 from plumbline.operators.quantiles import quantiles, summary
 
 PAIRS_PER_AGGREGATION = 400
@@ -37,6 +38,16 @@ def _summaries(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     return out
 
 
+def moments(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Mean, deviation and extremes, one row per column, from one scan."""
+    aggregates = []
+    for i, c in enumerate(columns):
+        x = number(df, c)
+        cells = {"mean": F.avg(x), "std": F.stddev_samp(x), "min": F.min(x), "max": F.max(x)}
+        aggregates += [cell.alias(f"{name}__{i}") for name, cell in cells.items()]
+    return long_table(df.agg(*aggregates), columns, {n: "double" for n in ("mean", "std", "min", "max")})
+
+
 def basic_stats(df: DataFrame, columns: list[str] | None = None, approx: bool = False) -> DataFrame:
     """Count, mean, deviation, extremes and quartiles, one row per numeric column.
 
@@ -233,17 +244,17 @@ def comprehensive(df: DataFrame) -> dict[str, DataFrame]:
 
 
 def target_column(questions: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Per question the first column of its dataset named in it, else the first column.
+    """Per question the first column of its dataset named in it, else the first column, else none.
 
-    The catalog is folded to one row per dataset before the join, so a dataset asked about very
-    often joins against a single row.
+    The catalog is folded to one row per dataset before the join, and questions on a dataset asked
+    about very often are dealt among tasks.
     """
     listed = catalog.groupBy("dataset").agg(
         F.array_sort(F.collect_list(F.struct("ordinal", "column_name"))).alias("columns")
     )
     named = F.filter("columns", lambda c: F.contains(F.lower("question"), F.lower(c["column_name"])))
     pick = F.coalesce(F.get(named, F.lit(0)), F.get(F.col("columns"), F.lit(0)))
-    joined = questions.join(listed, "dataset")
+    joined = salted_join(questions, listed, ["dataset"], ["question"], "left")
     return joined.select(*questions.columns, pick["column_name"].alias("target_column"))
 
 

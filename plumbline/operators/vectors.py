@@ -15,8 +15,8 @@ from plumbline.functions.columns import col
 from plumbline.functions.text import words
 from plumbline.operators.stats import latest
 
+#: Queries that travel with the tasks at once, about.
 QUERY_BLOCK = 2_000
-MEMORY_BLOCK = 50_000
 
 
 def embed(
@@ -46,24 +46,36 @@ def _distances(memory: np.ndarray, query: np.ndarray, metric: str) -> np.ndarray
     # Row by row in the same order of operations, so equal vectors get equal distances.
     if metric == "l2":
         return np.sqrt(((memory - query) ** 2).sum(axis=1))
-    norms = np.sqrt((memory**2).sum(axis=1)) * math.sqrt(float((query**2).sum()))
+    norms = np.sqrt((memory**2).sum(axis=1) * (query**2).sum())
     dots = (memory * query).sum(axis=1)
-    return 1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0)
+    # Nine digits, so that vectors of one direction tie.
+    return np.round(1.0 - np.divide(dots, norms, out=np.zeros_like(dots), where=norms > 0), 9)
 
 
-def _nearest(ids: np.ndarray, memory: np.ndarray, queries: list[tuple], k: int, metric: str) -> pd.DataFrame:
-    """The k nearest of one batch for each query, ties by id."""
+def _nearest(ids: np.ndarray, memory: np.ndarray, asked: list, queries: np.ndarray, k: int, metric: str) -> pd.DataFrame:
+    """The k nearest of one batch for each query, ties by id.
+
+    A block product finds the candidates; their distances are then computed row by row, always in the
+    same order of operations, so equal vectors get equal distances.
+    """
+    products = queries @ memory.T
+    sizes, own = (memory**2).sum(axis=1), (queries**2).sum(axis=1)
+    if metric == "l2":
+        rough = np.sqrt(np.maximum(own[:, None] + sizes - 2 * products, 0))
+        slack = 1e-6 * (np.sqrt(own)[:, None] + np.sqrt(sizes).max(initial=0) + 1)
+    else:
+        norms = np.sqrt(own[:, None] * sizes)
+        rough = 1.0 - np.divide(products, norms, out=np.zeros_like(products), where=norms > 0)
+        slack = np.full((len(queries), 1), 1e-6)
+    kth = np.partition(rough, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1 : min(k, len(ids))]
+    close = rough <= kth + slack
     blocks = []
-    for query_id, query in queries:
-        apart = _distances(memory, query, metric)
-        if len(apart) > k:
-            kth = np.partition(apart, k - 1)[k - 1]
-            keep = np.flatnonzero(apart <= kth)
-        else:
-            keep = np.arange(len(apart))
-        keep = keep[np.lexsort((ids[keep], apart[keep]))][:k]
-        blocks.append(pd.DataFrame({"query_id": query_id, "mem_id": ids[keep], "distance": apart[keep]}))
-    return pd.concat(blocks) if blocks else pd.DataFrame({"query_id": [], "mem_id": [], "distance": []})
+    for i, query_id in enumerate(asked):
+        keep = np.flatnonzero(close[i])
+        apart = _distances(memory[keep], queries[i], metric)
+        best = np.lexsort((ids[keep], apart))[:k]
+        blocks.append(pd.DataFrame({"query_id": query_id, "mem_id": ids[keep][best], "distance": apart[best]}))
+    return pd.concat(blocks)
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -75,55 +87,40 @@ def knn(
 ) -> DataFrame:
     """The k nearest memories `(mem_id, embedding)` of each query `(query_id, embedding)`, exactly.
 
-    Up to `query_block` queries travel with the tasks and every task keeps k rows per query. More
-    queries are met block by block: both sides are cut into blocks of bounded size by hash and each
-    pair of blocks is one task.
+    Queries are taken block by block, by hash, about `query_block` at a time; a block travels with
+    the tasks, which read the memory where it lies and keep k rows per query.
     """
     shape = [f for f in memory.schema.fields if f.name == "mem_id"][0].dataType.simpleString()
     query_shape = [f for f in queries.schema.fields if f.name == "query_id"][0].dataType.simpleString()
     schema = f"query_id {query_shape}, mem_id {shape}, distance double"
     memory = memory.select("mem_id", "embedding").filter("embedding is not null")
     queries = queries.select("query_id", "embedding").filter("embedding is not null")
-    rows = queries.limit(query_block + 1).collect()
-
-    def cut(best: pd.DataFrame) -> pd.DataFrame:
-        best = best.sort_values(["query_id", "distance", "mem_id"])
-        return best.groupby("query_id", sort=False).head(k)
-
-    if len(rows) <= query_block:
-        asked = [(r["query_id"], np.asarray(r["embedding"], dtype="float64")) for r in rows]
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            best = None
-            for batch in batches:
-                if len(batch):
-                    near = _nearest(batch["mem_id"].to_numpy(), _matrix(batch["embedding"]), asked, k, metric)
-                    best = near if best is None else cut(pd.concat([best, near]))
-            if best is not None:
-                yield best
-
-        near = memory.mapInPandas(scan, schema)
-    else:
-        m_blocks = math.ceil(memory.count() / MEMORY_BLOCK) or 1
-        q_blocks = math.ceil(queries.count() / query_block)
-
-        def block(name: str, n: int):
-            return F.pmod(F.xxhash64(name), F.lit(n)).cast("int")
-
-        def all_of(n: int):
-            return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    n_blocks = math.ceil(queries.count() / query_block)
+    near = None
+    for block in range(n_blocks):
+        rows = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block).collect()
+        if rows:
+            found = memory.mapInPandas(_scan(rows, k, metric), schema)
+            near = found if near is None else near.unionByName(found)
+    if near is None:
+        return memory.sparkSession.createDataFrame([], schema)
+    return latest(near, ["query_id"], [F.col("distance"), F.col("mem_id")], k)
 
-        left = memory.withColumn("m", block("mem_id", m_blocks)).withColumn("q", all_of(q_blocks))
-        right = queries.withColumn("q", block("query_id", q_blocks)).withColumn("m", all_of(m_blocks))
 
-        def meet(mem: pd.DataFrame, ask: pd.DataFrame) -> pd.DataFrame:
-            if not len(mem) or not len(ask):
-                return pd.DataFrame({"query_id": [], "mem_id": [], "distance": []})
-            asked = list(zip(ask["query_id"], _matrix(ask["embedding"])))
-            return _nearest(mem["mem_id"].to_numpy(), _matrix(mem["embedding"]), asked, k, metric)
+def _scan(rows: list, k: int, metric: str):
+    asked, queries = [r["query_id"] for r in rows], _matrix(pd.Series([r["embedding"] for r in rows]))
 
-        near = left.groupBy("m", "q").cogroup(right.groupBy("m", "q")).applyInPandas(meet, schema)
-    return latest(near, ["query_id"], [F.col("distance"), F.col("mem_id")], k)
+    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        best = None
+        for batch in batches:
+            if len(batch):
+                near = _nearest(batch["mem_id"].to_numpy(), _matrix(batch["embedding"]), asked, queries, k, metric)
+                best = near if best is None else pd.concat([best, near])
+                best = best.sort_values(["query_id", "distance", "mem_id"]).groupby("query_id", sort=False).head(k)
+        if best is not None:
+            yield best
+
+    return scan
 
 
 def label_centroids(df: DataFrame, label: str, vector: str) -> DataFrame:

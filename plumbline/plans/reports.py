@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import numeric_columns, string_columns
+from plumbline.functions.columns import col, long_table, number, numeric_columns, present, string_columns
 from plumbline.functions.text import plain_answer, plain_question
 from plumbline.operators import profile, stats
 from plumbline.operators.history import match_artifacts, recent_artifacts
@@ -23,16 +23,30 @@ def session_report(sessions: DataFrame, artifacts: DataFrame | None = None) -> D
     return shown.withColumn("path", F.when(F.col("had_visualization"), F.col("path"))).drop("seconds_apart")
 
 
-def feature_table(column_profile: DataFrame, k: int = 10) -> DataFrame:
-    """The first k columns of a profile."""
-    return (
-        column_profile.orderBy("ordinal").limit(k).select("ordinal", "column", "dtype", "num_missing", "num_unique", "mean", "std")
-    )
+def feature_table(df: DataFrame, k: int = 10) -> DataFrame:
+    """Type, missing and distinct values, mean and deviation of the first k columns.
+
+    One aggregation beside the distinct counts; nothing else of a profile is computed.
+    """
+    shown = df.select(*[col(c) for c in df.columns[:k]])
+    numbers = numeric_columns(shown)
+    aggregates = []
+    for i, c in enumerate(shown.columns):
+        x = number(shown, c) if c in numbers else F.lit(None).cast("double")
+        aggregates += [
+            F.lit(shown.schema[c].dataType.simpleString()).alias(f"dtype__{i}"),
+            F.count_if(~present(shown, c)).alias(f"num_missing__{i}"), F.avg(x).alias(f"mean__{i}"), F.stddev_samp(x).alias(f"std__{i}"),
+        ]
+    fields = {"dtype": "string", "num_missing": "bigint", "mean": "double", "std": "double"}
+    rows = long_table(shown.agg(*aggregates), shown.columns, fields)
+    # One row per column.
+    joined = rows.join(F.broadcast(profile.nunique(shown).drop("ordinal")), "column")
+    return joined.select("ordinal", "column", "dtype", "num_missing", "num_unique", "mean", "std")
 
 
 def report_stats(df: DataFrame, k: int = 5) -> DataFrame:
-    """Mean, deviation and extremes of the first k numeric columns."""
-    return stats.basic_stats(df, numeric_columns(df)[:k]).select("ordinal", "column", "mean", "std", "min", "max")
+    """Mean, deviation and extremes of the first k numeric columns, in one scan."""
+    return stats.moments(df, numeric_columns(df)[:k])
 
 
 def data_context(df: DataFrame, k: int = 5, top: int = 3) -> DataFrame:
@@ -40,7 +54,7 @@ def data_context(df: DataFrame, k: int = 5, top: int = 3) -> DataFrame:
     numbers, strings = numeric_columns(df)[:k], string_columns(df)[:k]
     out = None
     if numbers:
-        out = stats.basic_stats(df, numbers).select(
+        out = stats.moments(df, numbers).select(
             F.lit("numeric").alias("kind"), "column", "mean", "std", "min", "max",
             F.lit(None).cast("bigint").alias("num_unique"), F.lit(None).cast("string").alias("top"),
         )
@@ -72,7 +86,7 @@ def report_tables(
     """All tables of the report on one dataset."""
     tables = {
         "overview": profile.overview(df),
-        "features": feature_table(profile.column_profile(df)),
+        "features": feature_table(df),
     }
     if numeric_columns(df):
         tables["statistics"] = report_stats(df)
@@ -89,4 +103,4 @@ def report_tables(
 
 def basic_report(df: DataFrame, answers: DataFrame) -> dict[str, DataFrame]:
     """Profile and answers only."""
-    return {"features": feature_table(profile.column_profile(df)), "answers": answers}
+    return {"features": feature_table(df), "answers": answers}

@@ -14,6 +14,11 @@ from plumbline.operators.cleaning import sanitize
 SEPARATORS = [",", ";", "\t", "|"]
 SAMPLE_LINES = 10
 
+#: Cells read beyond the first line's width, to tell lines that have too many.
+EXTRA_CELLS = 16
+
+NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
+
 
 def guess_delimiter(text: Column) -> Column:
     """The separator that occurs most, and equally often per line, in the first ten lines.
@@ -55,13 +60,20 @@ def text_head(spark: SparkSession, path: str, lines: int = SAMPLE_LINES, encodin
 
 
 def dedupe_names(names: list[str]) -> list[str]:
-    """Repeated names get `_1`, `_2`, … in order of appearance."""
-    seen: dict[str, int] = {}
+    """Repeated names get `_1`, `_2`, … in order of appearance, passing over names that are taken."""
+    taken, count = set(names), {}
     out = []
     for name in names:
-        n = seen.get(name, 0)
-        seen[name] = n + 1
-        out.append(f"{name}_{n}" if n else name)
+        if name not in count:
+            count[name] = 0
+            out.append(name)
+            continue
+        fresh = name
+        while fresh in taken:
+            count[name] += 1
+            fresh = f"{name}_{count[name]}"
+        taken.add(fresh)
+        out.append(fresh)
     return out
 
 
@@ -90,14 +102,14 @@ def header_choice(names: list[str | None], head: list[list[str | None]]) -> tupl
 def read_repaired_csv(
     spark: SparkSession, path: str, encoding: str = "UTF-8", separator: str | None = None, **options
 ) -> DataFrame:
-    """Read a CSV of unknown separator and header as strings; ragged lines are padded or cut.
+    """Read a CSV of unknown separator and header as strings.
 
-    The separators are tried in order and the first that yields more than one column wins, then
-    the guessed one. Only the first rows reach the driver, to decide on the header.
+    The separator is the one the first lines agree on, a comma if none occurs. Short lines are padded
+    with NULL; lines with more cells than the first are left out, and `surplus_lines` returns them.
+    Only the first rows reach the driver, to decide on the header.
     """
-    if separator is None:
-        separator = _separator(spark, path, encoding)
-    raw = spark.read.options(header=False, sep=separator, encoding=encoding, mode="PERMISSIVE", **options).csv(path)
+    wide, width = _wide(spark, path, encoding, separator, options)
+    raw = wide.filter(~_surplus(wide, width)).select(*wide.columns[:width])
     top = [list(r) for r in raw.limit(6).collect()]
     if not top:
         raise ValueError(f"no rows in {path}")
@@ -111,6 +123,28 @@ def read_repaired_csv(
     return body.toDF(*names)
 
 
+def surplus_lines(
+    spark: SparkSession, path: str, encoding: str = "UTF-8", separator: str | None = None, **options
+) -> DataFrame:
+    """The cells of the lines that `read_repaired_csv` leaves out: `(cells)`."""
+    wide, width = _wide(spark, path, encoding, separator, options)
+    return wide.filter(_surplus(wide, width)).select(F.array(*[F.col(c) for c in wide.columns]).alias("cells"))
+
+
+def _wide(spark: SparkSession, path: str, encoding: str, separator: str | None, options: dict) -> tuple[DataFrame, int]:
+    """The file with EXTRA_CELLS more columns than its first line has, and that line's width."""
+    separator = separator or _separator(spark, path, encoding)
+    reader = spark.read.options(header=False, sep=separator, encoding=encoding, mode="PERMISSIVE", **options)
+    width = len(reader.csv(path).columns)
+    names = [f"_c{i}" for i in range(width + EXTRA_CELLS)]
+    return reader.schema(", ".join(f"{n} string" for n in names)).csv(path), width
+
+
+def _surplus(wide: DataFrame, width: int) -> Column:
+    """A cell beyond the first line's width that holds something; empty ones come from closing separators."""
+    return F.coalesce(*[F.col(c) for c in wide.columns[width:]]).isNotNull()
+
+
 def _separator(spark: SparkSession, path: str, encoding: str) -> str:
     sample = spark.createDataFrame([(text_head(spark, path, SAMPLE_LINES, encoding),)], "t string")
     return sample.select(guess_delimiter(F.col("t")).alias("d")).first()["d"] or ","
@@ -124,7 +158,7 @@ def typed(df: DataFrame, na_values: tuple[str, ...] = ("",)) -> DataFrame:
         x = F.when(~F.trim(col(c)).isin(*na_values), F.trim(col(c)))
         checks += [
             F.bool_and(x.rlike(r"^[+-]?\d{1,18}$")).alias(f"w{i}"),
-            F.bool_and(x.try_cast("double").isNotNull() | x.isNull()).alias(f"r{i}"),
+            F.bool_and(x.rlike(NUMBER)).alias(f"r{i}"),
             F.count(x).alias(f"n{i}"),
         ]
     seen = df.agg(*checks).first()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -15,7 +16,7 @@ from plumbline.sources.encoding import read_whole_files
 # File kinds by extension.
 KINDS = {".csv": "csv", ".xlsx": "excel", ".xls": "excel", ".json": "json", ".pdf": "pdf", ".txt": "text"}
 
-FILE_BLOCK = 128 << 20
+CORRUPT = "_corrupt"
 
 # Spellings read as missing when a table is typed after reading.
 NA_VALUES = ("", "NA", "N/A", "NaN", "nan", "NULL", "null", "None", "n/a", "<NA>")
@@ -33,22 +34,51 @@ def read_csv(spark: SparkSession, path: str, na_values: tuple[str, ...] | None =
 
 
 def read_json(spark: SparkSession, path: str, record_path: str | None = None, **options) -> DataFrame:
-    """A list becomes one row per element, an object one row.
+    """A list becomes one row per element, an object one row, and so does each line of JSON lines.
 
-    Files that cannot be parsed come back as `content` and `metadata`. `record_path` names a nested
-    array whose elements become the rows.
+    Where nothing can be parsed, files come back as `content` and `metadata`; of files in which some
+    records cannot, the others become rows and `json_rejects` returns the rest. `record_path` names a
+    nested array whose elements become the rows.
     """
-    reader = spark.read.options(**{"multiLine": True, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt", **options})
-    df = reader.json(path)
-    if df.columns == ["_corrupt"]:
+    df = _json(spark, path, options)
+    if df.columns == [CORRUPT]:
         files = read_whole_files(spark, path)
         return files.select("content", F.create_map(F.lit("source"), F.col("path")).alias("metadata"))
+    if CORRUPT in df.columns:
+        df = _json(spark, path, {**options, "mode": "DROPMALFORMED"})
     if record_path:
         rows = df.select(F.explode(F.col(record_path)).alias("record"))
         return rows.select("record.*")
     return df
 
 
+def json_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """The records that `read_json` could not parse: `(content, metadata)`."""
+    if _has_json_lines(spark, path):
+        records = spark.read.text(path).select(F.col("value").alias("content"), F.input_file_name().alias("path"))
+    else:
+        records = read_whole_files(spark, path)
+    bad = records.filter(not_blank(F.col("content")) & F.try_parse_json("content").isNull())
+    return bad.select("content", F.create_map(F.lit("source"), F.col("path")).alias("metadata"))
+
+
+def _json(spark: SparkSession, path: str, options: dict) -> DataFrame:
+    """JSON lines are read line by line, which also splits large files; other files as a whole."""
+    settings = {"multiLine": not _has_json_lines(spark, path), "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
+    return spark.read.options(**{**settings, **options}).json(path)
+
+
+def _has_json_lines(spark: SparkSession, path: str) -> bool:
+    """Does the first line hold a whole object and the next one begin another?"""
+    lines = [r[0].strip() for r in spark.read.text(path).filter(not_blank(F.col("value"))).limit(2).collect()]
+    if len(lines) < 2 or not lines[1].startswith("{"):
+        return False
+    try:
+        return isinstance(json.loads(lines[0]), dict)
+    except ValueError:
+        return False
+
+
 def read_text(spark: SparkSession, path: str, overlap: int | None = None, size: int = 1000) -> DataFrame:
     """Documents in chunks `(content, metadata, length)`; an overlap asks for separator-aware chunks."""
     files = read_whole_files(spark, path).filter(not_blank(F.col("content"))).drop("encoding")
@@ -83,17 +113,6 @@ def image_profile(images: DataFrame) -> DataFrame:
     )
 
 
-def spread(df: DataFrame, path: str) -> DataFrame:
-    """Use several cores on a table smaller than one file block.
-
-    One task would read and compute such a table alone. Larger ones keep the partitions of their
-    files: no shuffle. Only file lengths are looked up.
-    """
-    spark = df.sparkSession
-    size = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
-    return df.repartition(min(spark.sparkContext.defaultParallelism, 32)) if size < FILE_BLOCK else df
-
-
 def dataset_name(path: str) -> str:
     return os.path.splitext(os.path.basename(path.rstrip("/")))[0].lower()
 

@@ -124,17 +124,14 @@ def test_question_rules(spark):
     assert relevant == [("n", "a"), ("t", "g"), ("t", "Price"), ("t", "qty")]
 
 
-def test_text_domain_with_and_without_the_automaton(spark, monkeypatch):
+def test_text_domain(spark):
     texts = ["A clinical trial of medicine in a hospital", "government policy", "art", "", None, "Research STUDY of market strategy and sales"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
 
     def domains():
         return [r["domain"] for r in classify.text_domain(df, "t").orderBy("i").collect()]
 
-    fast = domains()
-    monkeypatch.setattr(classify, "ahocorasick", None)
-    assert domains() == fast
-    assert fast == ["Healthcare/Medical", "Government/Policy", "General", "General", "General", "Business/Finance"]
+    assert domains() == ["Healthcare/Medical", "Government/Policy", "General", "General", "General", "Business/Finance"]
 
 
 def test_catalog_tables(spark):

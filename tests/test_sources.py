@@ -157,3 +157,31 @@ def test_load_pipeline(spark, tmp_path):
     assert "Unknown" in [r["Gender"] for r in loaded.clean.collect()]
     text = load.load_dataset(spark, write(tmp_path / "notes.txt", "The research study used machine learning. " * 40))
     assert text.record.first()["domain"] == "Academic/Research" and "cleaned_content" in text.clean.columns
+
+
+def test_json_lines_keep_all_rows_and_return_the_rest(spark, tmp_path):
+    lines = write(tmp_path / "l.json", '{"a":1}\n{"a":2}\n\n{"a":3}\n')
+    assert sorted(r["a"] for r in readers.read_json(spark, lines).collect()) == [1, 2, 3]
+    assert readers.json_rejects(spark, lines).count() == 0
+    broken = write(tmp_path / "m.json", '{"a":1}\n{"a":2\n{"a":3}\n')
+    good = readers.read_json(spark, broken)
+    assert sorted(r["a"] for r in good.collect()) == [1, 3] and good.count() == 2
+    rest = readers.json_rejects(spark, broken).collect()
+    assert [r["content"] for r in rest] == ['{"a":2'] and rest[0]["metadata"]["source"].endswith("m.json")
+
+
+def test_surplus_cells_are_returned_not_cut(spark, tmp_path):
+    path = write(tmp_path / "s.csv", "a,b\n1,2\n3,4,5\n6,7,\n8\n")
+    assert sorted(tuple(r) for r in csv_repair.read_repaired_csv(spark, path).collect()) == [("1", "2"), ("6", "7"), ("8", None)]
+    (left,) = csv_repair.surplus_lines(spark, path).collect()
+    assert [c for c in left["cells"] if c is not None] == ["3", "4", "5"]
+
+
+def test_codes_stay_text(spark):
+    df = spark.createDataFrame([("12D", "1.5", "1e3"), ("5F", ".5", "-2")], "a string, b string, c string")
+    assert dict(csv_repair.typed(df).dtypes) == {"a": "string", "b": "double", "c": "double"}
+
+
+def test_renamed_columns_are_unique():
+    assert csv_repair.dedupe_names(["a", "a", "a_1"]) == ["a", "a_2", "a_1"]
+    assert csv_repair.dedupe_names(["a_1", "a", "a", "a"]) == ["a_1", "a", "a_2", "a_3"]

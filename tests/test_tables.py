@@ -4,7 +4,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import charts, cleaning, profile, stats
+from plumbline.operators import charts, classify, cleaning, history, profile, stats
 from plumbline.operators.ordered import forward_fill
 
 SLEEP = "`Person ID` bigint, Gender string, `Sleep Duration` double, `Stress Level` int, Same int, Tags map<string,int>"
@@ -222,3 +222,54 @@ def test_comprehensive_bundle(sleep):
     assert {k: v.count() for k, v in bundle.items()} == {
         "descriptive_stats": 8, "correlation_matrix": 16, "data_types": 5, "unique_values": 5, "missing_values": 5,
     }
+
+
+def test_long_digit_strings_are_kept(spark):
+    long, longer = "12345678901234567890123", "1" * 40
+    df = spark.createDataFrame([("7", long, longer)], "a string, b string, c string")
+    out = cleaning.standardize_types(df, ["a"])
+    assert dict(out.dtypes) == {"a": "bigint", "b": "decimal(38,0)", "c": "string"}
+    row = out.first()
+    assert (row["a"], int(row["b"]), row["c"]) == (7, int(long), longer)
+
+
+def test_untouched_integers_keep_type_and_value(spark):
+    big = 9007199254740993
+    df = spark.createDataFrame([(big, None, 1.0), (big + 1, 2, 2.0), (big + 2, 4, 900.0)], "k bigint, g int, x double")
+    for out in (cleaning.impute_mean(df), cleaning.impute_median(df)):
+        assert dict(out.dtypes) == {"k": "bigint", "g": "double", "x": "double"}
+        assert sorted((r["k"], r["g"]) for r in out.collect()) == [(big, 3.0), (big + 1, 2.0), (big + 2, 4.0)]
+    capped = cleaning.cap_outliers(df)
+    assert dict(capped.dtypes)["k"] == "bigint" and max(r["k"] for r in capped.collect()) == big + 2
+
+
+def test_hot_keys_are_dealt_among_tasks(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        asked = spark.range(2000).selectExpr("id AS q_id", "if(id % 10 = 0, concat('d', id), 'hot') AS dataset", "concat('compare a ', id) AS question")
+        columns = spark.createDataFrame([("hot", 0, "a", "numeric"), ("hot", 1, "b", "categorical")], "dataset string, ordinal int, column_name string, kind string")
+        sessions = asked.selectExpr("dataset", "q_id AS session_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts", "question", "question AS key_finding").limit(50)
+        pictures = spark.createDataFrame([("hot", "x.png")], "dataset string, path string").withColumn("made", F.expr("timestamp_ntz'2024-01-01 00:00:30'"))
+        placed = asked.selectExpr("dataset", "q_id AS session_id", "timestamp_ntz'2024-01-01 00:00:00' AS ts")
+        joined = {
+            "intent": (classify.question_intent(asked, columns), 2000), "target": (stats.target_column(asked, columns), 2000),
+            "match": (history.match_artifacts(placed, pictures), 2000),
+        }
+        for name, (df, n) in joined.items():
+            hot = df.filter("dataset = 'hot'").groupBy(F.spark_partition_id()).count().collect()
+            assert df.count() == n and len(hot) >= 5, name
+        assert history.context_retrieval(asked, sessions).count() > 0
+        plan = history.context_retrieval(asked, sessions)._jdf.queryExecution().executedPlan().toString()
+        assert "__salt" in plan
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_questions_on_unknown_datasets_are_kept(spark):
+    asked = spark.createDataFrame([(1, "none", "show the trend")], "q_id int, dataset string, question string")
+    columns = spark.createDataFrame([], "dataset string, ordinal int, column_name string, kind string")
+    row = classify.question_intent(asked, columns).first()
+    assert (row["chart"], row["analysis"]) == ("summary", "aggregation")
+    assert stats.target_column(asked, columns).first()["target_column"] is None

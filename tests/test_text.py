@@ -85,6 +85,16 @@ def test_recursive_chunks_overlap_and_cover():
     assert corpus.split_recursive("x" * 700, 300, 60)[0] == "x" * 300
 
 
+def test_recursive_chunks_are_parts_of_their_text():
+    for text in ("a  b   c", "x\n\n\n\ny", "  lead " + "w" * 50 + "\n\n" + "one two  three\nfour " * 20, "", " \n "):
+        spans = corpus.split_spans(text, 30, 8)
+        assert all(0 < b - a <= 30 and text[a:b] == text[a:b].strip() for a, b in spans)
+        assert spans == sorted(spans)
+        inside = {i for a, b in spans for i in range(a, b)}
+        assert inside >= {i for i, c in enumerate(text) if not c.isspace()}
+    assert corpus.split_recursive("a  b   c", 30, 8) == ["a  b   c"]
+
+
 def test_recursive_chunks_as_rows(spark):
     df = spark.createDataFrame([(1, "a b " * 400), (2, ""), (3, None)], "id int, t string")
     rows = corpus.chunks_recursive(df, "t", 100, 20).collect()

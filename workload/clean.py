@@ -97,7 +97,7 @@ def capped_sql(c: str) -> str:
     "cap_outliers",
     f"""
 WITH f AS ({fences_sql("orders_dirty", DIRTY_NUMBERS)})
-SELECT {", ".join(f"round({capped_sql(c)}, 4) AS {c}" for c in DIRTY_NUMBERS)}, o_orderstatus, o_orderdate, o_orderpriority
+SELECT o_orderkey, o_custkey, round({capped_sql("o_totalprice")}, 4) AS o_totalprice, o_orderstatus, o_orderdate, o_orderpriority
 FROM orders_dirty, f
 """,
 )
@@ -220,7 +220,7 @@ PLAN = C.CleaningPlan(
     numbers="median", strings="mode", drop_duplicates=True, cap_outliers=True, title_text=True
 )
 FILLED = f"""
-SELECT DISTINCT cast(o_orderkey AS double) AS o_orderkey, cast(o_custkey AS double) AS o_custkey, o_orderstatus, o_orderdate,
+SELECT DISTINCT o_orderkey, o_custkey, o_orderstatus, o_orderdate,
        coalesce(o_totalprice, (SELECT quantile_cont(o_totalprice, 0.5) FROM orders_dirty)) AS o_totalprice,
        coalesce(o_orderpriority, {MODE}) AS o_orderpriority FROM orders_dirty
 """
@@ -230,7 +230,7 @@ SELECT DISTINCT cast(o_orderkey AS double) AS o_orderkey, cast(o_custkey AS doub
     "clean_structured",
     f"""
 WITH u AS ({FILLED}), f AS ({fences_sql("u", DIRTY_NUMBERS)})
-SELECT {", ".join(f"round({capped_sql(c)}, 4) AS {c}" for c in DIRTY_NUMBERS)},
+SELECT o_orderkey, o_custkey, round({capped_sql("o_totalprice")}, 4) AS o_totalprice,
        {title_sql("o_orderstatus")} AS o_orderstatus, o_orderdate, {title_sql("o_orderpriority")} AS o_orderpriority
 FROM u, f
 """,

@@ -197,7 +197,7 @@ SELECT q_id, dataset, question, {any_of("lower(question)", rules.CHART_WORDS)} A
             THEN 'comparison' WHEN nums >= 1 THEN 'distribution' ELSE 'summary' END AS chart,
        CASE WHEN cats >= 1 AND nums >= 1 THEN 'comparison' WHEN nums >= 2 THEN 'correlation'
             WHEN nums >= 1 THEN 'distribution' ELSE 'aggregation' END AS analysis
-FROM (SELECT q_id, home AS dataset, question FROM questions) q JOIN kinds USING (dataset)
+FROM (SELECT q_id, home AS dataset, question FROM questions) q LEFT JOIN kinds USING (dataset)
 """,
 )
 def question_intent(t):
@@ -208,7 +208,7 @@ def question_intent(t):
     "target_column",
     """
 WITH hits AS (SELECT q_id, column_name, ordinal, contains(lower(question), lower(column_name)) AS named
-              FROM (SELECT q_id, home AS dataset, question FROM questions) q JOIN catalog USING (dataset))
+              FROM (SELECT q_id, home AS dataset, question FROM questions) q LEFT JOIN catalog USING (dataset))
 SELECT q_id, target_column FROM (SELECT q_id, column_name AS target_column,
        row_number() OVER (PARTITION BY q_id ORDER BY named DESC, ordinal) AS rank FROM hits) r WHERE rank = 1
 """,

@@ -383,4 +383,4 @@ def report_stats(t):
     + ") p WHERE ordinal < 10",
 )
 def feature_table(t):
-    return reports.feature_table(profile.column_profile(t("lineitem")))
+    return reports.feature_table(t("lineitem"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import pandas as pd
+from pyspark.sql import Window as W, functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import charts, classify, corpus, rules, vectors
@@ -27,12 +28,35 @@ WHERE regexp_matches(substr(text, i * 1000 + 1, 1000), '\\S')
 
 @query("text_chunks_fixed", chunks_sql("documents", "doc_id"))
 def text_chunks_fixed(t):
-    return corpus.chunks_fixed(t.spread("documents").select("doc_id", "text"), "text")
+    return corpus.chunks_fixed(t("documents").select("doc_id", "text"), "text")
 
 
 @query("text_chunks_recursive")
 def text_chunks_recursive(t):
-    return corpus.chunks_recursive(t.spread("documents").select("doc_id", "text"), "text")
+    return corpus.chunks_recursive(t("documents").select("doc_id", "text"), "text")
+
+
+@query(
+    "chunk_coverage",
+    r"""
+SELECT doc_id, length(regexp_replace(text, '\s', '', 'g')) AS covered, 0 AS altered, 0 AS too_long, 0 AS disordered
+FROM documents WHERE regexp_matches(text, '\S')
+""",
+)
+def chunk_coverage(t):
+    """Per text: characters in chunks, without white space, and chunks that break a rule."""
+    chunks = corpus.chunks_recursive(t("documents").withColumn("whole", F.col("text")).select("doc_id", "whole", "text"), "text")
+    per = W.partitionBy("doc_id").orderBy("chunk")
+    until = F.col("start") + F.col("length")
+    chunks = chunks.withColumns({"before": F.coalesce(F.max(until).over(per.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)),
+                                 "previous": F.coalesce(F.lag("start").over(per), F.lit(-1))})
+    fresh = F.expr("substring(whole, greatest(start, before) + 1, greatest(0, start + length - greatest(start, before)))")
+    return chunks.groupBy("doc_id").agg(
+        F.sum(F.length(F.regexp_replace(fresh, r"\s", ""))).alias("covered"),
+        F.count_if(F.expr("substring(whole, start + 1, length) <> content")).alias("altered"),
+        F.count_if(F.col("length") > 1000).alias("too_long"),
+        F.count_if((F.col("start") <= F.col("previous")) | (F.col("start") > 0) & (until <= F.col("before"))).alias("disordered"),
+    )
 
 
 PAGES = "(SELECT 'talk/' || conv_id AS path, coalesce(CASE WHEN role <> 'system' THEN turn END, 0) AS page, text FROM conversations)"
@@ -66,7 +90,7 @@ SELECT doc_id, CASE WHEN top = 0 THEN NULL WHEN s0 = top THEN ',' WHEN s1 = top
 """,
 )
 def delimiters(t):
-    return t.spread("documents").select("doc_id", guess_delimiter(F.col("text")).alias("delimiter"))
+    return t("documents").select("doc_id", guess_delimiter(F.col("text")).alias("delimiter"))
 
 
 @query(
@@ -78,7 +102,7 @@ FROM documents WHERE length(text) > 0
 """,
 )
 def text_profile(t):
-    return corpus.text_profile(t.spread("documents"), "text")
+    return corpus.text_profile(t("documents"), "text")
 
 
 HITS = r"list_filter(regexp_extract_all(lower(text), '\p{L}+'), lambda w: w IN "
@@ -97,12 +121,12 @@ SELECT CASE WHEN top = 0 THEN 'unknown' WHEN de = top THEN 'de' WHEN en = top TH
 """,
 )
 def language_hist(t):
-    return corpus.language_hist(t.spread("documents"), "text")
+    return corpus.language_hist(t("documents"), "text")
 
 
 @query("clean_text", f"SELECT doc_id, text AS content, {CLEANED} AS cleaned_content FROM documents")
 def clean_text(t):
-    return corpus.clean_text(t.spread("documents").select("doc_id", F.col("text").alias("content")))
+    return corpus.clean_text(t("documents").select("doc_id", F.col("text").alias("content")))
 
 
 @query(
@@ -115,12 +139,12 @@ SELECT count(*) AS document_count, round(avg(n), 4) AS avg_doc_length, cast(min(
 """,
 )
 def clean_text_stats(t):
-    return corpus.clean_text_stats(corpus.clean_text(t.spread("documents").select(F.col("text").alias("content"))))
+    return corpus.clean_text_stats(corpus.clean_text(t("documents").select(F.col("text").alias("content"))))
 
 
 @query("corpus_stats", f"SELECT count(*) AS num_docs, round(avg({N_WORDS}), 4) AS avg_len FROM documents")
 def corpus_stats(t):
-    return corpus.corpus_stats(t.spread("documents"), "text")
+    return corpus.corpus_stats(t("documents"), "text")
 
 
 WORDS = r"SELECT unnest(regexp_extract_all({x}, '\S+')) AS word FROM documents"
@@ -131,7 +155,7 @@ WORDS = r"SELECT unnest(regexp_extract_all({x}, '\S+')) AS word FROM documents"
     f"SELECT word, count(*) AS n FROM ({WORDS.format(x='text')}) w GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
 )
 def word_freq(t):
-    return corpus.word_freq(t.spread("documents"), "text")
+    return corpus.word_freq(t("documents"), "text")
 
 
 @query(
@@ -143,7 +167,7 @@ SELECT word, n, round(n / (SELECT max(n) FROM k), 4) AS weight FROM k
 """,
 )
 def word_weights(t):
-    return charts.word_weights(t.spread("documents"), "text")
+    return charts.word_weights(t("documents"), "text")
 
 
 @query(
@@ -156,7 +180,7 @@ SELECT doc_id, array_to_string(list_filter(regexp_extract_all(plain, '\S+'),
 """,
 )
 def normalize_text(t):
-    return t.spread("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
+    return t("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
 SCORE = "CASE w " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in X.POLARITY.items()) + " END"
@@ -200,7 +224,7 @@ FROM m
 """,
 )
 def text_domain(t):
-    return classify.text_domain(t.spread("documents").select("doc_id", "text"), "text").drop("text")
+    return classify.text_domain(t("documents").select("doc_id", "text"), "text").drop("text")
 
 
 MET = ", ".join(f"bool_or(contains(lower(text), '{p}'))::INT AS p{i}" for i, p in enumerate(classify.PHRASES))
@@ -221,7 +245,7 @@ SELECT CASE WHEN top < 2 THEN 'General' {" ".join(f"WHEN s{i} = top THEN '{d}'"
 """,
 )
 def corpus_domain(t):
-    return classify.corpus_domain(t.spread("documents"), "text")
+    return classify.corpus_domain(t("documents"), "text")
 
 
 @query("key_finding", "SELECT session_id, key_finding FROM sessions")
@@ -303,9 +327,61 @@ def knn_cosine(t):
     return nearest(t, "cosine")
 
 
+def pairwise_sql(sides: str, distance: str) -> str:
+    return f"""
+WITH {sides},
+d AS (SELECT query_id, mem_id, {distance} AS distance FROM q, m),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, mem_id) AS rank FROM d)
+SELECT query_id, mem_id, round(distance, 4) AS distance FROM r WHERE rank <= 5
+"""
+
+
+@query(
+    "knn_many",
+    pairwise_sql(
+        """q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings),
+m AS (SELECT vec_id AS mem_id, embedding::DOUBLE[] AS w FROM embeddings)""",
+        "list_distance(v, w)",
+    ),
+)
+def knn_many(t):
+    """Every vector against all."""
+    table = t("embeddings")
+    memory, asked = (table.select(F.col("vec_id").alias(name), "embedding") for name in ("mem_id", "query_id"))
+    return vectors.knn(memory, asked, 5)
+
+
+VOCABULARY = ["the", "of", "and", "to", "in", "that", "is", "it", "der", "die", "und", "la", "le", "de", "les", "el", "que", "los", "en", "on"]
+
+
+def vocabulary_counts(batch: pd.Series) -> list:
+    counts = batch.fillna("").str.lower().str.split()
+    return [[words.count(w) for w in VOCABULARY] for words in counts]
+
+
+def counts_sql(table: str, key: str, name: str, vector: str) -> str:
+    words = ", ".join(f"len(list_filter(words, lambda w: w = '{w}'))::DOUBLE" for w in VOCABULARY)
+    listed = r"regexp_extract_all(lower(text), '\S+')"
+    return f"SELECT {key} AS {name}, [{words}] AS {vector} FROM (SELECT {key}, {listed} AS words FROM {table}) x"
+
+
+@query(
+    "memory_search_words",
+    pairwise_sql(
+        f"q AS ({counts_sql('benchmark', 'item_id', 'query_id', 'v')}), m AS ({counts_sql('documents', 'doc_id', 'mem_id', 'w')})",
+        "CASE WHEN list_sum(v) = 0 OR list_sum(w) = 0 THEN 1.0 ELSE round(1 - list_inner_product(v, w) / sqrt(list_inner_product(v, v) * list_inner_product(w, w)), 9) END",
+    ),
+)
+def memory_search_words(t):
+    """Memory search with the caller's embedding: counts of a few words."""
+    memory = vectors.embed(t("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text", vocabulary_counts)
+    asked = vectors.embed(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", vocabulary_counts)
+    return vectors.knn(memory, asked, 5, "cosine")
+
+
 @query("memory_search")
 def memory_search(t):
-    memory = vectors.embed(t.spread("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text")
+    memory = vectors.embed(t("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text")
     asked = vectors.embed(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text")
     return vectors.knn(memory, asked, 5, "cosine")
 

@@ -10,8 +10,6 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from plumbline.sources.readers import spread
-
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -157,10 +155,6 @@ def oracle(text: str) -> str:
 class Tables:
     """Given tables and derived views as DataFrames."""
 
-    def spread(self, name: str) -> DataFrame:
-        """A given table for work that is heavy per row."""
-        return spread(self(name), f"{self.sf_dir}/{name}.parquet")
-
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir
 

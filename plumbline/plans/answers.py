@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import literal_table, numeric_columns, string_columns
 from plumbline.functions.text import plain_question
-from plumbline.operators import charts, corpus, rules, stats
+from plumbline.operators import charts, classify, corpus, stats
 
 
 @dataclass
@@ -21,18 +21,26 @@ class Answer:
     columns: list[str]
     result: DataFrame
     chart: DataFrame | None = None
+    chart_kind: str | None = None
 
 
-def wants_chart(question: str) -> bool:
-    return any(w in question.lower() for w in rules.CHART_WORDS)
+@dataclass
+class Decision:
+    """What the word rules say about a question."""
+
+    wants_chart: bool
+    chart: str
+    analysis: str
 
 
-def analysis_kind(numbers: list[str], strings: list[str]) -> str:
-    if numbers and strings:
-        return "comparison"
-    if len(numbers) >= 2:
-        return "correlation"
-    return "distribution" if numbers else "aggregation"
+def decide(df: DataFrame, question: str) -> Decision:
+    """The rules of `classify` for one question; a one-row projection that needs no job."""
+    counts = [F.lit(len(numeric_columns(df))), F.lit(len(string_columns(df)))]
+    row = literal_table(df, [(question,)], {"question": "string"}).select(
+        classify.wants_chart(F.col("question")).alias("wants_chart"),
+        classify.chart_kind(F.col("question"), *counts).alias("chart"), classify.analysis_kind(*counts).alias("analysis"),
+    )
+    return Decision(**row.first().asDict())
 
 
 def find_column(question: str, columns: list[str]) -> str | None:
@@ -44,39 +52,52 @@ def relevant_columns(numbers: list[str], strings: list[str], k: int = 3) -> list
     return (numbers + strings)[:k]
 
 
+def question_chart(df: DataFrame, question: str, kind: str) -> DataFrame | None:
+    """The data of a chart of that kind, on the columns that the question names."""
+    number = find_column(question, numeric_columns(df))
+    if kind == "comparison":
+        return charts.chart_data(df, kind, find_column(question, string_columns(df)), number)
+    return charts.chart_data(df, kind, y=number if kind == "distribution" else None)
+
+
 def _pick(wanted: list[str], among: list[str]) -> str | None:
     return next((c for c in wanted if c in among), among[0] if among else None)
 
 
-def answer(df: DataFrame, question: str, kind: str | None = None, columns: list[str] | None = None) -> Answer:
-    """Answer a question on a table; kind and columns default to the fallback rules."""
+def answer(
+    df: DataFrame, question: str, kind: str | None = None, columns: list[str] | None = None, chart: str | None = None
+) -> Answer:
+    """Answer a question on a table; kind, columns and chart kind default to the word rules.
+
+    A chart comes with the answer if the question asks for one or `chart` names its kind
+    (correlation, distribution, comparison, scatter or trend).
+    """
     numbers, strings = numeric_columns(df), string_columns(df)
-    kind = kind or analysis_kind(numbers, strings)
+    rules = decide(df, question)
+    kind = kind or rules.analysis
     wanted = columns or relevant_columns(numbers, strings)
-    chart = wants_chart(question)
+    drawn = chart or (rules.chart if rules.wants_chart else None)
+    data = question_chart(df, question, drawn) if drawn else None
+    drawn = None if data is None else drawn
     number, category = _pick(wanted, numbers), _pick(wanted, strings)
     chosen = [c for c in wanted if c in numbers]
     if kind == "correlation" and len(chosen) >= 2:
         matrix = stats.corr_matrix(df, chosen)
-        return Answer(question, kind, chosen, stats.corr_findings(matrix), matrix if chart else None)
+        return Answer(question, kind, chosen, stats.corr_findings(matrix), data, drawn)
     if kind == "distribution" and number:
-        data = charts.histogram(df, number) if chart else None
-        return Answer(question, kind, [number], stats.distribution(df, number), data)
+        return Answer(question, kind, [number], stats.distribution(df, number), data, drawn)
     if kind == "comparison" and number and category:
         groups = stats.group_compare(df, category, number)
-        data = groups.select("category", "mean") if chart else None
-        return Answer(question, kind, [category, number], stats.compare_summary(groups), data)
+        return Answer(question, kind, [category, number], stats.compare_summary(groups), data, drawn)
     if kind == "aggregation" and number:
-        data = charts.histogram(df, number) if chart else None
-        return Answer(question, kind, [number], stats.basic_stats(df, [number]), data)
+        return Answer(question, kind, [number], stats.basic_stats(df, [number]), data, drawn)
     if wanted and wanted[0] in numbers:
-        data = charts.histogram(df, wanted[0]) if chart else None
-        return Answer(question, "basic", [wanted[0]], stats.basic_column(df, wanted[0]), data)
+        return Answer(question, "basic", [wanted[0]], stats.basic_column(df, wanted[0]), data, drawn)
     shape = df.agg(F.count("*").alias("records")).select(
         "records", F.lit(len(df.columns)).alias("features"), F.lit(len(numbers)).alias("numeric"),
         F.lit(len(strings)).alias("categorical"),
     )
-    return Answer(question, "overview", [], shape)
+    return Answer(question, "overview", [], shape, data, drawn)
 
 
 # Words that choose the analysis of a text collection.
@@ -107,11 +128,11 @@ def answer_text(df: DataFrame, text: str, question: str) -> Answer:
     return Answer(question, kind, [text], corpus.corpus_stats(df, text), corpus.word_freq(df, text))
 
 
-def as_rows(a: Answer) -> DataFrame:
-    """The result of an answer as `(statistic, value)` lines, so that different kinds can be united."""
-    cells = F.create_map(*[x for c in a.result.columns for x in (F.lit(c), F.col(c).cast("string"))])
-    return a.result.select(F.explode(cells).alias("statistic", "value")).select(
-        F.lit(a.method).alias("method"), F.lit(",".join(a.columns)).alias("columns"), "statistic", "value"
+def as_rows(table: DataFrame, method: str, columns: list[str]) -> DataFrame:
+    """A table as `(statistic, value)` lines, so that different kinds can be united."""
+    cells = F.create_map(*[x for c in table.columns for x in (F.lit(c), F.col(c).cast("string"))])
+    return table.select(F.explode(cells).alias("statistic", "value")).select(
+        F.lit(method).alias("method"), F.lit(",".join(columns)).alias("columns"), "statistic", "value"
     )
 
 
@@ -120,18 +141,20 @@ def answer_multiple(
 ) -> DataFrame:
     """All questions on one table as `(question, method, columns, statistic, value)` rows.
 
-    Questions with the same analysis and columns share one plan. A question that cannot be planned
-    becomes a row with method `error`.
+    Chart data come as rows of method `chart <kind>`, a line per cell. Questions with the same
+    analysis and columns share one plan. A question that cannot be planned becomes a row with method
+    `error`.
     """
     plans: dict[tuple, tuple[DataFrame, list[str]]] = {}
     failed = []
     for q in questions:
         try:
             a = answer(df, q, (kinds or {}).get(q), (columns or {}).get(q))
-            key = (a.method, tuple(a.columns))
-            if key not in plans:
-                plans[key] = (as_rows(a), [])
-            plans[key][1].append(q)
+            plans.setdefault((a.method, tuple(a.columns)), (as_rows(a.result, a.method, a.columns), []))[1].append(q)
+            if a.chart is not None:
+                drawn = f"chart {a.chart_kind}"
+                named = (drawn, find_column(q, numeric_columns(df)), find_column(q, string_columns(df)))
+                plans.setdefault(named, (as_rows(a.chart, drawn, []), []))[1].append(q)
         except Exception as problem:  # one bad question must not stop the rest
             failed.append((q, "error", "", "message", str(problem)))
     names = ["question", "method", "columns", "statistic", "value"]

@@ -20,7 +20,7 @@ SESSION = {
 
 def answer_text(a: Answer) -> DataFrame:
     """The result of an answer, a few statistics, as one text `(answer)`."""
-    lines = as_rows(a).select(F.concat_ws("=", "statistic", "value").alias("line"))
+    lines = as_rows(a.result, a.method, a.columns).select(F.concat_ws("=", "statistic", "value").alias("line"))
     text = F.array_join(F.array_sort(F.collect_list("line")), "; ")
     head = f"{a.method} of {', '.join(a.columns) or 'the table'}. "
     return lines.agg(F.concat(F.lit(head), text).alias("answer"))

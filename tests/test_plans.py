@@ -41,6 +41,19 @@ def test_answer_many_shares_plans_and_reports_errors(sales, monkeypatch):
     assert len([r for r in rows if r["question"] == "a?"]) == 5
 
 
+def test_charts_show_the_columns_that_are_named(sales):
+    shown = answers.answer(sales, "Show the distribution of units")
+    assert shown.chart_kind == "distribution" and shown.chart.agg(F.max("high")).first()[0] == 89.0
+    bars = answers.answer(sales, "Compare price by region").chart
+    assert bars.columns == ["category", "mean"] and abs(bars.filter("category = 'r2'").first()["mean"] - sales.filter("region = 'r2'").agg(F.avg("price")).first()[0]) < 1e-9
+    assert answers.answer(sales, "units?", chart="scatter").chart.columns == ["x", "y"]
+    dated = sales.withColumn("order_date", F.expr("date'2024-01-15' + id"))
+    assert answers.answer(dated, "trend of price", chart="trend").chart.count() == 4
+    rows = answers.answer_multiple(sales, ["Show the distribution of units", "Show the distribution of price"])
+    drawn = rows.filter("method = 'chart distribution'").groupBy("question").count().collect()
+    assert {r["count"] for r in drawn} == {120} and len(drawn) == 2
+
+
 def test_answer_text(spark):
     df = spark.createDataFrame([("good good day",), ("bad day",), (" ",)], "t string")
     assert answers.answer_text(df, "t", "word frequency?").result.first()["n"] == 2

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W, functions as F
 
 from plumbline.functions import text as X
 from plumbline.operators import charts, classify, corpus, rules, vectors
-from plumbline.plans.answers import answer_multiple
+from plumbline.plans.answers import answer, answer_multiple, answer_text
 from plumbline.sources.csv_repair import SEPARATORS, guess_delimiter
 from workload.clean import strip_sql
 from workload.registry import query, words_sql
@@ -396,3 +396,35 @@ KINDS = dict(zip(ASKED, ["distribution", "comparison", "correlation", "aggregati
 @query("answer_multiple")
 def answers(t):
     return answer_multiple(t("lineitem"), ASKED, KINDS)
+
+
+@query(
+    "answer_text",
+    f"SELECT word, count(*) AS n FROM ({WORDS.format(x='text')}) w GROUP BY 1 ORDER BY n DESC, word LIMIT 20",
+)
+def text_answer(t):
+    return answer_text(t("documents"), "text", "Which keyword is most frequent?").result
+
+
+@query(
+    "answer_chart",
+    """
+SELECT 'bars' AS chart, l_returnflag AS label, round(avg(l_quantity), 4) AS value FROM lineitem GROUP BY 2
+UNION ALL
+SELECT 'points', CAST(count(*) AS VARCHAR), round(avg(l_orderkey), 4) FROM lineitem
+UNION ALL
+SELECT 'trend', CAST(year(l_shipdate) * 100 + month(l_shipdate) AS VARCHAR), round(avg(l_orderkey), 4) FROM lineitem GROUP BY 2
+""",
+)
+def chart_answer(t):
+    """The charts that questions lead to: by words, and by a kind the caller names."""
+    table = t("lineitem")
+    bars = answer(table, "Compare l_quantity by l_returnflag").chart
+    points = answer(table, "How do the numbers relate?", chart="scatter").chart
+    trend = answer(table, "How does it grow?", chart="trend").chart
+    month = (F.year("time") * 100 + F.month("time")).cast("string")
+    return (
+        bars.select(F.lit("bars").alias("chart"), F.col("category").alias("label"), F.col("mean").alias("value"))
+        .unionByName(points.agg(F.lit("points").alias("chart"), F.count("*").cast("string").alias("label"), F.avg("x").alias("value")))
+        .unionByName(trend.select(F.lit("trend").alias("chart"), month.alias("label"), "value"))
+    )

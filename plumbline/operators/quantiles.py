@@ -1,25 +1,29 @@
 """Exact quantiles that never gather a whole column in one task.
 
-The wanted ranks are closed in by histograms: every round counts the values of the current brackets
-in equal-width bins (a hash aggregation of at most `BINS` groups per bracket), keeps the bins that
-hold the wanted ranks, and narrows each bracket to their smallest and largest value. Brackets of at
-most `RANK_LIMIT` rows are ranked value by value. One or two rounds do for billions of rows, and
-what reaches the driver depends on the number of bins, not on the data.
+The wanted ranks are closed in by rank, so the number of scans does not depend on how the values are
+spread: approximate percentiles, whose error in rank is known, give two values between which a rank
+must lie; a second scan counts the rows below and between them. That leaves about 4 rows in
+ACCURACY. A bracket that still holds more than RANK_LIMIT rows is narrowed again, the others are
+ranked value by value. What reaches the driver is a few numbers per column and quantile.
 """
 
 from __future__ import annotations
 
 import math
-import sys
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window, functions as F
 
 from plumbline.functions.columns import number
 
+#: Rows of a bracket that are ranked in one window.
 RANK_LIMIT = 100_000
-BINS = 1024
-FLOAT_MAX = sys.float_info.max
+
+#: Rank error of an approximate percentile is at most 1 / ACCURACY of the rows.
+ACCURACY = 10_000
+
+#: Brackets per aggregation, which bounds expressions and rows on the driver for wide tables.
+BATCH = 60
 
 
 @dataclass
@@ -63,150 +67,95 @@ def quantiles(
         return {}
     seen = summary(df, columns) if seen is None else seen
     values = df.select(*[number(df, c).alias(f"v{i}") for i, c in enumerate(columns)])
-    places, positions = {}, {}
+    brackets, positions = {}, {}
     for i, c in enumerate(columns):
         known = seen[c]
         for j, p in enumerate(probs):
             if known.count:
                 at = p * (known.count - 1)
                 positions[i, j] = at
-                for rank in {math.floor(at), math.ceil(at)}:
-                    places[i, rank] = Place(Span(i, known.low, known.high), None, 0, known.count)
-    statistics = _order_statistics(values, places, RANK_LIMIT if rank_limit is None else rank_limit)
+                brackets[i, j] = Bracket(i, math.floor(at), math.ceil(at), known.low, known.high, 0, known.count)
+    limit = RANK_LIMIT if rank_limit is None else rank_limit
+    while wide := [b for b in brackets.values() if b.inside > limit and b.low < b.high and not b.settled]:
+        for batch in _batches(wide):
+            _narrow(values, batch)
+    found = {}
+    for batch in _batches([b for b in brackets.values() if b.low < b.high]):
+        found |= _ranked(values, batch)
     result = {}
     for i, c in enumerate(columns):
         row = []
         for j in range(len(probs)):
-            at = positions.get((i, j))
+            at, b = positions.get((i, j)), brackets.get((i, j))
             if at is None:
                 row.append(None)
                 continue
-            low, high = statistics[i, math.floor(at)], statistics[i, math.ceil(at)]
+            low, high = (b.low, b.low) if b.low == b.high else (found[i, b.first], found[i, b.last])
             row.append(low if low == high else low + (high - low) * (at - math.floor(at)))
         result[c] = row
     return result
 
 
-@dataclass(frozen=True, order=True)
-class Span:
-    """The values of a column between two of them."""
+@dataclass
+class Bracket:
+    """Two values between which the ranks `first` to `last` of a column lie, and the rows below and in it."""
 
     column: int
+    first: int
+    last: int
     low: float
     high: float
-
-
-@dataclass
-class Place:
-    """Where a rank lies: a bin of a span (or all of it), the rows before the bin and those in it."""
-
-    span: Span
-    bin: int | None
     below: int
     inside: int
-
-
-def _order_statistics(values: DataFrame, places: dict[tuple[int, int], Place], limit: int) -> dict:
-    """The value at each (column, rank)."""
-    found = {k: p.span.low for k, p in places.items() if p.span.low == p.span.high}
-    places = {k: p for k, p in places.items() if k not in found}
-    while wide := {k: p for k, p in places.items() if p.inside > limit}:
-        bins = {(p.span, p.bin) for p in wide.values() if p.bin is not None}
-        if bins:  # a crowded bin becomes a span of its own
-            ends = _extremes(values, bins)
-            stuck = all(e == (s.low, s.high) for (s, _), e in ends.items())
-            for k, p in wide.items():
-                low, high = ends[p.span, p.bin]
-                if low == high:
-                    found[k] = low
-                    del places[k]
-                elif not stuck:
-                    places[k] = Place(Span(p.span.column, low, high), None, p.below, p.inside)
-            if stuck:  # neighbouring floats: very few distinct values are left
-                break
-            wide = {k: places[k] for k in wide if k in places}
-            if not wide:
-                continue
-        spans = sorted({p.span for p in wide.values()})
-        counts = {row["id"]: row["n"] for row in _histogram(values, spans).collect()}
-        for (_, rank), p in wide.items():
-            first = spans.index(p.span) * BINS
-            before = p.below
-            for k in range(BINS):
-                n = counts.get(first + k, 0)
-                if rank < before + n:
-                    p.bin, p.below, p.inside = k, before, n
-                    break
-                before += n
-    if places:
-        bins = {(p.span, p.bin) for p in places.values()}
-        ids = _ids(bins)
-        wanted = {k: (ids[p.span, p.bin], k[1] - p.below) for k, p in places.items()}
-        hits = [f"(id = {b} AND before <= {offset} AND upto > {offset})" for b, offset in wanted.values()]
-        rows = _ranked(values, bins).filter(" OR ".join(hits)).collect()
-        for key, (b, offset) in wanted.items():
-            found[key] = next(r["x"] for r in rows if r["id"] == b and r["before"] <= offset < r["upto"])
-    return found
-
-
-def _literal(x: float) -> str:
-    return f"double('{x!r}')"
-
-
-def _bin(s: Span) -> str:
-    """Bin number of a value of a span; the arithmetic is monotone, so bins stay in value order."""
-    low, high, x = s.low, s.high, f"v{s.column}"
-    if not high - low < FLOAT_MAX:  # halves, within the finite range, when the width overflows
-        low, high = max(low, -FLOAT_MAX) / 2, min(high, FLOAT_MAX) / 2
-        x = f"least(greatest({x}, {_literal(-FLOAT_MAX)}), {_literal(FLOAT_MAX)}) / 2"
-    if not high > low or not BINS / (high - low) < FLOAT_MAX:
-        return "0"
-    place = f"({x} - {_literal(low)}) * {_literal(BINS / (high - low))}"
-    # Clamped below as well: conditions may be evaluated in any order, also for values outside.
-    return f"cast(least(greatest({place}, 0), {BINS - 1}) as int)"
-
-
-def _test(s: Span) -> str:
-    return f"v{s.column} BETWEEN {_literal(s.low)} AND {_literal(s.high)}"
-
-
-def _histogram(values: DataFrame, spans: list[Span]) -> DataFrame:
-    """Rows per bin; the bins of the k-th span are numbered from `k * BINS`."""
-    cells = [f"if({_test(s)}, {k * BINS} + {_bin(s)}, null) AS c{k}" for k, s in enumerate(spans)]
-    wide = values.filter(" OR ".join(_test(s) for s in spans)).selectExpr(*cells)
-    return wide.unpivot([], wide.columns, "name", "id").filter("id IS NOT NULL").groupBy("id").agg(F.count("*").alias("n"))
-
-
-def _ids(bins: set[tuple[Span, int | None]]) -> dict[tuple[Span, int | None], int]:
-    spans = sorted({s for s, _ in bins})
-    return {(s, b): spans.index(s) * BINS + (b or 0) for s, b in bins}
-
-
-def _members(values: DataFrame, bins: set[tuple[Span, int | None]]) -> DataFrame:
-    """`(id, x)` for the values in the given bins. Each bin number is computed once per row."""
-    ids = _ids(bins)
-    wanted: dict[Span, list[int]] = {}
-    for (s, b), at_ in ids.items():
-        wanted.setdefault(s, []).append(at_)
-    whole = {s for s, b in bins if b is None}
-    numbers, cells, tests = [], [], []
-    for k, (s, listed) in enumerate(sorted(wanted.items())):
-        first = k * BINS
-        numbers.append(f"if({_test(s)}, {first if s in whole else f'{first} + {_bin(s)}'}, null) AS c{k}")
-        tests.append(f"c{k} IN ({', '.join(map(str, sorted(listed)))})")
-        cells.append(f"if({tests[-1]}, named_struct('id', c{k}, 'x', v{s.column}), null) AS s{k}")
-    numbered = values.selectExpr("*", *numbers).filter(" OR ".join(tests)).selectExpr(*cells)
-    return numbered.unpivot([], numbered.columns, "name", "cell").filter("cell IS NOT NULL").select("cell.*")
-
-
-def _extremes(values: DataFrame, bins: set[tuple[Span, int | None]]) -> dict:
-    rows = _members(values, bins).groupBy("id").agg(F.min("x").alias("low"), F.max("x").alias("high")).collect()
-    ends = {r["id"]: (r["low"], r["high"]) for r in rows}
-    return {key: ends[i] for key, i in _ids(bins).items()}
-
-
-def _ranked(values: DataFrame, bins: set[tuple[Span, int | None]]) -> DataFrame:
-    """Running counts over the distinct values of bins that hold few rows each."""
-    counts = _members(values, bins).groupBy("id", "x").agg(F.count("*").alias("n"))
+    margin: float = 2 / ACCURACY
+    settled: bool = False
+
+    def holds(self):
+        return F.col(f"v{self.column}").between(F.lit(self.low), F.lit(self.high))
+
+
+def _batches(brackets: list[Bracket]) -> list[list[Bracket]]:
+    return [brackets[i : i + BATCH] for i in range(0, len(brackets), BATCH)]
+
+
+def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
+    """Closes each bracket in around its ranks: one scan for the new ends, one for the counts."""
+    cuts = []
+    for k, b in enumerate(brackets):
+        low = max(0.0, (b.first - b.below) / b.inside - b.margin)
+        high = min(1.0, (b.last - b.below + 1) / b.inside + b.margin)
+        cuts.append(F.percentile_approx(F.when(b.holds(), F.col(f"v{b.column}")), [low, high], ACCURACY).alias(f"c{k}"))
+    ends = values.agg(*cuts).first()
+    tried = [Bracket(b.column, b.first, b.last, *ends[f"c{k}"], 0, 0) for k, b in enumerate(brackets)]
+    counts = []
+    for k, b in enumerate(tried):
+        counts += [F.count_if(F.col(f"v{b.column}") < F.lit(b.low)).alias(f"b{k}"), F.count_if(b.holds()).alias(f"i{k}")]
+    row = values.agg(*counts).first()
+    for k, (old, new) in enumerate(zip(brackets, tried)):
+        below, inside = row[f"b{k}"], row[f"i{k}"]
+        if not below <= old.first <= old.last < below + inside:
+            old.margin *= 4
+        elif inside == old.inside:
+            # Few distinct values are left, however many rows: ranking them is cheap.
+            old.settled = True
+        else:
+            old.low, old.high, old.below, old.inside = new.low, new.high, below, inside
+
+
+def _ranked(values: DataFrame, brackets: list[Bracket]) -> dict[tuple[int, int], float]:
+    """The value at each (column, rank), from running counts over the distinct values of the brackets."""
+    cells = [
+        F.when(b.holds(), F.struct(F.lit(k).alias("id"), F.col(f"v{b.column}").alias("x"))).alias(f"s{k}") for k, b in enumerate(brackets)
+    ]
+    wide = values.select(*cells)
+    members = wide.unpivot([], wide.columns, "name", "cell").filter("cell IS NOT NULL").select("cell.*")
+    counts = members.groupBy("id", "x").agg(F.count("*").alias("n"))
     order = Window.partitionBy("id").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    return counts.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
+    running = counts.withColumn("upto", F.sum("n").over(order)).withColumn("before", F.col("upto") - F.col("n"))
+    wanted = [(k, b.column, rank, rank - b.below) for k, b in enumerate(brackets) for rank in {b.first, b.last}]
+    hits = " OR ".join(f"(id = {k} AND before <= {offset} AND upto > {offset})" for k, _, _, offset in wanted)
+    rows = running.filter(hits).collect()
+    return {
+        (column, rank): next(r["x"] for r in rows if r["id"] == k and r["before"] <= offset < r["upto"])
+        for k, column, rank, offset in wanted
+    }

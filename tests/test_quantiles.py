@@ -52,3 +52,24 @@ def test_infinite_values(spark):
     values = [float("-inf"), float("inf")] + [random.Random(1).random() for _ in range(400)]
     got = quantiles(frame(spark, values), ["x"], [0.5], rank_limit=10)["x"][0]
     assert got == pytest.approx(float(np.median(values)))
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_spread(spark):
+    rng = np.random.default_rng(3)
+    tracker = spark.sparkContext.statusTracker()
+    jobs = []
+    for values in (rng.random(300_000), np.exp(rng.normal(0, 20, 300_000))):
+        df = frame(spark, values).repartition(4)
+        group = f"quantiles-{len(jobs)}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = quantiles(df, ["x"], [0.25, 0.5], rank_limit=1_000)["x"]
+        assert got == [pytest.approx(float(np.quantile(values, p)), rel=1e-9) for p in (0.25, 0.5)]
+        jobs.append(len(tracker.getJobIdsForGroup(group)))
+    spark.sparkContext.setJobGroup("", "")
+    assert jobs[0] == jobs[1] < 16
+
+
+def test_wide_tables_go_in_batches(spark):
+    df = spark.range(50).selectExpr(*[f"id * {i + 1} AS c{i}" for i in range(70)])
+    got = quantiles(df, df.columns, [0.5], rank_limit=10)
+    assert all(got[f"c{i}"] == [24.5 * (i + 1)] for i in range(70))

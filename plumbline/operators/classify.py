@@ -174,14 +174,18 @@ def relevant_columns(catalog: DataFrame, k: int = 3) -> DataFrame:
     return latest(usable, ["dataset"], [first_numeric, F.col("ordinal")], k)
 
 
-def suggest_questions(catalog: DataFrame, n: int = 10) -> DataFrame:
+def suggest_questions(catalog: DataFrame, n: int = 10, domain: str | None = None) -> DataFrame:
     """n questions per dataset `(dataset, position, question)`.
 
-    Ten templates by domain come first, then one question per column with rotating templates.
+    Ten templates by domain come first, then one question per column with rotating templates. A known
+    `domain` takes the place of the rule on column names.
     """
-    domains = _first_rule(
-        _names_mention(catalog, R.SUGGESTION_DOMAINS), R.SUGGESTION_DOMAINS, R.SUGGESTION_DOMAIN_DEFAULT
-    )
+    if domain is None:
+        domains = _first_rule(
+            _names_mention(catalog, R.SUGGESTION_DOMAINS), R.SUGGESTION_DOMAINS, R.SUGGESTION_DOMAIN_DEFAULT
+        )
+    else:
+        domains = catalog.select("dataset").distinct().withColumn("domain", F.lit(domain))
     fixed = len(R.GENERAL_QUESTIONS)
 
     def listed(texts: list[str]) -> Column:

@@ -8,7 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col
-from plumbline.functions.text import basic_clean, language_vote, not_blank, word_count, words
+from plumbline.functions.text import basic_clean, language_vote, not_blank, tokens, word_count, words
+from plumbline.operators.joins import salted_join
 
 # The separators tried from coarse to fine.
 SEPARATORS = ["\n\n", "\n", " ", ""]
@@ -46,6 +47,22 @@ def clean_text_stats(cleaned: DataFrame) -> DataFrame:
     return row.withColumn("content_quality", quality)
 
 
+def normalize_text(df: DataFrame, text: str, key: str, lemmas: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
+    """`(key, tokens)`: the normalised words of each text, in order, with their lemmas if a table gives some.
+
+    `lemmas` is `(form, lemma)`, one lemma per form; other words stay. Words meet the table by a join in
+    which a frequent word is dealt among tasks.
+    """
+    rows = df.select(col(key).alias("key"), tokens(col(text), stop_words).alias("tokens"))
+    if lemmas is not None:
+        said = rows.select("key", F.posexplode("tokens").alias("pos", "form"))
+        joined = salted_join(said, lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), ["form"], ["key"], "left")
+        found = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("word")))).alias("w"))
+        rows = rows.join(found, "key", "left")
+        rows = rows.select("key", F.coalesce(F.transform("w", lambda x: x["word"]), F.col("tokens")).alias("tokens"))
+    return rows.withColumnRenamed("key", key)
+
+
 def corpus_stats(df: DataFrame, text: str) -> DataFrame:
     return df.agg(
         F.count("*").alias("num_docs"), F.coalesce(F.avg(F.coalesce(word_count(col(text)), F.lit(0))), F.lit(0.0)).alias("avg_len")

@@ -189,3 +189,23 @@ def catalog_summary(datasets: DataFrame, questions: DataFrame, sessions: DataFra
     return per.groupingSets(
         [["dataset", "domain"], []], "dataset", "domain"
     ).agg(F.count("*").alias("datasets"), F.sum("questions").alias("questions"), F.sum("history").alias("history"))
+
+
+def dataset_listing(records: DataFrame, questions: DataFrame, sessions: DataFrame, insights: DataFrame, k: int = 3) -> DataFrame:
+    """Each dataset with its file, load time and shape, what was asked of it, and its k main topics.
+
+    `records` is `(dataset, file_path, load_time, n_rows, n_cols)`; the other frames are summed per
+    dataset before they are joined. `topics` lists `topic (findings)`, most findings first.
+    """
+    asked = questions.groupBy("dataset").agg(F.count("*").alias("questions"))
+    held = sessions.groupBy("dataset").agg(F.count("*").alias("history"))
+    per = insights.groupBy("dataset", "topic").agg(F.count("*").alias("n"))
+    main = latest(per, ["dataset"], [F.desc("n"), F.col("topic")], k)
+    # At most k topics per dataset.
+    listed = F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("n"), "topic"))), lambda x: F.concat(x["topic"], F.lit(" ("), (-x["n"]).cast("string"), F.lit(")")))
+    topics = main.groupBy("dataset").agg(F.array_join(listed, ", ").alias("topics"))
+    joined = records.join(asked, "dataset", "left").join(held, "dataset", "left").join(topics, "dataset", "left")
+    return joined.select(
+        "dataset", "file_path", "load_time", "n_rows", "n_cols", F.coalesce("questions", F.lit(0)).alias("questions"),
+        F.coalesce("history", F.lit(0)).alias("history"), F.coalesce("topics", F.lit("")).alias("topics"),
+    )

@@ -13,7 +13,7 @@ from plumbline.sources.readers import dataset_name, file_kind, read_dataset
 
 @dataclass
 class Loaded:
-    """What loading yields. All frames are lazy."""
+    """What loading yields. Profiles and cleaning plans have run their statistics; the rows are lazy."""
 
     name: str
     raw: DataFrame
@@ -23,6 +23,7 @@ class Loaded:
     domain: DataFrame
     questions: DataFrame
     record: DataFrame
+    languages: DataFrame | None = None
 
 
 def load_dataset(
@@ -32,7 +33,9 @@ def load_dataset(
     name, kind = dataset_name(path), file_kind(path)
     raw = read_dataset(spark, path, **options)
     catalog = profile.column_catalog(raw, name)
+    languages = None
     if is_text_table(raw):
+        languages = corpus.language_hist(raw, "content")
         clean = corpus.clean_text(raw)
         described = corpus.text_profile(raw, "content")
         columns = None
@@ -50,4 +53,4 @@ def load_dataset(
         when.cast("timestamp").alias("load_time"), domain.select("domain").scalar().alias("domain"), "n_rows",
         F.lit(len(raw.columns)).alias("n_cols"),
     )
-    return Loaded(name, raw, clean, described, columns, domain, questions, record)
+    return Loaded(name, raw, clean, described, columns, domain, questions, record, languages)

@@ -282,3 +282,22 @@ def catalog_summary(t):
     datasets = classify.table_domain(t("catalog"))
     sessions = t("sessions").select(F.col("home").alias("dataset"))
     return history.catalog_summary(datasets, home_questions(t), sessions)
+
+
+@query(
+    "dataset_listing",
+    f"""
+WITH per AS (SELECT dataset, topic, count(*) AS n FROM ({INSIGHTS}) i GROUP BY 1, 2),
+main AS (SELECT *, row_number() OVER (PARTITION BY dataset ORDER BY n DESC, topic) AS r FROM per),
+topics AS (SELECT dataset, string_agg(topic || ' (' || n || ')', ', ' ORDER BY n DESC, topic) AS topics FROM main WHERE r <= 3 GROUP BY 1)
+SELECT dataset, dataset || '.csv' AS file_path, load_time, n_rows, 7 AS n_cols, n_questions AS questions, n_rows AS history,
+       coalesce(topics, '') AS topics
+FROM (SELECT dataset, max(ts) AS load_time, count(*) AS n_rows FROM sessions GROUP BY 1) s
+LEFT JOIN (SELECT dataset, count(*) AS n_questions FROM questions GROUP BY 1) q USING (dataset) LEFT JOIN topics USING (dataset)
+""",
+)
+def dataset_listing(t):
+    sessions = t("sessions")
+    records = sessions.groupBy("dataset").agg(F.max("ts").alias("load_time"), F.count("*").alias("n_rows"))
+    records = records.withColumns({"file_path": F.concat("dataset", F.lit(".csv")), "n_cols": F.lit(7)})
+    return history.dataset_listing(records, t("questions"), sessions, history.insight_rows(sessions))

@@ -183,6 +183,31 @@ def normalize_text(t):
     return t("documents").select("doc_id", F.array_join(X.tokens(F.col("text")), " ").alias("tokens"))
 
 
+FORMS = r"""
+forms AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+ing')) AS form FROM benchmark)"""
+
+
+@query(
+    "lemma_text",
+    rf"""
+WITH {FORMS.strip()},
+p AS (SELECT doc_id, regexp_replace(regexp_replace(lower(text), '\p{{Nd}}+', '', 'g'), '[[:punct:]]+', '', 'g') AS plain
+      FROM documents),
+w AS (SELECT doc_id, list_filter(regexp_extract_all(plain, '\S+'),
+      lambda w: length(w) > 2 AND w NOT IN {words_sql(X.STOP_WORDS["en"])}) AS words FROM p),
+f AS (SELECT list(form) AS listed FROM forms)
+SELECT doc_id, array_to_string(list_transform(words, lambda x: CASE WHEN list_contains(listed, x) THEN left(x, -3) ELSE x END), ' ') AS tokens
+FROM w, f
+""",
+)
+def lemma_text(t):
+    """Words of the benchmark that end in `ing` stand for their stem."""
+    found = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+ing)"), F.lit(1))).alias("form")
+    lemmas = t("benchmark").select(found).distinct().withColumn("lemma", F.expr("left(form, length(form) - 3)"))
+    rows = corpus.normalize_text(t("documents"), "text", "doc_id", lemmas)
+    return rows.select("doc_id", F.array_join("tokens", " ").alias("tokens"))
+
+
 SCORE = "CASE w " + " ".join(f"WHEN '{w}' THEN {s}" for w, s in X.POLARITY.items()) + " END"
 POLARITIES = f"""
 SELECT id, text, coalesce(list_avg(list_transform({HITS}{words_sql(list(X.POLARITY))}), lambda w: {SCORE})), 0) AS polarity

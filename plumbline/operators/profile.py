@@ -19,8 +19,19 @@ from plumbline.operators.quantiles import quantiles, summary
 
 
 def duplicate_count(df: DataFrame) -> DataFrame:
-    """Rows beyond the first of each group of equal rows; NULL equals NULL."""
-    groups = df.groupBy(*[col(c) for c in df.columns]).agg(F.count("*").alias("__n"))
+    """Rows beyond the first of each group of equal rows; NULL equals NULL.
+
+    128 bits of hash per row are shuffled instead of the rows. Hashes pass over NULL, so the places of
+    the NULLs are hashed as well. Tables with nested columns are grouped by their rows: maps have no
+    hash, and NULLs inside a value would be passed over.
+    """
+    cells = [col(c) for c in df.columns]
+    if any(isinstance(f.dataType, (T.MapType, T.ArrayType, T.StructType)) for f in df.schema.fields):
+        groups = df.groupBy(*cells).agg(F.count("*").alias("__n"))
+    else:
+        gaps = F.array(*[c.isNull() for c in cells])
+        keys = [F.xxhash64(gaps, *cells).alias("__a"), F.xxhash64(F.lit(1), gaps, *cells).alias("__b")]
+        groups = df.select(*keys).groupBy("__a", "__b").agg(F.count("*").alias("__n"))
     return groups.agg(F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).cast("bigint").alias("num_duplicates"))
 
 

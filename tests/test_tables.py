@@ -273,3 +273,9 @@ def test_questions_on_unknown_datasets_are_kept(spark):
     row = classify.question_intent(asked, columns).first()
     assert (row["chart"], row["analysis"]) == ("summary", "aggregation")
     assert stats.target_column(asked, columns).first()["target_column"] is None
+
+
+def test_duplicates_tell_the_places_of_gaps_apart(spark):
+    df = spark.createDataFrame([(None, 1), (1, None), (None, None), (None, None), (1, 1), (None, 1)], "a int, b int")
+    assert profile.duplicate_count(df).first()[0] == 2
+    assert profile.duplicate_count(df.limit(0)).first()[0] == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-from itertools import combinations_with_replacement
+import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from plumbline.functions.columns import (
@@ -15,13 +17,10 @@ from plumbline.functions.columns import (
     number,
     numeric_columns,
     present,
-    safe_corr,
 )
 from plumbline.operators.joins import salted_join
 from plumbline.operators.quantiles import quantiles, summary
 
-PAIRS_PER_AGGREGATION = 400
-
 
 STATISTICS = {"mean": "double", "std": "double", "min": "double", "q1": "double", "median": "double", "q3": "double",
               "max": "double", "count": "bigint"}
@@ -83,52 +82,61 @@ def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 def corr_matrix(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Pearson correlation of every two numeric columns, long form `(i, j, col1, col2, r)`.
 
-    A first scan finds means and gaps. Columns without gaps then need one sum per pair around the
-    means; a pair with gaps is measured over its complete rows. A few hundred pairs share a scan.
+    One scan finds means and deviations, a second one sums cross products of the scaled columns, as
+    products of blocks of rows: one pass for any number of columns. A pair is measured over the rows
+    where both cells hold a value; r is NULL where one side does not vary there.
     """
     columns = numeric_columns(df) if columns is None else columns
     seen = summary(df, columns)
-    rows = max([s.rows for s in seen.values()], default=0)
-    pairs = list(combinations_with_replacement(range(len(columns)), 2))
-
-    # Centred once per row, so that the sums stay small expressions.
-    centred = df.select(
-        *[(number(df, c) - F.lit(seen[c].mean)).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]
-    )
-
-    def whole(i: int) -> bool:
-        return seen[columns[i]].count == rows
-
-    def constant(i: int) -> bool:
-        return seen[columns[i]].low == seen[columns[i]].high
-
-    blocks = []
-    for start in range(0, len(pairs), PAIRS_PER_AGGREGATION):
-        batch = pairs[start : start + PAIRS_PER_AGGREGATION]
-        aggregates, correlations = [F.count("*").alias("rows")], {}
-        for k, (i, j) in enumerate(batch):
-            if constant(i) or constant(j):
-                correlations[k] = F.lit(None).cast("double")
-            elif i == j:
-                correlations[k] = F.lit(1.0)
-            elif whole(i) and whole(j):
-                aggregates.append(F.sum(F.col(f"v{i}") * F.col(f"v{j}")).alias(f"s{k}"))
-                spread = (rows - 1) * seen[columns[i]].std * seen[columns[j]].std
-                correlations[k] = F.try_divide(F.col(f"s{k}"), F.lit(spread))
-            else:
-                aggregates.append(safe_corr(F.col(f"v{i}"), F.col(f"v{j}")).alias(f"s{k}"))
-                correlations[k] = F.col(f"s{k}")
-        cells = []
-        for k, (i, j) in enumerate(batch):
-            for a, b in sorted({(i, j), (j, i)}):
-                cells.append(
-                    F.struct(
-                        F.lit(a).alias("i"), F.lit(b).alias("j"), F.lit(columns[a]).alias("col1"),
-                        F.lit(columns[b]).alias("col2"), correlations[k].alias("r"),
-                    )
-                )
-        blocks.append(centred.agg(*aggregates).select(F.inline(F.array(*cells))))
-    return reduce(DataFrame.unionByName, blocks)
+    cells = []
+    for i, c in enumerate(columns):
+        scale = seen[c].std if seen[c].std and math.isfinite(seen[c].std) else 1.0
+        cells.append(((number(df, c) - F.lit(seen[c].mean)) / F.lit(scale)).cast("double").alias(f"v{i}"))
+    sums = "i int, " + ", ".join(f"{name} binary" for name in PAIR_SUMS)
+    parts = df.select(*cells).mapInArrow(_cross_products, sums)
+    found = parts.repartition("i").mapInArrow(_correlations, "i int, j int, r double")
+    names = F.array(*[F.lit(c) for c in columns])
+    return found.select("i", "j", F.get(names, F.col("i")).alias("col1"), F.get(names, F.col("j")).alias("col2"), "r")
+
+
+#: Per column and partner: rows with both, sums and squares of either side over them, and products.
+PAIR_SUMS = ("n", "s", "t", "q", "u", "p")
+
+
+def _cross_products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task, a row per column."""
+    total = None
+    for batch in batches:
+        x = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.float64) for c in batch.columns])
+        here = ~np.isnan(x)
+        x, m = np.where(here, x, 0.0), here.astype(np.float64)
+        s, q = x.T @ m, (x**2).T @ m
+        sums = np.stack([m.T @ m, s, s.T, q, q.T, x.T @ x])
+        total = sums if total is None else total + sums
+    if total is not None:
+        rows = [pa.array([total[k, i].tobytes() for i in range(total.shape[1])], pa.binary()) for k in range(len(PAIR_SUMS))]
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.shape[1], dtype=np.int32)), *rows], names=["i", *PAIR_SUMS])
+
+
+def _correlations(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds up the tasks' sums as they stream by, one row of the matrix at a time."""
+    held: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for r, i in enumerate(batch.column(0).to_pylist()):
+            sums = np.stack([np.frombuffer(c[r].as_buffer(), np.float64) for c in batch.columns[1:]])
+            held[i] = held[i] + sums if i in held else sums
+    for i, (n, s, t, q, u, p) in held.items():
+        with np.errstate(all="ignore"):
+            # s, q: this column over the partner's rows; t, u: the partner over this column's.
+            left, right = q - s * s / n, u - t * t / n
+            r = (p - s * t / n) / np.sqrt(left * right)
+        varies = (n > 1) & (left > 1e-12 * np.maximum(q, 1e-300)) & (right > 1e-12 * np.maximum(u, 1e-300))
+        r = np.where(varies, np.clip(r, -1.0, 1.0), np.nan)
+        r[i] = 1.0 if varies[i] else np.nan
+        size = len(r)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, i, np.int32)), pa.array(np.arange(size, dtype=np.int32)), pa.array(r, mask=np.isnan(r))], names=["i", "j", "r"]
+        )
 
 
 def corr_findings(matrix: DataFrame, k: int = 3) -> DataFrame:

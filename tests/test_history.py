@@ -145,8 +145,7 @@ def test_catalog_tables(spark):
 
 
 @pytest.mark.parametrize("metric", ["l2", "cosine"])
-def test_nearest_in_one_pass_and_in_blocks(spark, metric, monkeypatch):
-    monkeypatch.setattr(vectors, "MEMORY_BLOCK", 40)
+def test_nearest_in_one_pass_and_in_blocks(spark, metric):
     rng = np.random.default_rng(2)
     memory = [[float(v) for v in rng.integers(-2, 3, 4)] for _ in range(200)]
     memory[0] = [0.0] * 4

@@ -10,6 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from plumbline.functions.columns import col
 from plumbline.session import ensure_checkpoint_dir
 
 #: Bytes of text handled at once inside a task; longer documents are handled alone.
@@ -62,6 +63,13 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = TEXT_BLOCK) -> Itera
         done, start = int(ends[stop - 1]), stop
 
 
+def text_rows(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int]:
+    """The columns `keep` of `docs` and the place of the text, which is added behind them if they lack it."""
+    if text in keep:
+        return docs.select(*map(col, keep)), keep.index(text)
+    return docs.select(*map(col, keep), col(text).alias("__text")), len(keep)
+
+
 def id_bitmap(ids: DataFrame, column: str, bits: int = BITMAP_BITS) -> np.ndarray:
     """One bit per hashed id: a set that may hold more than was put in, never less.
 

@@ -12,8 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from plumbline.functions.columns import col
-from plumbline.llm.common import blocks
-from plumbline.llm.words import hash_grams, hash_words, split_words
+from plumbline.llm.common import blocks, text_rows
+from plumbline.llm.words import hash_grams, hash_words, split_words, text_bytes
 
 #: Words of a cell. A passage is two neighbouring cells, so any run of CELL + 1 words lies in one.
 CELL = 64
@@ -49,6 +49,7 @@ class Index(NamedTuple):
     bound: np.ndarray  # per term, its highest share of a test passage's own score
     block_at: np.ndarray  # per term, where its blocks start
     block: np.ndarray  # block numbers, rising within a term
+    entry_key: np.ndarray  # term and block in one number, rising
     block_bound: np.ndarray  # highest share within the block
     post_at: np.ndarray  # per entry of `block`, where its postings start
     post_unit: np.ndarray
@@ -62,11 +63,9 @@ class Index(NamedTuple):
 
 def normal_words(column: pa.Array):
     """Words of letters and digits, in lower case, as hashes, with the index of each text's first word."""
-    data = pc.fill_null(column, "").cast(pa.large_binary())
-    _, offsets, body = data.buffers()
-    plain = _PLAIN[np.frombuffer(body, np.uint8)] if body is not None else np.zeros(0, np.uint8)
-    plain = pa.Array.from_buffers(pa.large_binary(), len(data), [None, offsets, pa.py_buffer(plain)], offset=data.offset)
-    words = split_words(plain)
+    data, offsets = text_bytes(pc.utf8_lower(column))
+    plain = [None, pa.py_buffer(offsets), pa.py_buffer(_PLAIN[data[:-8]])]
+    words = split_words(pa.Array.from_buffers(pa.large_binary(), len(column), plain))
     return hash_words(words), words.first
 
 
@@ -77,7 +76,7 @@ def _split_item(text: str) -> tuple[str, str]:
 
 
 def _hashes(text: str) -> np.ndarray:
-    return normal_words(pa.array([text.lower()]))[0]
+    return normal_words(pa.array([text]))[0]
 
 
 def _runs(hashes: np.ndarray) -> np.ndarray:
@@ -125,7 +124,7 @@ def build_index(items: list[tuple[int, str]], df: dict[int, int], units: int, me
     seen = np.zeros(1 << 20, dtype=bool)
     seen[(vocabulary & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
     return Index(
-        vocabulary, rank, seen, np.sort(bound), np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), cell[first] % n_blocks,
+        vocabulary, rank, seen, np.sort(bound), np.searchsorted(term[first], np.arange(len(vocabulary) + 1)), cell[first] % n_blocks, cell[first],
         np.maximum.reduceat(share, first), np.append(first, len(term)), unit, share, np.array(unit_item)[order], n_blocks,
         np.array(item_id), question, answer,
     )
@@ -169,7 +168,8 @@ def retrieve(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
     total = int(passages.sum())
     able = np.bincount(passage, weights=index.bound[term], minlength=total) >= floor
     keep = able[passage]
-    key = np.unique(passage[keep] * len(index.vocabulary) + term[keep])
+    key = np.sort(passage[keep] * len(index.vocabulary) + term[keep])
+    key = key[np.append(True, key[1:] != key[:-1])] if len(key) else key
     passage, term = key // len(index.vocabulary), key % len(index.vocabulary)
     nothing = tuple(np.zeros(0, np.int64) for _ in range(3)) + (np.zeros(0),)
     if not len(key):
@@ -183,9 +183,8 @@ def retrieve(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
     # Blocks that hold a telling term.
     chosen = np.flatnonzero(telling)
     entry, pick = _ranges(index.block_at[term[chosen]], index.block_at[term[chosen] + 1])
-    pairs, inverse = np.unique(of[chosen[pick]] * index.blocks + index.block[entry], return_inverse=True)
-    upper = np.bincount(inverse, weights=index.block_bound[entry], minlength=len(pairs)) + rest[pairs // index.blocks]
-    pairs = pairs[upper >= floor]
+    upper = np.bincount(of[chosen[pick]] * index.blocks + index.block[entry], weights=index.block_bound[entry], minlength=len(rest) * index.blocks)
+    pairs = np.flatnonzero((upper.reshape(-1, index.blocks) + rest[:, None]).ravel() >= floor)
     if not len(pairs):
         return nothing
     # Full scores of the test passages of those blocks.
@@ -193,9 +192,8 @@ def retrieve(index: Index, hashes: np.ndarray, first: np.ndarray) -> tuple[np.nd
     ends = np.append(begins[1:], len(term))
     row, candidate = _ranges(begins[group], ends[group])
     cell_key = term[row] * index.blocks + block[candidate]
-    known = np.repeat(np.arange(len(index.block_at) - 1), np.diff(index.block_at)) * index.blocks + index.block
-    place = np.minimum(np.searchsorted(known, cell_key), len(known) - 1)
-    found = known[place] == cell_key
+    place = np.minimum(np.searchsorted(index.entry_key, cell_key), len(index.entry_key) - 1)
+    found = index.entry_key[place] == cell_key
     place, candidate = place[found], candidate[found]
     post, which = _ranges(index.post_at[place], index.post_at[place + 1])
     slot = candidate[which] * BLOCK_UNITS + index.post_unit[post] % BLOCK_UNITS
@@ -289,23 +287,30 @@ def find_contamination(
     empty texts, and all texts if there are no items, hold none. Repeated documents are judged alike.
     """
     kept = [c for c in (docs.columns if keep is None else keep) if c != name]
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    rows = docs.select(*map(col, kept), lowered.alias("__text"), F.lit(None).cast(MATCHES).alias(name))
-    for index in _indexes(items, key, text):
-        rows = rows.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(index)), rows.schema)
-    return rows.drop("__text").withColumn(name, F.coalesce(col(name), F.array().cast(MATCHES)))
-
-
-def _scan(shared):
+    rows, at = text_rows(docs, kept, text)
+    rows = rows.withColumn(name, F.lit(None).cast(MATCHES))
+    indexes = _indexes(items, key, text)
+    index = next(indexes, None)
+    while index is not None:
+        following = next(indexes, None)
+        # The last pass hands on only what is kept.
+        names = rows.columns if following is not None else [*kept, name]
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+        rows, index = rows.mapInArrow(_scan(shared, at, len(names) - 1), rows.select(*map(col, names)).schema), following
+    return rows.select(*map(col, kept), F.coalesce(col(name), F.array().cast(MATCHES)).alias(name))
+
+
+def _scan(shared, at: int, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "__text"):
-                hashes, first = normal_words(part.column(part.num_columns - 2))
+            for part in blocks(batch, batch.schema.names[at]):
+                hashes, first = normal_words(part.column(at))
                 found = verify(shared.value, hashes, first, retrieve(shared.value, hashes, first))
                 so_far = part.column(part.num_columns - 1)
                 if any(found):
                     both = [(a or []) + b or None for a, b in zip(so_far.to_pylist(), found)]
                     so_far = pa.array(both, so_far.type)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], so_far], names=part.schema.names)
+                names = [*part.schema.names[:width], part.schema.names[-1]]
+                yield pa.RecordBatch.from_arrays([*part.columns[:width], so_far], names=names)
 
     return run

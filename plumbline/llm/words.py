@@ -57,7 +57,8 @@ class Words(NamedTuple):
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All texts end to end, with eight zeros behind, and the offsets of the texts. NULL is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_binary())
+    empty = b"" if pa.types.is_large_binary(column.type) else ""
+    column = pc.fill_null(column, empty).cast(pa.large_binary()) if column.null_count else column.cast(pa.large_binary())
     _, offsets, data = column.buffers()
     at = np.frombuffer(offsets, dtype=np.int64)[column.offset : column.offset + len(column) + 1]
     raw = np.frombuffer(data, dtype=np.uint8)[at[0] : at[-1]] if data is not None else np.zeros(0, np.uint8)

@@ -20,6 +20,10 @@ from plumbline.llm.queries import MIX_MOST, MIX_SHARE, MIX_WEIGHTS, SHARDS, qual
 from plumbline.llm.sharding import with_shard
 
 
+#: Texts of this similarity in five-word shingles, in hundredths, are near duplicates.
+NEAR = (80, 100)
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the nearest labelled texts call good: those of score 0.5 or more."""
     scored = score_quality(docs, quality_model(spark, sf_dir), score_name="__score")
@@ -32,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Only documents that may have to go, or whose id is repeated, are shuffled with their texts.
     """
     work = Workspace(spark)
-    told = near_duplicates(docs).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
+    told = near_duplicates(docs, threshold=NEAR).groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"))
     told = work.table(told.agg(F.min("kept").alias("__kept"), F.count("*").alias("__rows")).filter("__id is not null"), "told")
     touched = told.filter("not __kept or __rows > 1")
     bitmap = id_bitmap(touched, "__id")

@@ -27,8 +27,9 @@ LEAST_SHARE = 0.5
 #: Runs of this many words are compared, and these shares of question and answer must be found.
 GRAM, LEAST_QUESTION, LEAST_ANSWER = 3, 0.6, 0.6
 
-#: Test passages per block of the index, and items per index that travels with the tasks.
-BLOCK_UNITS, INDEX_ITEMS = 16, 20_000
+#: Test passages per block of the index, and words per index that travels with the tasks (about 60
+#: bytes each).
+BLOCK_UNITS, INDEX_WORDS = 16, 500_000
 
 MATCHES = "array<struct<item_id:bigint,start:int,score:double,question_overlap:double,answer_overlap:double>>"
 
@@ -235,7 +236,7 @@ def verify(index: Index, hashes: np.ndarray, first: np.ndarray, found: tuple) ->
 
 
 def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
-    """Indexes of at most about INDEX_ITEMS items each, one after the other."""
+    """Indexes of about INDEX_WORDS words each, one after the other."""
     rows = items.select(F.col(key).cast("long").alias("item_id"), F.col(text).alias("text"))
     rows = rows.filter("item_id is not null and length(text) > 0").distinct()
 
@@ -253,7 +254,7 @@ def _indexes(items: DataFrame, key: str, text: str) -> Iterator[Index]:
     units, words = terms.filter("term is null").agg(F.count("*"), F.sum("length")).first()
     if not units:
         return
-    groups = -(-rows.count() // INDEX_ITEMS)
+    groups = -(-words // INDEX_WORDS)
     group = F.pmod(F.xxhash64("item_id", "text"), F.lit(groups))
     df = terms.filter("term is not null").groupBy("term").agg(F.count("*").alias("df"))
     for number in range(groups):

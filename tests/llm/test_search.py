@@ -109,7 +109,9 @@ def test_retrieval_finds_all_above_the_threshold():
     assert (share >= C.LEAST_SHARE - 1e-9).all() and len(share) > 20
 
 
-def test_planted_items_are_found_and_clean_documents_left(spark):
+@pytest.mark.parametrize("group", [500_000, 200])
+def test_planted_items_are_found_and_clean_documents_left(spark, monkeypatch, group):
+    monkeypatch.setattr(C, "INDEX_WORDS", group)
     rows = [(0, words(500, 1, 60)), (1, words(90, 2, 60) + " " + ITEMS[7][1] + " " + words(200, 3, 60)), (2, ITEMS[8][1].upper().replace(" ", "! ")),
             (3, words(40, 4, 60) + " " + C._split_item(ITEMS[9][1])[0]), (4, None), (5, ""), (6, ITEMS[7][1] + " " + ITEMS[8][1])]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
@@ -165,7 +167,7 @@ def test_near_duplicates_equal_brute_force(spark):
 
 def test_a_crowd_of_near_copies_is_one_component(spark):
     base = words(300, 77, 3000).split()
-    rows = [(i, " ".join(base[:150] + [f"y{i}"] + base[151:])) for i in range(700)]
+    rows = [(i, " ".join(base[:150] + [f"y{i}"] + base[151:])) for i in range(1300)]
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
     assert {r["component_id"] for r in got.collect()} == {0} and got.filter("kept").count() == 1
 

@@ -202,46 +202,52 @@ def learn_bits(texts: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
 
 
 def code_scores(model: Model, tokens: Tokens) -> np.ndarray:
-    """Per text, the natural log probability of its tokens' codes."""
+    """Per text, the natural log probability of its tokens' codes.
+
+    Texts are read side by side, CHUNK tokens at a time; each has its own weights (per gate, input and
+    bit place), corrections and counts. Arrays are texts x tokens x bits, one per input.
+    """
     size = np.diff(tokens.first)
     order = np.argsort(-size, kind="stable")
-    contexts = _contexts(tokens)
-    out = np.zeros(len(size))
-    n = len(size)
-    weights = np.broadcast_to(np.array(FIRST_WEIGHTS, np.float32), (n, 2, CODE_BITS, 4)).copy()
-    refine = np.zeros((n, CODE_BITS, 8), np.float32)
-    seen = np.zeros((n, CODES, 2), np.float32)
-    place = np.arange(CODE_BITS)
+    contexts, n = _contexts(tokens), len(size)
+    out = np.zeros(n)
+    weights = [[np.full((n, CODE_BITS), w, np.float32) for w in FIRST_WEIGHTS] for _ in range(2)]
+    refine = np.zeros(n * CODE_BITS * 8, np.float32)
+    zeros, ones = np.zeros(n * CODES, np.float32), np.zeros(n * CODES, np.float32)
+    place = np.arange(CODE_BITS, dtype=np.int32)
     for start in range(0, int(size.max(initial=0)), CHUNK):
         # Texts in order of length, so those that go on are a prefix.
         live = int(np.searchsorted(-size[order], -start, side="left"))
         texts = order[:live]
-        lane = np.arange(live)[:, None, None]
+        lane = np.arange(live, dtype=np.int32)[:, None, None]
         at = tokens.first[:-1][texts][:, None] + start + np.arange(CHUNK)
         real = start + np.arange(CHUNK) < size[texts][:, None]
         at = np.where(real, at, 0)
-        nodes, bits = _nodes(tokens.code[at])
-        own = seen[lane, nodes]
-        x = np.empty((*nodes.shape, 4), np.float32)
-        x[..., 0] = model.plain[nodes]
-        for i in (0, 1):
-            x[..., i + 1] = model.orders[i][contexts[i][at][..., None] * CODES + nodes]
-        x[..., 3] = np.log((own[..., 1] + 0.4) / (own[..., 0] + 0.4))
-        gate = (own.sum(axis=-1) > 0).astype(np.int64)
-        total = (weights[lane, gate, place] * x).sum(axis=-1)
-        bucket = np.clip(total + 4, 0, 7).astype(np.int64)
-        total = np.clip(total + refine[lane, place, bucket], -12, 12)
-        sign = 2 * bits - 1
-        out[texts] -= (np.logaddexp(0, -sign * total) * real[..., None]).sum(axis=(1, 2))
-        error = ((bits - 1 / (1 + np.exp(-total))) * real[..., None]).astype(np.float32)
-        step = error[..., None] * x
-        for g in (0, 1):
-            weights[:live, g] += RATE * (step * (gate == g)[..., None]).sum(axis=1)
-        flat = ((lane * CODE_BITS + place) * 8 + bucket).ravel()
-        refine[:live] += REFINE_RATE * np.bincount(flat, weights=error.ravel(), minlength=live * CODE_BITS * 8).reshape(live, CODE_BITS, 8)
-        flat = ((lane * CODES + nodes) * 2 + bits)[np.broadcast_to(real[..., None], nodes.shape)]
-        seen[:live] += np.bincount(flat, minlength=live * CODES * 2).reshape(live, CODES, 2)
-    # Rows of the tables follow `order`; results were written by text.
+        nodes, bits = _nodes(tokens.code[at].astype(np.int32))
+        cell = lane * CODES + nodes
+        zero, one = zeros[cell], ones[cell]
+        inputs = [model.plain[nodes]]
+        inputs += [odds[contexts[i][at].astype(np.int32)[..., None] * CODES + nodes] for i, odds in enumerate(model.orders)]
+        inputs.append(np.log((one + np.float32(0.4)) / (zero + np.float32(0.4))))
+        gate = zero + one > 0
+        sums = [sum(w[:live, None] * x for w, x in zip(weights[g], inputs)) for g in range(2)]
+        total = np.where(gate, sums[1], sums[0])
+        slot = (lane * CODE_BITS + place) * 8 + np.clip(total + 4, 0, 7).astype(np.int32)
+        total = np.clip(total + refine[slot], -12, 12)
+        sign = (2 * bits - 1).astype(np.float32)
+        miss = np.exp(-sign * total)
+        shown = real[..., None]
+        out[texts] -= (np.log1p(miss) * shown).sum(axis=(1, 2), dtype=np.float64)
+        error = sign * (miss / (1 + miss)) * shown
+        gated = error * gate
+        for k, x in enumerate(inputs):
+            both, upper = (error * x).sum(axis=1), (gated * x).sum(axis=1)
+            weights[1][k][:live] += np.float32(RATE) * upper
+            weights[0][k][:live] += np.float32(RATE) * (both - upper)
+        refine[: live * CODE_BITS * 8] += REFINE_RATE * np.bincount(slot.ravel(), weights=error.ravel(), minlength=live * CODE_BITS * 8)
+        hit = bits.astype(bool) & shown
+        ones[: live * CODES] += np.bincount(cell[hit], minlength=live * CODES)
+        zeros[: live * CODES] += np.bincount(cell[~hit & shown], minlength=live * CODES)
     return out
 
 

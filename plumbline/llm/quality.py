@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from plumbline.functions.columns import col
-from plumbline.llm.common import blocks
+from plumbline.llm.common import blocks, text_rows
 from plumbline.llm.words import hash_words, split_words
 
 #: Labelled texts per class that the model is fitted on, at most.
@@ -171,13 +171,13 @@ def score_quality(docs: DataFrame, model: QualityModel | None, text: str = "text
     if model is None:
         return docs.select(*map(col, kept), F.lit(0.5).alias(score_name))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*map(col, kept), F.col(text).alias("__text"))
+    rows, at = text_rows(docs, kept, text)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, "__text"):
-                value = vote(shared.value, part.column(part.num_columns - 1))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(value)], names=[*part.schema.names[:-1], score_name])
+            for part in blocks(batch, batch.schema.names[at]):
+                value = vote(shared.value, part.column(at))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(value)], names=[*kept, score_name])
 
-    schema = T.StructType([*rows.schema.fields[:-1], T.StructField(score_name, T.DoubleType())])
+    schema = T.StructType([*rows.schema.fields[: len(kept)], T.StructField(score_name, T.DoubleType())])
     return rows.mapInArrow(score, schema)

@@ -165,13 +165,18 @@ def answer_multiple(
     return out.withColumn("question", plain_question(F.col("question")))
 
 
-def dataset_metrics(df: DataFrame, name: str, folder: str) -> dict[str, DataFrame]:
-    """Statistics and correlations of a dataset, computed once and kept as tables under a shared folder."""
+def dataset_metrics(df: DataFrame, name: str, folder: str, refresh: bool = False) -> dict[str, DataFrame]:
+    """Statistics and correlations of a dataset, computed once and kept as tables under a shared folder.
+
+    `refresh` computes them again, for data that have changed.
+    """
     spark = df.sparkSession
     compute = {"basic_stats": stats.basic_stats, "corr_matrix": stats.corr_matrix}
     out = {}
     for kind, fn in compute.items():
         path = f"{folder}/{name}/{kind}"
+        if refresh:
+            fn(df).write.mode("overwrite").parquet(path)
         try:
             out[kind] = spark.read.parquet(path)
         except AnalysisException:  # not kept yet

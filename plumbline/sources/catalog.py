@@ -51,6 +51,20 @@ class Log:
     def read(self, kind: str) -> DataFrame:
         return self.spark.read.parquet(self._path(kind))
 
+    def compact(self, kind: str) -> None:
+        """Put the kept rows of a kind into one new folder in place of its many small files.
+
+        The new folder is complete before the old one goes; nobody may append meanwhile.
+        """
+        kept = {"sessions": self.sessions, "insights": self.insights, "datasets": self.datasets}[kind]()
+        fresh, path = f"{self._path(kind)}.compact", self._path(kind)
+        kept.coalesce(1).write.mode("overwrite").parquet(fresh)
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
+        fs = old.getFileSystem(conf)
+        fs.delete(old, True)
+        fs.rename(new, old)
+
     def sessions(self) -> DataFrame:
         """The last twenty sessions per dataset."""
         return retain_sessions(self.read("sessions"))

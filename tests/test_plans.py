@@ -102,3 +102,21 @@ def test_asking_logs_and_finds_context(spark, sales, tmp_path):
     ]
     assert rows[0]["ts"] == start and "highest=" in rows[0]["answer"]
     assert {r["topic"] for r in log.insights().collect()} == {"comparison", "general"}
+
+
+def test_the_log_can_be_compacted(spark, tmp_path):
+    log = Log(spark, str(tmp_path))
+    for i in range(25):
+        log.append("sessions", spark.sql(f"SELECT 'd' AS dataset, {i}L AS session_id, timestamp_ntz'2024-01-01 00:00:{i:02d}' AS ts"))
+    log.compact("sessions")
+    assert log.read("sessions").count() == 20 and len(list((tmp_path / "sessions").glob("*.parquet"))) == 1
+    log.append("sessions", spark.sql("SELECT 'd' AS dataset, 99L AS session_id, timestamp_ntz'2024-01-02 00:00:00' AS ts"))
+    assert {r["session_id"] for r in log.sessions().collect()} == set(range(6, 25)) | {99}
+
+
+def test_metrics_are_kept_until_refreshed(spark, sales, tmp_path):
+    first = answers.dataset_metrics(sales, "s", str(tmp_path))["basic_stats"].filter("column = 'price'").first()["mean"]
+    doubled = sales.withColumn("price", F.col("price") * 2)
+    assert answers.dataset_metrics(doubled, "s", str(tmp_path))["basic_stats"].filter("column = 'price'").first()["mean"] == first
+    again = answers.dataset_metrics(doubled, "s", str(tmp_path), refresh=True)["basic_stats"].filter("column = 'price'").first()["mean"]
+    assert again == pytest.approx(2 * first)

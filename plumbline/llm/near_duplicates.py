@@ -4,14 +4,14 @@ Documents are sets of hashed word shingles. Texts of equal sets are one class an
 of smallest id. A forest of independent trees then brings similar sets together:
 
 * At the root all sets are together. A node picks one minwise token (a signature coordinate), and
-  with probability SECOND a second one; a set goes to the child of each value it has there. On
-  average about 1/similarity tokens are picked, as the chosen-path method wants, so that a pair at the
-  threshold keeps one common child in expectation, however deep the tree.
-* A node of at most LEAF sets is a leaf; larger nodes branch again, level by level, one join with the
-  signatures each. A pair at similarity s parts in one tree with probability
-  f(d) = (1-SECOND) u + SECOND u^2, u = 1 - s (1 - f(d-1)); with TREES trees and s = 0.85 it is lost
-  with probability 1e-11 at depth 1, 4e-7 at 3 and 1e-4 at 8; components lose less, since similar
-  sets are linked in several ways.
+  with probability p a second one; a set goes to the child of each value it has there. p is 1 on the
+  first TWICE levels, where most pairs are found, and SECOND below: there about 1/similarity tokens
+  are picked, as the chosen-path method wants, so that a pair at the threshold keeps one common
+  child in expectation, however deep the tree.
+* A node of weight LEAF at most is a leaf; larger nodes branch again, one join with the signatures for
+  two levels. A pair at similarity s parts below a node with probability f = (1-p) u + p u^2,
+  u = 1 - s (1 - f of the child); with TREES trees and s = 0.85 it is lost with probability 3e-7 at
+  depth 1, 3e-6 at 3 and 4e-4 at 8; components lose less, since similar sets are linked in several ways.
 * Leaves are compared exhaustively: first by signature, then, for what is left, on the full sets.
 
 Sets that stay together in crowds of more than LEAF down to DEPTH picked tokens are alike in nearly
@@ -34,8 +34,12 @@ from plumbline.llm.words import hash_grams, hash_words, mix, pair, split_words,
 
 SHINGLE = 5
 
-#: Signature coordinates, trees, chance of a second token, sets in a leaf, tokens on a path.
-COORDINATES, TREES, SECOND, LEAF, DEPTH = 64, 12, 0.2, 256, 14
+#: Signature coordinates, trees, levels of two tokens and the chance of a second one below, tokens on
+#: a path.
+COORDINATES, TREES, TWICE, SECOND, DEPTH = 64, 4, 2, 0.2, 14
+
+#: A leaf holds sets of this weight, or FEW sets of any size; a set weighs 1 for each WEIGHT shingles begun.
+LEAF, FEW, WEIGHT = 1_000, 8, 1_000
 
 #: Leaves look at pairs whose signatures agree in this share; at a true 0.8 less is as rare as 1e-4,
 #: at 0.85 as 1e-8.
@@ -106,59 +110,79 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u4").reshape(len(column), COORDINATES)
 
 
-def _branch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The children to which a set goes from its node."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        node, doc = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
-        signature = _matrix(batch.column(2))
-        draw = mix(node + np.uint64(0x1234567))
-        chance = (mix(draw) >> np.uint64(40)).astype(np.float64) / (1 << 24)
-        rows = np.arange(len(node))
-        first = (draw % np.uint64(COORDINATES)).astype(np.int64)
-        second = (first + 1 + ((draw >> np.uint64(32)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
-        for token, at in ((first, rows), (second, rows[chance < SECOND])):
-            value = signature[at, token[at]].astype(np.uint64)
-            child = pair(node[at], (token[at].astype(np.uint64) << np.uint64(32)) | value)
-            yield pa.RecordBatch.from_arrays([pa.array(child.view(np.int64)), pa.array(doc[at])], names=["node", "doc"])
+def _children(node: np.ndarray, signature: np.ndarray, rows: np.ndarray, second_chance: float) -> tuple[np.ndarray, np.ndarray]:
+    """The children to which sets (rows of `signature`) go from their nodes, and those sets."""
+    draw = mix(node + np.uint64(0x1234567))
+    chance = (mix(draw) >> np.uint64(40)).astype(np.float64) / (1 << 24)
+    first = (draw % np.uint64(COORDINATES)).astype(np.int64)
+    second = (first + 1 + ((draw >> np.uint64(32)) % np.uint64(COORDINATES - 1)).astype(np.int64)) % COORDINATES
+    nodes, of = [], []
+    for token, at in ((first, np.arange(len(node))), (second, np.flatnonzero(chance < second_chance))):
+        value = signature[rows[at], token[at]].astype(np.uint64)
+        nodes.append(pair(node[at], (token[at].astype(np.uint64) << np.uint64(32)) | value))
+        of.append(rows[at])
+    return np.concatenate(nodes), np.concatenate(of)
+
+
+def _rows(node: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(doc), pa.array(weight)], names=["node", "doc", "weight"])
 
 
 def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Level 1: every tree's root sends the set to its children."""
     for batch in batches:
-        for tree in range(TREES):
-            root = pa.array(np.full(batch.num_rows, tree + 1, dtype=np.int64))
-            yield from _branch([pa.RecordBatch.from_arrays([root, batch.column(0), batch.column(1)], names=["node", "doc", "signature"])])
+        if batch.num_rows:
+            doc, weight, signature = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+            for tree in range(TREES):
+                root = np.full(len(doc), tree + 1, np.uint64)
+                node, of = _children(root, signature, np.arange(len(doc)), 1.0)
+                yield _rows(node, doc[of], weight[of])
+
+
+def _branch(chances: list[float]):
+    """Sends sets from their nodes down as many levels as there are chances of a second token."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                node, of, signature = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(3))
+                for chance in chances:
+                    node, of = _children(node, signature, of, chance)
+                yield _rows(node, batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of])
+
+    return run
 
 
 def _forest(sets: DataFrame, work: Workspace) -> DataFrame:
-    """Rows (leaf, doc) of all leaves with two sets or more."""
-    rows = work.table(sets.select("doc", "signature").mapInArrow(_plant, "node long, doc long"), "level-1")
-    leaves = []
-    for depth in range(1, DEPTH + 1):
-        sizes = work.table(rows.groupBy("node").agg(F.count("*").alias("size")).filter("size > 1"), f"sizes-{depth}")
-        leaves.append(work.table(rows.join(sizes.filter(F.col("size") <= LEAF).select("node"), "node"), f"leaves-{depth}"))
-        crowded = sizes.filter(F.col("size") > LEAF).select("node")
+    """Rows (leaf, doc) of all leaves with two sets or more, from `sets` (doc, n, signature)."""
+    schema, leaves, depth = "node long, doc long, weight long", [], 1
+    weighed = sets.select("doc", (1 + F.floor(F.col("n") / WEIGHT)).cast("long").alias("weight"), "signature")
+    rows = work.table(weighed.mapInArrow(_plant, schema), "level-1")
+    small = (F.col("weight") <= LEAF) | (F.col("size") <= FEW)
+    while True:
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight")).filter("size > 1")
+        sizes = work.table(sizes.select("node", "size", small.alias("small")), f"sizes-{depth}")
+        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}"))
+        crowded = sizes.filter("not small").select("node", "size")
         if crowded.isEmpty():
             break
-        large = rows.join(crowded, "node")
-        if depth == DEPTH:
-            leaves.append(work.table(_deal(large, sizes), "crowds"))
+        if depth >= DEPTH:
+            leaves.append(work.table(_deal(rows.join(crowded, "node")), "crowds"))
             break
-        # One join brings the signatures of the sets that go on.
-        following = large.join(sets.select("doc", "signature"), "doc").select("node", "doc", "signature")
-        rows = work.table(following.mapInArrow(_branch, "node long, doc long"), f"level-{depth + 1}")
-        work.drop(f"level-{depth}")
+        # One join brings the signatures of the sets that go on, two levels at a time below the first ones.
+        chances = [1.0] if depth < TWICE else [SECOND, SECOND]
+        large = rows.join(crowded.select("node"), "node").join(sets.select("doc", "signature"), "doc")
+        following = work.table(large.select("node", "doc", "weight", "signature").mapInArrow(_branch(chances), schema), f"level-{depth + len(chances)}")
+        work.drop(f"level-{depth}", f"sizes-{depth}")
+        rows, depth = following, depth + len(chances)
     return reduce(DataFrame.unionByName, leaves).withColumnRenamed("node", "leaf")
 
 
-def _deal(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+def _deal(rows: DataFrame) -> DataFrame:
     """Parts of crowded nodes, each with the node's PIVOTS sets of lowest hash in about all of it."""
-    rows = rows.join(sizes, "node")
     place = F.pmod(F.xxhash64("doc", "node"), F.lit(1 << 30))
     parts = F.ceil(F.col("size") / (LEAF - PIVOTS)).cast("int")
-    pivot = place < F.lit(1 << 30) * PIVOTS / F.col("size")
+    pivot = place < F.lit(float(PIVOTS << 30)) / F.col("size")
     part = F.when(pivot, F.sequence(F.lit(0), parts - 1)).otherwise(F.array(F.pmod(place, parts)))
     return rows.select(F.explode(part).alias("part"), "node", "doc").select(F.xxhash64("node", "part").alias("node"), "doc")
 
@@ -278,21 +302,24 @@ def near_duplicates(
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text"))
     hashed = rows.select("doc", "text", F.xxhash64("text").alias("row"))
     told = work.table(hashed.mapInArrow(_describe, "doc long, row long, n long, one long, two long, signature binary"), "told")
-    known = told.filter("n > 0 and doc is not null")
-    classes = known.groupBy("n", "one", "two").agg(F.min("doc").alias("rep"))
-    classes = work.table(classes, "classes")
+    # One set per class: the row of smallest id, as it comes out of the map-side aggregation.
+    first = F.min(F.struct("doc", "row", "signature")).alias("first")
+    classes = told.filter("n > 0 and doc is not null").groupBy("n", "one", "two").agg(first)
+    classes = work.table(classes.select("n", "one", "two", F.col("first.doc").alias("rep"), "first.row", "first.signature"), "classes")
     # Where an id is repeated, it may stand for several sets; these are named by a hash instead.
     several = classes.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep", F.lit(True).alias("several"))
+    several = work.table(several, "several")
     named = F.when(F.col("several"), F.xxhash64("rep", "n", "one", "two")).otherwise(F.col("rep"))
-    classes = work.table(classes.join(several, "rep", "left").select("n", "one", "two", "rep", named.alias("set")), "named")
-    sets = known.join(classes, ["n", "one", "two"]).filter("doc = rep")
-    sets = sets.groupBy("set", "doc").agg(F.min(F.struct("row", "signature")).alias("first"))
-    sets = work.table(sets.select("set", "doc", "first.row", "first.signature"), "sets")
+    sets = classes.join(several, "rep", "left").select("n", "one", "two", F.col("rep").alias("doc"), named.alias("set"), "row", "signature")
+    # From here on the signatures of classes suffice.
+    rows = work.table(told.drop("signature"), "rows")
+    work.drop("told")
 
-    leaves = _forest(sets.select(F.col("set").alias("doc"), "signature"), work)
+    leaves = _forest(sets.select(F.col("set").alias("doc"), "n", "signature"), work)
     signed = leaves.join(sets.select(F.col("set").alias("doc"), "signature"), "doc").select("leaf", "doc", "signature")
     groups = signed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike, "group long, doc long")
     groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), "groups")
+    work.drop("crowds", *[f"{name}-{depth}" for name in ("level", "sizes", "leaves") for depth in range(1, DEPTH + 3)])
 
     # Only the texts of sets in groups are shuffled, each once.
     wanted = groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set")
@@ -304,11 +331,13 @@ def near_duplicates(
     roots = connected_components(work.table(links, "links"), work)
 
     # Components are named by the smallest id of their sets.
-    roots = work.table(roots.join(classes.select(F.col("set").alias("vertex"), "rep"), "vertex"), "roots")
-    lowest = work.table(roots.groupBy("root").agg(F.min("rep").alias("low")), "lowest")
+    roots = work.table(roots.join(sets.select(F.col("set").alias("vertex"), "doc"), "vertex"), "roots")
+    lowest = work.table(roots.groupBy("root").agg(F.min("doc").alias("low")), "lowest")
     linked = work.table(roots.join(lowest, "root").select(F.col("vertex").alias("set"), "low"), "linked")
-    classes = work.table(classes.join(linked, "set", "left").select("n", "one", "two", F.coalesce("low", "rep").alias("low")), "final")
-    out = told.select("doc", "row", "n", "one", "two").join(classes, ["n", "one", "two"], "left")
+    final = sets.drop("signature").join(linked, "set", "left").select("n", "one", "two", F.coalesce("low", "doc").alias("low"))
+    final = work.table(final, "final")
+    out = rows.join(final, ["n", "one", "two"], "left")
+    work.drop("classes", "several", "groups", "wanted", "links", "roots", "lowest", "linked")
     component = F.when(F.col("doc").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("low")), F.col("doc")))
     return out.select(
         F.col("doc").alias(key), F.col("row").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -10,6 +10,7 @@ from plumbline.llm.balltree import top_k
 from plumbline.llm.common import fold
 from plumbline.llm.contamination import find_contamination
 from plumbline.llm.langid import learn_languages, predict_languages
+from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.mixing_lm import score_texts
 from plumbline.llm.near_duplicates import near_duplicates
@@ -232,3 +233,9 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select(
         "doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"
     )
+
+
+@query("op3_license_scan")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", F.explode("licenses").alias("l"))
+    return found.select("doc_id", "l.template", "l.start", "l.stop", "l.matched", "l.coverage")

@@ -14,7 +14,7 @@ from plumbline.functions.columns import col
 from plumbline.session import ensure_checkpoint_dir
 
 #: Bytes of text handled at once inside a task; longer documents are handled alone.
-TEXT_BLOCK = 2 << 20
+TEXT_BLOCK = 1 << 20
 
 #: Bits of an id bitmap. Its size never depends on the data; a crowded one only filters less.
 BITMAP_BITS = 1 << 23
@@ -54,6 +54,8 @@ def blocks(batch: pa.RecordBatch, column: str, limit: int = TEXT_BLOCK) -> Itera
     """Slices of a batch that hold about `limit` bytes of text, one row at least."""
     if not batch.num_rows:
         return
+    # Earlier batches are gone; their memory would else stay with the worker.
+    pa.default_memory_pool().release_unused()
     text = batch.column(batch.schema.get_field_index(column))
     ends = np.cumsum(pc.fill_null(pc.binary_length(text), 0).to_numpy(zero_copy_only=False).astype("int64"))
     start, done = 0, 0

@@ -14,9 +14,10 @@ of smallest id. A forest of independent trees then brings similar sets together:
   depth 1, 3e-6 at 3 and 4e-4 at 8; components lose less, since similar sets are linked in several ways.
 * Leaves are compared exhaustively: first by signature, then, for what is left, on the full sets.
 
-Sets that stay together in crowds of more than LEAF down to DEPTH picked tokens are alike in nearly
-all of them. Such a crowd is dealt into leaves that share a few of its sets, so that all are linked
-over those.
+Nodes of more than LEAF after CROWDED tokens are crowds. A crowd is first dealt into leaves that share
+a few of its sets, over which most near copies are linked. That decides only which pairs need no
+further look: nodes whose sets are not all of one component branch on, and what is still crowded
+after DEPTH tokens is compared pair by pair of its parts, but for parts of one component.
 """
 
 from __future__ import annotations
@@ -38,6 +39,9 @@ SHINGLE = 5
 #: a path.
 COORDINATES, TREES, TWICE, SECOND, DEPTH = 64, 4, 2, 0.2, 14
 
+#: Tokens after which crowds are dealt and linked; from there on only nodes of several components branch.
+CROWDED = 4
+
 #: A leaf holds sets of this weight, or FEW sets of any size; a set weighs 1 for each WEIGHT shingles begun.
 LEAF, FEW, WEIGHT = 1_000, 8, 1_000
 
@@ -140,42 +144,49 @@ def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branch(chances: list[float]):
-    """Sends sets from their nodes down as many levels as there are chances of a second token."""
+    """Sends sets (node, signature, further columns) down as many levels as there are chances of a second token."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                node, of, signature = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(3))
+                node, of, signature = batch.column(0).to_numpy().view(np.uint64), np.arange(batch.num_rows), _matrix(batch.column(1))
                 for chance in chances:
                     node, of = _children(node, signature, of, chance)
-                yield _rows(node, batch.column(1).to_numpy()[of], batch.column(2).to_numpy()[of])
+                rest = [pa.array(c.to_numpy()[of]) for c in batch.columns[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), *rest], names=["node", *batch.schema.names[2:]])
 
     return run
 
 
-def _forest(sets: DataFrame, work: Workspace) -> DataFrame:
-    """Rows (leaf, doc) of all leaves with two sets or more, from `sets` (doc, n, signature)."""
-    schema, leaves, depth = "node long, doc long, weight long", [], 1
+def _plant_forest(sets: DataFrame, work: Workspace) -> DataFrame:
+    """Rows (node, doc, weight) of level 1, from `sets` (doc, n, signature)."""
     weighed = sets.select("doc", (1 + F.floor(F.col("n") / WEIGHT)).cast("long").alias("weight"), "signature")
-    rows = work.table(weighed.mapInArrow(_plant, schema), "level-1")
+    return work.table(weighed.mapInArrow(_plant, "node long, doc long, weight long"), "level-1")
+
+
+def _grow(rows: DataFrame, depth: int, until: int, sets: DataFrame, work: Workspace, turn: str) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Leaves (node, doc) of several components, the rows of crowds left at `until`, if any, and their depth.
+
+    Where `rows` have no column `component`, each set counts as a component of its own.
+    """
+    component, leaves = "component" if "component" in rows.columns else "doc", []
     small = (F.col("weight") <= LEAF) | (F.col("size") <= FEW)
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight")).filter("size > 1")
-        sizes = work.table(sizes.select("node", "size", small.alias("small")), f"sizes-{depth}")
-        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}"))
+        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.min(component).alias("low"), F.max(component).alias("high"))
+        sizes = work.table(sizes.filter("low <> high").select("node", "size", small.alias("small")), f"sizes-{depth}{turn}")
+        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}{turn}"))
         crowded = sizes.filter("not small").select("node", "size")
         if crowded.isEmpty():
-            break
-        if depth >= DEPTH:
-            leaves.append(work.table(_deal(rows.join(crowded, "node")), "crowds"))
-            break
+            return leaves, None, depth
+        if depth >= until:
+            return leaves, rows.join(crowded, "node"), depth
         # One join brings the signatures of the sets that go on, two levels at a time below the first ones.
         chances = [1.0] if depth < TWICE else [SECOND, SECOND]
         large = rows.join(crowded.select("node"), "node").join(sets.select("doc", "signature"), "doc")
-        following = work.table(large.select("node", "doc", "weight", "signature").mapInArrow(_branch(chances), schema), f"level-{depth + len(chances)}")
-        work.drop(f"level-{depth}", f"sizes-{depth}")
+        large = large.select("node", "signature", *rows.columns[1:])
+        following = work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth + len(chances)}{turn}")
+        work.drop(f"level-{depth}{turn}", f"sizes-{depth}{turn}")
         rows, depth = following, depth + len(chances)
-    return reduce(DataFrame.unionByName, leaves).withColumnRenamed("node", "leaf")
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -187,6 +198,32 @@ def _deal(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(part).alias("part"), "node", "doc").select(F.xxhash64("node", "part").alias("node"), "doc")
 
 
+def _pairs_of_parts(rows: DataFrame, work: Workspace) -> DataFrame:
+    """Leaves (node, doc) in which any two sets of a node meet, unless they are of one component.
+
+    Components of more than half a LEAF have parts of their own, which need not meet each other; the
+    others are dealt into common parts.
+    """
+    half = max(LEAF // 2, 1)
+    counts = rows.groupBy("node", "component").agg(F.sum("weight").alias("weight"))
+    own = F.col("weight") > half
+    counts = counts.select("node", "component", "weight", own.alias("own"), F.when(own, F.col("component")).otherwise(F.lit(0)).alias("slot"))
+    counts = work.table(counts, "counts")
+    slots = counts.groupBy("node", "own", "slot").agg(F.ceil(F.sum("weight") / half).cast("int").alias("parts"))
+    slots = work.table(slots, "slots")
+    placed = rows.select("node", "doc", "component").join(counts.select("node", "component", "own", "slot"), ["node", "component"])
+    placed = placed.join(slots, ["node", "own", "slot"])
+    placed = placed.select("node", "doc", F.xxhash64("own", "slot", F.pmod(F.xxhash64("doc", "node"), "parts").cast("int")).alias("part"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")
+    parts = slots.select("node", "own", "slot", part).select("node", "own", "slot", F.xxhash64("own", "slot", "p").alias("part"))
+    parts = work.table(parts, "parts")
+    other = parts.select("node", *[F.col(c).alias(f"{c}_2") for c in ("own", "slot", "part")])
+    pairs = parts.join(other, "node").filter("part <= part_2 and not (own and own_2 and slot = slot_2)")
+    pairs = pairs.select("node", F.array_distinct(F.array("part", "part_2")).alias("both"), F.xxhash64("node", "part", "part_2").alias("leaf"))
+    met = work.table(pairs.select("node", F.explode("both").alias("part"), "leaf"), "met")
+    return placed.join(met, ["node", "part"]).select(F.col("leaf").alias("node"), "doc")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Batches cut and joined so that each holds whole groups of the first column, sorted before."""
     held: list[pa.RecordBatch] = []
@@ -219,14 +256,15 @@ def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sets of a leaf that agree in enough tokens, directly or over others, as groups.
 
-    A group is named by its members, so that trees which find the same group name it alike.
+    A group is named by its members, so that trees which find the same group name it alike. Groups
+    of one component are left out.
     """
     for batch in _groups(batches):
-        docs, signature = batch.column(1).to_numpy(), _matrix(batch.column(2))
+        docs, signature, component = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy()
         names, members = [], []
         for start, stop in _bounds(batch.column(0).to_numpy()):
             for group in _clusters(signature[start:stop]):
-                if len(group) > 1:
+                if len(group) > 1 and (component[start:stop][group] != component[start + group[0]]).any():
                     inside = np.sort(docs[start:stop][group])
                     name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
                     names.append(np.full(len(inside), name, np.uint64))
@@ -315,20 +353,43 @@ def near_duplicates(
     rows = work.table(told.drop("signature"), "rows")
     work.drop("told")
 
-    leaves = _forest(sets.select(F.col("set").alias("doc"), "n", "signature"), work)
-    signed = leaves.join(sets.select(F.col("set").alias("doc"), "signature"), "doc").select("leaf", "doc", "signature")
-    groups = signed.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike, "group long, doc long")
-    groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), "groups")
-    work.drop("crowds", *[f"{name}-{depth}" for name in ("level", "sizes", "leaves") for depth in range(1, DEPTH + 3)])
-
-    # Only the texts of sets in groups are shuffled, each once.
-    wanted = groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set")
-    wanted = work.table(wanted, "wanted")
-    texts = in_bitmap(hashed.filter("doc is not null"), "doc", id_bitmap(wanted, "doc"))
-    texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text")).join(wanted, ["doc", "row"]).select("set", "text")
-    full = groups.join(texts, "set").select("group", "set", "text")
-    links = full.repartition("group").sortWithinPartitions("group").mapInArrow(_links(threshold), "a long, b long")
-    roots = connected_components(work.table(links, "links"), work)
+    signed = sets.select(F.col("set").alias("doc"), "n", "signature")
+
+    def link(leaves: list[DataFrame], component: DataFrame | None, turn: str) -> DataFrame:
+        """Links (a, b) among sets that share a leaf and are not yet of one component (doc, component)."""
+        met = reduce(DataFrame.unionByName, leaves).withColumnRenamed("node", "leaf").join(signed.drop("n"), "doc")
+        own = F.col("doc").alias("component")
+        if component is not None:
+            met, own = met.join(component, "doc", "left"), F.coalesce("component", "doc").alias("component")
+        met = met.select("leaf", "doc", "signature", own)
+        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike, "group long, doc long")
+        groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), f"groups{turn}")
+        # Only the texts of sets in groups are shuffled, each once.
+        wanted = work.table(groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set"), f"wanted{turn}")
+        texts = in_bitmap(hashed.filter("doc is not null"), "doc", id_bitmap(wanted, "doc"))
+        texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text")).join(wanted, ["doc", "row"]).select("set", "text")
+        full = groups.join(texts, "set").select("group", "set", "text")
+        found = full.repartition("group").sortWithinPartitions("group").mapInArrow(_links(threshold), "a long, b long")
+        found = work.table(found, f"links{turn}")
+        work.drop(f"groups{turn}", f"wanted{turn}")
+        return found
+
+    leaves, crowds, depth = _grow(_plant_forest(signed, work), 1, min(CROWDED, DEPTH), signed, work, "")
+    if crowds is not None:
+        leaves.append(work.table(_deal(crowds), "crowds"))
+    links = link(leaves, None, "")
+    roots = connected_components(links, work)
+    if crowds is not None:
+        # Crowds of one component are done; the others go on until every pair has had its chance.
+        component = roots.select(F.col("vertex").alias("doc"), F.col("root").alias("component"))
+        mixed = crowds.drop("size").join(component, "doc", "left").select("node", "doc", "weight", F.coalesce("component", "doc").alias("component"))
+        leaves, crowds, _ = _grow(work.table(mixed, "mixed"), depth, DEPTH, signed, work, "-2")
+        if crowds is not None:
+            leaves.append(_pairs_of_parts(crowds, work))
+        links = links.unionByName(link(leaves, component, "-2"))
+        roots = connected_components(links, work, "connected")
+    passing = [f"{name}-{depth}{turn}" for name in ("level", "sizes", "leaves") for depth in range(1, DEPTH + 3) for turn in ("", "-2")]
+    work.drop("crowds", "mixed", "counts", "slots", "parts", "met", *passing)
 
     # Components are named by the smallest id of their sets.
     roots = work.table(roots.join(sets.select(F.col("set").alias("vertex"), "doc"), "vertex"), "roots")
@@ -337,7 +398,7 @@ def near_duplicates(
     final = sets.drop("signature").join(linked, "set", "left").select("n", "one", "two", F.coalesce("low", "doc").alias("low"))
     final = work.table(final, "final")
     out = rows.join(final, ["n", "one", "two"], "left")
-    work.drop("classes", "several", "groups", "wanted", "links", "roots", "lowest", "linked")
+    work.drop("classes", "several", "links", "links-2", "roots", "lowest", "linked")
     component = F.when(F.col("doc").isNotNull(), F.coalesce(F.when(F.col("n") > 0, F.col("low")), F.col("doc")))
     return out.select(
         F.col("doc").alias(key), F.col("row").alias("text_hash"), F.col("n").alias("n_shingles"), component.alias("component_id"),

@@ -172,6 +172,22 @@ def test_a_crowd_of_near_copies_is_one_component(spark):
     assert {r["component_id"] for r in got.collect()} == {0} and got.filter("kept").count() == 1
 
 
+def test_a_star_of_copies_in_a_crowd_is_whole(spark, monkeypatch):
+    # Copies are 0.87 like the original and 0.76 like each other; the crowd is never a leaf.
+    for name, value in {"LEAF": 40, "PIVOTS": 4, "FEW": 2, "DEPTH": 4}.items():
+        monkeypatch.setattr(N, name, value)
+    rng, base = np.random.default_rng(4), words(300, 78, 30_000).split()
+    rows = [(0, " ".join(base))]
+    for i in range(1, 300):
+        copy = list(base)
+        for j, at in enumerate(rng.choice(58, 4, replace=False)):
+            copy[5 * at + 5] = f"z{i}x{j}"
+        rows.append((i, " ".join(copy)))
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+    assert sum(r["component_id"] == 0 for r in got) > 250
+
+
 def test_signatures_estimate_similarity_and_sets_are_whole():
     a, b = words(400, 5, 5000), words(400, 5, 5000).replace(" ", " extra ", 3)
     batch = pa.RecordBatch.from_pydict({"doc": [1, 2, 3], "text": [a, b, words(30_000, 6, 9000)], "row": [1, 2, 3]})

@@ -5,13 +5,12 @@ of smallest id. A forest of independent trees then brings similar sets together:
 
 * At the root all sets are together. A node picks one minwise token (a signature coordinate), and
   with probability p a second one; a set goes to the child of each value it has there. p is 1 on the
-  first TWICE levels, where most pairs are found, and SECOND below: there about 1/similarity tokens
-  are picked, as the chosen-path method wants, so that a pair at the threshold keeps one common
-  child in expectation, however deep the tree.
+  first TWICE levels, where most pairs are found; below, `forest_shape` derives it from the threshold.
 * A node of weight LEAF at most is a leaf; larger nodes branch again, one join with the signatures for
-  two levels. A pair at similarity s parts below a node with probability f = (1-p) u + p u^2,
-  u = 1 - s (1 - f of the child); with TREES trees and s = 0.85 it is lost with probability 3e-7 at
-  depth 1, 3e-6 at 3 and 4e-4 at 8; components lose less, since similar sets are linked in several ways.
+  two levels. A pair that agrees in a share a of its tokens parts below a node with probability
+  f = (1-p) u + p u^2, u = 1 - a (1 - f of the child). `chance_of_loss` averages f^trees over what
+  signatures make of the similarity; trees and p keep it within MISS down to DEPTH. Components lose less,
+  since similar sets are linked in several ways.
 * Leaves are compared exhaustively: first by signature, then, for what is left, on the full sets.
 
 Nodes of more than LEAF after CROWDED tokens are crowds. A crowd is first dealt into leaves that share
@@ -24,6 +23,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import reduce
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +35,9 @@ from plumbline.llm.words import hash_grams, hash_words, mix, pair, split_words,
 
 SHINGLE = 5
 
-#: Signature coordinates, trees, levels of two tokens and the chance of a second one below, tokens on
-#: a path.
-COORDINATES, TREES, TWICE, SECOND, DEPTH = 64, 4, 2, 0.2, 14
+#: Signature coordinates, fewest trees, levels of two tokens and the largest chance of a second one below,
+#: tokens on a path, chance of loss allowed for a pair at the threshold that is together in no leaf above DEPTH.
+COORDINATES, TREES, TWICE, MOST_SECOND, DEPTH, MISS = 64, 4, 2, 0.75, 14, 4e-4
 
 #: Tokens after which crowds are dealt and linked; from there on only nodes of several components branch.
 CROWDED = 4
@@ -46,7 +46,7 @@ CROWDED = 4
 LEAF, FEW, WEIGHT = 1_000, 8, 1_000
 
 #: Leaves look at pairs whose signatures agree in this share; at a true 0.8 less is as rare as 1e-4,
-#: at 0.85 as 1e-8.
+#: at 0.85 as 1e-6. Thresholds below 0.8 get a smaller share.
 LEAST_AGREEMENT = 0.6
 
 #: Sets that the parts of a crowd share.
@@ -57,6 +57,36 @@ _FACTORS = _RNG.integers(1, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2
 _SHIFTS = _RNG.integers(0, 1 << 63, COORDINATES, dtype=np.uint64)
 
 
+def _agreements(similarity: float) -> np.ndarray:
+    """Chance of each number of tokens in which signatures of this similarity agree."""
+    return np.array([comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in range(COORDINATES + 1)])
+
+
+def _least(similarity: float) -> int:
+    """Tokens in which a pair has to agree: LEAST_AGREEMENT, or less where that costs more than half of MISS."""
+    lost = np.cumsum(_agreements(similarity))
+    return min(int(np.ceil(LEAST_AGREEMENT * COORDINATES)), max(1, int(np.searchsorted(lost, MISS / 2))))
+
+
+def chance_of_loss(similarity: float, trees: int, second: float, depth: int) -> float:
+    """Chance that a pair shares no leaf in any tree of this depth, or agrees in too few tokens to be looked at."""
+    agree = np.arange(COORDINATES + 1) / COORDINATES
+    parted = np.zeros(len(agree))
+    for level in range(depth, 0, -1):
+        alone, p = 1 - agree * (1 - parted), 1.0 if level <= TWICE else second
+        parted = (1 - p) * alone + p * alone**2
+    return float((_agreements(similarity) * np.where(np.arange(len(agree)) >= _least(similarity), parted**trees, 1.0)).sum())
+
+
+def forest_shape(similarity: float) -> tuple[int, float]:
+    """Trees, and chance of a second token, with which a pair at the threshold is kept down to DEPTH."""
+    trees = TREES
+    while chance_of_loss(similarity, trees, MOST_SECOND, DEPTH) > MISS:
+        trees += 1
+    seconds = (hundredths / 100 for hundredths in range(101))
+    return trees, next(p for p in seconds if chance_of_loss(similarity, trees, p, DEPTH) <= MISS)
+
+
 def shingle_sets(column: pa.Array, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct hashed shingles of all texts, sorted within a text, and where each text's begin.
 
@@ -132,15 +162,19 @@ def _rows(node: np.ndarray, doc: np.ndarray, weight: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(doc), pa.array(weight)], names=["node", "doc", "weight"])
 
 
-def _plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _plant(trees: int):
     """Level 1: every tree's root sends the set to its children."""
-    for batch in batches:
-        if batch.num_rows:
-            doc, weight, signature = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
-            for tree in range(TREES):
-                root = np.full(len(doc), tree + 1, np.uint64)
-                node, of = _children(root, signature, np.arange(len(doc)), 1.0)
-                yield _rows(node, doc[of], weight[of])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                doc, weight, signature = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _matrix(batch.column(2))
+                for tree in range(trees):
+                    root = np.full(len(doc), tree + 1, np.uint64)
+                    node, of = _children(root, signature, np.arange(len(doc)), 1.0)
+                    yield _rows(node, doc[of], weight[of])
+
+    return run
 
 
 def _branch(chances: list[float]):
@@ -158,13 +192,13 @@ def _branch(chances: list[float]):
     return run
 
 
-def _plant_forest(sets: DataFrame, work: Workspace) -> DataFrame:
+def _plant_forest(sets: DataFrame, trees: int, work: Workspace) -> DataFrame:
     """Rows (node, doc, weight) of level 1, from `sets` (doc, n, signature)."""
     weighed = sets.select("doc", (1 + F.floor(F.col("n") / WEIGHT)).cast("long").alias("weight"), "signature")
-    return work.table(weighed.mapInArrow(_plant, "node long, doc long, weight long"), "level-1")
+    return work.table(weighed.mapInArrow(_plant(trees), "node long, doc long, weight long"), "level-1")
 
 
-def _grow(rows: DataFrame, depth: int, until: int, sets: DataFrame, work: Workspace, turn: str) -> tuple[list[DataFrame], DataFrame | None, int]:
+def _grow(rows: DataFrame, depth: int, until: int, second: float, sets: DataFrame, work: Workspace, turn: str) -> tuple[list[DataFrame], DataFrame | None, int]:
     """Leaves (node, doc) of several components, the rows of crowds left at `until`, if any, and their depth.
 
     Where `rows` have no column `component`, each set counts as a component of its own.
@@ -181,7 +215,7 @@ def _grow(rows: DataFrame, depth: int, until: int, sets: DataFrame, work: Worksp
         if depth >= until:
             return leaves, rows.join(crowded, "node"), depth
         # One join brings the signatures of the sets that go on, two levels at a time below the first ones.
-        chances = [1.0] if depth < TWICE else [SECOND, SECOND]
+        chances = [1.0] if depth < TWICE else [second, second]
         large = rows.join(crowded.select("node"), "node").join(sets.select("doc", "signature"), "doc")
         large = large.select("node", "signature", *rows.columns[1:])
         following = work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth + len(chances)}{turn}")
@@ -253,31 +287,34 @@ def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(cuts.tolist(), np.append(cuts[1:], len(key)).tolist()))
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets of a leaf that agree in enough tokens, directly or over others, as groups.
+def _alike(least: int):
+    """Sets of a leaf that agree in `least` tokens, directly or over others, as groups.
 
     A group is named by its members, so that trees which find the same group name it alike. Groups
     of one component are left out.
     """
-    for batch in _groups(batches):
-        docs, signature, component = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy()
-        names, members = [], []
-        for start, stop in _bounds(batch.column(0).to_numpy()):
-            for group in _clusters(signature[start:stop]):
-                if len(group) > 1 and (component[start:stop][group] != component[start + group[0]]).any():
-                    inside = np.sort(docs[start:stop][group])
-                    name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
-                    names.append(np.full(len(inside), name, np.uint64))
-                    members.append(inside)
-        if names:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["group", "doc"]
-            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in _groups(batches):
+            docs, signature, component = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy()
+            names, members = [], []
+            for start, stop in _bounds(batch.column(0).to_numpy()):
+                for group in _clusters(signature[start:stop], least):
+                    if len(group) > 1 and (component[start:stop][group] != component[start + group[0]]).any():
+                        inside = np.sort(docs[start:stop][group])
+                        name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
+                        names.append(np.full(len(inside), name, np.uint64))
+                        members.append(inside)
+            if names:
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["group", "doc"]
+                )
+
+    return run
 
 
-def _clusters(signature: np.ndarray) -> list[np.ndarray]:
+def _clusters(signature: np.ndarray, least: int) -> list[np.ndarray]:
     left, out = np.arange(len(signature)), []
-    least = int(np.ceil(LEAST_AGREEMENT * COORDINATES))
     while len(left):
         member, edge, left = [left[:1]], left[:1], left[1:]
         while len(edge) and len(left):
@@ -354,6 +391,8 @@ def near_duplicates(
     work.drop("told")
 
     signed = sets.select(F.col("set").alias("doc"), "n", "signature")
+    similarity = threshold[0] / threshold[1]
+    (trees, second), least = forest_shape(similarity), _least(similarity)
 
     def link(leaves: list[DataFrame], component: DataFrame | None, turn: str) -> DataFrame:
         """Links (a, b) among sets that share a leaf and are not yet of one component (doc, component)."""
@@ -362,7 +401,7 @@ def near_duplicates(
         if component is not None:
             met, own = met.join(component, "doc", "left"), F.coalesce("component", "doc").alias("component")
         met = met.select("leaf", "doc", "signature", own)
-        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike, "group long, doc long")
+        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike(least), "group long, doc long")
         groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), f"groups{turn}")
         # Only the texts of sets in groups are shuffled, each once.
         wanted = work.table(groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set"), f"wanted{turn}")
@@ -374,7 +413,7 @@ def near_duplicates(
         work.drop(f"groups{turn}", f"wanted{turn}")
         return found
 
-    leaves, crowds, depth = _grow(_plant_forest(signed, work), 1, min(CROWDED, DEPTH), signed, work, "")
+    leaves, crowds, depth = _grow(_plant_forest(signed, trees, work), 1, min(CROWDED, DEPTH), second, signed, work, "")
     if crowds is not None:
         leaves.append(work.table(_deal(crowds), "crowds"))
     links = link(leaves, None, "")
@@ -383,7 +422,7 @@ def near_duplicates(
         # Crowds of one component are done; the others go on until every pair has had its chance.
         component = roots.select(F.col("vertex").alias("doc"), F.col("root").alias("component"))
         mixed = crowds.drop("size").join(component, "doc", "left").select("node", "doc", "weight", F.coalesce("component", "doc").alias("component"))
-        leaves, crowds, _ = _grow(work.table(mixed, "mixed"), depth, DEPTH, signed, work, "-2")
+        leaves, crowds, _ = _grow(work.table(mixed, "mixed"), depth, DEPTH, second, signed, work, "-2")
         if crowds is not None:
             leaves.append(_pairs_of_parts(crowds, work))
         links = links.unionByName(link(leaves, component, "-2"))

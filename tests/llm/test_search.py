@@ -188,6 +188,23 @@ def test_a_star_of_copies_in_a_crowd_is_whole(spark, monkeypatch):
     assert sum(r["component_id"] == 0 for r in got) > 250
 
 
+@pytest.mark.parametrize("similarity", [0.8, 0.85])
+def test_pairs_at_the_threshold_stay_together_down_to_the_last_level(similarity):
+    trees, second = N.forest_shape(similarity) if hasattr(N, "forest_shape") else (N.TREES, N.SECOND)
+    rng, n = np.random.default_rng(6), 1000
+    left = rng.integers(0, 1 << 32, (n, N.COORDINATES), dtype=np.uint32)
+    right = np.where(rng.random(left.shape) < similarity, left, rng.integers(0, 1 << 32, left.shape, dtype=np.uint32))
+    kept = set()
+    for tree in range(trees):
+        node, of = np.full(n, tree + 1, np.uint64), np.arange(n)
+        for level in range(1, N.DEPTH + 1):
+            chance = 1.0 if level <= N.TWICE else second
+            (node_l, of_l), (node_r, _) = N._children(node, left, of, chance), N._children(node, right, of, chance)
+            node, of = node_l[node_l == node_r], of_l[node_l == node_r]
+        kept |= set(of.tolist())
+    assert n - len(kept) <= 4
+
+
 def test_signatures_estimate_similarity_and_sets_are_whole():
     a, b = words(400, 5, 5000), words(400, 5, 5000).replace(" ", " extra ", 3)
     batch = pa.RecordBatch.from_pydict({"doc": [1, 2, 3], "text": [a, b, words(30_000, 6, 9000)], "row": [1, 2, 3]})

@@ -126,9 +126,10 @@ def learn_quality(
                 )
 
     key_type = dict(docs.dtypes)[key]
-    got = rows.mapInArrow(count, f"__key {key_type}, label int, terms binary").toArrow().to_pandas()
-    # An id that several texts share counts once; the order makes reruns agree.
-    got = got.sort_values(["__key", "terms"]).drop_duplicates("__key")
+    counted = rows.mapInArrow(count, f"__key {key_type}, label int, terms binary")
+    # An id that several texts share counts once, with its least vector, before rows reach the driver.
+    counted = counted.groupBy("__key").agg(F.min("label").alias("label"), F.min("terms").alias("terms"))
+    got = counted.toArrow().to_pandas().sort_values("__key")
     if got["label"].nunique() < 2:
         return None
     terms = np.stack([np.frombuffer(t, dtype="<f4") for t in got["terms"]])

@@ -72,6 +72,18 @@ def test_votes_equal_a_plain_loop(spark, monkeypatch):
     assert [r["score"] for r in Q.score_quality(docs.limit(1), None).collect()] == [0.5]
 
 
+def test_repeated_ids_reach_the_driver_once(spark, monkeypatch):
+    rows = [(i % 4, words(20, i, 300) if i % 2 else "spam!!! " * (3 + i % 5), i % 2) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(5)
+    fetched, frame = [], type(docs)
+    plain = frame.toArrow
+    monkeypatch.setattr(frame, "toArrow", lambda self: (fetched.append(plain(self)), fetched[-1])[1])
+    model = Q.learn_quality(docs, docs)
+    assert max(t.num_rows for t in fetched) == 4 and len(model.labels) == 4
+    least = {i: min(Q.term_counts(pa.array([t])).astype("<f4").tobytes() for k, t, _ in rows if k == i) for i in range(4)}
+    assert {r["__key"]: r["terms"] for r in fetched[-1].to_pylist()} == least
+
+
 # Language model --------------------------------------------------------------------------------
 
 

@@ -14,6 +14,7 @@ from plumbline.llm.licenses import scan_licenses
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.mixing_lm import score_texts
 from plumbline.llm.near_duplicates import near_duplicates
+from plumbline.llm.negatives import mine_negatives
 from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
 from plumbline.llm.substrings import remove_repeats
@@ -41,6 +42,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+USABLE_VECTOR = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
+
+WHOLE_NUMBERS = "transform(embedding, x -> floor(cast(x as double) * 256))"
+
 WORDS_SQL = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
@@ -140,10 +145,7 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, v
 FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5""")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
-    usable = "vec_id is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('Infinity'))"
-    vectors = rows.filter(usable).select(
-        F.col("vec_id").alias("id"), F.expr("transform(embedding, x -> floor(cast(x as double) * 256))").alias("vector")
-    )
+    vectors = rows.filter(USABLE_VECTOR).select(F.col("vec_id").alias("id"), F.expr(WHOLE_NUMBERS).alias("vector"))
     return top_k(vectors, vectors.filter("id % 50 = 0"), k=5)
 
 
@@ -239,3 +241,30 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(table(spark, sf_dir, "documents"), keep=["doc_id"]).select("doc_id", F.explode("licenses").alias("l"))
     return found.select("doc_id", "l.template", "l.start", "l.stop", "l.matched", "l.coverage")
+
+
+# Scores are sums of whole numbers below 2^53, exact as doubles.
+@query("op11_hard_negatives", """
+WITH whole AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS v
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS anchor_id, c.vec_id, q.label = c.label AS alike, list_inner_product(q.v, c.v)::BIGINT AS score
+  FROM whole q JOIN whole c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+), positives AS (
+  SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scored WHERE alike
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.positive_id, (row_number() OVER best)::INT AS rank, n.vec_id AS negative_id, p.positive_score, n.score AS negative_score
+FROM positives p JOIN scored n ON n.anchor_id = p.anchor_id AND NOT n.alike
+  AND 50 * p.positive_score <= 100 * n.score AND 100 * n.score <= 95 * p.positive_score
+WINDOW best AS (PARTITION BY p.anchor_id, p.positive_id ORDER BY n.score DESC, n.vec_id)
+QUALIFY row_number() OVER best <= 3""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label").filter(USABLE_VECTOR + " and label is not null")
+    label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
+    rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.expr(WHOLE_NUMBERS).alias("vector"))
+    return mine_negatives(rows, rows.filter("id % 50 = 0").select("id"))

@@ -18,6 +18,7 @@ from plumbline.llm.negatives import mine_negatives
 from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
 from plumbline.llm.substrings import remove_repeats
+from plumbline.llm.toxicity import learn_toxicity, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -268,3 +269,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end")
     rows = rows.select(F.col("vec_id").alias("id"), label.alias("label"), F.expr(WHOLE_NUMBERS).alias("vector"))
     return mine_negatives(rows, rows.filter("id % 50 = 0").select("id"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 5) == 0)
+    model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
+    scored = score_toxicity(docs, model, keep=["doc_id", "held_out"])
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))

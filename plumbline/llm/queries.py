@@ -15,6 +15,7 @@ from plumbline.llm.mixing import mix_sources
 from plumbline.llm.mixing_lm import score_texts
 from plumbline.llm.near_duplicates import near_duplicates
 from plumbline.llm.negatives import mine_negatives
+from plumbline.llm.phrases import mine_phrases
 from plumbline.llm.quality import learn_quality, score_quality
 from plumbline.llm.sharding import assign_shards
 from plumbline.llm.substrings import remove_repeats
@@ -277,3 +278,42 @@ def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = learn_toxicity(docs, table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0))
     scored = score_toxicity(docs, model, keep=["doc_id", "held_out"])
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+@query("op12_phrases", r"""
+WITH pieces AS (
+  SELECT doc_id, lang, words, row_number() OVER () AS piece FROM (
+    SELECT doc_id, coalesce(lang, 'und') AS lang,
+           unnest(list_transform(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]'),
+                                 lambda p: regexp_extract_all(p, '[^\x20\x09]+'))) AS words
+    FROM documents)
+), grams AS (
+  SELECT lang, m, array_to_string(words[i : i + m - 1], ' ') AS phrase
+  FROM (SELECT lang, words, m, unnest(range(1, len(words) - m + 2)) AS i FROM pieces, (VALUES (1), (2), (3), (4)) s(m))
+), counted AS (
+  SELECT lang, phrase, m, count(*) AS a FROM grams GROUP BY ALL
+), totals AS (
+  SELECT lang, sum(a)::BIGINT AS n FROM counted WHERE m = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, phrase, m, a, string_split(phrase, ' ') AS w FROM counted WHERE m > 1 AND a >= 30
+), sides AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS head, array_to_string(w[k + 1 : m], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM candidates)
+), cuts AS (
+  SELECT c.lang, c.phrase, c.a, k, x.a AS l, y.a AS r, (2000000::HUGEINT * c.a) // (x.a::HUGEINT + y.a) AS score
+  FROM sides c JOIN counted x ON x.lang = c.lang AND x.phrase = c.head JOIN counted y ON y.lang = c.lang AND y.phrase = c.tail
+), weakest AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), within_longer AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, array_to_string(w[i : i + s - 1], ' ') AS phrase
+    FROM (SELECT *, unnest(range(1, m - s + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS s FROM candidates))
+  ) GROUP BY ALL
+), ranked AS (
+  SELECT t.*, row_number() OVER (PARTITION BY t.lang ORDER BY score DESC, a DESC, t.phrase) AS rank
+  FROM weakest t LEFT JOIN within_longer i ON i.lang = t.lang AND i.phrase = t.phrase
+  WHERE i.longer IS NULL OR 100::HUGEINT * i.longer < 80::HUGEINT * t.a
+)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked JOIN totals USING (lang) WHERE rank <= 2000""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mine_phrases(table(spark, sf_dir, "documents"))

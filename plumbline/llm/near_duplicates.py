@@ -15,8 +15,10 @@ of smallest id. A forest of independent trees then brings similar sets together:
 
 Nodes of more than LEAF after CROWDED tokens are crowds. A crowd is first dealt into leaves that share
 a few of its sets, over which most near copies are linked. That decides only which pairs need no
-further look: nodes whose sets are not all of one component branch on, and what is still crowded
-after DEPTH tokens is compared pair by pair of its parts, but for parts of one component.
+further look: in a node of several components these meet part by part, each part of a component with the
+parts of the others. Where one component has most of the sets that costs little more than the node
+itself and is done at once; a node where it would take over FINISH rows per set branches on first, to DEPTH
+tokens at most. A leaf yields only sets that resemble one of another component, and only their texts are read.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ SHINGLE = 5
 
 #: Signature coordinates, fewest trees, levels of two tokens and the largest chance of a second one below,
 #: tokens on a path, chance of loss allowed for a pair at the threshold that is together in no leaf above DEPTH.
-COORDINATES, TREES, TWICE, MOST_SECOND, DEPTH, MISS = 64, 4, 2, 0.75, 14, 4e-4
+COORDINATES, TREES, TWICE, MOST_SECOND, DEPTH, MISS = 64, 4, 2, 0.75, 8, 4e-4
 
-#: Tokens after which crowds are dealt and linked; from there on only nodes of several components branch.
-CROWDED = 4
+#: Tokens after which crowds are dealt and linked, and rows per set with which a crowd of several components is done.
+CROWDED, FINISH = 4, 8
 
 #: A leaf holds sets of this weight, or FEW sets of any size; a set weighs 1 for each WEIGHT shingles begun.
 LEAF, FEW, WEIGHT = 1_000, 8, 1_000
@@ -198,29 +200,50 @@ def _plant_forest(sets: DataFrame, trees: int, work: Workspace) -> DataFrame:
     return work.table(weighed.mapInArrow(_plant(trees), "node long, doc long, weight long"), "level-1")
 
 
-def _grow(rows: DataFrame, depth: int, until: int, second: float, sets: DataFrame, work: Workspace, turn: str) -> tuple[list[DataFrame], DataFrame | None, int]:
-    """Leaves (node, doc) of several components, the rows of crowds left at `until`, if any, and their depth.
+def _sizes(rows: DataFrame, component: str) -> DataFrame:
+    """Nodes of several components: sets in them, and whether they are leaves."""
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.min(component).alias("low"), F.max(component).alias("high"))
+    return sizes.filter("low <> high").select("node", "size", ((F.col("weight") <= LEAF) | (F.col("size") <= FEW)).alias("small"))
 
-    Where `rows` have no column `component`, each set counts as a component of its own.
-    """
-    component, leaves = "component" if "component" in rows.columns else "doc", []
-    small = (F.col("weight") <= LEAF) | (F.col("size") <= FEW)
+
+def _down(rows: DataFrame, sets: DataFrame, depth: int, second: float, work: Workspace, turn: str) -> tuple[DataFrame, int]:
+    """Sends the rows of nodes down. One join brings the signatures, two levels at a time below the first ones."""
+    chances = [1.0] if depth < TWICE else [second, second]
+    large = rows.join(sets.select("doc", "signature"), "doc").select("node", "signature", *[c for c in rows.columns if c != "node"])
+    depth += len(chances)
+    return work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth}{turn}"), depth
+
+
+def _grow(rows: DataFrame, second: float, sets: DataFrame, work: Workspace) -> tuple[list[DataFrame], DataFrame | None, int]:
+    """Leaves (node, doc) from level 1 to CROWDED, the rows of crowds left there, if any, and their depth."""
+    leaves, depth = [], 1
     while True:
-        sizes = rows.groupBy("node").agg(F.count("*").alias("size"), F.sum("weight").alias("weight"), F.min(component).alias("low"), F.max(component).alias("high"))
-        sizes = work.table(sizes.filter("low <> high").select("node", "size", small.alias("small")), f"sizes-{depth}{turn}")
-        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}{turn}"))
+        sizes = work.table(_sizes(rows, "doc"), f"sizes-{depth}")
+        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}"))
         crowded = sizes.filter("not small").select("node", "size")
         if crowded.isEmpty():
             return leaves, None, depth
-        if depth >= until:
+        if depth >= CROWDED:
             return leaves, rows.join(crowded, "node"), depth
-        # One join brings the signatures of the sets that go on, two levels at a time below the first ones.
-        chances = [1.0] if depth < TWICE else [second, second]
-        large = rows.join(crowded.select("node"), "node").join(sets.select("doc", "signature"), "doc")
-        large = large.select("node", "signature", *rows.columns[1:])
-        following = work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth + len(chances)}{turn}")
-        work.drop(f"level-{depth}{turn}", f"sizes-{depth}{turn}")
-        rows, depth = following, depth + len(chances)
+        following, depth = _down(rows.join(crowded.select("node"), "node"), sets, depth, second, work, "")
+        rows = following
+
+
+def _finish(rows: DataFrame, depth: int, second: float, sets: DataFrame, work: Workspace) -> list[DataFrame]:
+    """Leaves (node, doc) in which all pairs of different components of the rows (node, doc, weight, component) meet."""
+    leaves = []
+    while True:
+        sizes = work.table(_sizes(rows, "component"), f"mixed-{depth}")
+        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"few-{depth}"))
+        crowded = sizes.filter("not small").select("node", "size")
+        if crowded.isEmpty():
+            return leaves
+        rows = work.table(rows.join(crowded.select("node"), "node"), f"crowd-{depth}")
+        met, now = _pairs_of_parts(rows, work, f"-{depth}", FINISH if depth < DEPTH else None)
+        leaves.append(met)
+        if depth >= DEPTH:
+            return leaves
+        rows, depth = _down(rows.join(now, "node", "left_anti"), sets, depth, second, work, "-mixed")
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -232,30 +255,38 @@ def _deal(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(part).alias("part"), "node", "doc").select(F.xxhash64("node", "part").alias("node"), "doc")
 
 
-def _pairs_of_parts(rows: DataFrame, work: Workspace) -> DataFrame:
+def _pairs_of_parts(rows: DataFrame, work: Workspace, turn: str, most: int | None) -> tuple[DataFrame, DataFrame]:
     """Leaves (node, doc) in which any two sets of a node meet, unless they are of one component.
 
     Components of more than half a LEAF have parts of their own, which need not meet each other; the
-    others are dealt into common parts.
+    others are dealt into common parts. Nodes that would take more than `most` rows per set are left
+    out, unless it is None; the nodes that are not are returned as well.
     """
     half = max(LEAF // 2, 1)
-    counts = rows.groupBy("node", "component").agg(F.sum("weight").alias("weight"))
+    counts = rows.groupBy("node", "component").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
     own = F.col("weight") > half
-    counts = counts.select("node", "component", "weight", own.alias("own"), F.when(own, F.col("component")).otherwise(F.lit(0)).alias("slot"))
-    counts = work.table(counts, "counts")
-    slots = counts.groupBy("node", "own", "slot").agg(F.ceil(F.sum("weight") / half).cast("int").alias("parts"))
-    slots = work.table(slots, "slots")
+    counts = counts.select("node", "component", "weight", "n", own.alias("own"), F.when(own, F.col("component")).otherwise(F.lit(0)).alias("slot"))
+    counts = work.table(counts, f"counts{turn}")
+    slots = counts.groupBy("node", "own", "slot").agg(F.ceil(F.sum("weight") / half).cast("int").alias("parts"), F.sum("n").alias("n"))
+    slots = work.table(slots, f"slots{turn}")
+    # A set is copied once for every part that its own part meets.
+    whole = slots.groupBy("node").agg(F.sum("parts").alias("all"), F.sum("n").alias("size"))
+    own_parts = F.when(F.col("own"), F.col("parts")).otherwise(0)
+    copies = slots.join(whole, "node").groupBy("node", "size").agg(F.sum(F.col("n") * (F.col("all") - own_parts)).alias("copies"))
+    now = copies if most is None else copies.filter(F.col("copies") <= most * F.col("size"))
+    now = work.table(now.select("node"), f"now{turn}")
+    slots = slots.join(now, "node")
     placed = rows.select("node", "doc", "component").join(counts.select("node", "component", "own", "slot"), ["node", "component"])
     placed = placed.join(slots, ["node", "own", "slot"])
-    placed = placed.select("node", "doc", F.xxhash64("own", "slot", F.pmod(F.xxhash64("doc", "node"), "parts").cast("int")).alias("part"))
+    placed = placed.select("node", "doc", F.xxhash64("own", "slot", F.pmod(F.xxhash64("doc"), "parts").cast("int")).alias("part"))
     part = F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p")
     parts = slots.select("node", "own", "slot", part).select("node", "own", "slot", F.xxhash64("own", "slot", "p").alias("part"))
-    parts = work.table(parts, "parts")
+    parts = work.table(parts, f"parts{turn}")
     other = parts.select("node", *[F.col(c).alias(f"{c}_2") for c in ("own", "slot", "part")])
     pairs = parts.join(other, "node").filter("part <= part_2 and not (own and own_2 and slot = slot_2)")
     pairs = pairs.select("node", F.array_distinct(F.array("part", "part_2")).alias("both"), F.xxhash64("node", "part", "part_2").alias("leaf"))
-    met = work.table(pairs.select("node", F.explode("both").alias("part"), "leaf"), "met")
-    return placed.join(met, ["node", "part"]).select(F.col("leaf").alias("node"), "doc")
+    met = work.table(pairs.select("node", F.explode("both").alias("part"), "leaf"), f"met{turn}")
+    return work.table(placed.join(met, ["node", "part"]).select(F.col("leaf").alias("node"), "doc"), f"pairs{turn}"), now
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,42 +319,44 @@ def _bounds(key: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _alike(least: int):
-    """Sets of a leaf that agree in `least` tokens, directly or over others, as groups.
+    """Groups of the sets of a leaf that agree in `least` tokens with a set of another component, over one or several of these.
 
-    A group is named by its members, so that trees which find the same group name it alike. Groups
-    of one component are left out.
+    A group is named by its members, so that trees which find the same group name it alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             docs, signature, component = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy()
-            names, members = [], []
+            names, members, of = [], [], []
             for start, stop in _bounds(batch.column(0).to_numpy()):
-                for group in _clusters(signature[start:stop], least):
-                    if len(group) > 1 and (component[start:stop][group] != component[start + group[0]]).any():
-                        inside = np.sort(docs[start:stop][group])
-                        name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
-                        names.append(np.full(len(inside), name, np.uint64))
-                        members.append(inside)
+                for group in _clusters(signature[start:stop], component[start:stop], least):
+                    inside = docs[start:stop][group]
+                    name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
+                    names.append(np.full(len(inside), name, np.uint64))
+                    members.append(inside)
+                    of.append(component[start:stop][group])
             if names:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members))], names=["group", "doc"]
+                    [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members)), pa.array(np.concatenate(of))],
+                    names=["group", "doc", "component"],
                 )
 
     return run
 
 
-def _clusters(signature: np.ndarray, least: int) -> list[np.ndarray]:
+def _clusters(signature: np.ndarray, component: np.ndarray, least: int) -> list[np.ndarray]:
     left, out = np.arange(len(signature)), []
     while len(left):
         member, edge, left = [left[:1]], left[:1], left[1:]
         while len(edge) and len(left):
             agree = np.zeros(len(left), dtype=bool)
             for at in edge:
-                agree |= (signature[left] == signature[at]).sum(axis=1) >= least
+                open_ = np.flatnonzero(~agree & (component[left] != component[at]))
+                agree[open_[(signature[left[open_]] == signature[at]).sum(axis=1) >= least]] = True
             edge, left = left[agree], left[~agree]
             member.append(edge)
-        out.append(np.concatenate(member))
+        if len(member) > 1 and len(member[1]):
+            out.append(np.concatenate(member))
     return out
 
 
@@ -335,11 +368,14 @@ def _links(threshold: tuple[int, int]):
         for batch in _groups(batches):
             for start, stop in _bounds(batch.column(0).to_numpy()):
                 part = batch.slice(start, stop - start)
+                # Small components go first: once they have met the rest, a large one has nothing left to meet.
+                _, root, sizes = np.unique(part.column(3).to_numpy(), return_inverse=True, return_counts=True)
+                order = np.lexsort((part.column(1).to_numpy(), root, sizes[root]))
+                part, root = part.take(pa.array(order)), root[order]
                 docs = part.column(1).to_numpy()
                 shingles, first = shingle_sets(part.column(2))
                 values, code = np.unique(shingles, return_inverse=True)
                 sizes, owner = np.diff(first), np.repeat(np.arange(len(docs)), np.diff(first))
-                root = np.arange(len(docs))
                 a, b = [], []
                 marked = np.zeros(len(values), dtype=bool)
                 for i in range(len(docs) - 1):
@@ -401,34 +437,31 @@ def near_duplicates(
         if component is not None:
             met, own = met.join(component, "doc", "left"), F.coalesce("component", "doc").alias("component")
         met = met.select("leaf", "doc", "signature", own)
-        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike(least), "group long, doc long")
+        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike(least), "group long, doc long, component long")
         groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), f"groups{turn}")
         # Only the texts of sets in groups are shuffled, each once.
         wanted = work.table(groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set"), f"wanted{turn}")
         texts = in_bitmap(hashed.filter("doc is not null"), "doc", id_bitmap(wanted, "doc"))
         texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text")).join(wanted, ["doc", "row"]).select("set", "text")
-        full = groups.join(texts, "set").select("group", "set", "text")
+        full = groups.join(texts, "set").select("group", "set", "text", "component")
         found = full.repartition("group").sortWithinPartitions("group").mapInArrow(_links(threshold), "a long, b long")
         found = work.table(found, f"links{turn}")
         work.drop(f"groups{turn}", f"wanted{turn}")
         return found
 
-    leaves, crowds, depth = _grow(_plant_forest(signed, trees, work), 1, min(CROWDED, DEPTH), second, signed, work, "")
+    leaves, crowds, depth = _grow(_plant_forest(signed, trees, work), second, signed, work)
     if crowds is not None:
         leaves.append(work.table(_deal(crowds), "crowds"))
     links = link(leaves, None, "")
     roots = connected_components(links, work)
     if crowds is not None:
-        # Crowds of one component are done; the others go on until every pair has had its chance.
+        # Crowds of one component are done; in the others every pair of components gets its chance.
         component = roots.select(F.col("vertex").alias("doc"), F.col("root").alias("component"))
         mixed = crowds.drop("size").join(component, "doc", "left").select("node", "doc", "weight", F.coalesce("component", "doc").alias("component"))
-        leaves, crowds, _ = _grow(work.table(mixed, "mixed"), depth, DEPTH, second, signed, work, "-2")
-        if crowds is not None:
-            leaves.append(_pairs_of_parts(crowds, work))
-        links = links.unionByName(link(leaves, component, "-2"))
+        links = links.unionByName(link(_finish(work.table(mixed, "mixed"), depth, second, signed, work), component, "-2"))
         roots = connected_components(links, work, "connected")
-    passing = [f"{name}-{depth}{turn}" for name in ("level", "sizes", "leaves") for depth in range(1, DEPTH + 3) for turn in ("", "-2")]
-    work.drop("crowds", "mixed", "counts", "slots", "parts", "met", *passing)
+    levels = [f"{name}-{depth}" for name in ("level", "sizes", "leaves", "mixed", "few", "crowd", "counts", "slots", "now", "parts", "met", "pairs") for depth in range(1, DEPTH + 3)]
+    work.drop("crowds", "mixed", *levels, *[f"level-{depth}-mixed" for depth in range(DEPTH + 3)])
 
     # Components are named by the smallest id of their sets.
     roots = work.table(roots.join(sets.select(F.col("set").alias("vertex"), "doc"), "vertex"), "roots")

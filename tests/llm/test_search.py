@@ -132,7 +132,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
 
 
-def components(rows):
+def components(rows, above=85):
     sets, root = [shingles(t) for _, t in rows], {i: i for i, _ in rows}
 
     def find(x):
@@ -143,13 +143,14 @@ def components(rows):
     for a in range(len(rows)):
         for b in range(a):
             both = len(sets[a] & sets[b])
-            if sets[a] and 100 * both >= 85 * len(sets[a] | sets[b]):
+            if sets[a] and 100 * both >= above * len(sets[a] | sets[b]):
                 x, y = sorted((find(rows[a][0]), find(rows[b][0])))
                 root[y] = x
     return {i: (len(s), find(i)) for (i, _), s in zip(rows, sets)}
 
 
-def test_near_duplicates_equal_brute_force(spark):
+@pytest.mark.parametrize("above", [85, 80])
+def test_near_duplicates_equal_brute_force(spark, above):
     rng = np.random.default_rng(9)
     rows, n = [], 0
     for group in range(60):
@@ -161,8 +162,32 @@ def test_near_duplicates_equal_brute_force(spark):
             rows.append((n, " ".join(changed)))
             n += 1
     rows += [(n, None), (n + 1, ""), (n + 2, "one two"), (n + 3, "ONE two"), (n + 4, "one two three")]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), threshold=(above, 100)).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows, above)
+
+
+def test_strangers_in_a_crowd_cost_little(spark, monkeypatch):
+    # Strangers are about 0.79 like the 1,400 copies: all of them fall into the crowd's nodes.
+    counts, table = {}, N.Workspace.table
+
+    def counted(self, df, name):
+        out = table(self, df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(N.Workspace, "table", counted)
+    rng, base = np.random.default_rng(11), words(50, 79, 30_000).split()
+    rows = []
+    for i in range(1500):
+        copy = list(base)
+        if i < 1400:
+            copy[int(rng.integers(0, 50))] = f"c{i}" if i % 2 else base[0]
+        else:
+            copy[10], copy[0], copy[49] = f"s{i}", f"t{i}", f"u{i}"
+        rows.append((i, " ".join(copy)))
     got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == components(rows)
+    assert max(counts.values()) < 120 * len(rows), counts
 
 
 def test_a_crowd_of_near_copies_is_one_component(spark):
@@ -190,7 +215,7 @@ def test_a_star_of_copies_in_a_crowd_is_whole(spark, monkeypatch):
 
 @pytest.mark.parametrize("similarity", [0.8, 0.85])
 def test_pairs_at_the_threshold_stay_together_down_to_the_last_level(similarity):
-    trees, second = N.forest_shape(similarity) if hasattr(N, "forest_shape") else (N.TREES, N.SECOND)
+    trees, second = N.forest_shape(similarity)
     rng, n = np.random.default_rng(6), 1000
     left = rng.integers(0, 1 << 32, (n, N.COORDINATES), dtype=np.uint32)
     right = np.where(rng.random(left.shape) < similarity, left, rng.integers(0, 1 << 32, left.shape, dtype=np.uint32))

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from plumbline.functions.columns import col
+from plumbline.functions.search import phrase_places
 from plumbline.functions.text import bind
 from plumbline.operators import rules as R
 from plumbline.operators.joins import salted_join
@@ -18,11 +19,6 @@ def mentions(text: Column, phrases: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [text.contains(p) for p in phrases])
 
 
-def phrases_found(text: Column, phrases: list[str]) -> Column:
-    """The positions in `phrases` of those that occur anywhere in a text."""
-    return F.array_compact(F.array(*[F.when(text.contains(p), F.lit(i)) for i, p in enumerate(phrases)]))
-
-
 PHRASES = sorted({p for group in R.TEXT_DOMAINS.values() for p in group})
 
 
@@ -39,7 +35,7 @@ def _domain_of(found: Column) -> Column:
 
 def text_domain(df: DataFrame, text: str) -> DataFrame:
     """Adds `domain`: the one with most phrases found anywhere in the text, at least two."""
-    found = df.withColumn("__found", phrases_found(F.lower(col(text)), PHRASES))
+    found = df.withColumn("__found", phrase_places(F.lower(col(text)), PHRASES))
     return found.withColumn("domain", _domain_of(F.col("__found"))).drop("__found")
 
 
@@ -48,7 +44,7 @@ def corpus_domain(df: DataFrame, text: str) -> DataFrame:
 
     Every text is searched in whole; only the phrases met, a fixed list, are brought together.
     """
-    met = df.select(F.length(col(text)).alias("size"), phrases_found(F.lower(col(text)), PHRASES).alias("found"))
+    met = df.select(F.length(col(text)).alias("size"), phrase_places(F.lower(col(text)), PHRASES).alias("found"))
     one_each = met.select("size", F.posexplode_outer("found").alias("pos", "phrase"))
     first = F.coalesce(F.col("pos"), F.lit(0)) == 0
     row = one_each.agg(
@@ -115,14 +111,13 @@ def table_domain(catalog: DataFrame) -> DataFrame:
 
 def question_topics(df: DataFrame, question: str = "question") -> DataFrame:
     """One row per question and topic; `general` where no topic word occurs."""
-    lowered = F.lower(col(question))
-    hits = F.array_compact(F.array(*[F.when(mentions(lowered, words), F.lit(t)) for t, words in R.TOPICS.items()]))
+    hits = bind(F.lower(col(question)), lambda q: F.array_compact(F.array(*[F.when(mentions(q, words), F.lit(t)) for t, words in R.TOPICS.items()])))
     topics = F.when(F.size("__hits") > 0, F.col("__hits")).otherwise(F.array(F.lit(R.TOPIC_DEFAULT)))
     return df.withColumn("__hits", hits).withColumn("topic", F.explode(topics)).drop("__hits")
 
 
 def wants_chart(question: Column) -> Column:
-    return mentions(F.lower(question), R.CHART_WORDS)
+    return bind(F.lower(question), lambda q: mentions(q, R.CHART_WORDS))
 
 
 def chart_kind(question: Column, numeric: Column, categorical: Column) -> Column:

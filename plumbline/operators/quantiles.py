@@ -120,13 +120,21 @@ def _batches(brackets: list[Bracket]) -> list[list[Bracket]]:
 
 def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
     """Closes each bracket in around its ranks: one scan for the new ends, one for the counts."""
+    # Brackets of one column with the same ends, as at the start, share one summary.
+    alike: dict[tuple, list[Bracket]] = {}
+    for b in brackets:
+        alike.setdefault((b.column, b.low, b.high), []).append(b)
     cuts = []
-    for k, b in enumerate(brackets):
-        low = max(0.0, (b.first - b.below) / b.inside - b.margin)
-        high = min(1.0, (b.last - b.below + 1) / b.inside + b.margin)
-        cuts.append(F.percentile_approx(F.when(b.holds(), F.col(f"v{b.column}")), [low, high], ACCURACY).alias(f"c{k}"))
-    ends = values.agg(*cuts).first()
-    tried = [Bracket(b.column, b.first, b.last, *ends[f"c{k}"], 0, 0) for k, b in enumerate(brackets)]
+    for k, group in enumerate(alike.values()):
+        ends = []
+        for b in group:
+            ends += [max(0.0, (b.first - b.below) / b.inside - b.margin), min(1.0, (b.last - b.below + 1) / b.inside + b.margin)]
+        cuts.append(F.percentile_approx(F.when(group[0].holds(), F.col(f"v{group[0].column}")), ends, ACCURACY).alias(f"c{k}"))
+    row = values.agg(*cuts).first()
+    closed = {}
+    for k, group in enumerate(alike.values()):
+        closed |= {id(b): row[f"c{k}"][2 * j : 2 * j + 2] for j, b in enumerate(group)}
+    tried = [Bracket(b.column, b.first, b.last, *closed[id(b)], 0, 0) for b in brackets]
     counts = []
     for k, b in enumerate(tried):
         counts += [F.count_if(F.col(f"v{b.column}") < F.lit(b.low)).alias(f"b{k}"), F.count_if(b.holds()).alias(f"i{k}")]

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import corpus, rules, stats, vectors
+from plumbline.operators import corpus, rules, stats, vector_index, vectors
 from plumbline.operators.cleaning import is_text_table
 from plumbline.plans import reports
 from plumbline.plans.answers import dataset_metrics
@@ -19,7 +19,7 @@ from plumbline.sources.readers import read_dataset, write_table
 from workload.log import latest_sql, rule_sql
 from workload.registry import query, union_all
 from workload.tables import LINEITEM, LINEITEM_NUMBERS, profile_row, stats_row
-from workload.texts import CLEANED, VOCABULARY, vocabulary_counts
+from workload.texts import CLEANED, VOCABULARY, WORD_SEARCH, counted, vocabulary_counts
 
 
 def folder(t) -> str:
@@ -114,6 +114,39 @@ def memory_store(t):
     return t.spark.read.parquet(path).select("doc_id", "text", total.alias("counted"))
 
 
+def word_index(t):
+    """Documents in an inverted file, half of them added later, and the questions."""
+    path, (memory, asked) = folder(t), counted(t)
+    half = F.col("mem_id") % 2 == 0
+    vector_index.build_index(memory.filter(half), path, "cosine")
+    vector_index.append_index(memory.filter(~half), path)
+    return vector_index.open_index(t.spark, path), memory, asked
+
+
+@query("memory_search_ivf", WORD_SEARCH)
+def memory_search_ivf(t):
+    """The exact search: cells that may hold something nearer are read as well."""
+    index, _, asked = word_index(t)
+    return vector_index.search_index(index, asked, 5, exact=True)
+
+
+@query("ivf_recall", "SELECT count(DISTINCT item_id) AS queries, true AS nine_in_ten, true AS fewer_rows FROM benchmark")
+def ivf_recall(t):
+    """The approximate search against the exact one: memories found that are as near, and rows read."""
+    index, memory, asked = word_index(t)
+    near, exact = vector_index.search_index(index, asked, 5, probes=8), vectors.knn(memory, asked, 5, "cosine")
+    kth = exact.groupBy("query_id").agg(F.max("distance").alias("kth"))
+    found = near.join(kth, "query_id").agg(F.count_if(F.col("distance") <= F.col("kth") + 1e-9).alias("found"))
+    cells = vector_index.routes(asked.select("query_id", "embedding"), index, 8)
+    rows = t.spark.createDataFrame([(i, int(n)) for i, n in enumerate(index.rows)], "cell int, rows long")
+    read = cells.join(F.broadcast(rows), "cell").agg(F.sum("rows").alias("read"), F.countDistinct("query_id").alias("queries"))
+    whole = exact.agg(F.count("*").alias("wanted")).crossJoin(found).crossJoin(read)  # three single rows
+    return whole.select(
+        "queries", (F.col("found") >= 0.9 * F.col("wanted")).alias("nine_in_ten"),
+        (F.col("read") < F.col("queries") * F.lit(int(index.rows.sum() + index.undirected))).alias("fewer_rows"),
+    )
+
+
 PART = ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"]
 
 

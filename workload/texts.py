@@ -390,18 +390,21 @@ def counts_sql(table: str, key: str, name: str, vector: str) -> str:
     return f"SELECT {key} AS {name}, [{words}] AS {vector} FROM (SELECT {key}, {listed} AS words FROM {table}) x"
 
 
-@query(
-    "memory_search_words",
-    pairwise_sql(
-        f"q AS ({counts_sql('benchmark', 'item_id', 'query_id', 'v')}), m AS ({counts_sql('documents', 'doc_id', 'mem_id', 'w')})",
-        "CASE WHEN list_sum(v) = 0 OR list_sum(w) = 0 THEN 1.0 ELSE round(1 - list_inner_product(v, w) / sqrt(list_inner_product(v, v) * list_inner_product(w, w)), 9) END",
-    ),
+WORD_SEARCH = pairwise_sql(
+    f"q AS ({counts_sql('benchmark', 'item_id', 'query_id', 'v')}), m AS ({counts_sql('documents', 'doc_id', 'mem_id', 'w')})",
+    "CASE WHEN list_sum(v) = 0 OR list_sum(w) = 0 THEN 1.0 ELSE round(1 - list_inner_product(v, w) / sqrt(list_inner_product(v, v) * list_inner_product(w, w)), 9) END",
 )
-def memory_search_words(t):
-    """Memory search with the caller's embedding: counts of a few words."""
+
+
+def counted(t):
+    """Documents and test items with the caller's embedding: counts of a few words."""
     memory = vectors.embed(t("documents").select(F.col("doc_id").alias("mem_id"), "text"), "text", vocabulary_counts)
-    asked = vectors.embed(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", vocabulary_counts)
-    return vectors.knn(memory, asked, 5, "cosine")
+    return memory, vectors.embed(t("benchmark").select(F.col("item_id").alias("query_id"), "text"), "text", vocabulary_counts)
+
+
+@query("memory_search_words", WORD_SEARCH)
+def memory_search_words(t):
+    return vectors.knn(*counted(t), 5, "cosine")
 
 
 @query("memory_search")

@@ -57,11 +57,13 @@ def quantiles(
     probs: list[float],
     seen: dict[str, Summary] | None = None,
     rank_limit: int | None = None,
+    hints: dict[str, list[tuple[float, float]]] | None = None,
 ) -> dict[str, list[float | None]]:
     """Linearly interpolated quantiles per column, as pandas defines them.
 
     Runs jobs and returns plain numbers: `len(columns) * len(probs)` of them. `seen` spares the
-    first scan where the summaries are known.
+    first scan where the summaries are known. `hints` has per column two values for each prob that
+    probably hold it between them; one that does not only costs what it would have spared.
     """
     if not columns:
         return {}
@@ -75,6 +77,13 @@ def quantiles(
                 at = p * (known.count - 1)
                 positions[i, j] = at
                 brackets[i, j] = Bracket(i, math.floor(at), math.ceil(at), known.low, known.high, 0, known.count)
+    hinted = {key: hints[columns[key[0]]][key[1]] for key in brackets if columns[key[0]] in (hints or {})}
+    for batch in _batches(list(hinted)):
+        close = [Bracket(brackets[k].column, brackets[k].first, brackets[k].last, *hinted[k], 0, 0) for k in batch]
+        for k, (below, inside) in zip(batch, _counted(values, close)):
+            b = brackets[k]
+            if below <= b.first <= b.last < below + inside:
+                b.low, b.high, b.below, b.inside = *hinted[k], below, inside
     limit = RANK_LIMIT if rank_limit is None else rank_limit
     while wide := [b for b in brackets.values() if b.inside > limit and b.low < b.high and not b.settled]:
         for batch in _batches(wide):
@@ -114,10 +123,19 @@ class Bracket:
         return F.col(f"v{self.column}").between(F.lit(self.low), F.lit(self.high))
 
 
-def _batches(brackets: list[Bracket]) -> list[list[Bracket]]:
+def _batches(brackets: list) -> list[list]:
     return [brackets[i : i + BATCH] for i in range(0, len(brackets), BATCH)]
 
 
+def _counted(values: DataFrame, brackets: list[Bracket]) -> list[tuple[int, int]]:
+    """Rows below and in each bracket, from one scan."""
+    counts = []
+    for k, b in enumerate(brackets):
+        counts += [F.count_if(F.col(f"v{b.column}") < F.lit(b.low)).alias(f"b{k}"), F.count_if(b.holds()).alias(f"i{k}")]
+    row = values.agg(*counts).first()
+    return [(row[f"b{k}"], row[f"i{k}"]) for k in range(len(brackets))]
+
+
 def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
     """Closes each bracket in around its ranks: one scan for the new ends, one for the counts."""
     # Brackets of one column with the same ends, as at the start, share one summary.
@@ -135,12 +153,7 @@ def _narrow(values: DataFrame, brackets: list[Bracket]) -> None:
     for k, group in enumerate(alike.values()):
         closed |= {id(b): row[f"c{k}"][2 * j : 2 * j + 2] for j, b in enumerate(group)}
     tried = [Bracket(b.column, b.first, b.last, *closed[id(b)], 0, 0) for b in brackets]
-    counts = []
-    for k, b in enumerate(tried):
-        counts += [F.count_if(F.col(f"v{b.column}") < F.lit(b.low)).alias(f"b{k}"), F.count_if(b.holds()).alias(f"i{k}")]
-    row = values.agg(*counts).first()
-    for k, (old, new) in enumerate(zip(brackets, tried)):
-        below, inside = row[f"b{k}"], row[f"i{k}"]
+    for old, new, (below, inside) in zip(brackets, tried, _counted(values, tried)):
         if not below <= old.first <= old.last < below + inside:
             old.margin *= 4
         elif inside == old.inside:

@@ -11,6 +11,7 @@ from plumbline.operators.cleaning import is_text_table
 from plumbline.plans import reports
 from plumbline.plans.answers import dataset_metrics
 from plumbline.plans.load import load_dataset
+from plumbline.plans.metrics import RANK_ERROR, Metrics
 from plumbline.session import ensure_checkpoint_dir
 from plumbline.sources import encoding
 from plumbline.sources.catalog import Log
@@ -202,3 +203,57 @@ def kept_metrics(t):
     for _ in range(2):
         found = dataset_metrics(t("lineitem"), "lineitem", path)
     return found["basic_stats"]
+
+
+def sliced_metrics(t, table: str, key: str, slices: int = 4) -> Metrics:
+    """States of a table that came in slices."""
+    kept = Metrics(t.spark, folder(t))
+    for part in range(slices):
+        kept.add(t(table).filter(F.col(key) % slices == part), f"part-{part}")
+    return kept
+
+
+@query("metrics_exact", union_all([stats_row("lineitem", i, c) for i, c in enumerate(LINEITEM_NUMBERS)]))
+def metrics_exact(t):
+    """Statistics of merged slices; quartiles ranked between the ends that the merged sketches give."""
+    return sliced_metrics(t, "lineitem", "l_orderkey").exact_stats(t("lineitem"))
+
+
+def sketch_row(i: int, c: str) -> str:
+    x = f"cast({c} AS double)"
+    return (
+        f"SELECT {i} AS ordinal, '{c}' AS \"column\", count({c}) AS count, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, "
+        f"round(min({x}), 4) AS min, round(max({x}), 4) AS max, true AS ranks_hold, true AS distinct_holds FROM lineitem"
+    )
+
+
+@query("metrics_merged", union_all([sketch_row(i, c) for i, c in enumerate(LINEITEM_NUMBERS)]))
+def metrics_merged(t):
+    """Statistics from states alone: exact moments, and whether quartiles and distinct counts keep their error."""
+    found, rows = sliced_metrics(t, "lineitem", "l_orderkey").basic_stats(), t("lineitem")
+    cells = []
+    for r in found.collect():
+        x = F.col(r["column"]).cast("double")
+        off = []
+        for name, p in (("q1", 0.25), ("median", 0.5), ("q3", 0.75)):
+            # The wanted rank lies between the rows below the value and those not above it, within the error.
+            below, upto = F.avg((x < r[name]).cast("int")), F.avg((x <= r[name]).cast("int"))
+            off.append(F.greatest(below - p, F.lit(p) - upto) <= RANK_ERROR)
+        near = F.abs(F.countDistinct(x) - r["distinct"]) <= 0.05 * F.countDistinct(x) + 1
+        cells.append(F.struct(F.lit(r["column"]).alias("column"), (off[0] & off[1] & off[2]).alias("ranks_hold"), near.alias("distinct_holds")))
+    held = rows.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    return found.select("ordinal", "column", "count", "mean", "std", "min", "max").join(held, "column")
+
+
+@query(
+    "metrics_top_values",
+    union_all(
+        [
+            f"""(SELECT '{c}' AS "column", {c} AS value, count(*) AS at_least, count(*) AS at_most
+FROM part GROUP BY {c} ORDER BY at_least DESC, value LIMIT 5)"""
+            for c in ["p_brand", "p_type"]
+        ]
+    ),
+)
+def metrics_top_values(t):
+    return sliced_metrics(t, "part", "p_partkey").top_values(5).filter(F.col("column").isin("p_brand", "p_type"))

@@ -16,6 +16,9 @@ from plumbline.session import ensure_checkpoint_dir
 #: Bytes of text handled at once inside a task; longer documents are handled alone.
 TEXT_BLOCK = 1 << 20
 
+#: Rows of a written table that one task may handle, where their number is known.
+TABLE_ROWS = 100_000
+
 #: Bits of an id bitmap. Its size never depends on the data; a crowded one only filters less.
 BITMAP_BITS = 1 << 23
 
@@ -32,8 +35,11 @@ class Workspace:
         self.spark = spark
         self.root = f"{spark.sparkContext.getCheckpointDir()}/llm-{uuid.uuid4().hex}"
 
-    def table(self, df: DataFrame, name: str) -> DataFrame:
+    def table(self, df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+        """The written table. Known to have few `rows`, at most, it is written by as few tasks as these need."""
         path = f"{self.root}/{name}"
+        if rows is not None:
+            df = df.coalesce(-(-rows // TABLE_ROWS) or 1)
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -27,15 +27,15 @@ def connected_components(links: DataFrame, work: Workspace, name: str = "compone
         step += 1
         # Large star: every larger neighbour joins the smallest of the neighbourhood.
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-low")
+        low = work.table(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{name}-{step}-low", 2 * state[0])
         large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = work.table(large.distinct(), f"{name}-{step}-large")
+        large = work.table(large.distinct(), f"{name}-{step}-large", 2 * state[0])
         # Small star: a vertex and its smaller neighbours join the smallest of them.
-        least = work.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-least")
+        least = work.table(large.groupBy("u").agg(F.min("v").alias("m")), f"{name}-{step}-least", 2 * state[0])
         small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v")))
-        following = work.table(small.distinct(), f"{name}-{step}")
-        work.drop(f"{name}-{step - 1}", f"{name}-{step}-low", f"{name}-{step}-large", f"{name}-{step}-least")
+        following = work.table(small.distinct(), f"{name}-{step}", 4 * state[0])
+        work.drop(f"{name}-{step - 1}", f"{name}-{step}-low", f"{name}-{step}-large", f"{name}-{step}-least", 2 * state[0])
         stars = following
     roots = stars.select(F.col("v").alias("vertex"), F.col("v").alias("root")).distinct()
     return stars.select(F.col("u").alias("vertex"), F.col("v").alias("root")).unionByName(roots)

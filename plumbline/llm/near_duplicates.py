@@ -206,44 +206,45 @@ def _sizes(rows: DataFrame, component: str) -> DataFrame:
     return sizes.filter("low <> high").select("node", "size", ((F.col("weight") <= LEAF) | (F.col("size") <= FEW)).alias("small"))
 
 
-def _down(rows: DataFrame, sets: DataFrame, depth: int, second: float, work: Workspace, turn: str) -> tuple[DataFrame, int]:
+def _down(rows: DataFrame, number: int, sets: DataFrame, depth: int, second: float, work: Workspace, turn: str) -> tuple[DataFrame, int]:
     """Sends the rows of nodes down. One join brings the signatures, two levels at a time below the first ones."""
     chances = [1.0] if depth < TWICE else [second, second]
     large = rows.join(sets.select("doc", "signature"), "doc").select("node", "signature", *[c for c in rows.columns if c != "node"])
     depth += len(chances)
-    return work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth}{turn}"), depth
+    return work.table(large.mapInArrow(_branch(chances), rows.schema), f"level-{depth}{turn}", 4 * number), depth
 
 
 def _grow(rows: DataFrame, second: float, sets: DataFrame, work: Workspace) -> tuple[list[DataFrame], DataFrame | None, int]:
     """Leaves (node, doc) from level 1 to CROWDED, the rows of crowds left there, if any, and their depth."""
     leaves, depth = [], 1
     while True:
-        sizes = work.table(_sizes(rows, "doc"), f"sizes-{depth}")
-        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}"))
+        number = rows.count()
+        sizes = work.table(_sizes(rows, "doc"), f"sizes-{depth}", number)
+        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}", number))
         crowded = sizes.filter("not small").select("node", "size")
         if crowded.isEmpty():
             return leaves, None, depth
         if depth >= CROWDED:
             return leaves, rows.join(crowded, "node"), depth
-        following, depth = _down(rows.join(crowded.select("node"), "node"), sets, depth, second, work, "")
-        rows = following
+        rows, depth = _down(rows.join(crowded.select("node"), "node"), number, sets, depth, second, work, "")
 
 
 def _finish(rows: DataFrame, depth: int, second: float, sets: DataFrame, work: Workspace) -> list[DataFrame]:
     """Leaves (node, doc) in which all pairs of different components of the rows (node, doc, weight, component) meet."""
     leaves = []
     while True:
-        sizes = work.table(_sizes(rows, "component"), f"mixed-{depth}")
+        number = rows.count()
+        sizes = work.table(_sizes(rows, "component"), f"mixed-{depth}", number)
         leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"few-{depth}"))
         crowded = sizes.filter("not small").select("node", "size")
         if crowded.isEmpty():
             return leaves
-        rows = work.table(rows.join(crowded.select("node"), "node"), f"crowd-{depth}")
-        met, now = _pairs_of_parts(rows, work, f"-{depth}", FINISH if depth < DEPTH else None)
+        rows = work.table(rows.join(crowded.select("node"), "node"), f"crowd-{depth}", number)
+        met, now = _pairs_of_parts(rows, number, work, f"-{depth}", FINISH if depth < DEPTH else None)
         leaves.append(met)
         if depth >= DEPTH:
             return leaves
-        rows, depth = _down(rows.join(now, "node", "left_anti"), sets, depth, second, work, "-mixed")
+        rows, depth = _down(rows.join(now, "node", "left_anti"), number, sets, depth, second, work, "-mixed")
 
 
 def _deal(rows: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def _deal(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(part).alias("part"), "node", "doc").select(F.xxhash64("node", "part").alias("node"), "doc")
 
 
-def _pairs_of_parts(rows: DataFrame, work: Workspace, turn: str, most: int | None) -> tuple[DataFrame, DataFrame]:
+def _pairs_of_parts(rows: DataFrame, number: int, work: Workspace, turn: str, most: int | None) -> tuple[DataFrame, DataFrame]:
     """Leaves (node, doc) in which any two sets of a node meet, unless they are of one component.
 
     Components of more than half a LEAF have parts of their own, which need not meet each other; the
@@ -266,15 +267,15 @@ def _pairs_of_parts(rows: DataFrame, work: Workspace, turn: str, most: int | Non
     counts = rows.groupBy("node", "component").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
     own = F.col("weight") > half
     counts = counts.select("node", "component", "weight", "n", own.alias("own"), F.when(own, F.col("component")).otherwise(F.lit(0)).alias("slot"))
-    counts = work.table(counts, f"counts{turn}")
+    counts = work.table(counts, f"counts{turn}", number)
     slots = counts.groupBy("node", "own", "slot").agg(F.ceil(F.sum("weight") / half).cast("int").alias("parts"), F.sum("n").alias("n"))
-    slots = work.table(slots, f"slots{turn}")
+    slots = work.table(slots, f"slots{turn}", number)
     # A set is copied once for every part that its own part meets.
     whole = slots.groupBy("node").agg(F.sum("parts").alias("all"), F.sum("n").alias("size"))
     own_parts = F.when(F.col("own"), F.col("parts")).otherwise(0)
     copies = slots.join(whole, "node").groupBy("node", "size").agg(F.sum(F.col("n") * (F.col("all") - own_parts)).alias("copies"))
     now = copies if most is None else copies.filter(F.col("copies") <= most * F.col("size"))
-    now = work.table(now.select("node"), f"now{turn}")
+    now = work.table(now.select("node"), f"now{turn}", number)
     slots = slots.join(now, "node")
     placed = rows.select("node", "doc", "component").join(counts.select("node", "component", "own", "slot"), ["node", "component"])
     placed = placed.join(slots, ["node", "own", "slot"])
@@ -327,19 +328,17 @@ def _alike(least: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _groups(batches):
             docs, signature, component = batch.column(1).to_numpy(), _matrix(batch.column(2)), batch.column(3).to_numpy()
-            names, members, of = [], [], []
+            names, members = [], []
             for start, stop in _bounds(batch.column(0).to_numpy()):
                 for group in _clusters(signature[start:stop], component[start:stop], least):
                     inside = docs[start:stop][group]
                     name = np.add.reduce(mix(inside.view(np.uint64))) + np.uint64(len(inside))
                     names.append(np.full(len(inside), name, np.uint64))
-                    members.append(inside)
-                    of.append(component[start:stop][group])
+                    members.append(start + group)
             if names:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(names).view(np.int64)), pa.array(np.concatenate(members)), pa.array(np.concatenate(of))],
-                    names=["group", "doc", "component"],
-                )
+                at = pa.array(np.concatenate(members))
+                rest = [c.take(at) for c in batch.columns[3:]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(names).view(np.int64)), *rest], names=["group", *batch.schema.names[3:]])
 
     return run
 
@@ -361,7 +360,7 @@ def _clusters(signature: np.ndarray, component: np.ndarray, least: int) -> list[
 
 
 def _links(threshold: tuple[int, int]):
-    """Links of a group on full sets: enough of them to connect whatever is similar within it."""
+    """Links between the components of a group on full sets: enough of them to connect whatever is similar within it."""
     above, of = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,8 +368,8 @@ def _links(threshold: tuple[int, int]):
             for start, stop in _bounds(batch.column(0).to_numpy()):
                 part = batch.slice(start, stop - start)
                 # Small components go first: once they have met the rest, a large one has nothing left to meet.
-                _, root, sizes = np.unique(part.column(3).to_numpy(), return_inverse=True, return_counts=True)
-                order = np.lexsort((part.column(1).to_numpy(), root, sizes[root]))
+                _, root, sizes = np.unique(part.column(1).to_numpy(), return_inverse=True, return_counts=True)
+                order = np.lexsort((root, sizes[root]))
                 part, root = part.take(pa.array(order)), root[order]
                 docs = part.column(1).to_numpy()
                 shingles, first = shingle_sets(part.column(2))
@@ -416,37 +415,38 @@ def near_duplicates(
     # One set per class: the row of smallest id, as it comes out of the map-side aggregation.
     first = F.min(F.struct("doc", "row", "signature")).alias("first")
     classes = told.filter("n > 0 and doc is not null").groupBy("n", "one", "two").agg(first)
-    classes = work.table(classes.select("n", "one", "two", F.col("first.doc").alias("rep"), "first.row", "first.signature"), "classes")
+    number = told.count()
+    classes = work.table(classes.select("n", "one", "two", F.col("first.doc").alias("rep"), "first.row", "first.signature"), "classes", 2 * number)
     # Where an id is repeated, it may stand for several sets; these are named by a hash instead.
     several = classes.groupBy("rep").agg(F.count("*").alias("k")).filter("k > 1").select("rep", F.lit(True).alias("several"))
-    several = work.table(several, "several")
+    several = work.table(several, "several", number)
     named = F.when(F.col("several"), F.xxhash64("rep", "n", "one", "two")).otherwise(F.col("rep"))
     sets = classes.join(several, "rep", "left").select("n", "one", "two", F.col("rep").alias("doc"), named.alias("set"), "row", "signature")
     # From here on the signatures of classes suffice.
     rows = work.table(told.drop("signature"), "rows")
     work.drop("told")
 
-    signed = sets.select(F.col("set").alias("doc"), "n", "signature")
+    signed = sets.select(F.col("set").alias("doc"), "n", "signature", F.col("doc").alias("id"), "row")
     similarity = threshold[0] / threshold[1]
     (trees, second), least = forest_shape(similarity), _least(similarity)
 
     def link(leaves: list[DataFrame], component: DataFrame | None, turn: str) -> DataFrame:
-        """Links (a, b) among sets that share a leaf and are not yet of one component (doc, component)."""
+        """Links (a, b) among components (doc, component) of sets that share a leaf; without them each set is its own."""
         met = reduce(DataFrame.unionByName, leaves).withColumnRenamed("node", "leaf").join(signed.drop("n"), "doc")
         own = F.col("doc").alias("component")
         if component is not None:
             met, own = met.join(component, "doc", "left"), F.coalesce("component", "doc").alias("component")
-        met = met.select("leaf", "doc", "signature", own)
-        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike(least), "group long, doc long, component long")
-        groups = work.table(groups.distinct().withColumnRenamed("doc", "set"), f"groups{turn}")
+        met = met.select("leaf", "doc", "signature", own, "id", "row")
+        groups = met.repartition("leaf").sortWithinPartitions("leaf").mapInArrow(_alike(least), "group long, component long, id long, row long")
+        # A row with its signature counts for several of a plain table, one with its text for more.
+        groups = work.table(groups.distinct(), f"groups{turn}", 5 * sum(leaf.count() for leaf in leaves))
         # Only the texts of sets in groups are shuffled, each once.
-        wanted = work.table(groups.select("set").distinct().join(sets.select("set", "doc", "row"), "set"), f"wanted{turn}")
-        texts = in_bitmap(hashed.filter("doc is not null"), "doc", id_bitmap(wanted, "doc"))
-        texts = texts.groupBy("doc", "row").agg(F.first("text").alias("text")).join(wanted, ["doc", "row"]).select("set", "text")
-        full = groups.join(texts, "set").select("group", "set", "text", "component")
+        texts = in_bitmap(hashed.filter("doc is not null"), "doc", id_bitmap(groups, "id"))
+        texts = texts.groupBy(F.col("doc").alias("id"), "row").agg(F.first("text").alias("text"))
+        full = groups.join(texts, ["id", "row"]).select("group", "component", "text")
         found = full.repartition("group").sortWithinPartitions("group").mapInArrow(_links(threshold), "a long, b long")
-        found = work.table(found, f"links{turn}")
-        work.drop(f"groups{turn}", f"wanted{turn}")
+        found = work.table(found, f"links{turn}", 10 * groups.count())
+        work.drop(f"groups{turn}")
         return found
 
     leaves, crowds, depth = _grow(_plant_forest(signed, trees, work), second, signed, work)
@@ -458,15 +458,21 @@ def near_duplicates(
         # Crowds of one component are done; in the others every pair of components gets its chance.
         component = roots.select(F.col("vertex").alias("doc"), F.col("root").alias("component"))
         mixed = crowds.drop("size").join(component, "doc", "left").select("node", "doc", "weight", F.coalesce("component", "doc").alias("component"))
-        links = links.unionByName(link(_finish(work.table(mixed, "mixed"), depth, second, signed, work), component, "-2"))
-        roots = connected_components(links, work, "connected")
+        mixed = work.table(mixed, "mixed")
+        more = link(_finish(mixed, depth, second, signed, work), component, "-2")
+        if not more.isEmpty():
+            # Components of components.
+            joined = connected_components(more, work, "connected").select(F.col("vertex").alias("root"), F.col("root").alias("lower"))
+            single = joined.join(roots.select(F.col("vertex").alias("root")), "root", "left_anti").select(F.col("root").alias("vertex"), F.col("lower").alias("root"))
+            roots = roots.join(joined, "root", "left").select("vertex", F.coalesce("lower", "root").alias("root")).unionByName(single)
     levels = [f"{name}-{depth}" for name in ("level", "sizes", "leaves", "mixed", "few", "crowd", "counts", "slots", "now", "parts", "met", "pairs") for depth in range(1, DEPTH + 3)]
     work.drop("crowds", "mixed", *levels, *[f"level-{depth}-mixed" for depth in range(DEPTH + 3)])
 
     # Components are named by the smallest id of their sets.
     roots = work.table(roots.join(sets.select(F.col("set").alias("vertex"), "doc"), "vertex"), "roots")
-    lowest = work.table(roots.groupBy("root").agg(F.min("doc").alias("low")), "lowest")
-    linked = work.table(roots.join(lowest, "root").select(F.col("vertex").alias("set"), "low"), "linked")
+    number = roots.count()
+    lowest = work.table(roots.groupBy("root").agg(F.min("doc").alias("low")), "lowest", number)
+    linked = work.table(roots.join(lowest, "root").select(F.col("vertex").alias("set"), "low"), "linked", number)
     final = sets.drop("signature").join(linked, "set", "left").select("n", "one", "two", F.coalesce("low", "doc").alias("low"))
     final = work.table(final, "final")
     out = rows.join(final, ["n", "one", "two"], "left")

@@ -170,8 +170,8 @@ def test_strangers_in_a_crowd_cost_little(spark, monkeypatch):
     # Strangers are about 0.79 like the 1,400 copies: all of them fall into the crowd's nodes.
     counts, table = {}, N.Workspace.table
 
-    def counted(self, df, name):
-        out = table(self, df, name)
+    def counted(self, df, name, rows=None):
+        out = table(self, df, name, rows)
         counts[name] = out.count()
         return out
 

@@ -26,7 +26,7 @@ STATISTICS = {"mean": "double", "std": "double", "min": "double", "q1": "double"
               "max": "double", "count": "bigint"}
 
 
-def _summaries(df: DataFrame, columns: list[str]) -> dict[str, dict]:
+def summaries(df: DataFrame, columns: list[str]) -> dict[str, dict]:
     """All statistics of `basic_stats` per column, as numbers."""
     seen = summary(df, columns)
     cuts = quantiles(df, columns, [0.25, 0.5, 0.75], seen)
@@ -63,7 +63,7 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None, approx: bool =
             cells = [F.avg(x), F.stddev_samp(x), F.min(x), *quarters, F.max(x), F.count(x)]
             aggregates += [cell.alias(f"{f}__{i}") for cell, f in zip(cells, STATISTICS)]
         return long_table(df.agg(*aggregates), columns, STATISTICS)
-    found = _summaries(df, columns)
+    found = summaries(df, columns)
     rows = [(i, c, *[found[c][f] for f in STATISTICS]) for i, c in enumerate(columns)]
     return literal_table(df, rows, {"ordinal": "int", "column": "string", **STATISTICS})
 
@@ -71,7 +71,7 @@ def basic_stats(df: DataFrame, columns: list[str] | None = None, approx: bool =
 def describe(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """The same statistics with one row per statistic and one column per numeric column."""
     columns = numeric_columns(df) if columns is None else columns
-    found = _summaries(df, columns)
+    found = summaries(df, columns)
     names = {"count": "count", "mean": "mean", "std": "std", "min": "min", "25%": "q1", "50%": "median", "75%": "q3", "max": "max"}
     rows = [
         (name, *[None if found[c][f] is None else float(found[c][f]) for c in columns]) for name, f in names.items()
@@ -193,6 +193,11 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
         adjusted_skew(x).alias("skew"), F.count_if(outside(x, low, high)).alias("outliers"),
         F.count("*").alias("n"),
     )
+    return distribution_row(row, column)
+
+
+def distribution_row(row: DataFrame, column: str) -> DataFrame:
+    """Classes of skew and the share of outliers, from the moments and counts of a column."""
     size = F.abs("skew")
     return row.select(
         F.lit(column).alias("column"), "mean", "median", "std", "skew",

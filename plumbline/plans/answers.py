@@ -7,9 +7,10 @@ from dataclasses import dataclass
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
-from plumbline.functions.columns import literal_table, numeric_columns, string_columns
+from plumbline.functions.columns import adjusted_skew, col, literal_table, number, numeric_columns, present, string_columns
 from plumbline.functions.text import plain_question
 from plumbline.operators import charts, classify, corpus, stats
+from plumbline.session import materialized
 
 
 @dataclass
@@ -64,40 +65,56 @@ def _pick(wanted: list[str], among: list[str]) -> str | None:
     return next((c for c in wanted if c in among), among[0] if among else None)
 
 
-def answer(
+def choose(
     df: DataFrame, question: str, kind: str | None = None, columns: list[str] | None = None, chart: str | None = None
-) -> Answer:
-    """Answer a question on a table; kind, columns and chart kind default to the word rules.
-
-    A chart comes with the answer if the question asks for one or `chart` names its kind
-    (correlation, distribution, comparison, scatter or trend).
-    """
+) -> tuple[str, list[str], str | None]:
+    """Analysis, its columns and the chart kind, if one is wanted, for a question."""
     numbers, strings = numeric_columns(df), string_columns(df)
     rules = decide(df, question)
     kind = kind or rules.analysis
     wanted = columns or relevant_columns(numbers, strings)
     drawn = chart or (rules.chart if rules.wants_chart else None)
-    data = question_chart(df, question, drawn) if drawn else None
-    drawn = None if data is None else drawn
     number, category = _pick(wanted, numbers), _pick(wanted, strings)
     chosen = [c for c in wanted if c in numbers]
     if kind == "correlation" and len(chosen) >= 2:
-        matrix = stats.corr_matrix(df, chosen)
-        return Answer(question, kind, chosen, stats.corr_findings(matrix), data, drawn)
-    if kind == "distribution" and number:
-        return Answer(question, kind, [number], stats.distribution(df, number), data, drawn)
+        return kind, chosen, drawn
+    if kind in ("distribution", "aggregation") and number:
+        return kind, [number], drawn
     if kind == "comparison" and number and category:
-        groups = stats.group_compare(df, category, number)
-        return Answer(question, kind, [category, number], stats.compare_summary(groups), data, drawn)
-    if kind == "aggregation" and number:
-        return Answer(question, kind, [number], stats.basic_stats(df, [number]), data, drawn)
+        return kind, [category, number], drawn
     if wanted and wanted[0] in numbers:
-        return Answer(question, "basic", [wanted[0]], stats.basic_column(df, wanted[0]), data, drawn)
-    shape = df.agg(F.count("*").alias("records")).select(
-        "records", F.lit(len(df.columns)).alias("features"), F.lit(len(numbers)).alias("numeric"),
-        F.lit(len(strings)).alias("categorical"),
+        return "basic", [wanted[0]], drawn
+    return "overview", [], drawn
+
+
+def _result(df: DataFrame, method: str, columns: list[str]) -> DataFrame:
+    if method == "correlation":
+        return stats.corr_findings(stats.corr_matrix(df, columns))
+    if method == "distribution":
+        return stats.distribution(df, *columns)
+    if method == "comparison":
+        return stats.compare_summary(stats.group_compare(df, *columns))
+    if method == "aggregation":
+        return stats.basic_stats(df, columns)
+    if method == "basic":
+        return stats.basic_column(df, *columns)
+    return df.agg(F.count("*").alias("records")).select(
+        "records", F.lit(len(df.columns)).alias("features"), F.lit(len(numeric_columns(df))).alias("numeric"),
+        F.lit(len(string_columns(df))).alias("categorical"),
     )
-    return Answer(question, "overview", [], shape, data, drawn)
+
+
+def answer(
+    df: DataFrame, question: str, kind: str | None = None, columns: list[str] | None = None, chart: str | None = None
+) -> Answer:
+    """Answer a question on a table; kind, columns and chart kind default to the word rules.
+
+    A chart comes with the answer if the question asks for one or `chart` names its kind
+    (correlation, distribution, comparison, scatter or trend).
+    """
+    method, chosen, drawn = choose(df, question, kind, columns, chart)
+    data = question_chart(df, question, drawn) if drawn else None
+    return Answer(question, method, chosen, _result(df, method, chosen), data, None if data is None else drawn)
 
 
 # Words that choose the analysis of a text collection.
@@ -136,32 +153,105 @@ def as_rows(table: DataFrame, method: str, columns: list[str]) -> DataFrame:
     )
 
 
+def shared_results(df: DataFrame, wanted: list[tuple[str, tuple[str, ...]]]) -> dict[tuple, DataFrame]:
+    """The results of many analyses `(method, columns)` of one table from scans that all of them share.
+
+    Quartiles of all columns take the same few scans; one scan has all moments and counts, one all groups,
+    one all correlations. The number of scans does not grow with the number of analyses.
+    """
+    of = {m: list(dict.fromkeys(c for method, columns in wanted if method == m for c in columns)) for m in ("distribution", "aggregation", "basic")}
+    pairs = list(dict.fromkeys(columns for method, columns in wanted if method == "comparison"))
+    linked = [c for c in numeric_columns(df) if any(c in columns for method, columns in wanted if method == "correlation")]
+    found = stats.summaries(df, list(dict.fromkeys(of["distribution"] + of["aggregation"])))
+    cells = [F.count("*").alias("rows")]
+    for i, c in enumerate(of["distribution"]):
+        q1, q3 = found[c]["q1"], found[c]["q3"]
+        low, high = (None, None) if q1 is None else (q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1))
+        cells += [adjusted_skew(number(df, c)).alias(f"skew{i}"), F.count_if(stats.outside(number(df, c), low, high)).alias(f"outliers{i}")]
+    for i, c in enumerate(of["basic"]):
+        cells += [F.avg(number(df, c)).alias(f"mean{i}"), F.count_if(~present(df, c)).alias(f"missing{i}")]
+    row = df.agg(*cells).first()
+    groups = None
+    if pairs:
+        values = list(dict.fromkeys(v for _, v in pairs))
+        keyed = F.explode(F.array(*[F.struct(F.lit(c).alias("by"), col(c).cast("string").alias("category")) for c in dict.fromkeys(c for c, _ in pairs)]))
+        stacked = df.select(keyed.alias("key"), *[number(df, v).alias(f"v{i}") for i, v in enumerate(values)]).filter("key.category is not null")
+        sums = [F.struct(F.avg(f"v{i}").alias("mean"), F.count(f"v{i}").alias("count"), F.stddev_samp(f"v{i}").alias("std")).alias(f"g{i}") for i in range(len(values))]
+        groups = materialized(stacked.groupBy("key.by", "key.category").agg(*sums))
+    matrix = materialized(stats.corr_matrix(df, linked)) if linked else None
+    out = {}
+    for method, columns in wanted:
+        c = columns[0] if columns else None
+        if method == "aggregation":
+            out[method, columns] = literal_table(df, [(0, c, *[found[c][f] for f in stats.STATISTICS])], {"ordinal": "int", "column": "string", **stats.STATISTICS})
+        elif method == "distribution":
+            i, f = of["distribution"].index(c), found[c]
+            cell = {"mean": "double", "median": "double", "std": "double", "skew": "double", "outliers": "bigint", "n": "bigint"}
+            one = literal_table(df, [(f["mean"], f["median"], f["std"], row[f"skew{i}"], row[f"outliers{i}"], row["rows"])], cell)
+            out[method, columns] = stats.distribution_row(one, c)
+        elif method == "comparison":
+            at = values.index(columns[1])
+            out[method, columns] = stats.compare_summary(groups.filter(F.col("by") == c).select("category", f"g{at}.*"))
+        elif method == "correlation":
+            place = F.create_map(*[x for k, n in enumerate(columns) for x in (F.lit(n), F.lit(k))])
+            own = matrix.filter(F.col("col1").isin(*columns) & F.col("col2").isin(*columns))
+            out[method, columns] = stats.corr_findings(own.select(place[F.col("col1")].alias("i"), place[F.col("col2")].alias("j"), "col1", "col2", "r"))
+        elif method == "basic":
+            i = of["basic"].index(c)
+            out[method, columns] = literal_table(df, [(c, row[f"mean{i}"], row["rows"], row[f"missing{i}"])], {"column": "string", "mean": "double", "records": "bigint", "missing": "bigint"})
+        else:
+            shape = (row["rows"], len(df.columns), len(numeric_columns(df)), len(string_columns(df)))
+            out[method, columns] = literal_table(df, [shape], {"records": "bigint", "features": "int", "numeric": "int", "categorical": "int"})
+    return out
+
+
 def answer_multiple(
     df: DataFrame, questions: list[str], kinds: dict[str, str] | None = None, columns: dict[str, list[str]] | None = None
 ) -> DataFrame:
     """All questions on one table as `(question, method, columns, statistic, value)` rows.
 
-    Chart data come as rows of method `chart <kind>`, a line per cell. Questions with the same
-    analysis and columns share one plan. A question that cannot be planned becomes a row with method
-    `error`.
+    Chart data come as rows of method `chart <kind>`, a line per cell. The analyses of all questions share
+    their scans. Should these fail, because one column cannot be read as it must be, each analysis is run
+    by itself. A question that cannot be planned, or whose analysis or chart fails when run, becomes a row
+    with method `error`; the others are answered. Results are computed when this is called.
     """
-    plans: dict[tuple, tuple[DataFrame, list[str]]] = {}
-    failed = []
+    planned, failed = {}, []
     for q in questions:
         try:
-            a = answer(df, q, (kinds or {}).get(q), (columns or {}).get(q))
-            plans.setdefault((a.method, tuple(a.columns)), (as_rows(a.result, a.method, a.columns), []))[1].append(q)
-            if a.chart is not None:
-                drawn = f"chart {a.chart_kind}"
-                named = (drawn, find_column(q, numeric_columns(df)), find_column(q, string_columns(df)))
-                plans.setdefault(named, (as_rows(a.chart, drawn, []), []))[1].append(q)
+            planned[q] = choose(df, q, (kinds or {}).get(q), (columns or {}).get(q))
         except Exception as problem:  # one bad question must not stop the rest
             failed.append((q, "error", "", "message", str(problem)))
+    wanted = list(dict.fromkeys((method, tuple(chosen)) for method, chosen, _ in planned.values()))
+    try:
+        results = shared_results(df, wanted)
+    except Exception:  # which analysis is to blame shows when each runs alone
+        results = {}
+    asked: dict[tuple, list[str]] = {}
+    charts_of: dict[tuple, tuple[str, str]] = {}
+    for q, (method, chosen, drawn) in planned.items():
+        asked.setdefault((method, tuple(chosen)), []).append(q)
+        if drawn:
+            named = (f"chart {drawn}", (find_column(q, numeric_columns(df)), find_column(q, string_columns(df))))
+            asked.setdefault(named, []).append(q)
+            charts_of[named] = (q, drawn)
+    done = []
+    for plan, said in asked.items():
+        try:
+            if plan in charts_of:
+                data = question_chart(df, *charts_of[plan])
+                rows = None if data is None else materialized(as_rows(data, plan[0], []))
+            else:
+                result = results.get(plan)
+                rows = materialized(as_rows(_result(df, plan[0], list(plan[1])) if result is None else result, plan[0], list(plan[1])))
+        except Exception as problem:
+            failed += [(q, "error", "", "message", str(problem)[:1000]) for q in said]
+            continue
+        if rows is not None:
+            done.append(rows.withColumn("question", F.explode(F.array(*[F.lit(q) for q in said]))))
     names = ["question", "method", "columns", "statistic", "value"]
     out = literal_table(df, failed, {n: "string" for n in names})
-    for rows, asked in plans.values():
-        listed = F.explode(F.array(*[F.lit(q) for q in asked]))
-        out = out.unionByName(rows.withColumn("question", listed))
+    for rows in done:
+        out = out.unionByName(rows)
     return out.withColumn("question", plain_question(F.col("question")))
 
 

@@ -27,20 +27,71 @@ def test_answer_by_kind(sales):
 
 
 def test_answer_many_shares_plans_and_reports_errors(sales, monkeypatch):
-    real = answers.answer
+    real = answers.choose
 
     def fragile(df, question, *rest):
         if "boom" in question:
             raise RuntimeError("no")
         return real(df, question, *rest)
 
-    monkeypatch.setattr(answers, "answer", fragile)
+    monkeypatch.setattr(answers, "choose", fragile)
     rows = answers.answer_multiple(sales, ["*a*?", "b?", "boom"]).collect()
     assert {r["question"] for r in rows} == {"a?", "b?", "boom"}
     assert [r["value"] for r in rows if r["method"] == "error"] == ["no"]
     assert len([r for r in rows if r["question"] == "a?"]) == 5
 
 
+MANY = {
+    "Spread of units?": ("distribution", ["units"]), "And price?": ("distribution", ["price"]), "Mean units?": ("aggregation", ["units"]),
+    "Mean price?": ("aggregation", ["price"]), "By region?": ("comparison", ["region", "price"]), "Units by region?": ("comparison", ["region", "units"]),
+    "Linked?": ("correlation", ["units", "price"]), "Plain?": ("other", ["units"]), "Shape?": ("other", ["region"]),
+}
+
+
+def test_shared_results_equal_single_ones(sales):
+    kinds, columns = ({q: a[i] for q, a in MANY.items()} for i in (0, 1))
+    got = answers.answer_multiple(sales, list(MANY), kinds, columns).collect()
+    for q, (kind, chosen) in MANY.items():
+        one = answers.answer(sales, q, kind, chosen)
+        want = answers.as_rows(one.result, one.method, one.columns).collect()
+        mine = {(r["method"], r["columns"], r["statistic"]): r["value"] for r in got if r["question"] == q and not r["method"].startswith("chart")}
+        assert mine.keys() == {(r["method"], r["columns"], r["statistic"]) for r in want}, q
+        for r in want:
+            value = mine[r["method"], r["columns"], r["statistic"]]
+            try:
+                assert float(value) == pytest.approx(float(r["value"]), rel=1e-9), (q, r)
+            except (TypeError, ValueError):
+                assert value == r["value"], (q, r)
+
+
+def test_scans_do_not_grow_with_the_questions(spark, sales, tmp_path):
+    sales.write.parquet(f"{tmp_path}/sales")
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    stored = spark.read.parquet(f"{tmp_path}/sales")
+    seen = []
+    for questions in (["Mean units?", "And price?", "By region?", "Linked?"], list(MANY)):
+        before = read.value
+        kinds, columns = ({q: MANY[q][i] for q in questions} for i in (0, 1))
+        answers.answer_multiple(stored.mapInArrow(counted, stored.schema), questions, kinds, columns).collect()
+        seen.append(read.value - before)
+    assert seen[1] <= seen[0], seen
+
+
+def test_a_failure_when_run_is_one_error_row(spark):
+    df = spark.sql("SELECT cast(id AS double) AS good, CASE WHEN id < 50 THEN 1.0 ELSE raise_error('cannot be read') END AS bad FROM range(100)")
+    df = df.selectExpr("good", "cast(bad AS double) AS bad")
+    rows = answers.answer_multiple(df, ["a?", "b?", "c?"], {"a?": "aggregation", "b?": "aggregation", "c?": "distribution"}, {"a?": ["good"], "b?": ["bad"], "c?": ["good"]}).collect()
+    assert {r["question"] for r in rows if r["method"] == "error"} == {"b?"} and "cannot be read" in next(r["value"] for r in rows if r["method"] == "error")
+    assert next(r["value"] for r in rows if r["question"] == "a?" and r["statistic"] == "mean") == "49.5"
+    assert next(r["value"] for r in rows if r["question"] == "c?" and r["statistic"] == "median") == "49.5"
+
+
 def test_charts_show_the_columns_that_are_named(sales):
     shown = answers.answer(sales, "Show the distribution of units")
     assert shown.chart_kind == "distribution" and shown.chart.agg(F.max("high")).first()[0] == 89.0

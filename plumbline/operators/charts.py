@@ -66,6 +66,38 @@ def trend_line(df: DataFrame, time: str, value: str, unit: str | None = "month")
     return df.groupBy(bucket).agg(F.avg(number(df, value)).alias("value"))
 
 
+def _place(x: Column, extent: Column, cells: int) -> Column:
+    """The cell of a value among equal parts of its range; the greatest value is of the last one."""
+    share = F.try_divide(x - extent["low"], extent["high"] - extent["low"])
+    return F.least(F.floor(F.coalesce(share, F.lit(0.0)) * cells), F.lit(cells - 1)).cast("int")
+
+
+def trend_points(df: DataFrame, time: str, value: str, pixels: int = 800) -> DataFrame:
+    """The points that a line chart of this width can show: (pixel, time, value), four per pixel at most.
+
+    Of the points of each pixel column the first, the last, the least and the greatest are kept, over
+    which a line has the same picture as over all. Points without time or value are left out; ties go to
+    the smaller value or the earlier time at the lower end and to the greater or later one at the upper.
+    """
+    t = col(time).cast("timestamp")
+    points = df.select(t.alias("time"), number(df, value).cast("double").alias("value")).filter("time is not null and value is not null")
+    points = points.withColumn("at", F.unix_micros("time").cast("double"))
+    extent = points.agg(F.struct(F.min("at").alias("low"), F.max("at").alias("high")).alias("e")).scalar()
+    placed = points.select(_place(F.col("at"), extent, pixels).alias("pixel"), "time", "value")
+    along, across = F.struct("time", "value"), F.struct("value", "time")
+    ends = placed.groupBy("pixel").agg(F.min(along).alias("a"), F.max(along).alias("b"), F.min(across).alias("c"), F.max(across).alias("d"))
+    kept = F.array_distinct(F.array("a", "b", *[F.struct(F.col(f"{c}.time"), F.col(f"{c}.value")) for c in "cd"]))
+    return ends.select("pixel", F.inline(kept)).select("pixel", F.col("time").cast("timestamp_ntz").alias("time"), "value")
+
+
+def scatter_grid(df: DataFrame, x: str, y: str, across: int = 200, down: int = 150) -> DataFrame:
+    """One point for each cell of a chart that holds any: (column, row, x, y, n), the least of its n points."""
+    points = df.select(number(df, x).cast("double").alias("x"), number(df, y).cast("double").alias("y")).filter("x is not null and y is not null")
+    extents = points.agg(F.struct(*[F.struct(F.min(c).alias("low"), F.max(c).alias("high")).alias(c) for c in "xy"]).alias("e")).scalar()
+    placed = points.select(_place(F.col("x"), extents["x"], across).alias("column"), _place(F.col("y"), extents["y"], down).alias("row"), F.struct("x", "y").alias("p"))
+    return placed.groupBy("column", "row").agg(F.min("p").alias("p"), F.count("*").alias("n")).select("column", "row", "p.x", "p.y", "n")
+
+
 def box_stats(df: DataFrame, column: str) -> DataFrame:
     """Quartiles, whiskers at the last values inside the fences, and the count beyond them."""
     x = number(df, column)

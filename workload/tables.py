@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions.columns import time_like_columns
 from plumbline.operators import charts, profile, stats
 from plumbline.plans import reports
+from plumbline.plans.answers import answer_multiple
 from workload.registry import query, union_all
 
 LINEITEM_NUMBERS = [
@@ -316,6 +317,83 @@ def trend_line(t):
     return charts.trend_line(orders, time_like_columns(orders)[0], "o_totalprice")
 
 
+@query(
+    "trend_points",
+    """
+WITH p AS (SELECT o_orderdate::TIMESTAMP AS time, o_totalprice AS value, epoch_us(o_orderdate::TIMESTAMP)::DOUBLE AS place FROM orders),
+e AS (SELECT min(place) AS lo, max(place) AS hi FROM p),
+c AS (SELECT least(floor((place - lo) / (hi - lo) * 100), 99)::INT AS pixel, time, value FROM p, e),
+m AS (SELECT pixel, min({'a': time, 'b': value}) AS f, max({'a': time, 'b': value}) AS l, min({'a': value, 'b': time}) AS d, max({'a': value, 'b': time}) AS u
+      FROM c GROUP BY 1)
+SELECT DISTINCT pixel, time, round(value, 4) AS value FROM (
+  SELECT pixel, f.a AS time, f.b AS value FROM m UNION ALL SELECT pixel, l.a, l.b FROM m
+  UNION ALL SELECT pixel, d.b, d.a FROM m UNION ALL SELECT pixel, u.b, u.a FROM m)
+""",
+)
+def trend_points(t):
+    return charts.trend_points(t("orders"), "o_orderdate", "o_totalprice", 100)
+
+
+@query(
+    "scatter_grid",
+    """
+WITH e AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_extendedprice) AS c, max(l_extendedprice) AS d FROM lineitem)
+SELECT least(floor((l_quantity - a) / (b - a) * 40), 39)::INT AS "column", least(floor((l_extendedprice - c) / (d - c) * 30), 29)::INT AS "row",
+       round(min({'x': l_quantity, 'y': l_extendedprice}).x, 4) AS x, round(min({'x': l_quantity, 'y': l_extendedprice}).y, 4) AS y, count(*) AS n
+FROM lineitem, e GROUP BY 1, 2
+""",
+)
+def scatter_grid(t):
+    return charts.scatter_grid(t("lineitem"), "l_quantity", "l_extendedprice", 40, 30)
+
+
+def spelled(question: str, method: str, columns: str, sql: str) -> str:
+    """A result of one row or several as (statistic, value) lines."""
+    return f"""SELECT '{question}' AS question, '{method}' AS method, '{columns}' AS columns, statistic, value
+FROM (SELECT COLUMNS(*)::VARCHAR FROM ({sql}) r) UNPIVOT INCLUDE NULLS (value FOR statistic IN (COLUMNS(*)))"""
+
+
+BY_FLAG = """
+WITH g AS (SELECT l_returnflag AS category, avg(l_extendedprice) AS mean FROM lineitem WHERE l_returnflag IS NOT NULL GROUP BY 1)
+SELECT (SELECT category FROM g ORDER BY mean DESC, category LIMIT 1) AS highest, max(mean) AS highest_mean,
+       (SELECT category FROM g ORDER BY mean, category LIMIT 1) AS lowest, min(mean) AS lowest_mean, stddev_samp(mean) > avg(mean) * 0.1 AS varies FROM g
+"""
+
+SPREAD = """
+WITH f AS (SELECT quantile_cont(l_tax, 0.25) AS q1, quantile_cont(l_tax, 0.5) AS q2, quantile_cont(l_tax, 0.75) AS q3 FROM lineitem),
+d AS (SELECT avg(l_tax) AS mean, stddev_samp(l_tax) AS std, skewness(l_tax) AS skew, count(*) AS n, any_value(q2) AS median,
+      count(*) FILTER (l_tax < q1 - 1.5 * (q3 - q1) OR l_tax > q3 + 1.5 * (q3 - q1)) AS outliers FROM lineitem, f)
+SELECT 'l_tax' AS "column", mean, median, std, round(skew, 4) AS skew,
+       CASE WHEN abs(skew) > 1 THEN 'high' WHEN abs(skew) > 0.5 THEN 'moderate' ELSE 'normal' END AS skew_class,
+       CASE WHEN abs(skew) > 0.5 THEN CASE WHEN skew > 0 THEN 'right' ELSE 'left' END END AS direction, outliers, outliers * 100.0 / n AS outlier_pct FROM d
+"""
+
+LINKED = f"""
+SELECT 'l_quantity' AS col1, 'l_extendedprice' AS col2, r, CASE WHEN abs(r) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,
+       CASE WHEN r > 0 THEN 'positive' ELSE 'negative' END AS direction
+FROM (SELECT corr(l_quantity, l_extendedprice) AS r FROM lineitem) c WHERE abs(r) > 0.5
+"""
+
+MANY = {
+    "Spread of tax": ("distribution", ["l_tax"], SPREAD), "Price by flag": ("comparison", ["l_returnflag", "l_extendedprice"], BY_FLAG),
+    "Are these linked": ("correlation", ["l_quantity", "l_extendedprice"], LINKED), "Level of discount": ("aggregation", ["l_discount"], stats_row("lineitem", 0, "l_discount")),
+}
+
+
+@query(
+    "answers_shared",
+    f"""
+SELECT question, method, columns, statistic, round(try_cast(value AS DOUBLE), 3) AS number, CASE WHEN try_cast(value AS DOUBLE) IS NULL THEN value END AS word
+FROM ({union_all([spelled(q, m, ",".join(c), sql) for q, (m, c, sql) in MANY.items()])}) a
+""",
+)
+def answers_shared(t):
+    """Questions of all kinds on one table, from shared scans."""
+    rows = answer_multiple(t("lineitem"), list(MANY), {q: m for q, (m, _, _) in MANY.items()}, {q: c for q, (_, c, _) in MANY.items()})
+    number = F.expr("try_cast(value as double)")
+    return rows.select("question", "method", "columns", "statistic", F.round(number, 3).alias("number"), F.when(number.isNull(), F.col("value")).alias("word"))
+
+
 @query(
     "box_stats",
     f"""

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import Window as W, functions as F
 
 from plumbline.functions import text as X
-from plumbline.operators import charts, classify, corpus, rules, vectors
+from plumbline.operators import charts, classify, corpus, rules, sentiment as context, vectors
 from plumbline.plans.answers import answer, answer_multiple, answer_text
 from plumbline.sources.csv_repair import SEPARATORS, guess_delimiter
 from workload.clean import strip_sql
@@ -235,6 +235,34 @@ def sentiment_hist(t):
     return charts.sentiment_hist(t("questions"), "question")
 
 
+QUOTE = "'"
+LEXICON = ", ".join(f"('{w}', {v}::DOUBLE)" for w, v in X.POLARITY.items())
+FACTORS = ", ".join(f"('{w.replace(QUOTE, QUOTE * 2)}', {f}::DOUBLE)" for w, f in context.MODIFIERS.items())
+
+
+@query(
+    "sentiment_in_context",
+    rf"""
+WITH t AS (SELECT id, regexp_extract_all(replace(lower(text), '’', chr(39)), '{context.TOKEN.replace(QUOTE, QUOTE * 2)}', 1) AS ts
+           FROM (SELECT q_id AS id, 'This is not very ' || question || ' not good, never bad. Really great!' AS text FROM questions)),
+w AS (SELECT id, unnest(ts) AS word, generate_subscripts(ts, 1) AS i FROM t),
+l(word, polarity) AS (VALUES {LEXICON}), f(word, factor) AS (VALUES {FACTORS}),
+h AS (SELECT w.id, w.i, polarity FROM w JOIN l ON l.word = w.word),
+ends AS (SELECT h.id, h.i, max(c.i) AS mark FROM h JOIN w c ON c.id = h.id AND c.i < h.i AND regexp_matches(c.word, '^[.,;:!?\n]$') GROUP BY 1, 2),
+m AS (SELECT h.id, h.i, f.factor FROM h LEFT JOIN ends e ON e.id = h.id AND e.i = h.i
+      JOIN w b ON b.id = h.id AND b.i BETWEEN h.i - {context.REACH} AND h.i - 1 AND b.i > coalesce(e.mark, 0) JOIN f ON f.word = b.word),
+p AS (SELECT id, i, product(factor) AS factor FROM m GROUP BY 1, 2),
+v AS (SELECT h.id, greatest(least(h.polarity * coalesce(p.factor, 1), 1), -1) AS value FROM h LEFT JOIN p ON p.id = h.id AND p.i = h.i)
+SELECT t.id AS q_id, round(coalesce(avg(value), 0), 4) AS polarity, count(value) AS hits FROM t LEFT JOIN v ON v.id = t.id GROUP BY 1
+""",
+)
+def sentiment_in_context(t):
+    """Questions within a frame of negations, with the small lexicon as a table."""
+    lexicon = t.spark.createDataFrame(list(X.POLARITY.items()), "word string, polarity double")
+    framed = F.concat(F.lit("This is not very "), F.col("question"), F.lit(" not good, never bad. Really great!"))
+    return context.polarity_in_context(t("questions").select("q_id", framed.alias("text")), "text", "q_id", lexicon)
+
+
 def found_sql(phrases: list[str]) -> str:
     return " + ".join(f"contains(lower(text), '{p}')::INT" for p in phrases)
 

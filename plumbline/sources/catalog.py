@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -37,44 +39,98 @@ def column_catalogs(spark: SparkSession, datasets: list[str]) -> DataFrame:
 
 
 class Log:
-    """Sessions, findings and dataset records in one folder, appended to and read back trimmed."""
+    """Sessions, findings and dataset records in one folder, appended to and read back trimmed.
+
+    Every append is a folder of its own below the kind's `batches`. A compaction writes the kept rows to a
+    new folder below `generations` and then, last, one numbered file below `pointers` that names it and the
+    batches it covers. A reader takes the highest pointer's generation and all batches it does not cover, so
+    a compaction that dies loses nothing and one that runs while others append leaves their batches in.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def _path(self, kind: str) -> str:
-        return os.path.join(self.folder, kind)
+    def _path(self, *parts: str) -> str:
+        return os.path.join(self.folder, *parts)
+
+    def _fs(self, path: str):
+        jvm = self.spark._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()), at
+
+    def _names(self, *parts: str, complete: bool = False) -> list[str]:
+        """Names in a folder; of tables only those that are written to the end, if asked."""
+        fs, at = self._fs(self._path(*parts))
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(n for n in names if not complete or fs.exists(self._fs(self._path(*parts, n, "_SUCCESS"))[1]))
 
     def append(self, kind: str, rows: DataFrame) -> None:
-        rows.write.mode("append").parquet(self._path(kind))
+        rows.write.parquet(self._path(kind, "batches", uuid.uuid4().hex))
+
+    def _pointer(self, kind: str) -> tuple[int, str | None, set[str]]:
+        """Number of the last compaction, its generation and the batches it covers."""
+        # Files that are still being written have another ending.
+        numbers = [int(n.removesuffix(".json")) for n in self._names(kind, "pointers") if n.endswith(".json")]
+        if not numbers:
+            return 0, None, set()
+        row = json.loads("".join(r["value"] for r in self.spark.read.text(self._path(kind, "pointers", f"{max(numbers):09d}.json")).collect()))
+        return max(numbers), row["generation"], set(row["covers"])
+
+    def _folders(self, kind: str) -> list[str]:
+        _, generation, covered = self._pointer(kind)
+        fresh = [self._path(kind, "batches", n) for n in self._names(kind, "batches", complete=True) if n not in covered]
+        return fresh + ([self._path(kind, "generations", generation)] if generation else [])
 
     def read(self, kind: str) -> DataFrame:
-        return self.spark.read.parquet(self._path(kind))
+        return self.spark.read.parquet(*self._folders(kind))
 
     def compact(self, kind: str) -> None:
-        """Put the kept rows of a kind into one new folder in place of its many small files.
-
-        The new folder is complete before the old one goes; nobody may append meanwhile.
-        """
-        kept = {"sessions": self.sessions, "insights": self.insights, "datasets": self.datasets}[kind]()
-        fresh, path = f"{self._path(kind)}.compact", self._path(kind)
-        kept.coalesce(1).write.mode("overwrite").parquet(fresh)
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        old, new = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, fresh))
-        fs = old.getFileSystem(conf)
-        fs.delete(old, True)
-        fs.rename(new, old)
-
-    def sessions(self) -> DataFrame:
+        """Bring the kept rows of a kind together. Others may append meanwhile, or compact: the later one then fails."""
+        number, _, _ = self._pointer(kind)
+        covers = set(self._names(kind, "batches", complete=True))
+        kept = {"sessions": self.sessions, "insights": self.insights, "datasets": self.datasets}[kind]
+        # The rows are those of the folders listed here, whatever is appended from now on.
+        rows, fresh = kept(self.spark.read.parquet(*self._folders_of(kind, covers))), uuid.uuid4().hex
+        rows.hint("rebalance").write.parquet(self._path(kind, "generations", fresh))
+        self._point(kind, number + 1, fresh, covers)
+
+    def _folders_of(self, kind: str, batches: set[str]) -> list[str]:
+        _, generation, covered = self._pointer(kind)
+        listed = [self._path(kind, "batches", n) for n in sorted(batches - covered)]
+        return listed + ([self._path(kind, "generations", generation)] if generation else [])
+
+    def _point(self, kind: str, number: int, generation: str, covers: set[str]) -> None:
+        """Write the pointer under another name and give it its own, which only one can."""
+        text = json.dumps({"generation": generation, "covers": sorted(covers)})
+        fs, draft = self._fs(self._path(kind, "pointers", f"{generation}.draft"))
+        stream = fs.create(draft, False)
+        stream.write(bytearray(text.encode()))
+        stream.close()
+        _, final = self._fs(self._path(kind, "pointers", f"{number:09d}.json"))
+        if fs.exists(final) or not fs.rename(draft, final):
+            fs.delete(draft, False)
+            raise RuntimeError(f"another compaction of {kind} was faster")
+
+    def sweep(self, kind: str) -> None:
+        """Delete what the last pointer has made superfluous; no reader may still use an earlier one."""
+        number, generation, covered = self._pointer(kind)
+        old = [("batches", n) for n in self._names(kind, "batches") if n in covered]
+        old += [("generations", n) for n in self._names(kind, "generations") if n != generation] if generation else []
+        old += [("pointers", n) for n in self._names(kind, "pointers") if n.endswith(".json") and int(n.removesuffix(".json")) < number]
+        for folder, name in old:
+            fs, at = self._fs(self._path(kind, folder, name))
+            fs.delete(at, True)
+
+    def sessions(self, rows: DataFrame | None = None) -> DataFrame:
         """The last twenty sessions per dataset."""
-        return retain_sessions(self.read("sessions"))
+        return retain_sessions(self.read("sessions") if rows is None else rows)
 
-    def insights(self) -> DataFrame:
+    def insights(self, rows: DataFrame | None = None) -> DataFrame:
         """The last five findings per dataset and topic."""
-        return retain_insights(self.read("insights"))
+        return retain_insights(self.read("insights") if rows is None else rows)
 
-    def datasets(self) -> DataFrame:
+    def datasets(self, rows: DataFrame | None = None) -> DataFrame:
         """The latest record per dataset."""
-        rows = self.read("datasets")
+        rows = self.read("datasets") if rows is None else rows
         newest = F.max_by(F.struct(*rows.columns), "load_time").alias("r")
         return rows.groupBy("dataset").agg(newest).select("r.*")

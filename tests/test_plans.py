@@ -160,11 +160,59 @@ def test_the_log_can_be_compacted(spark, tmp_path):
     for i in range(25):
         log.append("sessions", spark.sql(f"SELECT 'd' AS dataset, {i}L AS session_id, timestamp_ntz'2024-01-01 00:00:{i:02d}' AS ts"))
     log.compact("sessions")
-    assert log.read("sessions").count() == 20 and len(list((tmp_path / "sessions").glob("*.parquet"))) == 1
+    assert log.read("sessions").count() == 20 and len(list((tmp_path / "sessions" / "generations").glob("*/*.parquet"))) == 1
+    log.sweep("sessions")
+    assert log.read("sessions").count() == 20 and not list((tmp_path / "sessions" / "batches").glob("*"))
     log.append("sessions", spark.sql("SELECT 'd' AS dataset, 99L AS session_id, timestamp_ntz'2024-01-02 00:00:00' AS ts"))
     assert {r["session_id"] for r in log.sessions().collect()} == set(range(6, 25)) | {99}
 
 
+def test_compaction_loses_nothing_when_killed_or_raced(spark, tmp_path, monkeypatch):
+    def session(i):
+        return spark.sql(f"SELECT 'd' AS dataset, {i}L AS session_id, timestamp_ntz'2024-01-01 00:00:{i:02d}' AS ts")
+
+    def ids():
+        return {r["session_id"] for r in log.sessions().collect()}
+
+    log, point = Log(spark, str(tmp_path)), Log._point
+    for i in range(3):
+        log.append("sessions", session(i))
+
+    def killed(*_):
+        raise KeyboardInterrupt
+
+    monkeypatch.setattr(Log, "_point", killed)
+    with pytest.raises(KeyboardInterrupt):
+        log.compact("sessions")
+    assert ids() == {0, 1, 2}
+
+    def raced(self, *args):
+        # Another one appends, and then compacts, before this one's pointer is written.
+        log.append("sessions", session(3))
+        monkeypatch.setattr(Log, "_point", point)
+        Log(spark, str(tmp_path)).compact("sessions")
+        point(self, *args)
+
+    monkeypatch.setattr(Log, "_point", raced)
+    with pytest.raises(RuntimeError):
+        log.compact("sessions")
+    assert ids() == {0, 1, 2, 3}
+
+    def late(self, *args):
+        log.append("sessions", session(4))
+        point(self, *args)
+
+    monkeypatch.setattr(Log, "_point", late)
+    log.compact("sessions")
+    assert ids() == {0, 1, 2, 3, 4}
+    log.sweep("sessions")
+    assert ids() == {0, 1, 2, 3, 4} and len(list((tmp_path / "sessions" / "batches").glob("*"))) == 1
+    log.append("sessions", session(5))
+    monkeypatch.setattr(Log, "_point", point)
+    log.compact("sessions")
+    assert ids() == {0, 1, 2, 3, 4, 5}
+
+
 def test_metrics_are_kept_until_refreshed(spark, sales, tmp_path):
     first = answers.dataset_metrics(sales, "s", str(tmp_path))["basic_stats"].filter("column = 'price'").first()["mean"]
     doubled = sales.withColumn("price", F.col("price") * 2)

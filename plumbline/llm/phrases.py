@@ -1,8 +1,8 @@
 """Phrases that belong together, from exact counts kept in burstable tries.
 
 Every task counts its texts' phrases in a trie over word ids. Containers of the trie are hash tables of
-whole suffixes; one that holds more than BURST entries bursts into a node with a container per next
-word. When a trie holds more than ENTRIES, its largest subtrees leave as runs sorted by words, until half
+whole suffixes: one for all rare first words, one for each frequent one; one of these that holds more than
+BURST entries bursts into a node with a container per next word. When a trie holds more than ENTRIES, its largest subtrees leave as runs sorted by words, until half
 is left. Runs are shuffled by the phrase's first words, the prefix, and summed per prefix partition.
 
 A phrase of three or four words is frequent only if its pairs are. So words and pairs are counted first,
@@ -26,8 +26,8 @@ from plumbline.llm.words import Words, _LOWER, hash_words, pair, text_bytes
 #: Words of the longest phrase. Suffixes pack three word ids of ID_BITS bits.
 LONGEST, ID_BITS = 4, 21
 
-#: Entries at which a container bursts, and a trie's entries in memory.
-BURST, ENTRIES = 4_096, 1 << 20
+#: Entries at which a container bursts, a trie's entries in memory, and suffixes at once that give a first word its subtree.
+BURST, ENTRIES, HOT = 4_096, 1 << 20, 32
 
 #: Bits of the bitmap per frequent pair, and at most.
 BITS_PER_PAIR, MOST_BITS = 16, 1 << 30
@@ -65,38 +65,66 @@ def piece_words(column: pa.Array) -> tuple[Words, np.ndarray]:
 
 
 class Trie:
-    """Counts of phrases (head, suffix): head is language and first word, suffix packs the ids of up to three more."""
+    """Counts of phrases (head, suffix): head is language and first word, suffix packs the ids of up to three more.
 
-    def __init__(self):
-        self.root: dict[int, list] = {}  # head -> [entries, container or node]
+    The root is a hash container of whole phrases. A first word that comes with HOT different suffixes at
+    once gets a subtree of its own; what the root has of it stays there and is added when a run is made.
+    `longest` tells how many ids of a suffix can be set, so that keys of pairs stay small numbers.
+    """
+
+    def __init__(self, longest: int = LONGEST):
+        self.cold: dict[int, int] = {}
+        self.root: dict[int, dict] = {}  # head -> container or node
         self.entries = 0
+        self.unused = ID_BITS * (LONGEST - longest)
+        self.width = ID_BITS * (longest - 1)
 
     def add(self, head: np.ndarray, suffix: np.ndarray, count: np.ndarray) -> None:
         """Adds distinct phrases, sorted by head and suffix."""
-        cuts = np.flatnonzero(np.append(True, head[1:] != head[:-1])) if len(head) else np.zeros(0, np.int64)
-        heads, ends = head[cuts].tolist(), np.append(cuts[1:], len(head)).tolist()
-        suffixes, counts, at = suffix.tolist(), count.tolist(), 0
-        for key, end in zip(heads, ends):
-            branch = self.root.setdefault(key, [0, {}])
-            grown, branch[1] = _insert(branch[1], suffixes[at:end], counts[at:end], 2 * ID_BITS)
-            branch[0] += grown
-            self.entries += grown
-            at = end
+        if not len(head):
+            return
+        cuts = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+        sizes = np.diff(np.append(cuts, len(head)))
+        root, own = self.root, np.zeros(len(cuts), dtype=bool)
+        for i, (key, size) in enumerate(zip(head[cuts].tolist(), sizes.tolist())):
+            own[i] = size >= HOT or key in root
+        rest = ~np.repeat(own, sizes)
+        cold, before = self.cold, len(self.cold)
+        get = cold.get
+        for key, n in zip(self._packed(head[rest], suffix[rest]), count[rest].tolist()):
+            cold[key] = get(key, 0) + n
+        grown = len(cold) - before
+        for at, size in zip(cuts[own].tolist(), sizes[own].tolist()):
+            key, end = int(head[at]), at + size
+            more, root[key] = _insert(root.get(key, {}), suffix[at:end].tolist(), count[at:end].tolist(), 2 * ID_BITS)
+            grown += more
+        self.entries += grown
+
+    def _packed(self, head: np.ndarray, suffix: np.ndarray) -> list[int]:
+        if self.width <= 2 * ID_BITS - 10:
+            return (head << self.width | suffix >> self.unused).tolist()
+        return [h << self.width | s for h, s in zip(head.tolist(), (suffix >> self.unused).tolist())]
+
+    def _taken(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, counts = list(self.cold), np.fromiter(self.cold.values(), np.int64, len(self.cold))
+        mask, self.cold = (1 << self.width) - 1, {}
+        if self.width <= 2 * ID_BITS - 10:
+            packed = np.array(keys, np.int64)
+            return packed >> self.width, (packed & mask) << self.unused, counts
+        return np.array([k >> self.width for k in keys], np.int64), np.array([k & mask for k in keys], np.int64) << self.unused, counts
 
     def pop(self, left: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes the largest subtrees out until `left` entries remain: heads, suffixes and counts."""
-        heads, sizes, suffixes, counts = [], [], [], []
-        for key in sorted(self.root, key=lambda k: -self.root[k][0]):
+        """Takes the root's container and the largest subtrees out until `left` entries remain: heads, suffixes and counts."""
+        self.entries -= len(self.cold)
+        parts = [self._taken()]
+        whole = {key: _entries(content) for key, content in self.root.items()}
+        for key in sorted(whole, key=whole.get, reverse=True):
             if self.entries <= left:
                 break
-            size, content = self.root.pop(key)
-            self.entries -= size
-            heads.append(key)
-            sizes.append(size)
-            for table in _containers(content):
-                suffixes.extend(table.keys())
-                counts.extend(table.values())
-        return np.repeat(np.array(heads, np.int64), sizes), np.array(suffixes, np.int64), np.array(counts, np.int64)
+            self.entries -= whole[key]
+            for table in _containers(self.root.pop(key)):
+                parts.append((np.full(len(table), key), np.fromiter(table, np.int64, len(table)), np.fromiter(table.values(), np.int64, len(table))))
+        return tuple(np.concatenate(c) for c in zip(*parts))
 
 
 class Node(dict):
@@ -126,6 +154,10 @@ def _insert(content: dict, suffixes: list[int], counts: list[int], shift: int) -
     return grown, content
 
 
+def _entries(content: dict) -> int:
+    return sum(map(_entries, content.values())) if isinstance(content, Node) else len(content)
+
+
 def _containers(content: dict) -> Iterator[dict]:
     if isinstance(content, Node):
         for child in content.values():
@@ -140,6 +172,7 @@ class Vocabulary:
     def __init__(self):
         self.ids: dict[int, int] = {}
         self.words: list[bytes] = [b""]
+        self.hashes: list[int] = [0]
         self.langs: dict[str, int] = {}
 
     def number(self, words: Words, hashes: np.ndarray) -> np.ndarray:
@@ -149,6 +182,7 @@ class Vocabulary:
             known = self.ids.get(h)
             if known is None:
                 known = self.ids[h] = len(self.words)
+                self.hashes.append(h)
                 self.words.append(words.data[words.start[w] : words.end[w]].tobytes())
             ids[i] = known
         return ids[of]
@@ -169,35 +203,36 @@ def _distinct(head: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _run(trie: Trie, vocabulary: Vocabulary, left: int, crowded: set[tuple[str, str]]) -> pa.RecordBatch:
-    """The largest subtrees as rows (lang, prefix, phrase, words, n), sorted by language and words."""
+    """The largest subtrees as rows (lang, prefix, phrase, n), sorted by language and words.
+
+    The prefix is a hash of the first two words, or of three. The count of all words of a language is the entry of no word.
+    """
     head, suffix, count = trie.pop(left)
     mask = (1 << ID_BITS) - 1
     ids = np.stack([head & mask] + [suffix >> (ID_BITS * k) & mask for k in (2, 1, 0)])
     spelled = pa.array(vocabulary.words, pa.binary())
     rank = np.empty(len(spelled), dtype=np.int64)
     rank[pc.sort_indices(spelled).to_numpy()] = np.arange(len(spelled))
-    order = np.lexsort((*rank[ids[::-1]], head >> ID_BITS))
-    ids, head, count = ids[:, order], head[order], count[order]
-    words = (ids > 0).sum(axis=0)
-    text = spelled.cast(pa.string())
-    parts = [text.take(pa.array(i)) for i in ids]
-    missing = pa.scalar(None, pa.string())
-    phrase, prefix = parts[0], parts[0]
+    order = np.lexsort((*rank[ids[: 1 + int((ids[1:] > 0).any(axis=1).sum())][::-1]], head >> ID_BITS))
+    ids, head = ids[:, order], head[order]
+    # A phrase may come from the root and from a subtree.
+    same = np.append(True, (head[1:] != head[:-1]) | (ids[1:, 1:] != ids[1:, :-1]).any(axis=0)) if len(head) else np.zeros(0, bool)
+    count = np.add.reduceat(count[order], np.flatnonzero(same)) if len(head) else count
+    ids, head = ids[:, same], head[same]
+    text, names = spelled.cast(pa.string()), pa.array(list(vocabulary.langs), pa.string())
+    lang, phrase = names.take(pa.array(head >> ID_BITS)), text.take(pa.array(ids[0]))
+    hashes = np.array(vocabulary.hashes, dtype=np.uint64)
+    prefix = pair(hashes[ids[0]], hashes[ids[1]])
     for k in range(1, LONGEST):
-        longer = pc.binary_join_element_wise(phrase, parts[k], " ")
-        phrase = pc.if_else(pa.array(words > k), longer, phrase)
-        if k == 1:
-            prefix = phrase
+        more = ids[k] > 0
+        if not more.any():
+            break
+        longer = pc.binary_join_element_wise(phrase, text.take(pa.array(ids[k])), " ")
         if k == 2 and crowded:
-            names = list(vocabulary.langs)
-            pairs = pc.binary_join_element_wise(pa.array(names).take(pa.array(head >> ID_BITS)), prefix, "\t")
-            hot = pc.is_in(pairs, pa.array([f"{a}\t{b}" for a, b in crowded]))
-            prefix = pc.if_else(hot, phrase, prefix)
-    lang = pa.array(list(vocabulary.langs), pa.string()).take(pa.array(head >> ID_BITS))
-    # The count of all words of a language is the entry of no word.
-    return pa.RecordBatch.from_arrays(
-        [lang, pc.fill_null(prefix, missing), phrase, pa.array(words.astype(np.int32)), pa.array(count)], names=["lang", "prefix", "phrase", "words", "n"]
-    )
+            hot = pc.is_in(pc.binary_join_element_wise(lang, phrase, "\t"), pa.array([f"{a}\t{b}" for a, b in crowded]))
+            prefix = np.where(hot.to_numpy(zero_copy_only=False), pair(prefix, hashes[ids[2]]), prefix)
+        phrase = longer if more.all() else pc.if_else(pa.array(more), longer, phrase)
+    return pa.RecordBatch.from_arrays([lang, pa.array((prefix >> np.uint64(33)).astype(np.int32)), phrase, pa.array(count)], names=["lang", "prefix", "phrase", "n"])
 
 
 def pair_hashes(lang: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -215,13 +250,13 @@ def _count(shortest: int, longest: int, bitmap=None, crowded: set[tuple[str, str
     """Phrases of `shortest` to `longest` words of (lang, text), summed per task as far as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, vocabulary = Trie(), Vocabulary()
+        trie, vocabulary = Trie(longest), Vocabulary()
         for batch in batches:
             for part in blocks(batch, "text"):
                 words, follows = piece_words(part.column(1))
                 if len(vocabulary.words) + len(words.start) >= 1 << ID_BITS:
                     yield _run(trie, vocabulary, 0, crowded)
-                    trie, vocabulary = Trie(), Vocabulary()
+                    trie, vocabulary = Trie(longest), Vocabulary()
                 hashes = hash_words(words)
                 ids = vocabulary.number(words, hashes)
                 head = (vocabulary.language(part.column(0))[words.docs()] << ID_BITS) | ids
@@ -253,13 +288,14 @@ def _count(shortest: int, longest: int, bitmap=None, crowded: set[tuple[str, str
     return run
 
 
-RUNS = "lang string, prefix string, phrase string, words int, n long"
+RUNS = "lang string, prefix int, phrase string, n long"
 
 
 def _merged(runs: DataFrame, least: int) -> DataFrame:
     """Runs summed per prefix partition; phrases of fewer than `least` occurrences go."""
-    sums = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase", "words").agg(F.sum("n").alias("n"))
-    return sums.filter((F.col("n") >= least) | (F.col("words") == 0)).drop("prefix")
+    sums = runs.repartition("lang", "prefix").groupBy("lang", "prefix", "phrase").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("phrase") == "", 0).otherwise(F.size(F.split("phrase", " ")))
+    return sums.filter((F.col("n") >= least) | (F.col("phrase") == "")).select("lang", "phrase", words.alias("words"), "n")
 
 
 def _pair_bitmap(pairs: DataFrame) -> np.ndarray:

@@ -14,14 +14,13 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from plumbline.operators.stats import latest
-from plumbline.operators.vectors import _nearest
+from plumbline.operators.vectors import meet, vector_matrix
 from plumbline.session import materialized
 
 #: Cells at most, and rows of lowest hash that the centres are fitted on, at most.
@@ -46,11 +45,6 @@ class Index(NamedTuple):
     undirected: int  # rows of the cell NO_DIRECTION
 
 
-def vector_matrix(column: pa.Array) -> np.ndarray:
-    """Equally long vectors, from the values of the list column."""
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-
-
 def _directed(rows: np.ndarray, metric: str) -> tuple[np.ndarray, np.ndarray]:
     """Vectors as they are compared, and which of them can be: unit vectors where directions are."""
     if metric == "l2":
@@ -202,22 +196,7 @@ def _search(asked: DataFrame, index: Index, k: int, shape: str) -> DataFrame:
     )
     query_shape = queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {query_shape}, mem_id {shape}, distance double"
-    metric = index.metric
-
-    def meet(a: pa.Table, b: pa.Table) -> pa.Table:
-        kinds = [a.schema.field("query_id").type, b.schema.field("mem_id").type, pa.float64()]
-        if not a.num_rows or not b.num_rows:
-            return pa.Table.from_arrays([pa.array([], t) for t in kinds], names=["query_id", "mem_id", "distance"])
-        ids, memory = b.column("mem_id").to_numpy(), vector_matrix(b.column("embedding").combine_chunks())
-        asked_ids, found = a.column("query_id").to_pylist(), []
-        vectors = vector_matrix(a.column("embedding").combine_chunks())
-        step = max(1, (1 << 22) // len(ids))
-        for at in range(0, len(vectors), step):
-            found.append(_nearest(ids, memory, asked_ids[at : at + step], vectors[at : at + step], k, metric))
-        near = pd.concat(found)
-        return pa.Table.from_arrays([pa.array(near[c].to_numpy(), t) for c, t in zip(("query_id", "mem_id", "distance"), kinds)], names=["query_id", "mem_id", "distance"])
-
-    return queries.groupBy("c", "r", "q").cogroup(rows.groupBy("c", "r", "q")).applyInArrow(meet, schema)
+    return queries.groupBy("c", "r", "q").cogroup(rows.groupBy("c", "r", "q")).applyInArrow(meet(k, index.metric), schema)
 
 
 def search_index(index: Index, queries: DataFrame, k: int = 5, probes: int = 8, exact: bool = False) -> DataFrame:

@@ -180,3 +180,29 @@ def test_embedding_store_and_search(spark, tmp_path):
     assert [r["mem_id"] for r in near] == [1, 3]
     own = vectors.embed(first, "text", lambda batch: [[float(len(t)), 1.0] for t in batch])
     assert [list(r["embedding"]) for r in own.orderBy("mem_id").collect()] == [[13.0, 1.0], [8.0, 1.0]]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine"])
+def test_many_queries_are_shuffled_to_the_memory(spark, metric, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    monkeypatch.setattr(vectors, "FIRST_ROWS", 8)
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(v) for v in rng.integers(-2, 3, 4)]) for i in range(300)]
+    rows += [(300, [0.0] * 4), (301, [float("nan"), 1.0, 1.0, 1.0]), (302, None)]
+    m = spark.createDataFrame(rows, "mem_id bigint, embedding array<float>").repartition(5)
+    q = m.withColumnRenamed("mem_id", "query_id")
+    grid = vectors.knn(m, q, 5, metric, query_block=50)
+    # No block of queries is a scan of its own.
+    assert grid._jdf.queryExecution().toString().count("MapInArrow") == 0
+    found = {}
+    for r in grid.collect():
+        found.setdefault(r["query_id"], []).append((r["distance"], r["mem_id"]))
+    assert len(found) == 301
+    a = np.array([v for _, v in rows[:301]])
+    for i in range(301):
+        if metric == "l2":
+            d = np.sqrt(((a - a[i]) ** 2).sum(axis=1))
+        else:
+            n = np.sqrt((a**2).sum(axis=1) * (a[i] ** 2).sum())
+            d = np.round(1 - np.divide((a * a[i]).sum(axis=1), n, out=np.zeros(len(a)), where=n > 0), 9)
+        assert sorted(found[i]) == sorted(zip(d.tolist(), range(301)))[:5]

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
@@ -25,25 +26,50 @@ BLOCK, LEAST_BLOCKS, MOST_TASKS = 32_768, 32, 4_096
 #: Rows looked at before there is a k-th distance, entries of a product held at once, pairs whose distances are computed at once.
 FIRST_ROWS, TILE, PAIRS = 1_024, 1 << 20, 1 << 15
 
+#: Bytes of text that a caller's function gets at once; a longer text comes alone.
+TEXT_BLOCK = 1 << 20
+
 
 def embed(
     df: DataFrame, text: str, fn: Callable[[pd.Series], list] | None = None, dimensions: int = 384
 ) -> DataFrame:
-    """Adds `embedding`, from `fn` over Arrow batches or by default from hashed word counts."""
+    """Adds `embedding`, from `fn` over parts of Arrow batches or by default from hashed word counts.
+
+    `fn` gets texts of about TEXT_BLOCK bytes together, so its memory does not depend on the rows of a batch.
+    """
     if fn is None:
         bag = df.withColumn("__words", F.coalesce(words(F.lower(col(text))), F.array().cast("array<string>")))
         hashed = HashingTF(numFeatures=dimensions, inputCol="__words", outputCol="__tf").transform(bag)
         unit = Normalizer(inputCol="__tf", outputCol="__unit").transform(hashed)
         return unit.withColumn("embedding", vector_to_array("__unit", "float32")).drop("__words", "__tf", "__unit")
 
-    @F.pandas_udf("array<float>")
-    def call(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    limit = TEXT_BLOCK
+
+    @F.arrow_udf("array<float>")
+    def call(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pd.Series([np.asarray(v, dtype="float32") for v in fn(batch)])
+            found = [_listed(fn(part.to_pandas())) for part in _text_parts(batch, limit)]
+            yield pa.concat_arrays(found) if found else pa.array([], pa.list_(pa.float32()))
 
     return df.withColumn("embedding", call(col(text)))
 
 
+def _text_parts(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Slices of about `limit` bytes of text, one row at least."""
+    # Earlier batches are gone; their memory would else stay with the worker.
+    pa.default_memory_pool().release_unused()
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype("int64"))
+    start, done = 0, 0
+    while start < len(texts):
+        stop = max(start + 1, int(np.searchsorted(ends, done + limit, side="right")))
+        yield texts.slice(start, stop - start)
+        done, start = int(ends[stop - 1]), stop
+
+
+def _listed(vectors: list) -> pa.Array:
+    return pa.array([np.asarray(v, dtype="float32") for v in vectors], pa.list_(pa.float32()))
+
+
 def store_memory(df: DataFrame, path: str, text: str = "text", fn=None, dimensions: int = 384) -> None:
     """Append texts with their vectors to a Parquet memory."""
     embed(df, text, fn, dimensions).write.mode("append").parquet(path)

@@ -206,3 +206,13 @@ def test_many_queries_are_shuffled_to_the_memory(spark, metric, monkeypatch):
             n = np.sqrt((a**2).sum(axis=1) * (a[i] ** 2).sum())
             d = np.round(1 - np.divide((a * a[i]).sum(axis=1), n, out=np.zeros(len(a)), where=n > 0), 9)
         assert sorted(found[i]) == sorted(zip(d.tolist(), range(301)))[:5]
+
+
+def test_a_callers_embedding_gets_texts_of_bounded_size(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "TEXT_BLOCK", 100)
+    rows = spark.createDataFrame([(i, "x" * (300 if i == 5 else 30)) for i in range(20)] + [(20, None)], "mem_id bigint, text string").coalesce(1)
+    # Rows that the function gets together, and their characters.
+    got = vectors.embed(rows, "text", lambda part: [[float(len(part)), float(part.fillna("").str.len().sum())]] * len(part))
+    seen = [tuple(r["embedding"]) for r in got.orderBy("mem_id").collect()]
+    assert len(seen) == 21 and seen[5] == (1.0, 300.0)
+    assert max(chars for rows_, chars in seen if rows_ > 1) <= 100

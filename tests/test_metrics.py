@@ -86,3 +86,11 @@ def test_wrong_hints_cost_time_but_no_result(spark, rows):
 
     want = quantiles(rows, ["x", "k"], [0.25, 0.5])
     assert quantiles(rows, ["x", "k"], [0.25, 0.5], hints={"x": [(-5.0, -4.0), (0.0, 900.0)], "k": [(1.0, 1.0), (3.0, 3.0)]}) == want
+
+
+def test_merged_metrics_copy_no_rows_per_column(spark):
+    from workload import files, registry  # noqa: F401  (importing registers the queries)
+
+    held = registry.QUERIES["metrics_merged"](spark, "/root/testdata/sf0.001")
+    assert "Expand" not in held._jdf.queryExecution().toString()
+    assert [(r["ranks_hold"], r["distinct_holds"]) for r in held.collect()] == [(True, True)] * 8

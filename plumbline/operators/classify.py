@@ -10,7 +10,7 @@ from plumbline.functions.columns import col
 from plumbline.functions.search import phrase_places
 from plumbline.functions.text import bind
 from plumbline.operators import rules as R
-from plumbline.operators.joins import salted_join
+from plumbline.operators.joins import frequent_join
 from plumbline.operators.stats import latest
 
 
@@ -152,7 +152,7 @@ def question_intent(questions: DataFrame, catalog: DataFrame) -> DataFrame:
         F.count_if(F.col("kind") == "numeric").alias("__numeric"),
         F.count_if(F.col("kind") == "categorical").alias("__categorical"),
     )
-    joined = salted_join(questions, kinds, ["dataset"], ["question"], "left")
+    joined = frequent_join(questions, kinds, ["dataset"], ["question"], "left")
     numeric, categorical = (F.coalesce(c, F.lit(0)) for c in ("__numeric", "__categorical"))
     return joined.select(
         *questions.columns,

@@ -18,7 +18,7 @@ from plumbline.functions.columns import (
     numeric_columns,
     present,
 )
-from plumbline.operators.joins import salted_join
+from plumbline.operators.joins import frequent_join
 from plumbline.operators.quantiles import quantiles, summary
 
 
@@ -267,7 +267,7 @@ def target_column(questions: DataFrame, catalog: DataFrame) -> DataFrame:
     )
     named = F.filter("columns", lambda c: F.contains(F.lower("question"), F.lower(c["column_name"])))
     pick = F.coalesce(F.get(named, F.lit(0)), F.get(F.col("columns"), F.lit(0)))
-    joined = salted_join(questions, listed, ["dataset"], ["question"], "left")
+    joined = frequent_join(questions, listed, ["dataset"], ["question"], "left")
     return joined.select(*questions.columns, pick["column_name"].alias("target_column"))
 
 

@@ -279,3 +279,17 @@ def test_duplicates_tell_the_places_of_gaps_apart(spark):
     df = spark.createDataFrame([(None, 1), (1, None), (None, None), (None, None), (1, 1), (None, 1)], "a int, b int")
     assert profile.duplicate_count(df).first()[0] == 2
     assert profile.duplicate_count(df.limit(0)).first()[0] == 0
+
+
+def test_only_frequent_keys_copy_the_lookup(spark, monkeypatch):
+    from plumbline.operators import joins
+
+    monkeypatch.setattr(joins, "FREQUENT", 1)
+    probe = spark.createDataFrame([("a", i) for i in range(40)] + [("b", 40), (None, 41), ("z", 42)], "k string, i int")
+    lookup = spark.createDataFrame([(k, ord(k)) for k in "abcdefgh"], "k string, v int")
+    joined = joins.frequent_join(probe, lookup, ["k"], ["i"], "left")
+    want = [(i, 97 if i < 40 else 98 if i == 40 else None) for i in range(43)]
+    assert sorted((r["i"], r["v"]) for r in joined.collect()) == want
+    # All keys of the lookup once, the frequent one 16 times.
+    copies = joins.copies_of(lookup, joins.frequent_keys(probe, ["k"]), ["k"]).groupBy("k").count().collect()
+    assert {r["k"]: r["count"] for r in copies} == {"a": 16, **{k: 1 for k in "bcdefgh"}}

@@ -50,16 +50,18 @@ def clean_text_stats(cleaned: DataFrame) -> DataFrame:
 def normalize_text(df: DataFrame, text: str, key: str, lemmas: DataFrame | None = None, stop_words: list[str] | None = None) -> DataFrame:
     """`(key, tokens)`: the normalised words of each text, in order, with their lemmas if a table gives some.
 
-    `lemmas` is `(form, lemma)`, one lemma per form; other words stay. Words meet the table by a join in
-    which a frequent word is dealt among tasks.
+    `lemmas` is `(form, lemma)`, one lemma per form; other words stay. The distinct words of a text meet the
+    table by a join in which a frequent word is dealt among tasks; only what is found there goes back to the text.
     """
     rows = df.select(col(key).alias("key"), tokens(col(text), stop_words).alias("tokens"))
     if lemmas is not None:
-        said = rows.select("key", F.posexplode("tokens").alias("pos", "form"))
-        joined = salted_join(said, lemmas.groupBy("form").agg(F.min("lemma").alias("lemma")), ["form"], ["key"], "left")
-        found = joined.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("pos", F.coalesce("lemma", "form").alias("word")))).alias("w"))
-        rows = rows.join(found, "key", "left")
-        rows = rows.select("key", F.coalesce(F.transform("w", lambda x: x["word"]), F.col("tokens")).alias("tokens"))
+        said = rows.select("key", F.explode(F.array_distinct("tokens")).alias("form"))
+        known = lemmas.filter("form is not null and lemma is not null").groupBy("form").agg(F.min("lemma").alias("lemma"))
+        hits = salted_join(said, known, ["form"], ["key"])
+        found = hits.groupBy(F.col("key").alias("of")).agg(F.map_from_entries(F.collect_set(F.struct("form", "lemma"))).alias("lemmas"))
+        rows = rows.join(found, F.col("key").eqNullSafe(F.col("of")), "left")
+        stems = F.transform("tokens", lambda w: F.coalesce(F.element_at("lemmas", w), w))
+        rows = rows.select("key", F.when(F.col("lemmas").isNull(), F.col("tokens")).otherwise(stems).alias("tokens"))
     return rows.withColumnRenamed("key", key)
 
 

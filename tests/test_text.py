@@ -104,3 +104,12 @@ def test_recursive_chunks_as_rows(spark):
 def test_text_profile_of_nothing_is_zero(spark):
     empty = spark.createDataFrame([("",)], "t string")
     assert list(corpus.text_profile(empty, "t").first()) == [0, 0, 0, 0]
+
+
+def test_lemmas_of_rows_that_share_a_key(spark):
+    from plumbline.operators import corpus
+
+    rows = spark.createDataFrame([(1, "running fast running"), (1, "slow walking"), (2, "nothing here"), (3, None)], "doc_id int, text string")
+    lemmas = spark.createDataFrame([("running", "run"), ("walking", "walk"), ("unseen", "none")], "form string, lemma string")
+    got = corpus.normalize_text(rows, "text", "doc_id", lemmas).collect()
+    assert sorted((r["doc_id"], r["tokens"] or []) for r in got) == [(1, ["run", "fast", "run"]), (1, ["slow", "walk"]), (2, ["nothing", "here"]), (3, [])]

@@ -206,6 +206,12 @@ def _sizes(rows: DataFrame, component: str) -> DataFrame:
     return sizes.filter("low <> high").select("node", "size", ((F.col("weight") <= LEAF) | (F.col("size") <= FEW)).alias("small"))
 
 
+def _parted(rows: DataFrame, sizes: DataFrame, name: str, number: int, work: Workspace) -> tuple[DataFrame, DataFrame]:
+    """Leaves (node, doc), and the rows of larger nodes with their size, from one join that is written once."""
+    met = work.table(rows.join(sizes, "node"), name, number)
+    return met.filter("small").select("node", "doc"), met.filter("not small").drop("small")
+
+
 def _down(rows: DataFrame, number: int, sets: DataFrame, depth: int, second: float, work: Workspace, turn: str) -> tuple[DataFrame, int]:
     """Sends the rows of nodes down. One join brings the signatures, two levels at a time below the first ones."""
     chances = [1.0] if depth < TWICE else [second, second]
@@ -220,13 +226,13 @@ def _grow(rows: DataFrame, second: float, sets: DataFrame, work: Workspace) -> t
     while True:
         number = rows.count()
         sizes = work.table(_sizes(rows, "doc"), f"sizes-{depth}", number)
-        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"leaves-{depth}", number))
-        crowded = sizes.filter("not small").select("node", "size")
-        if crowded.isEmpty():
+        met, crowds = _parted(rows, sizes, f"leaves-{depth}", number, work)
+        leaves.append(met)
+        if crowds.isEmpty():
             return leaves, None, depth
         if depth >= CROWDED:
-            return leaves, rows.join(crowded, "node"), depth
-        rows, depth = _down(rows.join(crowded.select("node"), "node"), number, sets, depth, second, work, "")
+            return leaves, crowds, depth
+        rows, depth = _down(crowds.drop("size"), number, sets, depth, second, work, "")
 
 
 def _finish(rows: DataFrame, depth: int, second: float, sets: DataFrame, work: Workspace) -> list[DataFrame]:
@@ -235,11 +241,11 @@ def _finish(rows: DataFrame, depth: int, second: float, sets: DataFrame, work: W
     while True:
         number = rows.count()
         sizes = work.table(_sizes(rows, "component"), f"mixed-{depth}", number)
-        leaves.append(work.table(rows.join(sizes.filter("small").select("node"), "node").select("node", "doc"), f"few-{depth}"))
-        crowded = sizes.filter("not small").select("node", "size")
-        if crowded.isEmpty():
+        few, crowds = _parted(rows, sizes, f"crowd-{depth}", number, work)
+        leaves.append(few)
+        if crowds.isEmpty():
             return leaves
-        rows = work.table(rows.join(crowded.select("node"), "node"), f"crowd-{depth}", number)
+        rows = crowds.drop("size")
         met, now = _pairs_of_parts(rows, number, work, f"-{depth}", FINISH if depth < DEPTH else None)
         leaves.append(met)
         if depth >= DEPTH:
@@ -451,7 +457,7 @@ def near_duplicates(
 
     leaves, crowds, depth = _grow(_plant_forest(signed, trees, work), second, signed, work)
     if crowds is not None:
-        leaves.append(work.table(_deal(crowds), "crowds"))
+        leaves.append(work.table(_deal(crowds), "dealt"))
     links = link(leaves, None, "")
     roots = connected_components(links, work)
     if crowds is not None:
@@ -465,8 +471,8 @@ def near_duplicates(
             joined = connected_components(more, work, "connected").select(F.col("vertex").alias("root"), F.col("root").alias("lower"))
             single = joined.join(roots.select(F.col("vertex").alias("root")), "root", "left_anti").select(F.col("root").alias("vertex"), F.col("lower").alias("root"))
             roots = roots.join(joined, "root", "left").select("vertex", F.coalesce("lower", "root").alias("root")).unionByName(single)
-    levels = [f"{name}-{depth}" for name in ("level", "sizes", "leaves", "mixed", "few", "crowd", "counts", "slots", "now", "parts", "met", "pairs") for depth in range(1, DEPTH + 3)]
-    work.drop("crowds", "mixed", *levels, *[f"level-{depth}-mixed" for depth in range(DEPTH + 3)])
+    levels = [f"{name}-{depth}" for name in ("level", "sizes", "leaves", "mixed", "crowd", "counts", "slots", "now", "parts", "met", "pairs") for depth in range(1, DEPTH + 3)]
+    work.drop("dealt", "mixed", *levels, *[f"level-{depth}-mixed" for depth in range(DEPTH + 3)])
 
     # Components are named by the smallest id of their sets.
     roots = work.table(roots.join(sets.select(F.col("set").alias("vertex"), "doc"), "vertex"), "roots")

@@ -238,3 +238,15 @@ def test_signatures_estimate_similarity_and_sets_are_whole():
     real = len(shingles(a) & shingles(b)) / len(shingles(a) | shingles(b))
     assert abs((left == right).mean() - real) < 0.2
     assert out.column(2).to_pylist() == [len(shingles(t)) for t in (a, b, words(30_000, 6, 9000))]
+
+
+def test_leaves_and_crowds_come_from_one_written_join(spark):
+    from plumbline.llm import near_duplicates as N
+    from plumbline.llm.common import Workspace
+
+    rows = spark.createDataFrame([(1, d, 1) for d in range(3)] + [(2, d, 1) for d in range(5)] + [(3, 9, 1)], "node long, doc long, weight long")
+    sizes = spark.createDataFrame([(1, 3, True), (2, 5, False)], "node long, size long, small boolean")
+    leaves, crowds = N._parted(rows, sizes, "parted", 9, Workspace(spark))
+    assert sorted(tuple(r) for r in leaves.collect()) == [(1, 0), (1, 1), (1, 2)]
+    assert sorted((r["node"], r["doc"], r["size"]) for r in crowds.collect()) == [(2, d, 5) for d in range(5)]
+    assert all("Join" not in df._jdf.queryExecution().toString() for df in (leaves, crowds))

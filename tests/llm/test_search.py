@@ -197,6 +197,25 @@ def test_a_crowd_of_near_copies_is_one_component(spark):
     assert {r["component_id"] for r in got.collect()} == {0} and got.filter("kept").count() == 1
 
 
+def test_near_copies_branch_no_further_than_they_come_together(spark, monkeypatch):
+    # Each set is in ten nodes of the first level; branching once more would make 20 rows of it, once more 56.
+    met, table = [], N.Workspace.table
+
+    def counted(self, df, name, rows=None):
+        out = table(self, df, name, rows)
+        if re.match("level-|pairs-|dealt", name) and name != "level-1":
+            met.append(out.count())
+        return out
+
+    monkeypatch.setattr(N.Workspace, "table", counted)
+    base = words(300, 80, 30_000).split()
+    rows = [(i, " ".join(base[: i % 290] + [f"y{i}"] + base[i % 290 + 1 :])) for i in range(1300)]
+    rows += [(i, " ".join(base[:5] + words(200, i, 30_000).split())) for i in range(1300, 1400)]
+    got = N.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), threshold=(80, 100)).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: i if i >= 1300 else 0 for i in range(1400)}
+    assert sum(met) < 40 * len(rows), met
+
+
 def test_a_star_of_copies_in_a_crowd_is_whole(spark, monkeypatch):
     # Copies are 0.87 like the original and 0.76 like each other; the crowd is never a leaf.
     for name, value in {"LEAF": 40, "PIVOTS": 4, "FEW": 2, "DEPTH": 4}.items():

@@ -29,6 +29,9 @@ MOST_CELLS, SAMPLE = 4_096, 200_000
 #: Rows of a cell, and queries of a cell, that meet in one task.
 BLOCK = 16_384
 
+#: Distances from centres that are held at once, so that a task's memory does not depend on the number of cells.
+TILE = 1 << 19
+
 #: The cell of vectors without a direction, where directions are compared. It is always read.
 NO_DIRECTION = -1
 
@@ -59,9 +62,17 @@ def _apart(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _tiles(batches: Iterator[pa.RecordBatch], cells: int) -> Iterator[pa.RecordBatch]:
+    """Slices of batches whose distances from all cells are about TILE, one row at least."""
+    step = max(1, TILE // max(cells, 1))
+    for batch in batches:
+        for start in range(0, batch.num_rows, step):
+            yield batch.slice(start, step)
+
+
 def _assign(centres: np.ndarray, metric: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _tiles(batches, len(centres)):
             if batch.num_rows:
                 rows, can = _directed(vector_matrix(batch.column(1)), metric)
                 cell = np.argmin(_apart(rows, centres), axis=1)
@@ -85,6 +96,11 @@ def _fit(vectors: DataFrame, cells: int, metric: str, sample: int) -> np.ndarray
     return np.array(KMeans(k=max(cells, 2), seed=1, maxIter=10).fit(rows).clusterCenters())
 
 
+def _vectors(rows: DataFrame, key: str) -> DataFrame:
+    """Keys and vectors, written once: the function that makes the vectors runs once a row, and not beside what reads them."""
+    return materialized(rows.select(key, "embedding")).filter("embedding is not null and size(embedding) > 0")
+
+
 def build_index(memory: DataFrame, folder: str, metric: str = "l2", cells: int | None = None, sample: int = SAMPLE) -> None:
     """Keep the memories `(mem_id, embedding)` by cell in a new folder.
 
@@ -92,20 +108,22 @@ def build_index(memory: DataFrame, folder: str, metric: str = "l2", cells: int |
     most. Centres are fitted on `sample` rows; every row is kept. Rows without a vector are left out; all
     vectors must have one length.
     """
-    spark = memory.sparkSession
-    vectors = memory.select("mem_id", "embedding").filter("embedding is not null and size(embedding) > 0")
+    spark, vectors = memory.sparkSession, _vectors(memory, "mem_id")
     n = vectors.count()
     centres = _fit(vectors, cells or min(MOST_CELLS, round(math.sqrt(n))), metric, sample)
     listed = [(i, metric, c.tolist()) for i, c in enumerate(centres)] or [(None, metric, None)]
     spark.createDataFrame(listed, "cell int, metric string, centre array<double>").coalesce(1).write.parquet(f"{folder}/centres")
     vectors.limit(0).write.parquet(f"{folder}/shape")
-    append_index(memory, folder)
+    _append(vectors, folder)
 
 
 def append_index(memory: DataFrame, folder: str) -> None:
     """Add memories to a folder: its centres stay, radii grow where they must."""
-    spark = memory.sparkSession
-    vectors = memory.select("mem_id", "embedding").filter("embedding is not null and size(embedding) > 0")
+    _append(_vectors(memory, "mem_id"), folder)
+
+
+def _append(vectors: DataFrame, folder: str) -> None:
+    spark = vectors.sparkSession
     kept = spark.read.parquet(f"{folder}/centres").orderBy("cell").collect()
     metric, centres = kept[0]["metric"], np.array([r["centre"] for r in kept if r["cell"] is not None])
     if not len(centres):
@@ -146,7 +164,7 @@ def _route(index: Index, probes: int, known: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = np.flatnonzero(index.rows)
-        for batch in batches:
+        for batch in _tiles(batches, len(full)):
             if not batch.num_rows or not (len(full) or index.undirected):
                 continue
             rows, can = _directed(vector_matrix(batch.column(1)), index.metric)
@@ -165,8 +183,10 @@ def _route(index: Index, probes: int, known: bool):
             cell = full[c]
             if index.undirected and not known:
                 q, cell = np.append(q, np.arange(len(rows))), np.append(cell, np.full(len(rows), NO_DIRECTION))
-            at = pa.array(q)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(cell.astype(np.int32))], names=["query_id", "embedding", "cell"])
+            for start in range(0, len(q), BLOCK):
+                at = pa.array(q[start : start + BLOCK])
+                rest = pa.array(cell[start : start + BLOCK].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), rest], names=["query_id", "embedding", "cell"])
 
     return run
 
@@ -208,7 +228,7 @@ def search_index(index: Index, queries: DataFrame, k: int = 5, probes: int = 8,
     """
     spark = queries.sparkSession
     shape = _stored(spark, index.folder).schema["mem_id"].dataType.simpleString()
-    asked = queries.select("query_id", "embedding").filter("embedding is not null and size(embedding) > 0")
+    asked = _vectors(queries, "query_id")
     routed = materialized(routes(asked, index, probes))
     near = latest(_search(routed, index, k, shape), ["query_id"], [F.col("distance"), F.col("mem_id")], k)
     if not exact:

@@ -3,6 +3,7 @@
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,3 +80,35 @@ def test_one_vector_held_by_most_rows(spark, monkeypatch):
     V.build_index(m, path)
     got = V.search_index(V.open_index(spark, path), q, 3, exact=True)
     assert got.groupBy("query_id").agg(F.collect_set("mem_id").alias("s")).filter(F.array_sort("s") == F.array(*[F.lit(i).cast("long") for i in range(3)])).count() == 120
+
+
+def test_each_text_is_embedded_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def lengths(batch):
+        seen.add(len(batch))
+        return [[float(len(t)), float(i % 3)] for i, t in enumerate(batch)]
+
+    texts = spark.createDataFrame([(i, "x" * (i % 17 + 1)) for i in range(300)], "mem_id long, text string").repartition(2)
+    path = folder(spark)
+    V.build_index(vectors.embed(texts.filter("mem_id < 200"), "text", lengths), path, cells=4)
+    V.append_index(vectors.embed(texts.filter("mem_id >= 200"), "text", lengths), path)
+    assert V.open_index(spark, path).rows.sum() == 300 and seen.value == 300
+
+
+def test_distances_from_centres_are_held_in_tiles(monkeypatch):
+    held, apart = [], V._apart
+
+    def counted(rows, centres):
+        held.append(len(rows) * len(centres))
+        return apart(rows, centres)
+
+    monkeypatch.setattr(V, "_apart", counted)
+    monkeypatch.setattr(V, "TILE", 100, raising=False)
+    points = np.random.default_rng(5).normal(size=(57, 3))
+    batch = pa.RecordBatch.from_pydict({"mem_id": list(range(57)), "embedding": points.tolist()})
+    out = pa.Table.from_batches(V._assign(points[:10], "l2")([batch]))
+    assert out["cell"].to_pylist() == np.argmin(apart(points, points[:10]), axis=1).tolist() and out["mem_id"].to_pylist() == list(range(57))
+    index = V.Index("", "l2", points[:10], np.ones(10, np.int64), np.zeros(10), 0)
+    assert pa.Table.from_batches(V._route(index, 2, False)([batch.rename_columns(["query_id", "embedding"])])).num_rows == 114
+    assert max(held) <= 100
